@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from tapewise.llm.decontaminate import OP5_SQL, op5_winnow_decontamination
 from tapewise.llm.fingerprint import op3_scaled_fingerprints
 from tapewise.llm.line_dedup import OP4_SQL, op4_line_dedup
+from tapewise.llm.materialise import op1_training_order
+from tapewise.llm.packing import op10_min_slack_packing
 from tapewise.llm.sharding import op6_jump_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_training_order": op1_training_order,
     "op3_scaled_fingerprints": op3_scaled_fingerprints,
     "op4_line_dedup": op4_line_dedup,
     "op5_winnow_decontamination": op5_winnow_decontamination,
     "op6_jump_sharding": op6_jump_sharding,
+    "op10_min_slack_packing": op10_min_slack_packing,
 }
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_winnow_decontamination": OP5_SQL}
