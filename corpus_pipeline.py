@@ -1,2 +1,81 @@
+"""A corpus pipeline of five of the operators, each on all its predecessor kept.
+
+A stage takes (spark, docs, sf_dir); all but the last return the columns of
+``documents``. ``n_chars`` follows the text. Stages are named after what they do.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tapewise.llm._common import materialize
+from tapewise.llm.decontaminate import contamination
+from tapewise.llm.line_dedup import dedup_lines
+from tapewise.llm.ngram_join import jaccard_groups
+from tapewise.llm.packing import pack
+from tapewise.llm.toxicity import score, toxicity_model
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+TOXIC = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents scored toxic go. Fitted on the labelled ones."""
+    model = toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs.select(*COLUMNS), model).where(F.col("score") < TOXIC).select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: repeated long lines go from all but one document; every
+    document stays, its text without them."""
+    out = dedup_lines(docs.select(*COLUMNS)).withColumn("text", F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8, five words and 0.8: the least id of each group stays.
+
+    Documents without words are no copies of each other and all stay. Of rows
+    that repeat an id in a group, one stays: that of the least text hash."""
+    groups = jaccard_groups(docs.select("doc_id", "text"))
+    stays = materialize(groups.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).distinct(), "stays")
+    ids = stays.select(F.col("doc_id").alias("_id"), "n_shingles")
+    kept = docs.select(*COLUMNS).join(ids.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    one = Window.partitionBy("doc_id", "_copy").orderBy(F.xxhash64("text"), *COLUMNS[1:])
+    spaces = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r")) == ""
+    copies = F.when(spaces, F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    return kept.withColumn("_copy", copies).withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: contaminated documents go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contamination(docs.select(*COLUMNS), items).where(~F.col("contaminated")).select(*COLUMNS)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: token sequences of at most 1024 ids; a row for each piece."""
+    return pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_jaccard_join", keep_one_of_each_group),
+    ("benchmark_decontamination", drop_contaminated),
+    ("packing", pack_tokens),
+]
+
+#: Compression, sketches and tokens are beyond SQL; tests/llm has the brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; each result is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs, f"stage-{name}")
+    return docs
