@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tapewise.llm._common import materialize
 
@@ -301,7 +302,7 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
     size = wrappers.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host")), F.lit(0))).first()[0]
     pages = pages.drop("text", "host", "wrapper")
     keep = [c for c in pages.columns if c != page]
-    schema = pages.select(*keep).schema.add("text", "string")
+    schema = StructType([*pages.select(*keep).schema.fields, StructField("text", StringType())])
     near = pages.select(*keep, host_of(url), F.col(page).alias("html"))
     known = {r["host"]: r["wrapper"] for r in wrappers.collect()} if size <= BROADCAST_BYTES else None
     near = near.withColumn("wrapper", F.lit(None).cast("string")) if known is not None else near.join(wrappers, "host", "left").select(*keep, "host", "html", "wrapper")

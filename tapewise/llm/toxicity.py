@@ -20,6 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tapewise.llm._common import documents
 
@@ -195,7 +196,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     windows and get the score of none. An empty table gives no rows; a column
     named ``score`` is replaced."""
     docs = docs.drop("score")
-    schema = docs.schema.add("score", "double")
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
