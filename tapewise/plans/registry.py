@@ -1,4 +1,14 @@
 """Queries of the analytics operators and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tapewise.plans import relational
+from tapewise.plans.dialect import duck, spark
+
+_TEXTS = {**relational.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: spark(v) for k, v in _TEXTS.items()}
+ORACLE_SQL: dict[str, str] = {k: duck(v) for k, v in _TEXTS.items()}
