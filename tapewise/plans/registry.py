@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewise.plans import kernel_queries, relational, scoring
+from tapewise.plans import kernel_queries, relational, scoring, trading
 from tapewise.plans.dialect import duck, spark
 
 _TEXTS = {**relational.SQL, **scoring.SQL}
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{k: spark(v) for k, v in _TEXTS.items()}, **kernel_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**{k: duck(v) for k, v in _TEXTS.items()}, **kernel_queries.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{k: spark(v) for k, v in _TEXTS.items()}, **kernel_queries.QUERIES, **trading.QUERIES}
+ORACLE_SQL: dict[str, str] = {**{k: duck(v) for k, v in _TEXTS.items()}, **kernel_queries.ORACLE_SQL, **trading.ORACLE_SQL}

@@ -23,10 +23,18 @@ def conf(n: str, target: int) -> str:
     return clamp(f"SQRT(CAST({n} AS DOUBLE) / {target}e0)", "0e0", "1e0")
 
 
-def midrank(x: str, up: bool = True) -> str:
-    """Percentile of a value among all rows, ties sharing their mean rank."""
-    share = f"(RANK() OVER (ORDER BY {x}) + (COUNT(*) OVER (PARTITION BY {x}) - 1) / 2e0 - 1e0) * 100e0 / NULLIF(COUNT(*) OVER () - 1, 0)"
-    return f"COALESCE({share if up else f'100e0 - {share}'}, 50e0)"
+def midranks(source: str, columns: dict[str, tuple[str, bool]], name: str, carried: list[str]) -> str:
+    """CTEs ``name``: ``carried`` columns of ``source`` with the percentile of each column among all
+    rows, ties sharing their mean rank; False: lower is better.
+
+    The columns are turned into rows, so all of them are ranked in one pass
+    that is partitioned by column, instead of one global sort each."""
+    picks = " ".join(f"WHEN {i} THEN {'' if up else '-'}CAST({c} AS DOUBLE)" for i, (c, up) in enumerate(columns.values()))
+    ids = ", ".join(f"({i})" for i in range(len(columns)))
+    back = ", ".join(f"MAX(CASE WHEN k = {i} THEN pct END) AS {n}" for i, n in enumerate(columns))
+    return f"""{name}_long AS (SELECT trader_id, {', '.join(carried)}, k, CASE k {picks} END AS v FROM {source} CROSS JOIN (VALUES {ids}) AS ks(k)),
+{name}_rank AS (SELECT trader_id, {', '.join(carried)}, k, COALESCE((RANK() OVER (PARTITION BY k ORDER BY v) + (COUNT(*) OVER (PARTITION BY k, v) - 1) / 2e0 - 1e0) * 100e0 / NULLIF(COUNT(*) OVER (PARTITION BY k) - 1, 0), 50e0) AS pct FROM {name}_long),
+{name} AS (SELECT trader_id, {', '.join(f'MAX({c}) AS {c}' for c in carried)}, {back} FROM {name}_rank GROUP BY trader_id)"""
 
 
 def mix(*parts: tuple[str, float]) -> str:
@@ -76,7 +84,7 @@ STYLE = f"""fits AS (SELECT m.*, {', '.join(f"{clamp(v, hi='1e0')} AS f{i}" for
 styled AS (SELECT fits.*, CASE WHEN {_TOP} < 0.35e0 OR ((CASE {_BEST} END) <> 'swing' AND {_TOP} - {_SECOND} < 0.05e0) THEN 'unknown' ELSE CASE {_BEST} END END AS style FROM fits)"""
 _RET20 = conf("n_returns", 20)
 SCORES = f"""{METRICS}, {STYLE},
-pc AS (SELECT styled.*, {', '.join(f'{midrank(c, up)} AS {k}' for k, (c, up) in _PCT.items())} FROM styled),
+{midranks('styled', _PCT, 'pc', ['style', 'n_returns', 'active_days_30d', 'n_edges', 'positions_30d', 'fills_30d'])},
 pillars AS (SELECT trader_id, style, {shrunk(mix(('sharpe', .4), ('rvol', .2), ('dvol', .2), ('hit', .2)), _RET20)} AS consistency, {shrunk(mix(('dd', .5), ('rec', .3), ('days_p', .2)), f"LEAST({conf('active_days_30d', 10)}, {_RET20})")} AS survivability, {shrunk(mix(('edge_p', .65), ('fav', .35)), conf('n_edges', 15))} AS timing,
  {shrunk(mix(('maxl', .4), ('avgl', .35), ('lvol', .15), ('cv', .1)), conf('positions_30d', 20))} AS leverage, {shrunk(mix(('exp_p', .4), ('pf', .35), ('days_p', .15), ('fills_p', .1)), f"LEAST({_RET20}, {conf('fills_30d + positions_30d', 20)})")} AS conviction FROM pc),
 scored AS (SELECT pillars.*, {clamp(mix(('consistency', .3), ('survivability', .25), ('timing', .15), ('leverage', .15), ('conviction', .15)))} AS total FROM pillars)"""
@@ -102,8 +110,9 @@ agg AS (SELECT t.trader_id, t.wallet, t.wallet_status, t.filter_updated_us, t.be
  FROM traders_v t LEFT JOIN fa ON fa.t = t.trader_id LEFT JOIN ff ON ff.trader_id = t.trader_id LEFT JOIN fp ON fp.trader_id = t.trader_id LEFT JOIN fs ON fs.trader_id = t.trader_id LEFT JOIN sc ON sc.trader_id = t.trader_id WHERE COALESCE(n_24h, 0) + COALESCE(ff.n, 0) + COALESCE(fp.n, 0) + COALESCE(fs.n, 0) > 0)"""
 SQL["p_discovery_aggregates"] = f"WITH {FLOW} SELECT * FROM agg"
 _AGE = f"CASE WHEN last_us IS NULL THEN 10000e0 ELSE GREATEST(FLOOR(({NOW} - last_us) / 6e7), 0e0) END"
+_ACTIVITY = {"a1": ("trades_24h", True), "a2": ("notional_24h", True), "a3": ("coins_24h", True), "a4": ("age", False), "c1": ("fills", True), "c2": ("positions", True), "c3": ("snapshots", True), "c4": ("behavior", True)}
 RANKS = f"""{FLOW}, aged AS (SELECT agg.*, {_AGE} AS age, trader_id % 20 = 0 AS whale FROM agg),
-dp AS (SELECT aged.*, {midrank('trades_24h')} AS a1, {midrank('notional_24h')} AS a2, {midrank('coins_24h')} AS a3, {midrank('age', False)} AS a4, {midrank('fills')} AS c1, {midrank('positions')} AS c2, {midrank('snapshots')} AS c3, {midrank('behavior')} AS c4 FROM aged),
+{midranks('aged', _ACTIVITY, 'dp', ['wallet', 'wallet_status', 'filter_updated_us', 'behavior_tier', 'fills', 'positions', 'snapshots', 'trades_24h', 'behavior', 'whale'])},
 ds AS (SELECT dp.*, {shrunk(mix(('a1', .35), ('a2', .3), ('a3', .2), ('a4', .15)), conf('trades_24h', 25))} AS activity, {shrunk(mix(('c1', .25), ('c2', .25), ('c3', .25), ('c4', .25)), conf('fills + positions + snapshots', 20))} AS coverage, CASE WHEN filter_updated_us IS NOT NULL THEN wallet_status = 'PROMOTED' ELSE whale END AS promoted FROM dp),
 dr AS (SELECT ds.*, {clamp(mix(('activity', .55), ('coverage', .45)))} AS discovery FROM ds)"""
 SQL["p_discovery_ranks"] = f"""WITH {RANKS} SELECT trader_id, wallet, ROUND(activity, 4) AS activity, ROUND(coverage, 4) AS coverage, ROUND(discovery, 4) AS discovery, promoted, CASE WHEN behavior_tier IS NOT NULL AND behavior_tier <> '' THEN behavior_tier WHEN whale THEN 'whale' WHEN promoted AND behavior >= 80 AND discovery >= 70 THEN 'elite' WHEN promoted AND discovery >= 60 THEN 'active_tracked' WHEN discovery >= 72 THEN 'high_quality' WHEN discovery >= 45 THEN 'watchlist' ELSE 'monitored' END AS tier FROM dr"""
