@@ -266,14 +266,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose sets aren't in one component yet."""
+    of = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc, n_shingles, component_id) for every row of ``docs``.
 
     Two documents link if den * |intersection| >= num * |union| of their sets of
     ``k``-word shingles; ``component_id`` is the least id reachable by links, its
     own included. Documents of equal sets are one node from the start. Each
-    node is compared with one leader per shared key; after that only pairs of
-    different components that share a key are compared, so that copies are not
+    node is compared with one leader, then with the leaders of its other shared
+    keys; after that only pairs of different components that share a key are compared, so that copies are not
     expanded into pairs and no link between different texts is lost.
 
     Null and blank texts have no shingles and link with nothing. Repeated rows
@@ -287,11 +294,18 @@ def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
         raise RuntimeError("two sets have the same 64-bit sum")
     keys = sets.where(F.col("keys").isNotNull()).select("node", "n", F.explode("keys").alias("key"))
     stars = materialize(_stars(keys, num, den), "stars")
-    tested = materialize(stars.where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), "tested")
+    edges = stars.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     held = stars.select("node").distinct()
     texts = materialize(sets.where(F.col("text").isNotNull()).join(held, "node", "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
-    links = materialize(_verified(tested, texts, k, num, den), "first-links")
+    # one leader for each set first; of its other leaders only those of another component
+    once = materialize(edges.groupBy("b").agg(F.min("a").alias("a")), "leaders")
+    links = materialize(_verified(once, texts, k, num, den), "links")
+    first = components(links)
+    rest = materialize(_apart(edges.distinct(), first).join(once, ["a", "b"], "left_anti"), "leaders")
+    links = materialize(links.unionByName(_verified(rest, texts, k, num, den)), "links")
     first = components(links)
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tested = ordered(once).unionByName(ordered(rest))
     placed = stars.join(first, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo <> hi AND rows > 2").select("key")
     left = materialize(placed.join(open_keys, "key", "left_semi"), "open")
