@@ -6,6 +6,9 @@ import atexit
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +77,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_key(text: Column) -> Column:
     """128-bit key of a text, null kept apart from empty."""
     return F.struct(F.xxhash64(text, F.lit(1)).alias("a"), F.xxhash64(text, F.lit(2), text).alias("b"))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces, so that what a worker builds for one stays small."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapewise.llm import tokens
-from tapewise.llm._common import documents, materialize, scratch_path
+from tapewise.llm._common import documents, materialize, scratch_path, slices
 
 SEQ_LEN = 256
 KEY = "training-order-1"
@@ -110,7 +110,7 @@ def write_shards(docs: DataFrame, out: str, doc: str = "doc_id", text: str = "te
         from pyspark import TaskContext
 
         at = base.get(TaskContext.get().partitionId(), 0)
-        for batch in batches:
+        for batch in slices(batches):
             rows, starts, sizes, blobs, crcs, index = [], [], [], [], [], []
             for i, t in enumerate(batch.column(1)):
                 s = t.as_py()
