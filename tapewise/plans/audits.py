@@ -42,6 +42,7 @@ AUDIT = {
     "runs_per_trader": "SELECT runs, COUNT(*) AS traders FROM (SELECT trader_id, COUNT(*) AS runs FROM scores_v GROUP BY trader_id) r GROUP BY runs",
     "daily_activity": "SELECT CAST(ts AS DATE) AS day, COUNT(*) AS fills, COUNT(DISTINCT trader_id) AS traders FROM fills_v GROUP BY CAST(ts AS DATE)",
 }
+SQL["p_scoring_audit"] = " UNION ALL ".join(f"SELECT '{k}' AS query, COUNT(*) AS n_rows FROM ({v}) q_{k}" for k, v in AUDIT.items())
 SQL |= {f"p_scoring_audit_{k}": v for k, v in AUDIT.items()}
 
 SQL["p_whale_discovery"] = """SELECT wallet, ROUND(vlm, 2) AS vlm, CASE WHEN vlm >= 1000000 THEN 'mega' WHEN vlm >= 500000 THEN 'large' WHEN vlm >= 100000 THEN 'mid' ELSE 'small' END AS tier, place <= 25 AND (vlm >= 500000 OR account_value >= 5000) AS promote FROM

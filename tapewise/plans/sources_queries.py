@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewise.plans.dialect import duck, view
-from tapewise.sources import envelopes, orderbook
+from tapewise.sources import envelopes, orderbook, rest, sinks, social
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -41,3 +41,42 @@ def src_l2_parse(s, d):
 
 QUERIES["src_l2_parse"] = src_l2_parse
 ORACLE_SQL["src_l2_parse"] = duck("SELECT event_id, coin, ROUND(ask - bid, 6) AS spread, 2e0 AS bid_depth FROM book_v WHERE event_id % 20 <> 0")
+
+
+def src_rest_paginated(s, d):
+    """A paged service read by four time ranges."""
+    s.dataSource.register(rest.PagedSource)
+    rows = s.read.format("paged_fills").option("opener", "tapewise.sources.rest:demo").option("start", "0").option("end", "9999").option("ranges", "4").option("page_rows", "50").load()
+    return rows.select("hash", "time")
+
+
+QUERIES["src_rest_paginated"] = src_rest_paginated
+ORACLE_SQL["src_rest_paginated"] = "SELECT '0x' || lower(to_hex(t)) AS hash, CAST(t AS BIGINT) AS time FROM range(0, 10000, 10) r(t)"
+
+
+def src_tweets_parse(s, d):
+    post = F.struct(F.when(F.col("event_id") % 10 != 0, F.col("event_id").cast("string")).alias("id"), F.lit("h").alias("handle"), F.col("event_type").alias("text"), F.lit("Mon Jan 01 00:00:00 +0000 2024").alias("created_at"))
+    return social.posts(view(s, d, "ev_v").select(F.to_json(F.array(post)).alias("value"))).select("id", "text", F.col("created_at").isNotNull().alias("dated"))
+
+
+QUERIES["src_tweets_parse"] = src_tweets_parse
+ORACLE_SQL["src_tweets_parse"] = duck("SELECT CAST(event_id AS STRING) AS id, event_type AS text, TRUE AS dated FROM ev_v WHERE event_id % 10 <> 0")
+
+
+def sink_replace_children(s, d):
+    held = view(s, d, "fills_v").select((F.col("event_id") % 50).alias("signal_id"), "trader_id")
+    new = held.where("trader_id % 2 = 0").withColumn("trader_id", F.col("trader_id") + 1000)
+    return sinks.replace_children(held, held.where("signal_id < 10").select("signal_id").distinct(), new, "signal_id")
+
+
+QUERIES["sink_replace_children"] = sink_replace_children
+ORACLE_SQL["sink_replace_children"] = duck("SELECT event_id % 50 AS signal_id, trader_id FROM fills_v WHERE event_id % 50 >= 10 UNION ALL SELECT event_id % 50, trader_id + 1000 FROM fills_v WHERE event_id % 50 < 10 AND trader_id % 2 = 0")
+
+
+def set_union_limit1(s, d):
+    held = view(s, d, "traders_v").where("trader_id < 100").select("wallet", "trader_id")
+    return sinks.upsert_ids(held, view(s, d, "traders_v"), "wallet", "trader_id")
+
+
+QUERIES["set_union_limit1"] = set_union_limit1
+ORACLE_SQL["set_union_limit1"] = duck("SELECT wallet, trader_id FROM traders_v WHERE trader_id < 100 UNION ALL SELECT wallet, (SELECT MAX(trader_id) FROM traders_v WHERE trader_id < 100) + ROW_NUMBER() OVER (ORDER BY wallet) FROM traders_v WHERE trader_id >= 100")

@@ -83,3 +83,41 @@ def test_stream_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("w").selectExpr("sum(entries)").first()[0] == 20
+
+
+def test_pages_retry_and_drop_only_rows_of_earlier_pages():
+    from tapewise.sources import rest
+
+    waits, calls = [], []
+
+    def fetch(start, end):
+        calls.append(start)
+        if len(calls) == 1:
+            raise rest.Retryable
+        rows = [{"hash": "a", "time": 1}, {"hash": "a", "time": 1}, {"hash": "b", "time": 2}] if start < 2 else [{"hash": "b", "time": 2}, {"hash": "c", "time": 3}]
+        return rows
+
+    got = [r["hash"] for r in rest.pages(fetch, 0, 9, 3, sleep=waits.append)]
+    assert got == ["a", "a", "b", "c"] and waits == [1.0]
+    with pytest.raises(rest.Retryable):
+        rest.call(lambda: (_ for _ in ()).throw(rest.Retryable()), tries=2, sleep=waits.append)
+
+
+def test_posts_take_the_best_video(spark):
+    from tapewise.sources import social
+
+    media = [{"url": "i", "variants": [{"bitrate": b, "content_type": "video/mp4", "url": f"v{b}"} for b in (1, 9, 3)]}, {"url": "pic"}]
+    rows = [[{"id": "1", "handle": "h", "text": "t", "created_at": "bad", "media": media}, {"handle": "none"}], [{"id": "1", "handle": "h"}]]
+    got = social.posts(text(spark, rows).coalesce(1)).collect()
+    assert len(got) == 1 and got[0].media in (["v9", "pic"], [])
+
+
+def test_reports_and_batches(spark, tmp_path):
+    from tapewise.sources import sinks
+
+    df = spark.createDataFrame([("a", 1.5), (None, None)], "k string, v double")
+    assert sinks.markdown(df).splitlines()[2:] == ["| a | 1.5000 |", "|  |  |"]
+    sinks.save_batch({"runs": df}, str(tmp_path), "b1")
+    assert spark.read.parquet(f"{tmp_path}/runs").count() == 2 and spark.read.parquet(f"{tmp_path}/_complete").count() == 1
+    sinks.csv(df, f"{tmp_path}/csv")
+    assert spark.read.option("header", "true").csv(f"{tmp_path}/csv").count() == 2
