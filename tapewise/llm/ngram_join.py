@@ -24,6 +24,8 @@ from tapewise.llm.graph import components
 BAND = 1.5
 #: Sketch words above the needed d + 1, as a share of it: so many may be left out, those with the fewest shingles first.
 SPARE = 0.6
+#: Bits of a parity sketch.
+BITS = 4096
 _CHUNK = 1 << 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _WORD = np.array([not (b == 0x20 or 9 <= b <= 13) for b in range(256)])
@@ -225,22 +227,45 @@ def _stars(keys: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "key long, node long, n long, lead long")
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """A set's parity sketch: each shingle flips one of ``BITS`` bits. Two
+    sketches differ in no more bits than their sets differ in shingles."""
+    with np.errstate(over="ignore"):
+        at = (_mix(s + _M1) % np.uint64(BITS)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def _bits(texts: DataFrame, k: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [parity_bits(shingle_set(t.as_py(), k)) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["node", "bits"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, bits binary")
+
+
 def _cross(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): sets of one key that are of fitting sizes and not yet in one
-    component; blocks of a sorted run, no more than these pairs."""
+    """(a, b): sets of one key that aren't in one component and that their
+    sizes and parity sketches allow to link. A pair that isn't allowed is never
+    written."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, n, node, comp in _runs(batches, 4):
+        for _, n, node, comp, bits in _runs(batches, 5):
             ends = np.searchsorted(n, n * den // num, side="right")
+            sketch = np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(len(node), -1)
             for i in range(len(node)):
-                near = slice(i + 1, ends[i])
-                other = node[near][comp[near] != comp[i]]
-                if len(other):
-                    a = np.full(len(other), node[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, other)), pa.array(np.maximum(a, other))], names=["a", "b"])
-
-    dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "n", "node").select("key", "n", "node", "comp")
+                near = np.arange(i + 1, ends[i])
+                near = near[comp[near] != comp[i]]
+                for at in range(0, len(near), 4096):
+                    js = near[at : at + 4096]
+                    apart = np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+                    other = node[js[apart * (den + num) <= (n[js] + n[i]) * (den - num)]]
+                    if len(other):
+                        a = np.full(len(other), node[i])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, other)), pa.array(np.maximum(a, other))], names=["a", "b"])
+
+    dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "n", "node").select("key", "n", "node", "comp", "bits")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -309,7 +334,8 @@ def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
     placed = stars.join(first, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo <> hi AND rows > 2").select("key")
     left = materialize(placed.join(open_keys, "key", "left_semi"), "open")
-    pairs = materialize(_cross(left, num, den).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    bits = _bits(texts.join(left.select("node").distinct(), "node", "left_semi"), k)
+    pairs = materialize(_cross(left.join(bits, "node"), num, den).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     more = materialize(_verified(pairs, texts, k, num, den), "more-links")
     comp = first if more.isEmpty() else components(links.unionByName(more))
     node = sets.groupBy("node").agg(F.min("doc").alias("least"), F.max("n").alias("n")).where("n > 0").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
