@@ -36,15 +36,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8, five words and 0.8: the least id of each group stays.
 
-    Documents without words are no copies of each other and all stay. Of rows
-    that repeat an id in a group, one stays: that of the least text hash."""
-    groups = jaccard_groups(docs.select("doc_id", "text"))
-    stays = materialize(groups.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).distinct(), "stays")
-    ids = stays.select(F.col("doc_id").alias("_id"), "n_shingles")
-    kept = docs.select(*COLUMNS).join(ids.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    one = Window.partitionBy("doc_id", "_copy").orderBy(F.xxhash64("text"), *COLUMNS[1:])
-    spaces = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r")) == ""
-    copies = F.when(spaces, F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    Documents without words are no copies of each other and all stay. A row goes
+    by its id and text hashes, so null and repeated ids of different groups are
+    told apart; null ids come last. Of a group's rows of one id, that of the
+    least text hash stays."""
+    text = F.coalesce("text", F.lit(""))
+    key = {"_null": F.col("doc_id").isNull(), "_id": F.col("doc_id"), "_h": F.xxhash64(text), "_g": F.xxhash64(F.lit(1), text)}
+    groups = jaccard_groups(docs.select(F.struct(*(v.alias(k) for k, v in key.items())).alias("row"), "text"), "row")
+    stays = materialize(groups.where((F.col("n_shingles") == 0) | F.col("row").eqNullSafe(F.col("component_id"))).select("row.*").distinct(), "stays")
+    rows = docs.select(*COLUMNS).withColumns({"_hash": key["_h"], "_hash2": key["_g"]})
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")) & (F.col("_hash2") == F.col("_g"))
+    kept = rows.join(stays, same, "left_semi")
+    one = Window.partitionBy("doc_id", "_hash", "_hash2", "_copy").orderBy(*COLUMNS[1:])
+    copies = F.when(F.btrim(text, F.lit(" \t\n\x0b\f\r")) == "", F.monotonically_increasing_id()).otherwise(F.lit(-1))
     return kept.withColumn("_copy", copies).withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*COLUMNS)
 
 

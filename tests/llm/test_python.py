@@ -342,3 +342,17 @@ def test_pipeline(spark, tmp_path):
     assert ids["ngram_jaccard_join"] & {d for d, _ in copies} == {70}
     assert not ids["benchmark_decontamination"] & {d for d, _ in dirty} and {d for d, _ in clean} <= ids["benchmark_decontamination"]
     assert ids["packing"] == ids["benchmark_decontamination"]
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    rng = random.Random(13)
+    text = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    nulls = [text() for _ in range(4)]
+    rows = [(None, t) for t in nulls]  # unrelated texts without ids all stay
+    rows += [(7, a), (7, b), (7, b)]  # unrelated texts of one id: one each
+    rows += [(3, c), (8, c + " end"), (8, d), (None, d)]  # 8 goes in one group and stays in the other
+    rows += [(None, None), (None, " "), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA + ", lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()), key=str)
+    assert got == sorted([*((None, t) for t in nulls), (7, a), (7, b), (3, c), (8, d), (None, None), (None, " "), (9, "")], key=str)
