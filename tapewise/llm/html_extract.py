@@ -32,12 +32,38 @@ LONGEST_PERIOD = 4
 
 _BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style template noscript iframe textarea title svg math object".split())
+_RAW = frozenset("script style template noscript iframe textarea title svg annotation annotation-xml".split())
 _OUT = frozenset("aside button dialog fieldset footer form head header iframe legend menu nav noscript option script search select style svg template textarea title".split())
 #: An open element on the left ends where one on the right begins.
 _ENDS = {"p": _BLOCK - {"br", "body", "html", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"article", "aside", "body", "div", "footer", "header", "main", "nav", "section", "td", "th", "li", "blockquote", "form"}}
-_OUT_NAME = re.compile(r"(?:^|[-_\s])(?:ad|ads|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|sidebar\w*|widgets?|comments?|respond|replies|disqus\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|pagination|pager|login|skip|toolbar|toc|hidden)(?=$|[-_\s])", re.I)
+#: Words that name a part outside the main text.
+_PART = re.compile(r"(?:ads?|advert(?:s|ising|isements?|orials?)?|banners?|promos?|promotions?|sponsor(?:s|ed|ship)?|nav(?:bar|igation|menu|links?|list)?|navs|menu(?:bar|list|item)?s?|breadcrumbs?|header|masthead|footer|foot|sidebars?|widgets?|comments?|respond|replies|disqus\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|pagination|pager|login|skip|toolbar|toc|hidden)\d*", re.I)
+#: Words that may follow a part's name in a class that still names the part.
+_PIECE = frozenset("area bar block body bottom box button buttons col column container content copyright count digits form group heading holder icon icons info inner item items left legal link links list logo main outer panel policy posts primary right secondary section slot text this title to top unit wrap wrapper".split())
+#: Words of a class that tells of a page's state, layout or kind: anywhere, or first.
+_MODIFIER = frozenset("has no non not with without".split())
+_KIND = frozenset("is show hide category cat tag tax type format status layout template".split())
+#: A header of these holds the headline; a sidebar beside them is a layout.
+_HOLDER = frozenset("article entry post story content page section single blog news hero title".split())
+#: How a block lies outside: in an article that something by name or a form holds, by such a name, by its kind, unseen.
+_FREED, _SOFT, _HARD, _HIDDEN = 1, 2, 3, 4
+
+
+def _names_part(value: str) -> bool:
+    """Whether a class token as a whole names a part outside the main text:
+    ``site-footer`` or ``nav-links``, not ``has-sidebar`` or ``header-fixed``."""
+    for token in value.lower().split():
+        words = [w for w in re.split(r"[-_]+", token) if w]
+        last = max((i for i, w in enumerate(words) if _PART.fullmatch(w)), default=-1)
+        if last < 0 or words[0] in _KIND or not _MODIFIER.isdisjoint(words) or any(w not in _PIECE and not w.isdigit() for w in words[last + 1 :]):
+            continue
+        if words[last] in ("header", "sidebar") and not _HOLDER.isdisjoint(words[:last]):
+            continue
+        return True
+    return False
+
+
 _OUT_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z][-\w:]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -48,8 +74,8 @@ def blocks(page: str | None) -> list[tuple[str, bool, str]]:
     blocks lie in menus, headers, notices and the like. References are decoded
     and white space is one space. Unclosed and stray tags are repaired as far
     as browsers do for these elements."""
-    out: list[tuple[str, bool, str]] = []
-    stack: list[tuple[str, str, bool]] = []  # name, path so far, outside
+    out: list[tuple[str, int, str]] = []
+    stack: list[tuple[str, str, int]] = []  # name, path so far, how outside
     parts: list[str] = []
 
     def flush() -> None:
@@ -57,7 +83,7 @@ def blocks(page: str | None) -> list[tuple[str, bool, str]]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((stack[-1][1], stack[-1][2], text) if stack else ("", False, text))
+                out.append((stack[-1][1], stack[-1][2], text) if stack else ("", 0, text))
 
     source, at = page or "", 0
     while (m := _TAG.search(source, at)) is not None:
@@ -92,35 +118,47 @@ def blocks(page: str | None) -> list[tuple[str, bool, str]]:
             if name in _VOID:
                 continue
             named, outside = _named(name, m[3])
-            path, was = (stack[-1][1], stack[-1][2]) if stack else ("", False)
+            path, was = (stack[-1][1], stack[-1][2]) if stack else ("", 0)
             if name in _RAW:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
                 at = end.end() if end else len(source)
                 continue
             if m[3].rstrip().endswith("/") and name not in _BLOCK:
                 continue
-            stack.append((name, f"{path}/{named}" if name in _BLOCK else path, was or outside))
+            in_article = name in ("article", "main", "header") and any(x[0] == "article" for x in stack)
+            if name in ("article", "main") and was == _SOFT and not in_article:
+                was = _FREED
+            elif name == "header" and in_article and outside == _HARD:
+                outside = 0  # an article's own header holds its headline
+            stack.append((name, f"{path}/{named}" if name in _BLOCK else path, max(was, outside)))
     if at < len(source):
         parts.append(source[at:])
     flush()
-    return out
+    if any(how == _FREED for _, how, _ in out):
+        # what a doubtful name or a form holds counts where no article lies elsewhere and most text is there
+        free = not any(how == 0 and _within("article", path) for path, how, _ in out) and sum(len(t) for _, how, t in out if how == _FREED) >= sum(len(t) for _, how, t in out if how == 0)
+        out = [(path, 0 if free and how == _FREED else how, t) for path, how, t in out]
+    return [(path, how > 0, t) for path, how, t in out]
+
+
+def _within(tag: str, path: str) -> bool:
+    return re.search(rf"/{tag}(?:[./]|$)", path) is not None
 
 
-def _named(name: str, attributes: str) -> tuple[str, bool]:
-    """Element name with its class or id, and whether it is no main text."""
-    outside, mark = name in _OUT, ""
+def _named(name: str, attributes: str) -> tuple[str, int]:
+    """Element name with its class or id, and how it is no main text."""
+    outside, mark = _SOFT if name in ("form", "fieldset") else _HARD if name in _OUT else 0, ""
     if attributes and not attributes.isspace():
         for key, value in _ATTR.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key in ("class", "id"):
                 mark = mark or value.lower().split(" ")[0]
-                outside = outside or bool(_OUT_NAME.search(value)) and name not in ("body", "html", "article", "main")
-                if name == "article" and re.search(r"(?:^|[-_\s])comments?(?=$|[-_\s])", value, re.I):
-                    outside = True
+                if name not in ("body", "html", "article", "main") and _names_part(value) or name == "article" and re.search(r"(?:^|[-_\s])comments?(?=$|[-_\s])", value, re.I) and _names_part(value):
+                    outside = max(outside, _SOFT)
             elif key == "role":
-                outside = outside or value.lower() in _OUT_ROLE
+                outside = max(outside, _SOFT if value.lower() in _OUT_ROLE else 0)
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                outside = True
+                outside = _HIDDEN
     return (f"{name}.{mark}" if mark else name), outside
 
 
@@ -216,7 +254,7 @@ def main_text(page: str | None, wrapper: list[dict] | None) -> str:
                 fixed.add(starts[i])
     inside = [(i, path, text) for i, (path, outside, text) in enumerate(found) if not outside]
     for tag in ("article", "main"):
-        own = [x for x in inside if re.search(rf"/{tag}(?:[./]|$)", x[1])]
+        own = [x for x in inside if _within(tag, x[1])]
         if own:
             return "\n".join(text for i, _, text in own if i not in fixed)
     container = _container(wrapper or items)

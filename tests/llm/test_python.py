@@ -245,6 +245,19 @@ def test_blocks_and_repairs():
     assert html.main_text("<div>" * 3000 + "deep", None) == "deep"
 
 
+def test_articles_keep_their_text_whatever_holds_them():
+    article = "<article><h1>T</h1><p>one</p></article>"
+    for name in ("site has-sidebar", "no-sidebar", "has-footer", "header-fixed", "single-post no-comments", "post category-social", "widget", "page-with-sidebar"):
+        assert html.main_text(f"<body><nav>m</nav><div class='{name}'>{article}</div><footer>f</footer></body>", None) == "T\none", name
+    assert html.main_text(f"<body><form id=aspnetForm><div class=share>s</div>{article}</form></body>", None) == "T\none"
+    assert html.main_text("<article><div class='article-header'><h1>T</h1></div><header><p>by</p></header><p>one</p></article>", None) == "T\nby\none"
+    assert html.main_text(f"<body>{article}<div class=related><article><p>{'other ' * 9}</p></article></div></body>", None) == "T\none"
+    assert html.main_text(f"<body>{article}<div class='comments-area'><article class=comment><p>c</p></article></div><div style='display:none'>{article}</div></body>", None) == "T\none"
+    assert html.main_text("<article><p>a <math><mi>x</mi><mo>+</mo><annotation>q</annotation></math> b</p><object data=d><p>in place</p></object></article>", None) == "a x+ b\nin place"
+    for name in ("ad", "site-footer", "main-nav", "nav-links", "sidebar", "comments", "post-comments", "related-posts", "cookie-notice", "widget_area"):
+        assert html.main_text(f"<article><p>one</p><div class='{name}'>x</div></article>", None) == "one", name
+
+
 def test_wrapper_finds_template_text(spark):
     pages = [(i, "http://h.example/x", f"<body><div id=top>Same line</div><div id=c><h2>t{i}</h2>" + "".join(f"<p>body {i} {j}</p>" for j in range(1 + i % 4)) + ("<p class=note>n</p>" if i % 2 else "") + "</div></body>") for i in range(12)]
     rows = [*pages, (50, None, "<p>alone</p>"), (51, "http://h.example/y", None), (52, "http://h.example/z", "")]
