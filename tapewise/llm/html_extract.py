@@ -10,6 +10,7 @@ where a page has no article element, which container holds the content.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -24,11 +25,13 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tapewise.llm._common import materialize
 
-#: A text is the host's template where so many different pages have it at the same place and none has another.
+#: A text is the host's template where pages of so many different other texts have it at the same place and none has another.
 FIXED_PAGES = 8
 #: Wrappers of all hosts go with the code up to so many bytes; beyond, pages are joined to their host's.
 BROADCAST_BYTES = 16 << 20
 LONGEST_PERIOD = 4
+#: Code points of a block below which numbers and dates don't tell pages apart.
+SHORT = 80
 
 _BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -162,11 +165,40 @@ def _named(name: str, attributes: str) -> tuple[str, int]:
     return (f"{name}.{mark}" if mark else name), outside
 
 
+def _main(found: list[tuple[str, bool, str]]) -> list[tuple[int, str, str]]:
+    """(number, path, text) of the blocks of article, else main elements; else of all, but the outside ones."""
+    inside = [(i, path, text) for i, (path, outside, text) in enumerate(found) if not outside]
+    for tag in ("article", "main"):
+        own = [x for x in inside if _within(tag, x[1])]
+        if own:
+            return own
+    return inside
+
+
+_DATES = re.compile(r"\d+|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|mon|tue|wed|thu|fri|sat|sun)[a-z]*\b", re.I)
+
+
+def _mark(text: str) -> int:
+    """A hash of a block; of a short one, without numbers and names of days and
+    months, so that a date or counter makes no other page."""
+    text = _DATES.sub("", text) if len(text) < SHORT else text
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=6).digest())
+
+
+def _rests(p: dict, q: dict) -> list[int]:
+    """The least marks of both, ``FIXED_PAGES`` at most: enough to tell whether
+    there are so many different ones, whatever the order of merging."""
+    return sorted({*p["rest"], *q["rest"]})[:FIXED_PAGES]
+
+
 def stream(found: list[tuple[str, bool, str]]) -> list[dict]:
     """A page's tokens, with side-by-side repeats of up to four paths as one
     repeated group: ``p`` paths, ``rep``, ``opt``, ``text`` (None: a slot),
-    ``n`` pages, ``mass`` characters that may be content."""
+    ``rest`` marks of the main text of pages without this one, ``mass``
+    characters that may be content."""
     items: list[dict] = []
+    marks = {i: _mark(text) for i, _, text in _main(found)}
+    total = sum(marks.values())
     i = 0
     while i < len(found):
         best = (1, 1)
@@ -180,7 +212,7 @@ def stream(found: list[tuple[str, bool, str]]) -> list[dict]:
         period, times = best
         part = found[i : i + period * times]
         mass = sum(len(t) for _, outside, t in part if not outside)
-        items.append({"p": [b[0] for b in part[:period]], "rep": times > 1, "opt": False, "text": part[0][2] if period * times == 1 else None, "n": 1, "mass": mass})
+        items.append({"p": [b[0] for b in part[:period]], "rep": times > 1, "opt": False, "text": part[0][2] if period * times == 1 else None, "rest": [total - marks.get(i, 0)] if period * times == 1 else [], "mass": mass})
         i += period * times
     return items
 
@@ -222,7 +254,7 @@ def merge(a: list[dict], b: list[dict]) -> list[dict]:
         if x < len(a):
             p, q = a[x], b[y]
             same = p["text"] is not None and p["text"] == q["text"]
-            out.append({"p": p["p"], "rep": p["rep"] or q["rep"], "opt": p["opt"] or q["opt"], "text": p["text"] if same else None, "n": p["n"] + q["n"], "mass": p["mass"] + q["mass"]})
+            out.append({"p": p["p"], "rep": p["rep"] or q["rep"], "opt": p["opt"] or q["opt"], "text": p["text"] if same else None, "rest": _rests(p, q) if same else [], "mass": p["mass"] + q["mass"]})
         i, j = x + 1, y + 1
     return out
 
@@ -250,15 +282,12 @@ def main_text(page: str | None, wrapper: list[dict] | None) -> str:
             at += _length(x, found, at)
         for i, j in _pairs(items, wrapper):
             w = wrapper[j]
-            if w["text"] is not None and w["n"] >= FIXED_PAGES and items[i]["text"] == w["text"]:
+            if w["text"] is not None and len(w["rest"]) >= FIXED_PAGES and items[i]["text"] == w["text"]:
                 fixed.add(starts[i])
-    inside = [(i, path, text) for i, (path, outside, text) in enumerate(found) if not outside]
-    for tag in ("article", "main"):
-        own = [x for x in inside if _within(tag, x[1])]
-        if own:
-            return "\n".join(text for i, _, text in own if i not in fixed)
-    container = _container(wrapper or items)
-    own = [x for x in inside if x[1] == container or x[1].startswith(container + "/")] or inside
+    own = _main(found)
+    if not any(_within(tag, path) for tag in ("article", "main") for _, path, _ in own[:1]):
+        container = _container(wrapper or items)
+        own = [x for x in own if x[1] == container or x[1].startswith(container + "/")] or own
     return "\n".join(text for i, _, text in own if i not in fixed)
 
 

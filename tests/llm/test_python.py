@@ -267,6 +267,17 @@ def test_wrapper_finds_template_text(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_of_an_article_are_no_template(spark):
+    page = lambda i, text: f"<body><nav><a>m{i}</a></nav><article><h1>Title</h1><h4>By me, {1 + i} May 2020</h4><div>{text}</div><h5>Read on</h5></article></body>"
+    rows = [(i, "http://copies.example/x", page(i, "one lone paragraph")) for i in range(24)]
+    rows += [(100 + i, "http://news.example/x", page(i, f"paragraph of {chr(97 + i) * 9}")) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 12):
+        got = {r.page_id: r.text for r in html.extract(df.repartition(parts)).collect()}
+        assert all(got[i] == f"Title\nBy me, {1 + i} May 2020\none lone paragraph\nRead on" for i in range(24))
+        assert all(got[100 + i] == f"By me, {1 + i} May 2020\nparagraph of {chr(97 + i) * 9}" for i in range(12))
+
+
 def test_wrapper_is_union_free():
     a = html.stream(html.blocks("<ul><li>1<li>2</ul><p>x</p>"))
     b = html.stream(html.blocks("<h1>t</h1><ul><li>1</ul><p>y</p>"))
