@@ -1,10 +1,12 @@
 """Operator 9, toxicity by compression distance.
 
-Two zstandard dictionaries share a base of ordinary text. One goes on with what
-training made of toxic text, the other with more ordinary text. A window is one
-word between fixed guard bytes; what its compressed form gains from the toxic
-dictionary over the ordinary one is its distance. A document's distances, counted
-by size, go through a calibrated logistic threshold.
+Zstandard dictionaries come in pairs that share a base of ordinary text. One pair
+goes on with text trained on toxic documents or with more ordinary text, and
+scores windows of several words; the other goes on with words that recur in
+toxic documents and hardly in ordinary ones, and scores single words. What a
+window's compressed form gains from the toxic dictionary over the ordinary one is
+its distance. A document's distances, counted by size, go through a calibrated
+logistic threshold.
 """
 
 from __future__ import annotations
@@ -28,10 +30,14 @@ from tapewise.llm._common import documents
 MAX_ROWS = 2000
 MAX_CHARS = 40_000
 BASE_BYTES = 65_536
-TAIL_BYTES = 2_048
+TAIL_BYTES = 65_536
+MARK_BYTES = 16_384
+#: Words of a phrase window, and from one to the next: every run of five words lies in one.
+PHRASE, STRIDE = 8, 4
 LEVEL = 3
 _KEEP_WORDS = 300_000
-_STEPS = range(3, 8)
+_STEPS, _PHRASE_STEPS = range(1, 8), range(1, 13)
+_FEATURES = 2 * (len(_STEPS) + len(_PHRASE_STEPS))
 #: zstd looks for no match in its last bytes and stores very short inputs as they are: guards on both sides.
 _HEAD, _FOOT = bytes([1, 2, 3, 4, 5, 6, 7, 8, 1, 3, 5, 7, 2, 4, 6, 8]), bytes([9, 10, 11, 12, 14, 15, 16, 17, 18, 19])
 _SPLIT = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -57,54 +63,61 @@ def _trained(samples: list[bytes], size: int) -> bytes:
 
 @dataclass
 class Model:
-    """Two dictionaries and the calibrated weights; picklable."""
+    """Two pairs of dictionaries, toxic and plain of either, and the calibrated
+    weights; picklable."""
 
-    toxic: bytes
-    plain: bytes
+    phrases: tuple[bytes, bytes]
+    words: tuple[bytes, bytes]
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
 
     def __getstate__(self):
-        return self.toxic, self.plain, self.mean, self.scale, self.weights
+        return self.phrases, self.words, self.mean, self.scale, self.weights
 
     def __setstate__(self, state):
-        self.toxic, self.plain, self.mean, self.scale, self.weights = state
+        self.phrases, self.words, self.mean, self.scale, self.weights = state
 
     def _open(self) -> None:
-        def compressor(raw: bytes) -> zstandard.ZstdCompressor:
+        def compressor(raw: bytes):
             d = zstandard.ZstdCompressionDict(raw + _HEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
-            return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
-        self._toxic, self._plain, self._known = compressor(self.toxic).compress, compressor(self.plain).compress, {}
+        self._phrases, self._words = tuple(map(compressor, self.phrases)), tuple(map(compressor, self.words))
+        self._known: dict[bytes, int] = {}
 
-    def distance(self, word: bytes) -> int:
-        """Bytes that the toxic dictionary saves over the ordinary one."""
-        if not hasattr(self, "_known"):
-            self._open()
+    def distance(self, words: bytes) -> int:
+        """Bytes that the toxic dictionary saves over the ordinary one on a phrase."""
+        return self._saved(self._phrases, words)
+
+    def word_distance(self, word: bytes) -> int:
         got = self._known.get(word)
         if got is None:
-            window = _HEAD + b" " + word + b" " + _FOOT
-            got = len(self._plain(window)) - len(self._toxic(window))
+            got = self._saved(self._words, word)
             if len(self._known) >= _KEEP_WORDS:
                 self._known.clear()
             self._known[word] = got
         return got
 
+    def _saved(self, pair: tuple, words: bytes) -> int:
+        window = _HEAD + b" " + words + b" " + _FOOT
+        return len(pair[1](window)) - len(pair[0](window))
+
     def features(self, text: str | None) -> list[float]:
+        if not hasattr(self, "_known"):
+            self._open()
         found = _words(text)
-        at_least = [0] * len(_STEPS)
-        for word, n in Counter(found).items():
-            d = self.distance(word)
-            for i, k in enumerate(_STEPS):
-                if d < k:
-                    break
-                at_least[i] += n
-        return [*np.log1p(at_least), *(c / (len(found) + 20) for c in at_least)]
+        phrases = [self.distance(b" ".join(found[i : i + PHRASE])) for i in range(0, max(1, len(found) - PHRASE + STRIDE), STRIDE)] if found else []
+        out: list[float] = []
+        for steps, counts in ((_STEPS, Counter(map(self.word_distance, found))), (_PHRASE_STEPS, Counter(phrases))):
+            total = sum(counts.values()) + 20
+            at_least = [sum(n for d, n in counts.items() if d >= k) for k in steps]
+            out += [*np.log1p(at_least), *(c / total for c in at_least)]
+        return out
 
     def scores(self, texts: Iterable[str | None]) -> np.ndarray:
-        x = np.array([self.features(t) for t in texts], dtype=float).reshape(-1, 2 * len(_STEPS))
+        x = np.array([self.features(t) for t in texts], dtype=float).reshape(-1, _FEATURES)
         z = ((x - self.mean) / self.scale) @ self.weights[1:] + self.weights[0]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -124,34 +137,37 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _dictionaries(rows: list[tuple[str, int]]) -> tuple[bytes, bytes]:
-    """Toxic and ordinary dictionary contents from labelled texts.
+def _dictionaries(rows: list[tuple[str, int]]) -> tuple[tuple[bytes, bytes], tuple[bytes, bytes]]:
+    """Toxic and ordinary dictionary contents for phrases and for words.
 
-    The toxic sample is the words that recur in toxic documents and not in
+    Those for phrases are trained on whole texts of their label. Those for words
+    end in the words whose share of toxic documents is over 8 times that of
     ordinary ones; a word counts once for a group of near copies (documents with
     the same least word hash), so that copied text doesn't look like a mark."""
     seen: tuple[dict, dict] = (defaultdict(set), defaultdict(set))
     groups: tuple[set, set] = (set(), set())
-    plain = []
-    for text, y in rows:
+    pieces: tuple[list, list] = ([], [])
+    for text, y in dict.fromkeys(rows):
         found = _words(text)
         own = set(found)
         group = min((zlib.crc32(w) for w in own), default=0)
         groups[y].add(group)
         for w in own:
             seen[y][w].add(group)
-        if not y:
-            plain += [b" " + b" ".join(found[i : i + 8]) + b" " for i in range(0, len(found), 8)]
+        pieces[y].extend(b" " + b" ".join(found[i : i + PHRASE]) + b" " for i in range(0, len(found), PHRASE))
     n1, n0 = max(1, len(groups[1])), max(1, len(groups[0]))
-    least = max(3, 0.02 * n1)
-    marks = {w: len(s) for w, s in seen[1].items() if len(s) >= least and len(s) / n1 > 8 * (len(seen[0].get(w, ())) + 1) / n0}
-    toxic = [b" " + w + b" " for w, n in sorted(marks.items(), key=lambda p: (p[1], p[0])) for _ in range(n)]
-    plain.sort(key=zlib.crc32)
-    plain = plain[:80_000]
-    base = _trained(plain[::2], BASE_BYTES)
-    tail, other = _trained(toxic, TAIL_BYTES) if toxic else b"", _trained(plain[1::2], TAIL_BYTES) if plain else b""
-    size = max(len(tail), len(other))
-    return base + tail.rjust(size, b"\0"), base + other[-size:].rjust(size, b"\0")
+    marks = {w: len(s) for w, s in seen[1].items() if len(s) / n1 > 8 * (len(seen[0].get(w, ())) + 1) / n0}
+    plain, toxic = (sorted(p, key=zlib.crc32)[:80_000] for p in pieces)
+    base = _trained(plain[::2], BASE_BYTES) if plain else b""
+    other = _trained(plain[1::2], TAIL_BYTES) if plain else b""
+    text = _trained(toxic, TAIL_BYTES) if toxic else b""
+    listed = b" " + b" ".join(sorted(marks, key=lambda w: (marks[w], w)))[-MARK_BYTES:] + b" " if marks else b""
+
+    def pair(tail: bytes, size: int) -> tuple[bytes, bytes]:
+        size = max(len(tail), min(len(other), size))
+        return base + tail.rjust(size, b"\0"), base + other[len(other) - min(size, len(other)) :].rjust(size, b"\0")
+
+    return pair(text, TAIL_BYTES), pair(listed, len(listed))
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
@@ -161,7 +177,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     rows = sorted(rows, key=lambda r: zlib.crc32((r[0] or "").encode("utf-8", "replace")))
     half = lambda k: [r for r in rows if zlib.crc32((r[0] or "").encode("utf-8", "replace")) // 7 % 2 == k]
     x, y = [], []
-    zero = np.zeros(2 * len(_STEPS))
+    zero = np.zeros(_FEATURES)
     for k in (0, 1):
         m = Model(*_dictionaries(half(k)), zero, zero + 1, np.zeros(len(zero) + 1))
         for text, label in half(1 - k):

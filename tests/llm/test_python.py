@@ -316,6 +316,28 @@ def test_toxicity_held_out():
     assert (m.scores([None, ""]) < 0.5).all()
 
 
+def test_toxicity_of_phrases_and_of_short_or_rare_words():
+    rng = random.Random(21)
+    vocab = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4))) for _ in range(400)]
+    phrases = [[rng.choice(vocab) for _ in range(5)] for _ in range(4)]
+    rare = ["".join(rng.choice("jkqvwxz") for _ in range(rng.randrange(3, 6))) for _ in range(150)]
+
+    def rows(n, marks):
+        out = []
+        for i in range(n):
+            w = [rng.choice(vocab) for _ in range(rng.randrange(30, 80))]
+            for _ in range(2 * (i % 2)):
+                at = rng.randrange(len(w))
+                w[at:at] = rng.choice(marks)
+            out.append((" ".join(w), i % 2))
+        return out
+
+    for marks in (phrases, [["zqx"], ["vkj"], ["wqz"]], [[w] for w in rare]):
+        m, test = toxicity.fit(rows(1500, marks)), rows(300, marks)
+        s = m.scores(t for t, _ in test)
+        assert ((s >= 0.5) == np.array([y for _, y in test])).mean() > 0.62, marks[0]
+
+
 def test_toxicity_frames(spark):
     import pickle
 
