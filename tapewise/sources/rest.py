@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -30,17 +31,35 @@ def call(fetch: Callable[[], list[dict]], tries: int = 5, first_wait: float = 1.
 
 
 def pages(fetch: Callable[[int, int], list[dict]], start: int, end: int, page_rows: int, gap: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> Iterator[dict]:
-    """Rows of [start, end] by pages of at most ``page_rows``."""
+    """Rows of [start, end] by pages of at most ``page_rows``. A full page asks
+    again from its last time, which may go on there; where that brings nothing
+    new, from the next. Rows without a hash are told apart by their place among
+    the equal rows of a time."""
     seen: set[str] = set()
-    at = start
+    at, given = start, Counter()
     while at <= end:
         rows = call(lambda at=at: fetch(at, end), sleep=sleep)
-        fresh = [r for r in rows if r["hash"] not in seen]
+        here: Counter[str] = Counter()
+        fresh = []
+        for r in rows:
+            if r["hash"] is not None:
+                if r["hash"] not in seen:
+                    fresh.append(r)
+                continue
+            mark = json.dumps(r, sort_keys=True, default=str)
+            here[mark] += 1
+            if here[mark] > given[mark]:
+                fresh.append(r)
         yield from fresh
-        if len(rows) < page_rows or not fresh:
+        if len(rows) < page_rows:
             return
-        seen |= {r["hash"] for r in rows}
-        at = max(r["time"] for r in rows)
+        seen |= {r["hash"] for r in rows if r["hash"] is not None}
+        last = max(r["time"] for r in rows)
+        if last < at:
+            return
+        at = last if fresh else last + 1
+        # the page asked for next can only repeat rows of its first time
+        given = Counter({m: n for m, n in (given | here).items() if json.loads(m)["time"] >= at})
         if gap:
             sleep(gap)
 

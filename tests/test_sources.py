@@ -103,6 +103,18 @@ def test_pages_retry_and_drop_only_rows_of_earlier_pages():
         rest.call(lambda: (_ for _ in ()).throw(rest.Retryable()), tries=2, sleep=waits.append)
 
 
+def test_pages_pass_a_full_time_and_keep_rows_without_hash():
+    from tapewise.sources import rest
+
+    def paged(rows):
+        return [r["n"] for r in rest.pages(lambda start, end: [r for r in rows if start <= r["time"] <= end][:3], 0, 99, 3)]
+
+    row = lambda n, t, h: {"n": n, "time": t, "hash": h}
+    assert paged([row(0, 1, "a"), row(1, 5, "b"), row(2, 5, "c"), row(3, 5, "d"), row(4, 9, "e")]) == [0, 1, 2, 3, 4]
+    assert paged([row(0, 1, "a"), row(1, 1, "a"), row(2, 1, "a"), row(3, 2, "b")]) == [0, 1, 2, 3]
+    assert paged([row(i, i // 2, None) for i in range(11)]) == list(range(11))
+
+
 def test_posts_take_the_best_video(spark):
     from tapewise.sources import social
 
