@@ -23,7 +23,7 @@ def deduplicated(rows: DataFrame, delay: str = "1 hour") -> DataFrame:
 def consensus_windows(rows: DataFrame, window: str = "300 seconds", delay: str = "10 minutes") -> DataFrame:
     """Entries and traders a coin and direction in tumbling windows."""
     w = F.window("ts", window)
-    out = rows.withWatermark("ts", delay).groupBy(w, "coin", "direction").agg(F.approx_count_distinct("wallet").alias("wallets"), F.count("*").alias("entries"))
+    out = rows.withWatermark("ts", delay).groupBy(w, "coin", "direction").agg(F.size(F.collect_set("wallet")).cast("long").alias("wallets"), F.count("*").alias("entries"))
     return out.select(F.col("window.start").alias("start"), "coin", "direction", "wallets", "entries")
 
 

@@ -85,6 +85,15 @@ def test_stream_windows(spark, tmp_path):
     assert spark.table("w").selectExpr("sum(entries)").first()[0] == 20
 
 
+def test_stream_windows_count_wallets_exactly(spark, tmp_path):
+    spark.sql("SELECT timestamp_seconds(1700000100) AS ts, 'BTC' AS coin, 'long' AS direction, concat('w', id % 5000) AS wallet FROM range(10000)").write.parquet(str(tmp_path / "p"))
+    stream = spark.readStream.schema("ts timestamp, coin string, direction string, wallet string").parquet(str(tmp_path / "p"))
+    q = ingest.consensus_windows(stream).writeStream.outputMode("update").format("memory").queryName("exact").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [(r.wallets, r.entries) for r in spark.table("exact").collect()] == [(5000, 10000)]
+
+
 def test_pages_retry_and_drop_only_rows_of_earlier_pages():
     from tapewise.sources import rest
 
