@@ -26,12 +26,41 @@ def sketch(text: Column, k: int = SHINGLE, scale: int = SCALE) -> Column:
     return F.element_at(F.transform(F.array(ws), lambda w: _kept(w, k, scale)), 1)
 
 
+def whole_sketch(text: Column, k: int = SHINGLE, scale: int = SCALE) -> Column:
+    """``sketch``, or the least hash alone where no hash is below the limit, so
+    that only a text without words has an empty one. The least hash of a union
+    is the least of its parts', so sketches can still be merged: a hash above the
+    limit goes where the union has one below it, see ``merge_whole``."""
+    ws = words(text)
+    return F.element_at(F.transform(F.array(ws), lambda w: _least(_hashes(w, k), scale)), 1)
+
+
+def _below(hashes: Column, scale: int) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < _SPACE // scale)))
+
+
+def _least(hashes: Column, scale: int) -> Column:
+    def chosen(hs: Column) -> Column:
+        low = F.filter(hs, lambda h: h < _SPACE // scale)
+        return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).otherwise(F.slice(F.array_sort(hs), 1, 1))
+
+    return F.element_at(F.transform(F.array(hashes), chosen), 1)
+
+
+def merge_whole(sketches: Column, scale: int = SCALE) -> Column:
+    """Whole sketch of the union of an array of whole sketches."""
+    return _least(F.flatten(sketches), scale)
+
+
 def _kept(ws: Column, k: int, scale: int) -> Column:
+    return _below(_hashes(ws, k), scale)
+
+
+def _hashes(ws: Column, k: int) -> Column:
     n = F.size(ws)
     length = F.least(n, F.lit(k))
     starts = F.when(n > 0, F.sequence(F.lit(1), n - length + 1)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(ws, i, length)).bitwiseAND(F.lit(_SPACE - 1)))
-    return F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < _SPACE // scale)))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(ws, i, length)).bitwiseAND(F.lit(_SPACE - 1)))
 
 
 def common(a: Column, b: Column) -> Column:
@@ -108,7 +137,18 @@ def op3_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     rows = with_next(docs, "doc_id", "text").withColumn("edited", F.concat(F.left("text", n - half), F.left("next_text", half)))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("new"), sketch(F.col("next_text")).alias("next"))
-    near = {"near_edited": jaccard(F.col("own"), F.col("new")), "near_next": jaccard(F.col("own"), F.col("next"))}
-    more = {"contained_edited": containment(F.col("own"), F.col("new")), "contained_next": containment(F.col("own"), F.col("next"))}
-    return rows.select("doc_id", "n_chars", "edited_sha256", hexed(F.col("own")).alias("fingerprint"), hexed(F.col("new")).alias("edited_fingerprint"), *(v.alias(k) for k, v in {**near, **more}.items()))
+    return likeness(rows)
+
+
+def likeness(rows: DataFrame) -> DataFrame:
+    """Sketches and estimates of rows with ``text``, ``edited`` and ``next_text``.
+
+    Equal texts have likeness 1 whatever their sketches hold."""
+    sketches = {"own": whole_sketch(F.col("text")), "new": whole_sketch(F.col("edited")), "next": whole_sketch(F.col("next_text"))}
+    same = {f"same_{k}": F.col("text") == F.col(v) for k, v in (("new", "edited"), ("next", "next_text"))}
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *(v.alias(k) for k, v in {**sketches, **same}.items()))
+    found = {}
+    for name, measure in (("near", jaccard), ("contained", containment)):
+        for of, other in (("edited", "new"), ("next", "next")):
+            found[f"{name}_{of}"] = F.when(F.col(f"same_{other}"), F.lit(1.0)).otherwise(measure(F.col("own"), F.col(other)))
+    return rows.select("doc_id", "n_chars", "edited_sha256", hexed(F.col("own")).alias("fingerprint"), hexed(F.col("new")).alias("edited_fingerprint"), *(v.alias(k) for k, v in found.items()))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tapewise.llm.decontaminate import contamination
-from tapewise.llm.fingerprint import containment, hexed, jaccard, merge, sketch, with_next
+from tapewise.llm.fingerprint import containment, hexed, jaccard, likeness, merge, merge_whole, sketch, whole_sketch, with_next
 from tapewise.llm.line_dedup import dedup_lines
 from tapewise.llm.sharding import jump_shard, shard_rows
 
@@ -142,6 +142,22 @@ def test_likeness_and_merge(spark):
     assert (r.j, r.c, r.z, r.e, r.m) == (5 / 20, 0.5, 0.0, 0.0, list(range(20)))
 
 
+def test_short_texts_have_a_fingerprint(spark):
+    texts = [f"short text number {i}" for i in range(20)] + ["one two three four five six seven", "", "é"]
+    rows = [(i, t, t, t if i % 2 else "quite another text here") for i, t in enumerate(texts)]
+    got = likeness(spark.createDataFrame(rows, SCHEMA + ", edited string, next_text string")).collect()
+    prints = {r.fingerprint for r in got}
+    assert len(prints) == len(texts) and sum(p == "" for p in prints) == 1
+    for r, (_, t, _, after) in zip(sorted(got), rows, strict=True):
+        assert r.near_edited == r.contained_edited == 1.0 and r.near_next == r.contained_next == float(t == after)
+        every = sorted(kept(t, scale=1))
+        assert r.fingerprint == "".join(f"{x:08x}" for x in sorted(kept(t)) or every[:1])
+    parts = [whole_sketch(F.lit(t)) for t in texts]
+    r = spark.range(1).select(merge_whole(F.array(*parts)).alias("m"), F.array(*parts).alias("p")).first()
+    every = {h for p in r.p for h in p}
+    assert r.m == sorted(h for h in every if h < (1 << 30))
+
+
 @pytest.mark.parametrize("span", [1, 3, 1000])
 def test_next_document(spark, span):
     rng = random.Random(2)
