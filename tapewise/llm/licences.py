@@ -22,23 +22,34 @@ from tapewise.llm._common import documents
 # The base phrases of the contract and their labels.
 BASE = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
 
+_AS_IS = "the software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. in no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_2 = " [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_END = " this software is provided by <<1-8>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<1-8>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+#: Endings of the labels of templates that are less than a licence or its notice: accepted, but not certain.
+PARTS = ("-opening", "-name")
+
 # Notices of public licences. [[ ]] is optional, <<a-b>> replaceable.
 TEMPLATES = [
     ("mit", "[[this work is]] [[this software is]] [[code is]] released under the [[terms of the]] MIT license"),
     ("mit", "licensed under the [[terms of the]] MIT license"),
-    ("mit", "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files [[(the Software)]] to deal in the software without restriction"),
+    ("mit", "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions: the above copyright notice and this permission notice [[(including the next paragraph)]] shall be included in all copies or substantial portions of the software. " + _AS_IS),
+    ("mit-opening", "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files [[(the Software)]] to deal in the software without restriction"),
     ("apache-2.0", "licensed under the Apache License [[,]] Version 2.0 [[(the License)]]"),
     ("apache-2.0", "released under the Apache License [[,]] Version 2.0"),
     ("gpl-3.0", "[[this work is]] [[this program is]] licensed under the GNU general public license [[,]] [[as published by the free software foundation, either]] version 3 [[of the license]]"),
     ("gpl-2.0", "[[this work is]] [[this program is]] licensed under the GNU general public license [[,]] [[as published by the free software foundation, either]] version 2 [[of the license]]"),
     ("gpl-any", "free software you can redistribute it and or modify it under the terms of the GNU general public license as published by the free software foundation either version <<1-2>> of the license or at your option any later version"),
-    ("lgpl", "GNU lesser general public license"),
-    ("agpl", "GNU affero general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("lgpl-name", "GNU lesser general public license"),
+    ("agpl-name", "GNU affero general public license"),
+    ("bsd-2-clause", _BSD + _BSD_2 + _BSD_END),
+    ("bsd-3-clause", _BSD + _BSD_2 + " [[3]] neither the name of <<1-12>> nor the names of [[its]] [[their]] [[<<0-8>>]] contributors may be used to endorse or promote products derived from this software without specific prior written permission" + _BSD_END),
+    ("bsd-opening", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd", "[[licensed]] [[released]] under the [[<<1-2>> clause]] BSD license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<1-8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<1-8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("isc-opening", "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted"),
     ("mpl-2.0", "this source code form is subject to the terms of the Mozilla public license [[,]] v 2.0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense-opening", "this is free and unencumbered software released into the public domain"),
     ("cc0", "CC0 1.0 [[universal]]"),
     ("cc-by-nc", "[[this work is]] licensed under [[a]] [[the]] CC BY NC [[<<0-1>>]] 4.0"),
     ("cc-by-sa", "[[this work is]] licensed under [[a]] [[the]] CC BY SA [[<<0-1>>]] 4.0"),
@@ -169,8 +180,8 @@ class Scanner:
                 if (end := auto.match(words, i)) is not None:
                     own.add(auto.label)
                     covered = max(covered, end - i)
-        # an accepted template is certain; a bare phrase is a hint
-        score = 1.0 if own else 0.5 if base else 0.0
+        # an accepted licence or notice is certain, an opening or a name less; a bare phrase is a hint
+        score = 1.0 if any(not x.endswith(PARTS) for x in own) else 0.75 if own else 0.5 if base else 0.0
         ends = (min(starts), max(starts)) if starts else (None, None)
         return n, len(starts), *ends, ",".join(sorted(base)), ",".join(sorted(base | own)), score
 
@@ -181,7 +192,8 @@ RESULT = "n_words long, n_base long, first_word long, last_word long, base_label
 def scan(docs: DataFrame, doc: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(doc, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
-    ``score`` is 1 where a template accepts, 0.5 where only a base phrase
+    ``score`` is 1 where a whole licence or notice is accepted, 0.75 where only the
+    opening or the name of one is, 0.5 where only a base phrase
     stands, else 0. Whole texts are scanned; null and empty texts have no words
     and no labels. Rows are independent: repeated rows get equal results, an
     empty table gives none."""

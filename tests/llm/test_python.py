@@ -225,6 +225,23 @@ def test_scan(spark):
     assert scan(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_only_whole_licences_are_certain():
+    from tapewise.llm import licences
+
+    s = Scanner()
+    whole = dict(x for x in licences.TEMPLATES if x[0] in ("isc", "bsd-2-clause", "bsd-3-clause"))
+    whole["mit"] = next(t for label, t in licences.TEMPLATES if label == "mit" and "granted" in t)
+    for label, template in whole.items():
+        text = re.sub(r"<<[^>]*>>", "Some Body", re.sub(r"\[\[(?:[^\[\]]|\[\[.*?\]\])*?\]\]", " ", template)) if label != "bsd-3-clause" else re.sub(r"<<[^>]*>>", "Some Body", template.replace("[[<<0-8>>]]", "").replace("[[their]]", "").replace("[[", "").replace("]]", ""))
+        *_, labels, score = s.scan("Copyright X\n" + text)
+        assert label in labels.split(",") and score == 1.0, label
+        words = text.split()
+        for changed in (words[: len(words) * 2 // 3], [*words[:50], "non", "commercial", *words[50:]]):
+            *_, labels, score = s.scan(" ".join(changed))
+            assert label not in labels.split(",") and f"{label.split('-')[0]}-opening" in labels.split(",") and score == 0.75, label
+    assert s.scan("see the GNU Lesser General Public License")[5:] == ("gpl,lgpl-name", 0.75)
+
+
 def test_scan_counts_like_a_pattern():
     rng, s = random.Random(2), Scanner()
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
