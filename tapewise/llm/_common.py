@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -15,14 +16,18 @@ from pyspark.sql import functions as F
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Separators of the ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` word rule.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_SCRATCH: list[str] = []
+#: Paths in use, with what deletes them even after the session is stopped.
+_SCRATCH: dict[str, tuple] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``, or a
-    fresh temporary one where the session sets none (local tests)."""
+    fresh temporary one where a local session sets none (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master or ""):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tapewise-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -31,32 +36,47 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; removed when the driver ends."""
     path = f"{shared_dir(spark)}/tapewise-{label}-{uuid.uuid4().hex}"
-    _SCRATCH.append(path)
+    _SCRATCH[path] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
     return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder, reread it.
 
-    A lost executor costs only tasks that read this table again."""
+    A lost executor costs only tasks that read this table again. The shuffle
+    files behind the table go when it is written."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialize``, once nothing reads them any more."""
+    for df in tables:
+        _delete(df._scratch)
+
+
+def _delete(path: str) -> None:
+    jvm, conf = _SCRATCH.pop(path)
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
 
 
 @atexit.register
 def _clean() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return
-    jvm = spark.sparkContext._jvm
-    if jvm is None:
-        return
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _SCRATCH:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+    for path in list(_SCRATCH):
+        try:
+            _delete(path)
+        except Exception:  # noqa: BLE001, S112  the JVM may be gone at exit; its folder is the cluster's to clear
+            continue
 
 
 def ascii_lower(col: Column) -> Column:

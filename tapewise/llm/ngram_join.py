@@ -1,31 +1,41 @@
 """Operator 8, n-gram Jaccard join by parity sketches.
 
-A document's shingle hashes are XORed into a sketch of words. Two sketches
-differ in no more words than the documents differ in shingles, so with d allowed
-differences and more than d words some words agree (pigeonhole). Documents of a
-size band that agree in a word are candidates; candidates are verified on their
-whole shingle sets.
+A document's shingle hashes are XORed into a bit sketch of 64-bit words. A
+shingle changes one word, so two sketches differ in no more words than the
+documents differ in shingles, and with d allowed differences and more than d
+words some words agree (pigeonhole). Documents of a size band that agree in a
+word are candidates; single-bit parity sketches prune them by their Hamming
+distance, and whole shingle sets decide.
+
+Links are gathered as forests: a set is compared with a leader, then only with
+sets of other components, and of the candidates between two components one is
+verified at a time. So copies are never expanded into pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewise.llm._common import documents, materialize
+from tapewise.llm._common import documents, materialize, release
 from tapewise.llm.graph import components
 
 #: Growth of the size bands.
-BAND = 1.5
-#: Sketch words above the needed d + 1, as a share of it: so many may be left out, those with the fewest shingles first.
-SPARE = 0.6
-#: Bits of a parity sketch.
-BITS = 4096
+BAND = 2.0
+#: Sketch words above the needed d + 1, as a share of it; a set's words of most shingles become its keys.
+SPARE = 0.3
+#: Bits of a parity sketch for each shingle, and the bounds of a sketch (powers of two).
+BITS_EACH, BITS_LEAST, BITS_MOST = 8, 1024, 32_768
+#: A key found so often among one in SAMPLE sets, and in over one in HOT_SHARE of their keys, is dealt to tasks in parts of
+#: about PART sets. This balances load alone; what is compared doesn't depend on it.
+SAMPLE, HOT_LEAST, HOT_SHARE, PART = 16, 48, 4096, 1024
+#: Ids of so many sets are broadcast to pick their texts; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _CHUNK = 1 << 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _WORD = np.array([not (b == 0x20 or 9 <= b <= 13) for b in range(256)])
@@ -93,8 +103,8 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 
 
 @cache
-def bands(num: int, den: int, most: int = 1 << 33) -> list[tuple[int, int, int, int]]:
-    """(least size, end, differences allowed, sketch words) of each band.
+def bands(num: int, den: int, most: int = 1 << 33) -> list[tuple[int, int, int]]:
+    """(least size, end, sketch words) of each band.
 
     Sets of up to ``end - 1`` elements with Jaccard of at least num / den differ
     in at most 2 (end - 1)(den - num) / (den + num) elements."""
@@ -102,36 +112,36 @@ def bands(num: int, den: int, most: int = 1 << 33) -> list[tuple[int, int, int,
     while lo < most:
         end = max(lo + 1, int(lo * BAND))
         d = 2 * (end - 1) * (den - num) // (den + num)
-        out.append((lo, end, d, d + 1 + int(SPARE * (d + 1))))
+        out.append((lo, end, d + 1 + int(SPARE * (d + 1)) if d else 0))
         lo = end
     return out
 
 
 def sketch_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """Join keys of a set: band, word number and word, for its own band and for
-    the next one where a partner may be.
+    the next one where a larger partner may be.
 
-    Of the m words of a sketch at most d differ from a partner's, so up to
-    m - d - 1 may be left out by a rule on their contents: those of the fewest
-    shingles, whole counts at a time. Both partners leave out the same of the
-    words they share, up to the lower limit, so one shared word is left."""
+    A partner in the band has at most ``big`` elements, so at most d words
+    differ. Words are ordered by how many shingles they hold, then by a hash of
+    what they hold, alike in both sets: of the words that agree, the first is
+    preceded by differing ones only, so it is among the first d + 1 of either."""
     n, out = len(s), []
-    for i, (lo, end, d, m) in enumerate(bands(num, den)):
+    for i, (lo, end, m) in enumerate(bands(num, den)):
         if lo * num > n * den:
             break
-        if end <= n or d == 0:  # with no difference allowed, equal sets are all
+        if end <= n or not m:  # with no difference allowed, equal sets are all
             continue
+        big = min(end - 1, n * den // num)
+        d = (n + big) * (den - num) // (den + num)
         with np.errstate(over="ignore"):
-            where = _mix(s + np.uint64(i)) % np.uint64(m)
-            held = np.bincount(where.astype(np.int64), minlength=m)
+            where = (_mix(s + np.uint64(i)) % np.uint64(m)).astype(np.int64)
+            held = np.bincount(where, minlength=m)
             order = np.argsort(where, kind="stable")
             words = np.zeros(m, dtype=np.uint64)
             full = np.flatnonzero(held)
             words[full] = np.bitwise_xor.reduceat(_mix(s[order] ^ _M3), (np.cumsum(held) - held)[full])
-            skipped = np.cumsum(np.bincount(held))
-            limit = int(np.searchsorted(skipped, m - d - 1, side="right"))  # counts below it may go
-            keep = np.flatnonzero(held >= limit)
-            out.append(_mix(words[keep] + _mix(keep.astype(np.uint64) * _M1 + np.uint64(i))))
+            keys = _mix(words + _mix(np.arange(m, dtype=np.uint64) * _M1 + np.uint64(i)))
+        out.append(keys[np.lexsort((keys, -held))[: d + 1]])
     return np.concatenate(out).view(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
@@ -143,38 +153,38 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 
 def _sketched(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc, n, node, check, keys, text): ``node`` and ``check`` identify the
-    set; keys and text come with the first document of a set in each task."""
+    """(doc, n, h1, h2, keys, text): 128 bits identify the set; keys and text
+    come with the first document of a set in each task."""
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            size, node, check, keys, texts = [], [], [], [], []
+            size, marks, keys, texts = [], [], [], []
             for t in batch.column(1):
-                s = shingle_set(t.as_py(), k)
+                text = t.as_py()
+                s = shingle_set(text, k)
                 with np.errstate(over="ignore"):
-                    mark = int(_mix(s ^ _M2).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0
-                    second = int(_mix(s ^ _M3).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0
+                    mark = tuple(int(_mix(s ^ m).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for m in (_M2, _M3))
                 first = len(s) > 0 and mark not in seen
                 if first:
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(mark)
                 size.append(len(s))
-                node.append(mark)
-                check.append(second)
+                marks.append(mark)
                 keys.append(sketch_keys(s, num, den) if first else None)
-                texts.append(t.as_py() if first else None)
-            cols = [batch.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc", "n", "node", "check", "keys", "text"])
+                texts.append(text if first else None)
+            cols = [batch.column(0), pa.array(size, pa.int64()), *(pa.array([m[i] for m in marks], pa.int64()) for i in (0, 1)), pa.array(keys, pa.list_(pa.int64())), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc", "n", "h1", "h2", "keys", "text"])
 
-    return docs.mapInArrow(run, f"doc {kind}, n long, node long, check long, keys array<long>, text string")
+    return docs.mapInArrow(run, f"doc {kind}, n long, h1 long, h2 long, keys array<long>, text string")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
-    """Columns of each key's rows, from batches sorted by the first column;
-    a key of one row is passed over."""
+def _runs(batches: Iterator[pa.RecordBatch], width: int, parted: bool = False) -> Iterator[list[np.ndarray]]:
+    """Columns of each block's rows, from batches sorted by the first column. A
+    block of one row is passed over, unless ``parted`` and it is a part of the
+    key in the second column."""
     rest: list[np.ndarray] | None = None
     for batch in batches:
         cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)]
@@ -185,17 +195,32 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.nda
         cuts = np.flatnonzero(np.diff(cols[0])) + 1
         last = cuts[-1] if len(cuts) else 0
         edges = np.concatenate(([0], cuts)) if len(cuts) else np.array([0])
-        for j in np.flatnonzero(np.diff(edges) > 1):
+        wanted = np.diff(edges) > 1
+        if parted:
+            wanted |= (cols[0] != cols[1])[edges[:-1]]
+        for j in np.flatnonzero(wanted):
             yield [c[edges[j] : edges[j + 1]] for c in cols]
         rest = [c[last:] for c in cols]
-    if rest is not None and len(rest[0]) > 1:
+    if rest is not None and (len(rest[0]) > 1 or parted and rest[0][0] != rest[1][0]):
         yield rest
 
 
-def _stars(keys: DataFrame, num: int, den: int) -> DataFrame:
+def _dealt(sets: DataFrame) -> DataFrame:
+    """(block, key, n, node) of all keys. The block is what one task compares:
+    the key, or a part of the sets of a key that is found very often."""
+    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("rows"))
+    least = max(HOT_LEAST, (some.agg(F.sum("rows")).first()[0] or 0) // HOT_SHARE)
+    # HOT_SHARE rows at most, as each holds over so large a share
+    hot = F.broadcast(some.where(F.col("rows") > least).select("key", F.ceil(F.col("rows") * SAMPLE / PART).cast("long").alias("parts")))
+    part = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("parts")))
+    keys = sets.select("node", "n", F.explode("keys").alias("key")).join(hot, "key", "left")
+    return keys.select(F.when(F.col("parts") > 1, part).otherwise(F.col("key")).alias("block"), "key", "n", "node")
+
+
+def _stars(blocks: DataFrame, num: int, den: int) -> DataFrame:
     """(key, node, n, lead) of all keys that several sets share: each set with
-    the least one before it that is not too small. Linear in the rows."""
-    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    the least one before it in its block that is not too small. Linear in the rows."""
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list[np.ndarray]] = []
@@ -205,11 +230,7 @@ def _stars(keys: DataFrame, num: int, den: int) -> DataFrame:
             cols = [pa.array(np.concatenate([o[i] for o in out]), pa.int64()) for i in range(4)]
             return pa.RecordBatch.from_arrays(cols, names=["key", "node", "n", "lead"])
 
-        for key, n, node in _runs(batches, 3):
-            new = np.concatenate(([True], node[1:] != node[:-1]))
-            key, n, node = key[new], n[new], node[new]
-            if len(node) < 2:
-                continue
+        for _, key, n, node in _runs(batches, 4, parted=True):
             lead, a = np.empty_like(node), 0
             while a < len(node):
                 b = int(np.searchsorted(n, n[a] * den // num, side="right"))
@@ -223,49 +244,72 @@ def _stars(keys: DataFrame, num: int, den: int) -> DataFrame:
         if out:
             yield flush()
 
-    dealt = keys.repartition(parts, "key").sortWithinPartitions("key", "n", "node").select("key", "n", "node")
-    return dealt.mapInArrow(run, "key long, node long, n long, lead long")
+    return blocks.repartition(parts, "block").sortWithinPartitions("block", "n", "node").mapInArrow(run, "key long, node long, n long, lead long")
 
 
 def parity_bits(s: np.ndarray) -> bytes:
-    """A set's parity sketch: each shingle flips one of ``BITS`` bits. Two
-    sketches differ in no more bits than their sets differ in shingles."""
+    """A set's parity sketch: each shingle flips one bit. Two sketches of one
+    size differ in no more bits than their sets differ in shingles; the halves
+    of a sketch XORed are the sketch of half the size."""
+    size = min(max(BITS_LEAST, 1 << (BITS_EACH * len(s) - 1).bit_length()), BITS_MOST)
     with np.errstate(over="ignore"):
-        at = (_mix(s + _M1) % np.uint64(BITS)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+        at = (_mix(s + _M1) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Parity sketches as rows of 64-bit words, all of the least size among them."""
+    least = min(map(len, sketches))
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(b, dtype=np.uint64).reshape(-1, least // 8), axis=0) for b in sketches])
 
 
 def _bits(texts: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = [parity_bits(shingle_set(t.as_py(), k)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["node", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["id", "bits"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, bits binary")
+    return texts.select("id", "text").mapInArrow(run, "id long, bits binary")
 
 
-def _cross(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): sets of one key that aren't in one component and that their
-    sizes and parity sketches allow to link. A pair that isn't allowed is never
-    written."""
+def candidates(n: np.ndarray, comp: np.ndarray, sketch: np.ndarray, num: int, den: int, forest: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js): sets of one block, ascending by size ``n``, that lie in different
+    components and that sizes and parity sketches allow to link. For a
+    ``forest``, components with a candidate between them count as one from
+    there on, so there are fewer pairs than sets."""
+    ends, comp = np.searchsorted(n, n * den // num, side="right"), comp.copy()
+    for i in range(len(n)):
+        near = np.arange(i + 1, ends[i])
+        near = near[comp[near] != comp[i]]
+        if not len(near):
+            continue
+        found = []
+        for at in range(0, len(near), 4096):
+            js = near[at : at + 4096]
+            apart = np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            found.append(js[apart * (den + num) <= (n[js] + n[i]) * (den - num)])
+        js = np.concatenate(found)
+        if forest and len(js):
+            labels, first = np.unique(comp[js], return_index=True)
+            js = js[first]
+            comp[np.isin(comp, labels)] = comp[i]
+        if len(js):
+            yield i, js
+
+
+def _cross(rows: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """(a, b): ``candidates`` of all blocks; a pair that isn't one is never written."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, n, node, comp, bits in _runs(batches, 5):
-            ends = np.searchsorted(n, n * den // num, side="right")
-            sketch = np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(len(node), -1)
-            for i in range(len(node)):
-                near = np.arange(i + 1, ends[i])
-                near = near[comp[near] != comp[i]]
-                for at in range(0, len(near), 4096):
-                    js = near[at : at + 4096]
-                    apart = np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-                    other = node[js[apart * (den + num) <= (n[js] + n[i]) * (den - num)]]
-                    if len(other):
-                        a = np.full(len(other), node[i])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, other)), pa.array(np.maximum(a, other))], names=["a", "b"])
-
-    dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "n", "node").select("key", "n", "node", "comp", "bits")
+            new = np.concatenate(([True], node[1:] != node[:-1]))
+            n, node, comp = n[new], node[new], comp[new]
+            for i, js in candidates(n, comp, _folded(list(bits[new])), num, den, forest):
+                a, other = np.full(len(js), node[i]), node[js]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, other)), pa.array(np.maximum(a, other))], names=["a", "b"])
+
+    dealt = rows.repartition(parts, "block").sortWithinPartitions("block", "n", "id").select("block", "n", "id", "comp", "bits")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -286,8 +330,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
             keep = [i for i in range(batch.num_rows) if linked(held(batch.column(0)[i].as_py(), batch.column(2)[i]), held(batch.column(1)[i].as_py(), batch.column(3)[i]), num, den)]
             yield pa.RecordBatch.from_arrays([batch.column(j).take(pa.array(keep, pa.int64())) for j in (0, 1)], names=["a", "b"])
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -298,55 +342,102 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def _open(shared: DataFrame, ids: DataFrame, comp: DataFrame) -> DataFrame:
+    """(block, n, id, comp) of the keys whose sets lie in several components. A
+    key of very many sets is cut into parts, a block for each two of them, so
+    that any two sets meet in a block and no task holds the whole key."""
+    place = ids.join(comp, ids.id == comp.node, "left").select(ids.node, "id", F.coalesce("comp", "id").alias("comp"))
+    placed = shared.select("key", "node", "n").join(place, "node").select("key", "n", "id", "comp")
+    several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo <> hi AND rows > 1")
+    rows = placed.join(several.select("key", F.ceil(F.col("rows") / PART).alias("parts")), "key")
+    own = F.pmod(F.xxhash64("id"), F.col("parts"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: x != F.col("part"))
+    meets = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(others)
+    rows = rows.withColumn("part", own).withColumn("other", F.explode(meets))
+    return rows.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "n", "id", "comp")
+
+
+def _texts(sets: DataFrame, ids: DataFrame, shared: DataFrame) -> DataFrame:
+    """(id, text) of the sets that share a key."""
+    held = materialize(ids.join(shared.select("node").distinct(), "node").select("id").distinct(), "held")
+    known = F.broadcast(held) if held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else held
+    texts = materialize(sets.where(F.col("text").isNotNull()).select(F.col("node").alias("id"), "text").join(known, "id", "left_semi"), "texts")
+    release(held)
+    return texts
+
+
+def _links(sets: DataFrame, ids: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(node, comp): components of all sets that link. See ``jaccard_groups``."""
+    shared = materialize(_stars(_dealt(sets.where(F.col("keys").isNotNull())), num, den), "stars")
+    texts = _texts(sets, ids, shared)
+    of = lambda x, name: ids.select(F.col("node").alias(x), F.col("id").alias(name))
+    edges = shared.where("node <> lead").select("lead", "node").distinct().join(of("lead", "a"), "lead").join(of("node", "b"), "node")
+    edges = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # one leader for each set first; of its other leaders only those of another component
+    tested = [materialize(ordered(edges.groupBy("b").agg(F.min("a").alias("a"))).distinct(), "leaders")]
+    links = [materialize(_verified(tested[0], texts, k, num, den), "links")]
+    every = lambda tables: reduce(DataFrame.unionByName, tables)
+    comp = components(links[0])
+    # then forests of candidates between components, at last all that are left
+    for step in ("leaders", "forest", "forest", "all"):
+        if step == "leaders":
+            pairs = _apart(ordered(edges).distinct(), comp)
+            used = []
+        else:
+            rows = materialize(_open(shared, ids, comp), "open")
+            bits = materialize(_bits(texts.join(rows.select("id").distinct(), "id", "left_semi"), k), "bits")
+            used = [rows, bits]
+            pairs = _cross(rows.join(bits, "id"), num, den, step == "forest").distinct()
+        pairs = materialize(pairs.join(every(tested), ["a", "b"], "left_anti"), "pairs")
+        new = materialize(_verified(pairs, texts, k, num, den), "links")
+        release(*used)
+        tested.append(pairs)
+        if not new.isEmpty():
+            links.append(new)
+            release(comp)
+            comp = components(every(links))
+    release(shared, texts, edges, *tested, *links)
+    return comp
+
+
 def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc, n_shingles, component_id) for every row of ``docs``.
 
     Two documents link if den * |intersection| >= num * |union| of their sets of
     ``k``-word shingles; ``component_id`` is the least id reachable by links, its
-    own included. Documents of equal sets are one node from the start. Each
-    node is compared with one leader, then with the leaders of its other shared
-    keys; after that only pairs of different components that share a key are compared, so that copies are not
-    expanded into pairs and no link between different texts is lost.
+    own included. Documents of equal sets are one node from the start: the rows
+    of a set are numbered by the first of them, so numbers never clash.
+
+    Each node is compared with one leader, then with the leaders of its other
+    shared keys. After that only sets of different components that share a key
+    are compared, by their parity sketches; two rounds verify a forest of the
+    candidates, the last one all that are left, so that no link between
+    different texts is lost. Very near sets that don't link have to be compared
+    pair by pair in any case, but only pairs that sketches can't tell from links
+    are written.
 
     Null and blank texts have no shingles and link with nothing. Repeated rows
     get equal results. A null id counts as greater than any other; a group of
     null ids alone has a null component. An empty table gives no rows.
     """
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    sets = materialize(_sketched(rows, k, num, den), "sets")
-    clash = sets.groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b"), F.min("n").alias("c"), F.max("n").alias("d")).where("a <> b OR c <> d")
-    if not clash.isEmpty():
-        raise RuntimeError("two sets have the same 64-bit sum")
-    keys = sets.where(F.col("keys").isNotNull()).select("node", "n", F.explode("keys").alias("key"))
-    stars = materialize(_stars(keys, num, den), "stars")
-    edges = stars.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    held = stars.select("node").distinct()
-    texts = materialize(sets.where(F.col("text").isNotNull()).join(held, "node", "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
-    # one leader for each set first; of its other leaders only those of another component
-    once = materialize(edges.groupBy("b").agg(F.min("a").alias("a")), "leaders")
-    links = materialize(_verified(once, texts, k, num, den), "links")
-    first = components(links)
-    rest = materialize(_apart(edges.distinct(), first).join(once, ["a", "b"], "left_anti"), "leaders")
-    links = materialize(links.unionByName(_verified(rest, texts, k, num, den)), "links")
-    first = components(links)
-    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tested = ordered(once).unionByName(ordered(rest))
-    placed = stars.join(first, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo <> hi AND rows > 2").select("key")
-    left = materialize(placed.join(open_keys, "key", "left_semi"), "open")
-    bits = _bits(texts.join(left.select("node").distinct(), "node", "left_semi"), k)
-    pairs = materialize(_cross(left.join(bits, "node"), num, den).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-    more = materialize(_verified(pairs, texts, k, num, den), "more-links")
-    comp = first if more.isEmpty() else components(links.unionByName(more))
-    node = sets.groupBy("node").agg(F.min("doc").alias("least"), F.max("n").alias("n")).where("n > 0").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    name = node.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = node.select("node", "comp").join(name, "comp").select("node", "component_id")
-    out = sets.select("doc", "n", "node").join(named, "node", "left")
+    sets = materialize(_sketched(rows, k, num, den).withColumn("node", F.monotonically_increasing_id()), "sets")
+    # node: the first row of a set in a task; id: the first of the set in all
+    first = sets.where(F.col("keys").isNotNull()).groupBy("h1", "h2").agg(F.min("node").alias("id"))
+    ids = materialize(sets.where(F.col("keys").isNotNull()).select("node", "h1", "h2").join(first, ["h1", "h2"]), "ids")
+    comp = _links(sets, ids, k, num, den)
+    named = ids.where("node = id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", F.coalesce("comp", "id").alias("comp"))
+    rows = sets.select("doc", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
+    # blank rows have no set; the others of a component get its least id
+    least = rows.where("n > 0").groupBy("comp").agg(F.min("doc").alias("component_id"))
+    out = rows.join(least, "comp", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))
-    return out.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = materialize(out.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), component.alias("component_id")), "groups")
+    release(sets, ids, comp)
+    return out
 
 
 def op8_parity_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by 3-word shingles and Jaccard of at least 0.9."""
     return jaccard_groups(documents(spark, sf_dir), k=3, num=9, den=10)
-

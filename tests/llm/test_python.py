@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from tapewise.llm import html_extract as html
-from tapewise.llm import materialise, packing, tokens, toxicity
+from tapewise.llm import materialise, ngram_join, packing, tokens, toxicity
 from tapewise.llm.graph import components
 from tapewise.llm.licences import Scanner, compile_template, scan
 from tapewise.llm.ngram_join import bands, jaccard_groups, shingle_set, sketch_keys
@@ -175,13 +175,48 @@ def test_jaccard_groups(spark, k, num, den):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows, k, num, den)
 
 
+def test_jaccard_groups_of_divided_keys(spark, monkeypatch):
+    """Keys dealt in parts and blocks of two parts, exact copies in several tasks."""
+    for name, value in (("PART", 8), ("SAMPLE", 1), ("HOT_LEAST", 6), ("HOT_SHARE", 10**9), ("BROADCAST_ROWS", -1)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(4000)}" for _ in range(80)]
+    texts = []
+    for edits in (1, 2, 4, 6, 8, 10):
+        for _ in range(12):
+            t = list(base)
+            for _ in range(edits):
+                t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
+            texts += [" ".join(t)] * rng.choice([1, 1, 3])
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = jaccard_groups(spark.createDataFrame(rows, SCHEMA).repartition(7), k=3, num=9, den=10).collect()
+    want = brute_groups(rows, 3, 9, 10)
+    assert len({c for *_, c in want}) > 5 and sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
+def test_forest_of_candidates():
+    rng = np.random.default_rng(3)
+    near = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([near[int(c) :], rng.integers(0, 2**63, int(c), dtype=np.uint64)])) for c in rng.integers(0, 12, 60)]
+    sets.sort(key=len)
+    n, sketch = np.array([len(s) for s in sets]), ngram_join._folded([ngram_join.parity_bits(s) for s in sets])
+    pairs = {f: [(i, int(j)) for i, js in ngram_join.candidates(n, np.arange(60), sketch, 9, 10, f) for j in js] for f in (True, False)}
+    assert len(pairs[True]) < 60 < len(pairs[False]) and set(pairs[True]) <= set(pairs[False])
+    linked = {(i, j) for i in range(60) for j in range(i + 1, 60) if ngram_join.linked(sets[i], sets[j], 9, 10)}
+    assert linked <= set(pairs[False]) and 10 * len(pairs[False]) <= 11 * len(linked)
+    big = np.unique(rng.integers(0, 2**63, 700, dtype=np.uint64))
+    folded = ngram_join._folded([ngram_join.parity_bits(sets[0]), ngram_join.parity_bits(big)])
+    assert folded.shape[1] * 64 == 2048 and np.bitwise_count(folded[0] ^ folded[1]).sum() <= len(big) + len(sets[0])
+
+
 def test_sketch_guarantee():
     """Sets that link share a key."""
     rng = np.random.default_rng(5)
     for n in (2, 9, 12, 20, 64, 300, 2000):
         for _ in range(20):
             a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-            most = [d for lo, end, d, _ in bands(9, 10) if lo <= n < end][0]
+            most = [m for lo, end, m in bands(9, 10) if lo <= n < end][0]
             b = a.copy()
             cut = int(rng.integers(0, max(1, len(a) // 11) + 1))
             b = np.unique(np.concatenate([b[cut:], rng.integers(0, 2**63, int(rng.integers(0, 2)), dtype=np.uint64)]))
