@@ -28,23 +28,28 @@ def _byte_of_char() -> dict[str, int]:
 
 @cache
 def encoder(path: str = DEFAULT):
-    """Encoder of a byte-level BPE ``tokenizers`` file; one a worker process."""
+    """Encoder of a byte-level BPE ``tokenizers`` file; one a worker process.
+
+    Added tokens are cut out of a text before anything else, as the file asks."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {t["content"] for t in spec["added_tokens"]}
+    added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    if spec.get("normalizer") or any(t.get(flag) for t in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path}: normalizers and added tokens that depend on what is beside them aren't known here")
     to_byte = _byte_of_char()
-    ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def token_ids(text: str | None, path: str = DEFAULT) -> np.ndarray:
-    """Ids of a whole text as little-endian uint32. Strings of special tokens
-    are ordinary text; null and empty texts have no ids."""
+    """Ids of a whole text as little-endian uint32, as ``tokenizers`` gives them
+    from the file as loaded: the string of an added token is that token. Null
+    and empty texts have no ids."""
     if not text:
         return np.empty(0, dtype="<u4")
-    return encoder(path).encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+    return encoder(path).encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 
 
 @cache
