@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapewise.llm._common import ascii_lower, documents, materialize
+from tapewise.llm._common import ascii_lower, documents, materialize, release
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -50,7 +50,8 @@ def drop_bitmaps(docs: DataFrame, doc: str, text: str, min_chars: int = MIN_CHAR
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot_from = max(1000, rows.count() // HOT_SHARE)
     often = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > hot_from).select("h1", "h2")
-    often = F.broadcast(materialize(often, "hot-lines"))
+    hot_keys = materialize(often, "hot-lines")
+    often = F.broadcast(hot_keys)
     held = rows.join(often, ["h1", "h2"]).groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
     hot = held.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc").alias("keep")).where(F.col("docs") >= min_docs)
     lost_hot = rows.join(F.broadcast(hot), ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("keep"))).select("doc", "t", "pos")
@@ -59,7 +60,9 @@ def drop_bitmaps(docs: DataFrame, doc: str, text: str, min_chars: int = MIN_CHAR
     streamed = cold.withColumn("nth", F.dense_rank().over(key.orderBy(F.desc("doc")))).withColumn("docs", F.max("nth").over(key))
     lost_cold = streamed.where((F.col("docs") >= min_docs) & (F.col("nth") > 1)).select("doc", "t", "pos")
     lost = lost_hot.unionByName(lost_cold).groupBy("doc", "t").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    return lost.select("doc", "t", _runs(F.col("at")).alias("dropped"))
+    out = materialize(lost.select("doc", "t", _runs(F.col("at")).alias("dropped")), "bitmaps")
+    release(rows, hot_keys)
+    return out
 
 
 def _runs(at: Column) -> Column:
