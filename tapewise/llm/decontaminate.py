@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewise.llm._common import documents, materialize, words
+from tapewise.llm._common import documents, materialize, release, words
 
 WINDOW = 13
 #: Winnowing: k-grams of K words, the least hash of every WINDOW - K + 1 in a row.
 K = 7
-#: Up to so many rows the benchmark's side is broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 500_000
+#: Up to so many bytes the benchmark's side is broadcast; beyond, joins shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def gram_hashes(ws: Column, k: int) -> Column:
@@ -32,9 +32,24 @@ def winnow(ws: Column, k: int, t: int) -> Column:
     return F.when(F.size(ws) >= t, F.array_distinct(F.element_at(F.transform(F.array(hashes), pick), 1))).otherwise(F.array().cast("array<long>"))
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast if its counted rows allow it."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _sized(df: DataFrame, words_of: str | None = None) -> DataFrame:
+    """``df``, to be broadcast if its summed bytes allow it: 32 for a row's
+    numbers, and its words."""
+    each = F.lit(32) if words_of is None else 32 + 16 * F.size(words_of) + F.octet_length(F.array_join(words_of, ""))
+    return F.broadcast(df) if (df.agg(F.sum(each)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
+def _shared_marks(lengths: list[int], window: int, k: int) -> list[tuple[int, int, int]]:
+    """(least length, k, window) of the fingerprints for these word counts: one
+    winnowing for all from ``k`` up, as the least hashes of longer windows are
+    among those of shorter ones; k-grams of their own for shorter items."""
+    long = [n for n in lengths if n >= k]
+    return ([(min(long), k, min(long))] if long else []) + [(n, n, n) for n in lengths if n < k]
+
+
+def _placed(ws: Column, n: int) -> Column:
+    """(at, len, h) of every run of ``n`` words."""
+    return F.transform(gram_hashes(ws, n), lambda h, i: F.struct(i.alias("at"), F.lit(n).alias("len"), h.alias("h")))
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
@@ -46,8 +61,8 @@ def contamination(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text:
     joined; by the winnowing guarantee every document with an occurrence of a
     window shares a fingerprint. The hits are extended in the documents found:
     each run of words that hashes like a window is compared with it word by
-    word, and the union of the runs is counted. Shorter items are winnowed with
-    k = their length, so that the guarantee holds for them too.
+    word, and the union of the runs is counted. Items of fewer than ``k`` words have
+    k-grams of their own length, so that the guarantee holds for them too.
 
     Null texts have no words and no hits. Repeated rows get equal results; rows
     with equal ids but other texts are separate. Empty tables work. Columns
@@ -61,34 +76,27 @@ def contamination(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text:
     runs = bench.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - size + 1), lambda i: F.slice(F.col("ws"), i, size))).alias("run"))
     runs = materialize(runs.distinct().select("item", "run", F.size("run").alias("len"), F.xxhash64("run").alias("h")), "windows")
     lengths = sorted(r[0] for r in runs.select("len").distinct().collect())  # window values at most
-    shape = {n: (k if n == window else n) for n in lengths}  # word count: k
-    marks = [bench.where(F.size("ws") >= n if n == window else F.size("ws") == n).select(F.explode(winnow(F.col("ws"), kk, n)).alias("f"), F.lit(n).alias("len")) for n, kk in shape.items()]
-    hits = [runs.select(F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("t")).limit(0)]
-    for mark, (n, kk) in zip(marks, shape.items(), strict=True):
-        mark = _sized(materialize(mark.select("f").distinct(), "marks"))
-        seeds = ident.select("d", "t", F.explode(winnow(F.col("ws"), kk, n)).alias("f"))
-        hits.append(seeds.join(mark, "f", "left_semi").select("d", "t"))
-    found = hits[0]
-    for h in hits[1:]:
-        found = found.unionByName(h)
-    found = materialize(found.distinct(), "seeds").toDF("fd", "ft")
+    shapes = _shared_marks(lengths, window, k)
+    # fingerprints of all shapes in one pass over each side
+    fingerprints = lambda held: F.explode(F.array_distinct(F.flatten(F.array(*held))) if held else F.array().cast("array<long>")).alias("f")
+    own = [F.when((F.size("ws") >= least) if kk == k else (F.size("ws") == least), winnow(F.col("ws"), kk, t)).otherwise(F.array().cast("array<long>")) for least, kk, t in shapes]
+    marks = materialize(bench.select(fingerprints(own)).distinct(), "marks")
+    seeds = ident.select("d", "t", fingerprints([winnow(F.col("ws"), kk, t) for _, kk, t in shapes]))
+    found = materialize(seeds.join(_sized(marks), "f", "left_semi").select("d", "t").distinct(), "seeds")
     match = F.col("d").eqNullSafe(F.col("fd")) & (F.col("t") == F.col("ft"))
-    held = ident.join(found, match, "left_semi").dropDuplicates(["d", "t"])
-    spans = [runs.select(F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("t"), F.lit(0).alias("at"), "len", "h").limit(0)]
-    distinct_runs = _sized(materialize(runs.select("h", "len", F.col("run").alias("wrun")).distinct(), "runs"))
-    for n in lengths:
-        grams = held.select("d", "t", "ws", F.posexplode(gram_hashes(F.col("ws"), n)).alias("at", "h"))
-        exact = grams.join(distinct_runs.where(F.col("len") == n), "h").where(F.slice("ws", F.col("at") + 1, n) == F.col("wrun"))
-        spans.append(exact.select("d", "t", "at", "len", "h"))
-    every = spans[0]
-    for s in spans[1:]:
-        every = every.unionByName(s)
-    every = materialize(every, "spans")
+    held = materialize(ident.join(found.toDF("fd", "ft"), match, "left_semi").dropDuplicates(["d", "t"]), "found")
+    each = [_placed(F.col("ws"), n) for n in lengths]
+    grams = held.select("d", "t", "ws", F.explode(F.flatten(F.array(*each)) if each else F.array().cast("array<struct<at:int,len:int,h:bigint>>")).alias("g")).select("d", "t", "ws", "g.*")
+    distinct_runs = materialize(runs.select("h", "len", F.col("run").alias("wrun")).distinct(), "runs")
+    exact = grams.join(_sized(distinct_runs, "wrun"), ["h", "len"]).where(F.slice("ws", F.col("at") + 1, F.col("len")) == F.col("wrun"))
+    every = materialize(exact.select("d", "t", "at", "len", "h"), "spans")
+    release(bench, marks, found, held, distinct_runs)
     covered = every.groupBy("d", "t").agg(F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("len")).alias("end")))).alias("s"))
     covered = covered.select("d", "t", _union_length(F.col("s")).alias("n_hit"))
     per_item = every.select("d", "t", "h", "len").distinct().join(_sized(runs.select("h", "len", "item")), ["h", "len"])
     per_item = per_item.groupBy("d", "t").agg(F.sort_array(F.collect_set("item")).alias("item_list"))
-    result = _both(covered, per_item)
+    result = materialize(_both(covered, per_item), "hits")
+    release(runs, every)
     same = F.col(doc).eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_dt"))
     out = docs.withColumns({"_t": F.xxhash64(text), "n_words": F.size(words(F.col(text))).cast("long")}).join(result, same, "left")
     none = F.array().cast("array<string>")
