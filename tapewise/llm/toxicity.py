@@ -1,19 +1,18 @@
 """Operator 9, toxicity by compression distance.
 
-Zstandard dictionaries come in pairs that share a base of ordinary text. One pair
-goes on with text trained on toxic documents or with more ordinary text, and
-scores windows of several words; the other goes on with words that recur in
-toxic documents and hardly in ordinary ones, and scores single words. What a
-window's compressed form gains from the toxic dictionary over the ordinary one is
-its distance. A document's distances, counted by size, go through a calibrated
-logistic threshold.
+Two zstandard dictionaries, one trained on toxic and one on ordinary text, share
+a base, so that the lengths of a window compressed with either differ only by
+what the labels tell apart. What a window gains from the toxic dictionary over
+the ordinary one is its distance. Windows are single words and runs of eight
+words; a document's distances, counted by size, go through a calibrated logistic
+threshold.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -30,8 +29,9 @@ from tapewise.llm._common import documents
 MAX_ROWS = 2000
 MAX_CHARS = 40_000
 BASE_BYTES = 65_536
-TAIL_BYTES = 65_536
-MARK_BYTES = 16_384
+#: Of either label's own part: bytes, words of a piece at most, documents that hold it at least, how many times its share in
+#: this label's documents exceeds that in the other's, and what is added there to the count, as a share of the root of the documents.
+OWN_BYTES, RUN, LEAST, RATIO, DOUBT = 32_768, 3, 4, 12, 0.02
 #: Words of a phrase window, and from one to the next: every run of five words lies in one.
 PHRASE, STRIDE = 8, 4
 LEVEL = 3
@@ -63,20 +63,18 @@ def _trained(samples: list[bytes], size: int) -> bytes:
 
 @dataclass
 class Model:
-    """Two pairs of dictionaries, toxic and plain of either, and the calibrated
-    weights; picklable."""
+    """The toxic and the ordinary dictionary, and the calibrated weights; picklable."""
 
-    phrases: tuple[bytes, bytes]
-    words: tuple[bytes, bytes]
+    pair: tuple[bytes, bytes]
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
 
     def __getstate__(self):
-        return self.phrases, self.words, self.mean, self.scale, self.weights
+        return self.pair, self.mean, self.scale, self.weights
 
     def __setstate__(self, state):
-        self.phrases, self.words, self.mean, self.scale, self.weights = state
+        self.pair, self.mean, self.scale, self.weights = state
 
     def _open(self) -> None:
         def compressor(raw: bytes):
@@ -84,33 +82,30 @@ class Model:
             d.precompute_compress(level=LEVEL)
             return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
-        self._phrases, self._words = tuple(map(compressor, self.phrases)), tuple(map(compressor, self.words))
+        self._toxic, self._plain = map(compressor, self.pair)
         self._known: dict[bytes, int] = {}
 
     def distance(self, words: bytes) -> int:
-        """Bytes that the toxic dictionary saves over the ordinary one on a phrase."""
-        return self._saved(self._phrases, words)
+        """Bytes that the toxic dictionary saves over the ordinary one on a window."""
+        window = _HEAD + b" " + words + b" " + _FOOT
+        return len(self._plain(window)) - len(self._toxic(window))
 
-    def word_distance(self, word: bytes) -> int:
+    def _word_distance(self, word: bytes) -> int:
         got = self._known.get(word)
         if got is None:
-            got = self._saved(self._words, word)
+            got = self.distance(word)
             if len(self._known) >= _KEEP_WORDS:
                 self._known.clear()
             self._known[word] = got
         return got
 
-    def _saved(self, pair: tuple, words: bytes) -> int:
-        window = _HEAD + b" " + words + b" " + _FOOT
-        return len(pair[1](window)) - len(pair[0](window))
-
     def features(self, text: str | None) -> list[float]:
         if not hasattr(self, "_known"):
             self._open()
         found = _words(text)
         phrases = [self.distance(b" ".join(found[i : i + PHRASE])) for i in range(0, max(1, len(found) - PHRASE + STRIDE), STRIDE)] if found else []
         out: list[float] = []
-        for steps, counts in ((_STEPS, Counter(map(self.word_distance, found))), (_PHRASE_STEPS, Counter(phrases))):
+        for steps, counts in ((_STEPS, Counter(map(self._word_distance, found))), (_PHRASE_STEPS, Counter(phrases))):
             total = sum(counts.values()) + 20
             at_least = [sum(n for d, n in counts.items() if d >= k) for k in steps]
             out += [*np.log1p(at_least), *(c / total for c in at_least)]
@@ -137,56 +132,82 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _dictionaries(rows: list[tuple[str, int]]) -> tuple[tuple[bytes, bytes], tuple[bytes, bytes]]:
-    """Toxic and ordinary dictionary contents for phrases and for words.
-
-    Those for phrases are trained on whole texts of their label. Those for words
-    end in the words whose share of toxic documents is over 8 times that of
-    ordinary ones; a word counts once for a group of near copies (documents with
-    the same least word hash), so that copied text doesn't look like a mark."""
-    seen: tuple[dict, dict] = (defaultdict(set), defaultdict(set))
-    groups: tuple[set, set] = (set(), set())
-    pieces: tuple[list, list] = ([], [])
+def _pieces(docs: list[list[bytes]]) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
+    """(number of groups, hashes, counts): in how many groups of near copies
+    each run of up to ``RUN`` words stands. Documents of the same least word
+    hash are one group, so that copied text doesn't look like a mark."""
+    groups: dict[int, list[list[bytes]]] = {}
+    for words in docs:
+        groups.setdefault(min(map(zlib.crc32, words), default=0), []).append(words)
+    held = [np.unique(np.concatenate([h for words in g for h in _run_hashes(words)])) for g in groups.values()]
+    hashes, counts = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
+    return max(1, len(groups)), hashes, counts
+
+
+def _run_hashes(words: list[bytes]) -> list[np.ndarray]:
+    """Hashes of all runs of 1, 2 .. ``RUN`` words."""
+    ids = np.array([zlib.crc32(w) | zlib.crc32(w, 7) << 32 for w in words], dtype=np.uint64)
+    out, h = [ids], ids
+    with np.errstate(over="ignore"):
+        for k in range(1, RUN):
+            h = h[: max(0, len(ids) - k)] * np.uint64(0x9E3779B97F4A7C15) + ids[k:]
+            out.append(h)
+    return out
+
+
+def _own_part(docs: list[list[bytes]], mine: tuple, other: tuple) -> bytes:
+    """Contrastive dictionary content: of a label's own texts the runs of words
+    that the other label's hardly hold, those in most documents last (nearest)."""
+    (n, hashes, counts), (m, theirs, held) = mine, other
+    at = np.minimum(np.searchsorted(theirs, hashes), max(0, len(theirs) - 1))
+    in_other = np.where(theirs[at] == hashes, held[at], 0) if len(theirs) else np.zeros(len(hashes), int)
+    good = (counts >= LEAST) & (counts / n > RATIO * (in_other + DOUBT * m**0.5) / m)
+    often = dict(zip(hashes[good].tolist(), counts[good].tolist(), strict=True))
+    found: dict[int, bytes] = {}
+    for words in docs:
+        for k, runs in enumerate(_run_hashes(words)):
+            for i in np.flatnonzero(np.isin(runs, hashes[good])):
+                found.setdefault(int(runs[i]), b" ".join(words[i : i + k + 1]))
+    return b"".join(b" " + x for _, x in sorted((often[h], x) for h, x in found.items()))[-OWN_BYTES:] + b" " if found else b""
+
+
+def _dictionaries(rows: list[tuple[str, int]]) -> tuple[bytes, bytes]:
+    """Contents of the toxic and the ordinary dictionary, of equal size.
+
+    The base is zstandard's training on ordinary text, the rest of either is
+    trained in contrast to the other label, by the same rule."""
+    docs: tuple[list, list] = ([], [])
     for text, y in dict.fromkeys(rows):
-        found = _words(text)
-        own = set(found)
-        group = min((zlib.crc32(w) for w in own), default=0)
-        groups[y].add(group)
-        for w in own:
-            seen[y][w].add(group)
-        pieces[y].extend(b" " + b" ".join(found[i : i + PHRASE]) + b" " for i in range(0, len(found), PHRASE))
-    n1, n0 = max(1, len(groups[1])), max(1, len(groups[0]))
-    marks = {w: len(s) for w, s in seen[1].items() if len(s) / n1 > 8 * (len(seen[0].get(w, ())) + 1) / n0}
-    plain, toxic = (sorted(p, key=zlib.crc32)[:80_000] for p in pieces)
-    base = _trained(plain[::2], BASE_BYTES) if plain else b""
-    other = _trained(plain[1::2], TAIL_BYTES) if plain else b""
-    text = _trained(toxic, TAIL_BYTES) if toxic else b""
-    listed = b" " + b" ".join(sorted(marks, key=lambda w: (marks[w], w)))[-MARK_BYTES:] + b" " if marks else b""
-
-    def pair(tail: bytes, size: int) -> tuple[bytes, bytes]:
-        size = max(len(tail), min(len(other), size))
-        return base + tail.rjust(size, b"\0"), base + other[len(other) - min(size, len(other)) :].rjust(size, b"\0")
-
-    return pair(text, TAIL_BYTES), pair(listed, len(listed))
+        docs[y].append(_words(text))
+    plain = [b" " + b" ".join(w[i : i + PHRASE]) + b" " for w in docs[0] for i in range(0, len(w), PHRASE)]
+    base = _trained(sorted(plain, key=zlib.crc32)[:80_000], BASE_BYTES) if plain else b""
+    known = [_pieces(x) for x in docs]
+    toxic, ordinary = _own_part(docs[1], known[1], known[0]), _own_part(docs[0], known[0], known[1])
+    size = max(len(toxic), len(ordinary))
+    return base + toxic.rjust(size, b"\0"), base + ordinary.rjust(size, b"\0")
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
     """A model from (text, label) rows. Distances are calibrated on rows that
     the dictionaries weren't trained on: two halves take turns, then the
-    dictionaries of all rows take the weights."""
+    dictionaries of all rows take the weights. Without toxic rows all scores
+    are next to 0."""
     rows = sorted(rows, key=lambda r: zlib.crc32((r[0] or "").encode("utf-8", "replace")))
     half = lambda k: [r for r in rows if zlib.crc32((r[0] or "").encode("utf-8", "replace")) // 7 % 2 == k]
     x, y = [], []
     zero = np.zeros(_FEATURES)
     for k in (0, 1):
-        m = Model(*_dictionaries(half(k)), zero, zero + 1, np.zeros(len(zero) + 1))
+        m = Model(_dictionaries(half(k)), zero, zero + 1, np.zeros(len(zero) + 1))
         for text, label in half(1 - k):
             x.append(m.features(text))
             y.append(label)
     x, y = np.array(x, dtype=float).reshape(-1, len(zero)), np.array(y, dtype=float)
     mean, scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (zero, zero + 1)
     weights = _logistic((x - mean) / scale, y) if len(x) else np.zeros(len(zero) + 1)
-    return Model(*_dictionaries(rows), mean, scale, weights)
+    if not any(y):
+        weights[:] = 0
+        weights[0] = -30  # nothing is known to be toxic
+    return Model(_dictionaries(rows), mean, scale, weights)
 
 
 def fold(doc: Column) -> Column:
@@ -195,13 +216,15 @@ def fold(doc: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> list[tuple[str, int]]:
-    """At most ``max_rows`` rows of either label outside fold 0, chosen by a hash
-    of the id; texts over ``max_chars`` aren't used for fitting (all are scored)."""
+    """At most ``max_rows`` ids of either label outside fold 0 and twice as many
+    rows, chosen by hashes; texts over ``max_chars`` aren't used for fitting
+    (all are scored)."""
     right = labels.where((fold(F.col(doc)) != 0) & F.col(label).isNotNull()).select(F.col(doc).alias("_id"), F.col(label).cast("int").alias("_y"))
     picked = [right.where(F.col("_y") == y).orderBy(F.xxhash64("_id", F.lit(5)), "_id").limit(max_rows) for y in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * max_rows rows at most
     fitting = docs.where(F.col(text).isNotNull() & (F.length(text) <= max_chars)).select(F.col(doc).alias("_id"), F.col(text).alias("_text"))
-    rows = fitting.join(ids, "_id").select("_text", "_y").limit(4 * max_rows).collect()
+    # an id may stand on many rows: the same ones are taken however they are dealt
+    rows = fitting.join(ids, "_id").select("_text", "_y").orderBy(F.xxhash64("_text"), "_text", "_y").limit(2 * max_rows).collect()
     return [(r["_text"], r["_y"]) for r in rows]
 
 

@@ -27,9 +27,8 @@ def test_ids_are_those_of_the_file():
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(tokens.DEFAULT)
-    tk.encode_special_tokens = True
     rng = random.Random(1)
-    texts = ["", "Hello  world\n\n\tx", "naïve Ωμέγα 中文 🙂👩‍👩‍👧", "<|endoftext|> a", "a" * 5000, " " * 300, " x\x00y", *("".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x2FF), rng.randrange(0x4E00, 0x4F00)])) for _ in range(200)) for _ in range(30))]
+    texts = ["", "Hello  world\n\n\tx", "naïve Ωμέγα 中文 🙂👩‍👩‍👧", "<|endoftext|> a", "b<|endoftext|><|endoftext|>c <|endof", "a" * 5000, " " * 300, " x\x00y", *("".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x2FF), rng.randrange(0x4E00, 0x4F00)])) for _ in range(200)) for _ in range(30))]
     for t in texts:
         assert tokens.token_ids(t).tolist() == tk.encode(t, add_special_tokens=False).ids
     assert len(tokens.token_ids(None)) == 0 and tokens.vocabulary_size() == 50_257
@@ -390,6 +389,34 @@ def test_toxicity_of_phrases_and_of_short_or_rare_words():
         assert ((s >= 0.5) == np.array([y for _, y in test])).mean() > 0.62, marks[0]
 
 
+def test_toxicity_dictionaries_by_brute_force():
+    """A label's own part holds exactly the runs that the rule names, the most frequent last."""
+    rows = labelled(200, 9)
+    docs = [[toxicity._words(t) for t, y in dict.fromkeys(rows) if y == k] for k in (0, 1)]
+    groups = [defaultdict(set), defaultdict(set)]
+    n = []
+    for y in (0, 1):
+        marks = [min(map(zlib.crc32, w)) for w in docs[y]]
+        n.append(len(set(marks)))
+        for mark, w in zip(marks, docs[y], strict=True):
+            for k in range(1, toxicity.RUN + 1):
+                for i in range(len(w) - k + 1):
+                    groups[y][b" ".join(w[i : i + k])].add(mark)
+    good = sorted((len(g), r) for r, g in groups[1].items() if len(g) >= toxicity.LEAST and len(g) / n[1] > toxicity.RATIO * (len(groups[0].get(r, ())) + toxicity.DOUBT * n[0] ** 0.5) / n[0])
+    known = [toxicity._pieces(d) for d in docs]
+    part = toxicity._own_part(docs[1], known[1], known[0])
+    assert good and part == b"".join(b" " + r for _, r in good) + b" "
+    toxic, plain = toxicity._dictionaries(rows)
+    assert len(toxic) == len(plain) and toxic.endswith(part)
+
+
+def test_toxicity_takes_the_same_rows_of_repeated_ids(spark, monkeypatch):
+    rows = [(i % 7, f"text {i} of many") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, toxic int")
+    got = [toxicity.training_sample(spark.createDataFrame(rows, SCHEMA).repartition(n), labels, max_rows=5) for n in (1, 5)]
+    assert got[0] == got[1] and len(got[0]) == 10
+
+
 def test_toxicity_frames(spark):
     import pickle
 
@@ -454,3 +481,26 @@ def test_one_row_of_each_group_whatever_the_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA + ", lang string, source string, n_chars long")
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()), key=str)
     assert got == sorted([*((None, t) for t in nulls), (7, a), (7, b), (3, c), (8, d), (None, None), (None, " "), (9, "")], key=str)
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows, extra columns with clashing names, empty tables."""
+    columns = SCHEMA + ", lang string, source string, n_chars long, score double, text_ string, node int, _t int"
+    line = "a line that is long enough to count as one of the repeated"
+    odd = [(None, None), (None, "word " * 9), (1, ""), (1, ""), (2, f"own words here\n{line}"), (2, f"own words here\n{line}"), *((10 + i, f"number {i} stands alone\n{line}") for i in range(6)), (30, "seven words stand in this benchmark item")]
+    docs = spark.createDataFrame([(d, t, None, None, None, 0.9, "x", 5, 6) for d, t in odd], columns)
+    spark.createDataFrame([(None, 1, None), (2, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "seven words stand in this benchmark item"), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {
+        "toxicity": odd,
+        "line_dedup": [(d, t if d == 15 or not t else t.split("\n")[0]) for d, t in odd],
+        "ngram_jaccard_join": [(d, t) for i, (d, t) in enumerate(odd) if (d, t) not in odd[:i] or not t],
+        "benchmark_decontamination": [(d, t) for d, t in odd if d != 30],
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        got = [(r[0], r[1]) for r in stage(spark, docs, str(tmp_path)).collect()]
+        if name == "packing":
+            assert sorted(got, key=str) == sorted(((d, 0) for d, _ in odd), key=str)
+        else:
+            assert sorted(got, key=str) == sorted(want[name], key=str), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
