@@ -430,11 +430,12 @@ def jaccard_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
     named = ids.where("node = id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", F.coalesce("comp", "id").alias("comp"))
     rows = sets.select("doc", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
     # blank rows have no set; the others of a component get its least id
-    least = rows.where("n > 0").groupBy("comp").agg(F.min("doc").alias("component_id"))
+    # (a table of its own, so that adaptive execution can split a large component in the join)
+    least = materialize(rows.where("n > 0").groupBy("comp").agg(F.min("doc").alias("component_id")), "least")
     out = rows.join(least, "comp", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))
     out = materialize(out.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), component.alias("component_id")), "groups")
-    release(sets, ids, comp)
+    release(sets, ids, comp, least)
     return out
 
 
