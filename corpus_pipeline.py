@@ -21,14 +21,21 @@ TOXIC = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: documents scored toxic go. Fitted on the labelled ones."""
+    """Operator 9: documents scored toxic go. Fitted on the labelled ones.
+
+    Equal texts have equal scores, so repeated rows stay or go together; null
+    and empty texts have the score of no words. Without toxic labels all stay;
+    an empty table stays empty."""
     model = toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs.select(*COLUMNS), model).where(F.col("score") < TOXIC).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: repeated long lines go from all but one document; every
-    document stays, its text without them."""
+    document stays, its text without them.
+
+    A null text stays null. Rows of one id are one document and lose the same
+    lines. An empty table stays empty."""
     out = dedup_lines(docs.select(*COLUMNS)).withColumn("text", F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text")))
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
@@ -53,13 +60,19 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: contaminated documents go."""
+    """Operator 5: contaminated documents go.
+
+    Null and empty texts have no words and stay. Repeated rows stay or go
+    together. Without items all stay; an empty table stays empty."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contamination(docs.select(*COLUMNS), items).where(~F.col("contaminated")).select(*COLUMNS)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: token sequences of at most 1024 ids; a row for each piece."""
+    """Operator 10: token sequences of at most 1024 ids; a row for each piece.
+
+    A null or empty text is its end id alone. Repeated rows are packed once
+    each, null ids are kept. An empty table gives no rows."""
     return pack(docs)
 
 
