@@ -32,8 +32,8 @@ BASE_BYTES = 65_536
 #: Of either label's own part: bytes, words of a piece at most, documents that hold it at least, how many times its share in
 #: this label's documents exceeds that in the other's, and what is added there to the count, as a share of the root of the documents.
 OWN_BYTES, RUN, LEAST, RATIO, DOUBT = 32_768, 3, 4, 12, 0.02
-#: Words of a phrase window, and from one to the next: every run of five words lies in one.
-PHRASE, STRIDE = 8, 4
+#: Words of a phrase window, and from one to the next: every run of RUN words lies in one.
+PHRASE, STRIDE = 8, 6
 LEVEL = 3
 _KEEP_WORDS = 300_000
 _STEPS, _PHRASE_STEPS = range(1, 8), range(1, 13)
@@ -177,8 +177,9 @@ def _dictionaries(rows: list[tuple[str, int]]) -> tuple[bytes, bytes]:
     The base is zstandard's training on ordinary text, the rest of either is
     trained in contrast to the other label, by the same rule."""
     docs: tuple[list, list] = ([], [])
+    known_words: dict[bytes, bytes] = {}  # one object a word: the sample has millions
     for text, y in dict.fromkeys(rows):
-        docs[y].append(_words(text))
+        docs[y].append([known_words.setdefault(w, w) for w in _words(text)])
     plain = [b" " + b" ".join(w[i : i + PHRASE]) + b" " for w in docs[0] for i in range(0, len(w), PHRASE)]
     base = _trained(sorted(plain, key=zlib.crc32)[:80_000], BASE_BYTES) if plain else b""
     known = [_pieces(x) for x in docs]
