@@ -208,15 +208,77 @@ def leg_size(notional: Column, scale: float, equity: Column, pct: float, most: f
     return F.when(size < dust, 0.0).otherwise(size), cascade((size < dust, "DUST"), (wanted > cap, "RISK_CAP"), other="OK")
 
 
-def kelly_size(win: Column, payoff: Column, equity: Column, copy: Column, stop: Column, *, fraction: float = 0.25, cap_pct: float = 0.05) -> tuple[Column, Column]:
-    """Kelly stake scaled by copyability, bound by the stop's risk and the cap;
-    the binding limit's name comes with it."""
-    kelly = F.when(payoff > 0, (win * payoff - (1.0 - win)) / F.when(payoff > 0, payoff)).otherwise(0.0)
-    stake = F.greatest(kelly, F.lit(0.0)) * fraction * F.greatest(copy, F.lit(0.2)) * equity
-    limits = F.array(F.struct(stake.alias("v"), F.lit(0).alias("o"), F.lit("kelly").alias("name")), F.struct((equity * 0.01 / F.greatest(stop, F.lit(1e-6))).alias("v"), F.lit(1).alias("o"), F.lit("stop").alias("name")), F.struct((equity * cap_pct).alias("v"), F.lit(2).alias("o"), F.lit("cap").alias("name")))
-    least = F.array_min(limits)
-    return least["v"], least["name"]
+def kelly_size(win: Column, payoff: Column, equity: Column, copy: Column, stop: Column, last: Column, *, fraction: float = 0.25, risk: float = 0.01, cap: float = 0.15, growth: float = 1.05, dust: float = 1.0) -> Column:
+    """struct(usd, bound, skip): one round trip's notional from slow ``equity``.
+
+    A fraction of Kelly, weighted by copyability (0.2 at least) and by 0.6 below
+    even wins, is bound by the stop's risk and by a cap on the position; it
+    grows by ``growth`` over the ``last`` one at most. ``skip`` tells why a trip
+    isn't taken, null where it is."""
+    kelly = F.when(payoff > 0, (win * payoff - (1.0 - win)) / F.when(payoff > 0, payoff))
+    stake = equity * kelly * fraction * F.greatest(copy, F.lit(0.2)) * F.when(win >= 0.5, 1.0).otherwise(0.6)
+    by_stop = F.when(stop > 0, equity * risk / F.when(stop > 0, stop)).otherwise(stake)
+    limit = lambda value, place, name: F.struct(value.alias("v"), F.lit(place).alias("o"), F.lit(name).alias("name"))
+    least = F.array_min(F.array(limit(by_stop, 0, "stop"), limit(stake, 1, "kelly"), limit(equity * cap, 2, "max_cap")))
+    held = F.when(last > 0, F.least(least["v"], last * growth)).otherwise(least["v"])
+    bound = cascade((held < dust, "dust"), (held < least["v"] - 1e-9, "ratchet"), other=least["name"])
+    none = ~F.coalesce(kelly > 0, F.lit(False))
+    skip = F.when(none, "NEGATIVE_EXPECTANCY").when(held < dust, "DUST")
+    return F.struct(F.when(none, 0.0).otherwise(held).alias("usd"), F.when(none, "dust").otherwise(bound).alias("bound"), skip.alias("skip"))
+
+
+def edge_filter(win: Column, gain: Column, loss: Column, *, cost_bps: float = 10.0, times: float = 2.0, least: float = 0.45) -> Column:
+    """Whether the expected edge of a trip covers ``times`` its round-trip cost."""
+    edge = win * gain - (1.0 - win) * loss
+    return cascade((win < least, "WIN_RATE_TOO_LOW"), (edge < cost_bps / 1e4 * times, "INSUFFICIENT_EDGE"), other="OK")
+
+
+def copyability_gate(copy: Column, trips: Column, *, least: float = 0.30, least_trips: int = 20) -> Column:
+    """Whether enough of a wallet's trips can be copied to stand for it."""
+    return cascade((trips < least_trips, "INSUFFICIENT_TRIPS"), (copy < least, "LOW_COPYABILITY"), other="OK")
+
+
+def variance_drain_pct(position_pct: Column, trades: Column) -> Column:
+    """Half the squared position share, in percent, for every trade."""
+    share = position_pct / 100.0
+    return F.when(trades > 0, share * share / 2.0 * trades * 100.0).otherwise(0.0)
+
+
+def verdict(edge: Column, gate: Column, dynamic_pct: Column, exchange_pct: Column, trips: Column) -> Column:
+    """A copied wallet's verdict from its gates and its returns: copied ones may
+    be 20 times the exchange's at most to count as credible."""
+    flat = F.abs(exchange_pct) < 1e-9
+    ratio = F.when(flat, F.when(F.abs(dynamic_pct) > 1e-9, float("inf")).otherwise(1.0)).otherwise(F.abs(dynamic_pct / F.when(~flat, exchange_pct)))
+    return cascade((trips == 0, "NO_DATA"), (edge != "OK", "FILTERED_EDGE"), (gate != "OK", "FILTERED_COPYABILITY"), ((dynamic_pct > 0) & (ratio <= 20.0), "LIVE_CANDIDATE"), (dynamic_pct >= -2.0, "MONITOR"), other="REVIEW")
 
 
 def whale_tier(volume: Column) -> Column:
-    return cascade((volume >= 1_000_000, "mega"), (volume >= 500_000, "large"), (volume >= 100_000, "mid"), other="small")
+    return cascade((volume >= 1e9, "mega"), (volume >= 1e8, "whale"), (volume >= 1e7, "large"), other="active")
+
+
+def should_promote(volume: Column, hit: Column, roi: Column, *, least_volume: float, least_hit: float, elite: bool) -> Column:
+    """Promotion by hit rate, or without one by volume and return; an elite
+    wallet without a hit rate has to be a whale of 10 % return."""
+    by_hit = F.coalesce(hit >= least_hit, F.lit(False))
+    by_size = (volume >= 1e8) & (roi >= 0.10) if elite else ((volume >= 5e7) & (roi >= 0.08)) | (volume >= 1e8)
+    return (volume >= least_volume) & (roi > 0) & (by_hit | by_size)
+
+
+def is_spot(coin: Column) -> Column:
+    """Spot pairs are named by number: ``@142``."""
+    return F.coalesce(F.trim(coin).rlike("^@[0-9]+$"), F.lit(False))
+
+
+def order_kind(status: Column, side: Column, reduce_only: Column, coin: Column) -> Column:
+    """Chart class of a limit order; side A sells, B buys."""
+    st = F.lower(F.coalesce(status, F.lit("")))
+    canceled, sells, buys = st.contains("cancel"), side == "A", side == "B"
+    spot = cascade((canceled | st.contains("reject"), "spot_limit_canceled"), (reduce_only, "spot_limit_close"), (buys, "spot_limit_buy"), (sells, "spot_limit_sell"), other="other")
+    shorts = (~reduce_only & sells) | (reduce_only & buys)
+    perp = cascade((canceled & shorts, "canceled_short"), (canceled, "canceled"), (reduce_only & sells, "long_close"), (reduce_only & buys, "short_close"), (buys, "long_open"), (sells, "short_open"), other="other")
+    return F.when(is_spot(coin), spot).otherwise(perp)
+
+
+def order_ambiguous(coin: Column, reduce_only: Column) -> Column:
+    """A perpetual's order that isn't reduce-only may open either way."""
+    return ~is_spot(coin) & ~reduce_only

@@ -1,58 +1,69 @@
-"""First-in-first-out lot matching as an overlap of cumulative intervals.
+"""First-in-first-out lot matching on the axis of cumulative quantity.
 
-Per tape (trader, coin, side), opened quantity owns the interval between the
-running totals of opens, and matched closing quantity that between the running
-totals of closes less what found no inventory. A trip is an overlap of the two.
+Per tape (trader, coin, side), an open owns the stretch of the axis that ends at
+the running total of opens, a matched close the one that ends at the running
+total of closes less what found no inventory. The ends of both, in order, cut
+the axis into pieces of one open and one close each: the trips. Totals are
+decimals, so they neither drift nor depend on the order of summing. The work is
+one shuffle and two sorts of the tape, whatever the quantities.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TAPE = ["trader_id", "coin", "side"]
-TOLERANCE = 1e-9
+#: Quantities to 10 places; what is no larger than TOLERANCE is nothing.
+QUANTITY = "decimal(26,10)"
+TOLERANCE = Decimal("1e-9")
 
 
 def _cumulative(fills: DataFrame) -> DataFrame:
     label = F.lower(F.trim("fill_dir"))
     known = fills.where(label.startswith("open") | label.startswith("close"))
-    rows = known.withColumns({"side": F.when(label.contains("short"), "short").otherwise("long"), "is_open": label.startswith("open")})
+    rows = known.withColumns({"side": F.when(label.contains("short"), "short").otherwise("long"), "is_open": label.startswith("open"), "q": F.col("size").cast(QUANTITY)})
     w = Window.partitionBy(*TAPE).orderBy("us", "event_key").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"opened": F.sum(F.when(F.col("is_open"), F.col("size")).otherwise(0.0)).over(w), "closed": F.sum(F.when(F.col("is_open"), 0.0).otherwise(F.col("size"))).over(w)})
-    return rows.withColumn("lost", F.greatest(F.lit(0.0), F.max(F.col("closed") - F.col("opened")).over(w)))
+    none = F.lit(0).cast(QUANTITY)
+    rows = rows.withColumns({"opened": F.sum(F.when(F.col("is_open"), F.col("q")).otherwise(none)).over(w), "closed": F.sum(F.when(F.col("is_open"), none).otherwise(F.col("q"))).over(w)})
+    return rows.withColumn("lost", F.greatest(F.lit(0), F.max(F.col("closed") - F.col("opened")).over(w)))
 
 
-def round_trips(fills: DataFrame, *, realized_only: bool = True, width: float = 500.0) -> DataFrame:
+def round_trips(fills: DataFrame, *, realized_only: bool = True) -> DataFrame:
     """Trips of ``fills`` (trader_id, coin, fill_dir, size, price, us,
     event_key, fee_usd, closed_pnl_usd).
 
     With ``realized_only`` a close that found too little inventory yields no
     trip, though it uses the lots up. Rows whose ``fill_dir`` is neither an open
-    nor a close are skipped. The cumulative axis is cut into pieces of ``width``
-    so that long tapes are joined piece by piece.
+    nor a close are skipped, as are sizes of 0. A tape is one task's, in order,
+    without joining it to itself.
     """
     rows = _cumulative(fills)
-    opens = rows.where("is_open").select(*TAPE, F.col("us").alias("entry_us"), F.col("price").alias("entry_px"), F.col("size").alias("o_size"), F.col("fee_usd").alias("o_fee"), (F.col("opened") - F.col("size")).alias("o_lo"), F.col("opened").alias("o_hi"), F.col("event_key").alias("open_key"))
-    w = Window.partitionBy(*TAPE).orderBy("us", "event_key")
-    closes = rows.where("NOT is_open").withColumns({"m_hi": F.col("closed") - F.col("lost")})
-    closes = closes.withColumns({"m_lo": F.coalesce(F.lag("m_hi").over(w), F.lit(0.0)), "before": F.coalesce(F.lag("lost").over(w), F.lit(0.0))})
+    by = Window.partitionBy(*TAPE).orderBy("us", "event_key")
+    rows = rows.withColumn("before", F.coalesce(F.lag("lost").over(by), F.lit(0)))
+    gained = F.col("q") - (F.col("lost") - F.col("before"))  # the matched part of a close
+    leg = F.struct(F.col("event_key").alias("key"), "us", "price", "size", F.col("fee_usd").alias("fee"), F.col("closed_pnl_usd").alias("pnl"), (F.col("lost") <= F.col("before") + TOLERANCE).alias("whole"))
+    ends = rows.where((F.when(F.col("is_open"), F.col("q")).otherwise(gained)) > TOLERANCE)
+    ends = ends.select(*TAPE, F.when(F.col("is_open"), F.col("opened")).otherwise(F.col("closed") - F.col("lost")).alias("hi"), F.when(F.col("is_open"), leg).alias("o"), F.when(~F.col("is_open"), leg).alias("c"))
+    # from the far end on: the nearest open and close that end here or later own what lies before
+    back = Window.partitionBy(*TAPE).orderBy(F.desc("hi"))
+    seen = back.rowsBetween(Window.unboundedPreceding, 0)
+    cut = ends.withColumns({"lo": F.coalesce(F.lead("hi").over(back), F.lit(0)), "o": F.last("o", ignorenulls=True).over(seen), "c": F.last("c", ignorenulls=True).over(seen)})
+    pairs = cut.where((F.col("hi") - F.col("lo") > TOLERANCE) & F.col("o").isNotNull() & F.col("c").isNotNull()).withColumn("qty", (F.col("hi") - F.col("lo")).cast("double"))
     if realized_only:
-        closes = closes.where(F.col("lost") <= F.col("before") + TOLERANCE)
-    closes = closes.where(F.col("m_hi") > F.col("m_lo") + TOLERANCE).select(*TAPE, F.col("us").alias("exit_us"), F.col("price").alias("exit_px"), F.col("size").alias("c_size"), F.col("fee_usd").alias("c_fee"), F.col("closed_pnl_usd").alias("c_pnl"), "m_lo", "m_hi", F.col("event_key").alias("close_key"))
-    piece = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor((F.col(hi) - TOLERANCE) / width)))
-    lo, hi = F.greatest("o_lo", "m_lo"), F.least("o_hi", "m_hi")
-    pairs = opens.withColumn("_p", piece("o_lo", "o_hi")).join(closes.withColumn("_p", piece("m_lo", "m_hi")), [*TAPE, "_p"])
-    pairs = pairs.where((hi - lo > TOLERANCE) & (F.col("_p") == F.floor(lo / width))).withColumn("qty", hi - lo)
-    return pairs.select(*TAPE, "open_key", "close_key", "entry_us", "exit_us", "entry_px", "exit_px", "qty", (F.col("o_fee") * F.col("qty") / F.col("o_size")).alias("fee_open"), (F.col("c_fee") * F.col("qty") / F.col("c_size")).alias("fee_close"), (F.col("c_pnl") * F.col("qty") / F.col("c_size")).alias("closed_pnl"))
+        pairs = pairs.where("c.whole")
+    part = lambda leg, x: F.col(leg)[x] * F.col("qty") / F.col(leg)["size"]
+    return pairs.select(*TAPE, F.col("o.key").alias("open_key"), F.col("c.key").alias("close_key"), F.col("o.us").alias("entry_us"), F.col("c.us").alias("exit_us"), F.col("o.price").alias("entry_px"), F.col("c.price").alias("exit_px"), "qty", part("o", "fee").alias("fee_open"), part("c", "fee").alias("fee_close"), part("c", "pnl").alias("closed_pnl"))
 
 
 def residual_lots(fills: DataFrame) -> DataFrame:
     """What is left of each lot at the end of its tape."""
     rows = _cumulative(fills)
     used = rows.groupBy(*TAPE).agg(F.max(F.col("closed") - F.col("lost")).alias("matched"))
-    left = rows.where("is_open").join(used, TAPE).withColumn("left", F.greatest(F.lit(0.0), F.col("opened") - F.greatest(F.col("opened") - F.col("size"), F.col("matched"))))
-    return left.where(F.col("left") > TOLERANCE).select(*TAPE, F.col("event_key").alias("open_key"), "us", "price", "left")
+    left = rows.where("is_open").join(used, TAPE).withColumn("left", F.greatest(F.lit(0), F.col("opened") - F.greatest(F.col("opened") - F.col("q"), F.col("matched"))))
+    return left.where(F.col("left") > TOLERANCE).select(*TAPE, F.col("event_key").alias("open_key"), "us", "price", F.col("left").cast("double").alias("left"))
 
 
 def slipped(trips: DataFrame, bps: float) -> DataFrame:

@@ -45,8 +45,9 @@ AUDIT = {
 SQL["p_scoring_audit"] = " UNION ALL ".join(f"SELECT '{k}' AS query, COUNT(*) AS n_rows FROM ({v}) q_{k}" for k, v in AUDIT.items())
 SQL |= {f"p_scoring_audit_{k}": v for k, v in AUDIT.items()}
 
-SQL["p_whale_discovery"] = """SELECT wallet, ROUND(vlm, 2) AS vlm, CASE WHEN vlm >= 1000000 THEN 'mega' WHEN vlm >= 500000 THEN 'large' WHEN vlm >= 100000 THEN 'mid' ELSE 'small' END AS tier, place <= 25 AND (vlm >= 500000 OR account_value >= 5000) AS promote FROM
-(SELECT wallet, vlm, account_value, ROW_NUMBER() OVER (ORDER BY vlm DESC, wallet) AS place FROM leaderboard_v WHERE n_orders >= 2) x WHERE place <= 100"""
+SQL["p_whale_discovery"] = """SELECT wallet, ROUND(vlm, 2) AS vlm, CASE WHEN vlm >= 1e9 THEN 'mega' WHEN vlm >= 1e8 THEN 'whale' WHEN vlm >= 1e7 THEN 'large' ELSE 'active' END AS tier,
+vlm >= 1e7 AND roi > 0e0 AND (COALESCE(hit >= 55e0, FALSE) OR vlm >= 1e8 OR (vlm >= 5e7 AND roi >= 0.08e0)) AS promote
+FROM (SELECT * FROM whales_v WHERE n_orders >= 2 ORDER BY vlm DESC, wallet LIMIT 100) x"""
 SQL["p_daily_universe"] = f"SELECT DATE '2024-01-30' AS snapshot_date, t.trader_id, t.wallet_status, r.discovery FROM traders_v t JOIN ({_RANK}) r ON r.trader_id = t.trader_id WHERE r.promoted"
 SQL["p_example_latest_metrics"] = "SELECT trader_id, ROUND(MAX_BY(equity, us), 4) AS equity, MAX(us) AS us FROM pnl_v GROUP BY trader_id"
 SQL["p_example_sync"] = "SELECT kind, COUNT(*) AS n, MAX(us) AS last_us FROM conn_v GROUP BY kind"
@@ -55,9 +56,6 @@ SQL["k_spec_pillars"] = "SELECT trader_id, ROUND(LEAST(100e0, CASE WHEN hit >= 6
 SQL["k_spec_gates"] = "SELECT trader_id, CASE WHEN n < 5 THEN 'stage1' WHEN volume < 100 THEN 'stage2' WHEN pnl <= 0.001e0 * volume THEN 'stage3' ELSE 'pass' END AS gate FROM (SELECT trader_id, COUNT(*) AS n, SUM(price * size) AS volume, COALESCE(SUM(closed_pnl_usd), 0e0) AS pnl FROM fills_v GROUP BY trader_id) x"
 SQL["k_spec_score_history"] = "SELECT trader_id, ROUND(COALESCE(STDDEV_SAMP(d), 0e0), 6) AS volatility, MIN(d) AS worst, COALESCE(MIN(d) < -15e0, FALSE) AS drop_alert FROM (SELECT trader_id, total_score - LAG(total_score) OVER (PARTITION BY trader_id ORDER BY us, event_id) AS d FROM scores_v) x GROUP BY trader_id"
 SQL["k_fill_dir_quality"] = "SELECT trader_id, CASE WHEN missing >= 1e0 THEN 'exclude' WHEN missing > 0.1e0 THEN 'backfill' ELSE 'ok' END AS quality FROM (SELECT trader_id, AVG(CASE WHEN event_id % 9 = 0 OR trader_id % 13 = 0 OR (trader_id % 5 = 0 AND event_id % 3 = 0) THEN 1e0 ELSE 0e0 END) AS missing FROM fills_v GROUP BY trader_id) x"
-SQL["k_edge_filter"] = "SELECT trader_id, CASE WHEN n < 20 THEN 'TOO_FEW_TRADES' WHEN wr < 0.45e0 THEN 'LOW_WIN_RATE' WHEN wr * w + (1e0 - wr) * l <= 0 THEN 'NEGATIVE_EXPECTANCY' ELSE 'OK' END AS reason FROM (SELECT trader_id, COUNT(*) AS n, AVG(CASE WHEN price > 50e0 THEN 1e0 ELSE 0e0 END) AS wr, COALESCE(AVG(CASE WHEN price > 50e0 THEN price - 50e0 END), 0e0) AS w, COALESCE(AVG(CASE WHEN price <= 50e0 THEN price - 50e0 END), 0e0) AS l FROM fills_v GROUP BY trader_id) x"
-SQL["k_verdict"] = "SELECT trader_id, CASE WHEN n = 0 THEN 'NO_DATA' WHEN wr < 0.3e0 THEN 'FILTERED_EDGE' WHEN copy < 0.2e0 THEN 'FILTERED_COPYABILITY' WHEN pnl > 0 AND wr >= 0.4e0 THEN 'LIVE_CANDIDATE' WHEN pnl > 0 THEN 'MONITOR' ELSE 'REVIEW' END AS verdict FROM (SELECT trader_id, COUNT(*) AS n, AVG(CASE WHEN closed_pnl_usd > 0 THEN 1e0 ELSE 0e0 END) AS wr, (trader_id % 10) / 10e0 AS copy, COALESCE(SUM(closed_pnl_usd), 0e0) AS pnl FROM fills_v WHERE closed_pnl_usd IS NOT NULL GROUP BY trader_id) x"
-SQL["k_variance_drain"] = "SELECT trader_id, ROUND(mu - 0.5e0 * sd * sd, 8) AS geometric, mu - 0.5e0 * sd * sd <= 0 AS drained FROM (SELECT trader_id, AVG((price - 50e0) / 1000e0) AS mu, COALESCE(STDDEV_SAMP((price - 50e0) / 1000e0), 0e0) AS sd FROM fills_v GROUP BY trader_id) x"
 SQL["k_dir_return_pct"] = "SELECT signal_id, ROUND(CASE WHEN reference_price <= 0 THEN 0e0 WHEN direction = 'long' THEN ((confidence + 1e0) / NULLIF(reference_price, 0e0) - 1e0) * 100e0 ELSE (reference_price / NULLIF(confidence + 1e0, 0e0) - 1e0) * 100e0 END, 6) AS pct FROM signals_v"
 SQL["k_sim_slip_price"] = "SELECT event_id, ROUND(CASE side WHEN 'buy' THEN price * 1.0005e0 ELSE price * 0.9995e0 END, 8) AS entry, ROUND(CASE side WHEN 'buy' THEN price * 1.0005e0 ELSE price * 0.9995e0 END, 8) AS exit, ROUND(price * size * 0.00045e0, 8) AS fee FROM fills_v"
 SQL["k_strategy_match"] = "SELECT s.signal_id, st.name, CASE WHEN st.fade THEN CASE s.direction WHEN 'short' THEN 'long' ELSE 'short' END ELSE s.direction END AS direction FROM signals_v s JOIN (VALUES ('consensus_momentum', FALSE, 60), ('quality_breakout', FALSE, 75), ('regime_fade', TRUE, 55)) st(name, fade, least) ON s.confidence >= st.least AND ((st.fade AND s.regime IN ('crowded', 'volatile')) OR (NOT st.fade AND s.regime = 'trend_expansion') OR (st.name = 'consensus_momentum' AND s.regime = 'balanced'))"

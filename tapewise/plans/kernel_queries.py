@@ -85,13 +85,37 @@ _LEG = "LEAST(price * size * 0.5e0, LEAST(price * 10e0 * 0.2e0, 150e0))"
 add("k_leg_size", "fills_v", "event_id", {"usd": (lambda: _leg(0), f"CASE WHEN {_LEG} < 10 THEN 0e0 ELSE {_LEG} END"), "why": (lambda: _leg(1), f"{_S} WHEN {_LEG} < 10 THEN 'DUST' WHEN price * size * 0.5e0 > LEAST(price * 10e0 * 0.2e0, 150e0) THEN 'RISK_CAP' ELSE 'OK' END")})
 
 
-def _stake(i: int) -> Column:
-    return k.kelly_size(c("price") / 150, c("size"), F.lit(10_000.0), c("size") / 5, c("price") / 1000)[i]
-
-
-_K = "GREATEST((price / 150e0 * size - (1e0 - price / 150e0)) / size, 0e0) * 0.25e0 * GREATEST(size / 5e0, 0.2e0) * 10000e0"
-_ST = "10000e0 * 0.01e0 / GREATEST(price / 1000e0, 1e-6)"
-add("k_kelly_size", "fills_v", "event_id", {"stake": (lambda: _stake(0), f"LEAST({_K}, {_ST}, 500e0)"), "bound": (lambda: _stake(1), f"{_S} WHEN {_K} <= LEAST({_ST}, 500e0) THEN 'kelly' WHEN {_ST} <= 500e0 THEN 'stop' ELSE 'cap' END")})
+def _stake(x: str) -> Column:
+    last = F.when(c("event_id") % 4 == 0, c("price") * 3)
+    return k.kelly_size(c("price") / 100, c("size") / 2, F.lit(10_000.0), c("size") / 5, F.when(c("event_id") % 6 == 0, 0.0).otherwise(c("price") / 1000), last)[x]
+
+
+_P = "(price / 100e0)"
+_B = "(size / 2e0)"
+_KELLY = f"(({_P} * {_B} - (1e0 - {_P})) / {_B})"
+_K = f"(10000e0 * {_KELLY} * 0.25e0 * GREATEST(size / 5e0, 0.2e0) * CASE WHEN {_P} >= 0.5e0 THEN 1e0 ELSE 0.6e0 END)"
+_ST = f"(CASE WHEN event_id % 6 = 0 OR price <= 0 THEN {_K} ELSE 100e0 / (price / 1000e0) END)"
+_FREE = f"LEAST({_ST}, {_K}, 1500e0)"
+_HELD = f"(CASE WHEN event_id % 4 = 0 AND price > 0 THEN LEAST({_FREE}, price * 3e0 * 1.05e0) ELSE {_FREE} END)"
+_NAME = f"CASE WHEN {_ST} <= LEAST({_K}, 1500e0) THEN 'stop' WHEN {_K} <= 1500e0 THEN 'kelly' ELSE 'max_cap' END"
+add(
+    "k_kelly_size",
+    "fills_v",
+    "event_id",
+    {
+        "stake": (lambda: _stake("usd"), f"CASE WHEN {_KELLY} <= 0 THEN 0e0 ELSE {_HELD} END"),
+        "bound": (lambda: _stake("bound"), f"{_S} WHEN {_KELLY} <= 0 OR {_HELD} < 1 THEN 'dust' WHEN {_HELD} < {_FREE} - 1e-9 THEN 'ratchet' ELSE {_NAME} END"),
+        "skip": (lambda: _stake("skip"), f"{_S} WHEN {_KELLY} <= 0 THEN 'NEGATIVE_EXPECTANCY' WHEN {_HELD} < 1 THEN 'DUST' END"),
+    },
+)
+_EDGE = f"{_S} WHEN wr < 0.45e0 THEN 'WIN_RATE_TOO_LOW' WHEN wr * gain - (1e0 - wr) * loss < 0.002e0 THEN 'INSUFFICIENT_EDGE' ELSE 'OK' END"
+_GATE = f"{_S} WHEN n < 20 THEN 'INSUFFICIENT_TRIPS' WHEN copy < 0.3e0 THEN 'LOW_COPYABILITY' ELSE 'OK' END"
+_VERDICT = f"""{_S} WHEN n = 0 THEN 'NO_DATA' WHEN ({_EDGE}) <> 'OK' THEN 'FILTERED_EDGE' WHEN ({_GATE}) <> 'OK' THEN 'FILTERED_COPYABILITY'
+WHEN dynamic_pct > 0 AND (CASE WHEN ABS(exchange_pct) < 1e-9 THEN 1e300 ELSE ABS(dynamic_pct / exchange_pct) END) <= 20 THEN 'LIVE_CANDIDATE' WHEN dynamic_pct >= -2 THEN 'MONITOR' ELSE 'REVIEW' END"""
+add("k_edge_filter", "edge_v", "trader_id", {"reason": (lambda: k.edge_filter(c("wr"), c("gain"), c("loss")), _EDGE)})
+add("k_copyability_gate", "edge_v", "trader_id", {"reason": (lambda: k.copyability_gate(c("copy"), c("n")), _GATE)})
+add("k_variance_drain", "edge_v", "trader_id", {"drain": (lambda: k.variance_drain_pct(c("copy") * 15, c("n")), "copy * copy * 225e0 * n / 200e0")})
+add("k_verdict", "edge_v", "trader_id", {"verdict": (lambda: k.verdict(k.edge_filter(c("wr"), c("gain"), c("loss")), k.copyability_gate(c("copy"), c("n")), c("dynamic_pct"), c("exchange_pct"), c("n")), _VERDICT)})
 add("k_stop_distance", "fills_v", "event_id", {"stop": (lambda: F.coalesce(F.when(c("event_id") % 3 == 0, c("price") / 1000), F.when(c("coin") == "click", 0.02), F.lit(0.03)), "COALESCE(CASE WHEN event_id % 3 = 0 THEN price / 1000e0 END, CASE WHEN coin = 'click' THEN 0.02e0 END, 0.03e0)")})
 add("k_timing_from_hold", "fills_v", "event_id", {"t": (lambda: k.timing_from_hold(c("price") * 3), "CASE WHEN price * 3e0 < 1 THEN 25e0 * GREATEST(price * 3e0, 0e0) WHEN price * 3e0 < 4 THEN 25e0 + 20e0 * (price * 3e0 - 1e0) / 3e0 WHEN price * 3e0 <= 48 THEN 92e0 WHEN price * 3e0 <= 168 THEN GREATEST(25e0, 92e0 * (1e0 - (price * 3e0 - 48e0) / 120e0)) ELSE GREATEST(8e0, 25e0 * EXP(-(price * 3e0 - 168e0) / 240e0)) END")})
 add("k_linear_score", "fills_v", "event_id", {"up": (lambda: k.linear_score(c("price"), 90.0, 40.0), f"{_clamp('(price - 40e0) / 50e0', '0e0', '1e0')} * 100e0"), "down": (lambda: k.linear_score(c("price"), 6.0, 168.0), f"{_clamp('(price - 168e0) / (6e0 - 168e0)', '0e0', '1e0')} * 100e0")})
@@ -99,9 +123,21 @@ add("k_completeness", "fills_v", "event_id", {"comp": (lambda: k.completeness(c(
 add("k_behavior_tier", "scores_v", "event_id", {"tier": (lambda: k.behavior_tier(F.when(c("event_id") % 6 != 0, c("total_score")), c("total_score") / 100, F.lit(90.0)), _S + " WHEN event_id % 6 = 0 THEN 'watchlist' WHEN total_score >= 75 AND total_score / 100e0 >= 0.7e0 THEN 'high_quality' WHEN total_score >= 40 AND total_score / 100e0 >= 0.5e0 THEN 'active_tracked' ELSE 'watchlist' END")})
 add("k_hf_label", "fills_v", "event_id", {"label": (lambda: k.hf_label(c("event_id") * 10, c("price")), _S + " WHEN event_id * 10 = 0 THEN 'NEW_WALLET' WHEN event_id * 10 >= 10000 AND price < 30 THEN 'ULTRA_HF_BOT' WHEN event_id * 10 >= 10000 AND price < 90 THEN 'HIGH_FREQUENCY' WHEN event_id * 10 >= 10000 OR price >= 90 THEN 'NORMAL' ELSE 'NEW_WALLET' END")})
 add("k_spread_bps", "book_v", "event_id", {"bps": (lambda: k.spread_bps(c("bid"), c("ask")), "CASE WHEN (bid + ask) / 2e0 > 0 THEN (ask - bid) / ((bid + ask) / 2e0) * 1e4 END")})
-add("k_order_kind", "orders_snap_v", "o_orderkey", {"kind": (lambda: F.when(c("status") == "filled", "fill").when(c("order_type").contains("URGENT"), "perp").otherwise("spot"), _S + " WHEN status = 'filled' THEN 'fill' WHEN order_type LIKE '%URGENT%' THEN 'perp' ELSE 'spot' END")})
+_SPOT = "CASE WHEN LOWER(status) LIKE '%cancel%' OR LOWER(status) LIKE '%reject%' THEN 'spot_limit_canceled' WHEN reduce_only THEN 'spot_limit_close' WHEN side = 'B' THEN 'spot_limit_buy' WHEN side = 'A' THEN 'spot_limit_sell' ELSE 'other' END"
+_PERP = "CASE WHEN LOWER(status) LIKE '%cancel%' THEN CASE WHEN side = CASE WHEN reduce_only THEN 'B' ELSE 'A' END THEN 'canceled_short' ELSE 'canceled' END WHEN side = 'A' THEN CASE WHEN reduce_only THEN 'long_close' ELSE 'short_open' END WHEN side = 'B' THEN CASE WHEN reduce_only THEN 'short_close' ELSE 'long_open' END ELSE 'other' END"
+add("k_order_kind", "intents_v", "o_orderkey", {"kind": (lambda: k.order_kind(c("status"), c("side"), c("reduce_only"), c("coin")), f"{_S} WHEN TRIM(coin) LIKE '@%' THEN {_SPOT} ELSE {_PERP} END"), "ambiguous": (lambda: k.order_ambiguous(c("coin"), c("reduce_only")), "(/*s*/TRIM(coin) NOT LIKE '@%' AND NOT reduce_only)")})
 add("k_segment_clip", "signals_v", "signal_id", {"len": (lambda: (F.least(c("window_end") + 7_200_000_000, F.lit(NOW - 864_000_000_000)) - F.greatest(c("window_end"), F.lit(NOW - 1_728_000_000_000))).cast("double"), f"CAST(LEAST(window_end + 7200000000, {NOW - 864_000_000_000}) - GREATEST(window_end, {NOW - 1_728_000_000_000}) AS DOUBLE)")})
 add("k_channel_status", "fills_v", "event_id", {"status": (lambda: k.channel_status(F.when(c("event_id") % 7 != 0, c("price") * 10)), _S + " WHEN event_id % 7 = 0 THEN 'missing' WHEN price * 10e0 > 900 THEN 'critical' WHEN price * 10e0 > 300 THEN 'warn' ELSE 'ok' END")})
-add("k_whale_tier", "leaderboard_v", "wallet_id", {"tier": (lambda: k.whale_tier(c("vlm")), _S + " WHEN vlm >= 1000000 THEN 'mega' WHEN vlm >= 500000 THEN 'large' WHEN vlm >= 100000 THEN 'mid' ELSE 'small' END"), "promote": (lambda: (c("vlm") >= 500_000) | ((c("vlm") >= 100_000) & (c("account_value") >= 5000)), "(/*s*/vlm >= 500000 OR (vlm >= 100000 AND account_value >= 5000))")})
+add("k_whale_tier", "whales_v", "wallet_id", {"tier": (lambda: k.whale_tier(c("vlm")), _S + " WHEN vlm >= 1000000000 THEN 'mega' WHEN vlm >= 100000000 THEN 'whale' WHEN vlm >= 10000000 THEN 'large' ELSE 'active' END")})
+_HIT = "COALESCE(hit >= 55, FALSE)"
+add(
+    "k_should_promote",
+    "whales_v",
+    "wallet_id",
+    {
+        "promote": (lambda: k.should_promote(c("vlm"), c("hit"), c("roi"), least_volume=1e7, least_hit=55.0, elite=False), f"(/*s*/vlm >= 10000000 AND roi > 0 AND ({_HIT} OR vlm >= 100000000 OR (vlm >= 50000000 AND roi >= 0.08e0)))"),
+        "elite": (lambda: k.should_promote(c("vlm"), c("hit"), c("roi"), least_volume=1e7, least_hit=55.0, elite=True), f"(/*s*/vlm >= 10000000 AND roi > 0 AND ({_HIT} OR (vlm >= 100000000 AND roi >= 0.1e0)))"),
+    },
+)
 add("k_marker_size", "fills_v", "event_id", {"px": (lambda: k.clamp(c("size") / 3.0, 0.25, 4.0) * 8.0, f"{_clamp('size / 3e0', '0.25e0', '4e0')} * 8e0")})
 add("prj_context_json", "signals_v", "signal_id", {"ctx": (lambda: F.to_json(F.struct("coin", "regime")), """CASE /*s*/ WHEN TRUE THEN '{"coin":"' || coin || '","regime":"' || regime || '"}' END""")})

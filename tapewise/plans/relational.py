@@ -108,7 +108,8 @@ SQL["agg_recovery_factor"] = """SELECT trader_id, ROUND(CASE WHEN n < 2 OR ABS(a
 SQL["agg_regime_breakdown"] = "SELECT regime, COUNT(*) AS n, ROUND(AVG(CASE WHEN reference_price > 50e0 THEN 100e0 ELSE 0e0 END), 6) AS win_rate, ROUND(AVG(reference_price), 6) AS avg_return, ROUND(SUM(reference_price), 4) AS total FROM signals_v GROUP BY regime"
 SQL["agg_percentile_cont"] = "SELECT ROUND(percentile_cont(0.5) WITHIN GROUP (ORDER BY s), 6) AS p50, ROUND(percentile_cont(0.9) WITHIN GROUP (ORDER BY s), 6) AS p90 FROM (SELECT trader_id, MAX_BY(total_score, us) AS s FROM scores_v GROUP BY trader_id) x"
 SQL["agg_inventory"] = "SELECT 'fills' AS name, COUNT(*) AS n FROM fills_v UNION ALL SELECT 'traders', COUNT(*) FROM traders_v UNION ALL SELECT 'scores', COUNT(*) FROM scores_v UNION ALL SELECT 'promoted', COUNT(DISTINCT trader_id) FROM ranks_v WHERE promoted"
-SQL["agg_freshness"] = f"SELECT f.n AS fills_n, f.m AS fills_max, ({NOW} - f.m) / 1e6 AS fills_lag, s.n AS scores_n, s.m AS scores_max, ({NOW} - s.m) / 1e6 AS scores_lag FROM (SELECT COUNT(*) AS n, MAX(us) AS m FROM fills_v) f CROSS JOIN (SELECT COUNT(*) AS n, MAX(us) AS m FROM scores_v) s"
+_TABLES = {"fills": "fills_v", "ticks": "ticks_v", "positions": "positions_v", "pnl": "pnl_v", "market": "market_v", "scores": "scores_v"}
+SQL["agg_freshness"] = "SELECT " + ", ".join(f"{t}.n AS {t}_n, {t}.m AS {t}_max, ({NOW} - {t}.m) / 1e6 AS {t}_lag" for t in _TABLES) + " FROM " + " CROSS JOIN ".join(f"(SELECT COUNT(*) AS n, MAX(us) AS m FROM {v}) {t}" for t, v in _TABLES.items())
 SQL["agg_liquidity_baseline"] = f"SELECT coin, CAST(FLOOR(us / {HOUR}) AS BIGINT) % 24 AS utc_hour, ROUND(AVG((ask - bid) / mid * 1e4), 6) AS mu, ROUND(STDDEV_SAMP((ask - bid) / mid * 1e4), 6) AS sigma, COUNT(*) AS n_samples FROM book_v WHERE mid > 0e0 GROUP BY coin, CAST(FLOOR(us / {HOUR}) AS BIGINT) % 24"
 SQL["agg_ohlcv_bars"] = f"SELECT coin, CAST(FLOOR(us / {HOUR}) AS BIGINT) AS bar, MIN_BY(price, us) AS open, MAX(price) AS high, MIN(price) AS low, MAX_BY(price, us) AS close, SUM(size) AS volume, COUNT(*) AS n FROM ticks_v GROUP BY coin, CAST(FLOOR(us / {HOUR}) AS BIGINT)"
 SQL["agg_vwap_bucket"] = f"SELECT coin, CAST(FLOOR(us / {6 * HOUR}) AS BIGINT) AS bucket, ROUND(SUM(CASE WHEN side = 'buy' THEN price * size END) / NULLIF(SUM(CASE WHEN side = 'buy' THEN size END), 0e0), 6) AS buy_vwap, ROUND(SUM(CASE WHEN side = 'sell' THEN price * size END) / NULLIF(SUM(CASE WHEN side = 'sell' THEN size END), 0e0), 6) AS sell_vwap, COUNT(*) AS n, ROUND(SUM(closed_pnl_usd), 4) AS pnl FROM fills_v GROUP BY coin, CAST(FLOOR(us / {6 * HOUR}) AS BIGINT)"
@@ -137,7 +138,7 @@ SQL["win_hourly_last"] = f"SELECT trader_id, CAST(FLOOR(us / {HOUR}) AS BIGINT)
 SQL["win_curve_returns"] = "SELECT trader_id, event_id, ROUND((equity / prev - 1e0) * 1e4, 6) AS ret_bps FROM (SELECT trader_id, event_id, equity, LAG(equity) OVER (PARTITION BY trader_id ORDER BY us, event_id) AS prev FROM pnl_v) x WHERE ABS(prev) > 1e-9"
 SQL["win_running_max_drawdown"] = "SELECT trader_id, ROUND(MAX(CASE WHEN peak > 1e-9 THEN (peak - equity) / peak * 100e0 ELSE 0e0 END), 6) AS max_dd FROM (SELECT trader_id, equity, GREATEST(0e0, MAX(equity) OVER (PARTITION BY trader_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS peak FROM pnl_v) x GROUP BY trader_id"
 SQL["win_gap_sessionize"] = f"""SELECT trader_id, coin, direction, seg, COUNT(*) AS n, FLOOR((MAX(us) - MIN(us)) / 1e6) / 3600e0 AS hours FROM (SELECT trader_id, coin, direction, us, CAST(SUM(brk) OVER (PARTITION BY trader_id, coin, direction ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS seg FROM
-(SELECT trader_id, coin, direction, us, event_id, CASE WHEN us - LAG(us) OVER (PARTITION BY trader_id, coin, direction ORDER BY us, event_id) > {24 * HOUR} THEN 1 ELSE 0 END AS brk FROM positions_v) a) b GROUP BY trader_id, coin, direction, seg"""
+(SELECT trader_id, coin, direction, us, event_id, CASE WHEN us - LAG(us) OVER (PARTITION BY trader_id, coin, direction ORDER BY us, event_id) > {45 * MINUTE} THEN 1 ELSE 0 END AS brk FROM positions_v) a) b GROUP BY trader_id, coin, direction, seg"""
 SQL["win_streaks"] = """SELECT trader_id, MAX(CASE WHEN win = 1 THEN n ELSE 0 END) AS max_wins, MAX(CASE WHEN win = 0 THEN n ELSE 0 END) AS max_losses FROM (SELECT trader_id, win, grp, COUNT(*) AS n FROM (SELECT trader_id, win, ROW_NUMBER() OVER (PARTITION BY trader_id ORDER BY us, event_id) - ROW_NUMBER() OVER (PARTITION BY trader_id, win ORDER BY us, event_id) AS grp FROM
 (SELECT trader_id, us, event_id, CASE WHEN price > 50e0 THEN 1 ELSE 0 END AS win FROM fills_v) a) b GROUP BY trader_id, win, grp) c GROUP BY trader_id"""
 SQL["win_rolling_days_hit"] = """SELECT trader_id, day_no, CASE WHEN n >= 4 THEN ROUND(CAST(w AS DOUBLE) / n, 6) END AS hit FROM (SELECT trader_id, day_no, SUM(n) OVER (PARTITION BY trader_id ORDER BY day_no RANGE BETWEEN 30 PRECEDING AND CURRENT ROW) AS n, SUM(w) OVER (PARTITION BY trader_id ORDER BY day_no RANGE BETWEEN 30 PRECEDING AND CURRENT ROW) AS w FROM
@@ -166,6 +167,8 @@ SQL["ded_merge_first"] = "SELECT event_key, us, price FROM (SELECT event_key, us
 SQL["ded_order_snapshots"] = "SELECT oid, o_orderkey, status FROM (SELECT oid, o_orderkey, status, ROW_NUMBER() OVER (PARTITION BY oid ORDER BY CASE status WHEN 'filled' THEN 4 WHEN 'canceled' THEN 3 WHEN 'triggered' THEN 2 WHEN 'open' THEN 1 ELSE 0 END DESC, status_us DESC, o_orderkey DESC) AS r FROM orders_snap_v) x WHERE r = 1"
 SQL["ded_unique_last"] = "SELECT oid, o_orderkey FROM (SELECT oid, o_orderkey, ROW_NUMBER() OVER (PARTITION BY oid ORDER BY status_us DESC, o_orderkey DESC) AS r FROM orders_snap_v) x WHERE r = 1"
 SQL["ded_unique_first"] = "SELECT oid, o_orderkey FROM (SELECT oid, o_orderkey, ROW_NUMBER() OVER (PARTITION BY oid ORDER BY o_orderkey) AS r FROM orders_snap_v) x WHERE r = 1"
-SQL["ded_lru_window"] = "SELECT DISTINCT coin, price, size FROM ticks_v"
-SQL["ded_alert_daily"] = "SELECT trader_id, day, 'leverage' AS alert FROM (SELECT DISTINCT trader_id, CAST(ts AS DATE) AS day FROM positions_v WHERE leverage > 8e0) a WHERE NOT EXISTS (SELECT 1 FROM positions_v p WHERE p.trader_id = a.trader_id AND CAST(p.ts AS DATE) = a.day AND p.leverage < 2e0)"
+SQL["ded_lru_window"] = """SELECT event_key, MIN(us) AS us, COUNT(*) AS seen FROM (SELECT event_key, us FROM fills_v UNION ALL SELECT event_key, us + 1 FROM fills_v WHERE event_id % 3 = 0
+UNION ALL SELECT 'tick|' || coin || '|' || CAST(event_id AS STRING), us FROM ticks_v UNION ALL SELECT 'tick|' || coin || '|' || CAST(event_id AS STRING), us FROM ticks_v WHERE event_id % 5 = 0
+UNION ALL SELECT 'position|' || CAST(trader_id AS STRING) || '|' || coin || '|' || CAST(us AS STRING), us FROM positions_v UNION ALL SELECT 'market|' || coin || '|' || CAST(us AS STRING), us FROM market_v) u GROUP BY event_key"""
+SQL["ded_alert_daily"] = "SELECT trader_id, day, alert FROM (SELECT DISTINCT trader_id, CAST(ts AS DATE) AS day, 'leverage' AS alert FROM positions_v WHERE leverage > 8e0) a WHERE NOT EXISTS (SELECT 1 FROM alerts_v h WHERE h.trader_id = a.trader_id AND h.day = a.day AND h.alert = a.alert)"
 SQL["ded_group_wallets"] = "SELECT DISTINCT LOWER(wallet) AS wallet FROM traders_v"

@@ -246,7 +246,7 @@ cu AS (SELECT *, SUM(CASE WHEN is_open THEN size ELSE 0e0 END) OVER w AS opened,
 lo AS (SELECT *, GREATEST(0e0, MAX(closed - opened) OVER (PARTITION BY trader_id, coin, side ORDER BY us, event_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS lost FROM cu),
 op AS (SELECT *, opened - size AS o_lo, opened AS o_hi FROM lo WHERE is_open),
 cl AS (SELECT *, closed - lost AS m_hi, COALESCE(LAG(closed - lost) OVER (PARTITION BY trader_id, coin, side ORDER BY us, event_key), 0e0) AS m_lo, COALESCE(LAG(lost) OVER (PARTITION BY trader_id, coin, side ORDER BY us, event_key), 0e0) AS before FROM lo WHERE NOT is_open),
-trip AS (SELECT o.trader_id, o.coin, o.side, o.event_key AS open_key, c.event_key AS close_key, o.us AS entry_us, c.us AS exit_us, o.price AS entry_px, c.price AS exit_px, LEAST(o_hi, m_hi) - GREATEST(o_lo, m_lo) AS qty, o.size AS o_size, c.size AS c_size, o.fee_usd AS o_fee, c.fee_usd AS c_fee, c.closed_pnl_usd AS c_pnl FROM op o JOIN cl c ON c.trader_id = o.trader_id AND c.coin = o.coin AND c.side = o.side AND o_lo < m_hi AND m_lo < o_hi WHERE lost_ok(c.lost, c.before) AND LEAST(o_hi, m_hi) - GREATEST(o_lo, m_lo) > 1e-9)""".replace("lost_ok(c.lost, c.before)", "c.lost <= c.before + 1e-9")
+trip AS (SELECT o.trader_id, o.coin, o.side, o.event_key AS open_key, c.event_key AS close_key, o.us AS entry_us, c.us AS exit_us, o.price AS entry_px, c.price AS exit_px, LEAST(o_hi, m_hi) - GREATEST(o_lo, m_lo) AS qty, o.size AS o_size, c.size AS c_size, o.fee_usd AS o_fee, c.fee_usd AS c_fee, c.closed_pnl_usd AS c_pnl FROM op o JOIN cl c ON (c.trader_id, c.coin, c.side) = (o.trader_id, o.coin, o.side) WHERE lost_ok(c.lost, c.before) AND LEAST(o_hi, m_hi) - GREATEST(o_lo, m_lo) > 1e-9)""".replace("lost_ok(c.lost, c.before)", "c.lost <= c.before + 1e-9")
 _FIFO_NET = _FIFO + """, net AS (SELECT trip.*, o_fee * qty / o_size AS fee_open, c_fee * qty / c_size AS fee_close, c_pnl * qty / c_size AS closed_pnl, (exit_us - entry_us) / 3.6e9 AS hold_hours, qty * entry_px AS notional, (CASE side WHEN 'long' THEN exit_px * 0.9995e0 - entry_px * 1.0005e0 ELSE entry_px * 0.9995e0 - exit_px * 1.0005e0 END) * qty - o_fee * qty / o_size - c_fee * qty / c_size AS net FROM trip)"""
 
 
@@ -337,21 +337,28 @@ def _(s, d):
 
 
 @query("p_whale_allocation", """WITH b AS (SELECT trader_id, LEAST(GREATEST(AVG(price - 50e0) / (STDDEV_POP(price - 50e0) + 1e-9), -2e0), 2e0) AS sharpe, (trader_id % 10) / 10e0 AS copy FROM fills_v GROUP BY trader_id), w AS (SELECT *, CASE WHEN copy < 0.3e0 THEN 0e0 ELSE GREATEST(sharpe, 0e0) * copy END AS wt FROM b), n AS (SELECT COUNT(*) AS k, SUM(EXP(3e0 * wt)) AS z FROM w WHERE wt > 0)
-SELECT trader_id, ROUND(CASE WHEN wt <= 0 THEN 0e0 WHEN 0.002e0 * k >= 1 THEN 100000e0 / k ELSE 100000e0 * (0.002e0 + (1e0 - 0.002e0 * k) * EXP(3e0 * wt) / z) END, 4) AS usd FROM w CROSS JOIN n""")
+SELECT trader_id, ROUND(CASE WHEN wt <= 0 THEN 0e0 WHEN 0.02e0 * k >= 1 THEN 100000e0 / k ELSE 100000e0 * (0.02e0 + (1e0 - 0.02e0 * k) * EXP(3e0 * wt) / z) END, 4) AS usd FROM w CROSS JOIN n""")
 def _(s, d):
     b = view(s, d, "fills_v").groupBy("trader_id").agg(k.clamp(F.avg(c("price") - 50.0) / (F.stddev_pop(c("price") - 50.0) + 1e-9), -2, 2).alias("sharpe")).withColumn("copy", c("trader_id") % 10 / 10.0)
     w = b.withColumn("wt", F.when(c("copy") < 0.3, 0.0).otherwise(F.greatest("sharpe", F.lit(0.0)) * c("copy")))
     n = w.where("wt > 0").agg(F.count("*").alias("k"), F.sum(F.exp(3.0 * c("wt"))).alias("z"))
-    usd = F.when(c("wt") <= 0, 0.0).when(0.002 * c("k") >= 1, 100_000.0 / c("k")).otherwise(100_000.0 * (0.002 + (1 - 0.002 * c("k")) * F.exp(3.0 * c("wt")) / c("z")))
+    usd = F.when(c("wt") <= 0, 0.0).when(0.02 * c("k") >= 1, 100_000.0 / c("k")).otherwise(100_000.0 * (0.02 + (1 - 0.02 * c("k")) * F.exp(3.0 * c("wt")) / c("z")))
     return w.crossJoin(F.broadcast(n)).select("trader_id", F.round(usd, 4).alias("usd"))
 
 
 @query("win_ema_recursive")
 def _(s, d):
-    """Exponential mean of each trader's daily equity, by an ordered fold."""
+    """Exponential mean of span 20 of each trader's daily equity, by an ordered
+    fold; the last equity where there are fewer than three."""
     day = view(s, d, "pnl_v").groupBy("trader_id", F.floor(c("us") / DAY).alias("day")).agg(F.max_by("equity", "us").alias("equity"))
     a = F.array_sort(F.collect_list(F.struct("day", "equity")))
     rows = day.groupBy("trader_id").agg(a.alias("xs"))
     start = F.struct(F.element_at("xs", 1)["equity"].alias("v"))
-    fold = F.aggregate("xs", start, lambda acc, x: F.struct((acc["v"] + (x["equity"] - acc["v"]) * (2.0 / 8.0)).alias("v")), lambda acc: acc["v"])
+    fold = F.aggregate("xs", start, lambda acc, x: F.struct((acc["v"] + (x["equity"] - acc["v"]) * (2.0 / 21.0)).alias("v")), lambda acc: acc["v"])
     return rows.select("trader_id", F.round(F.when(F.size("xs") < 3, F.element_at("xs", -1)["equity"]).otherwise(fold), 6).alias("ema"))
+
+
+ORACLE_SQL["win_ema_recursive"] = duck(f"""WITH d AS (SELECT trader_id, CAST(FLOOR(us / {DAY}) AS BIGINT) AS day, MAX_BY(equity, us) AS equity FROM pnl_v GROUP BY trader_id, CAST(FLOOR(us / {DAY}) AS BIGINT)),
+n AS (SELECT trader_id, equity, ROW_NUMBER() OVER (PARTITION BY trader_id ORDER BY day) AS i, COUNT(*) OVER (PARTITION BY trader_id) AS days FROM d),
+e AS (SELECT trader_id, i, days, equity, equity AS ema FROM n WHERE i = 1 UNION ALL SELECT n.trader_id, n.i, n.days, n.equity, n.equity * 2e0 / 21e0 + e.ema * 19e0 / 21e0 FROM e JOIN n ON n.trader_id = e.trader_id AND n.i = e.i + 1)
+SELECT trader_id, ROUND(CASE WHEN days < 3 THEN equity ELSE ema END, 6) AS ema FROM e WHERE i = days""").replace("WITH ", "WITH RECURSIVE ", 1)

@@ -41,6 +41,13 @@ VIEWS = {
     "book_v": """SELECT event_id, event_type AS coin, us, ts, value - 0.01e0 * (event_id % 9 + 1) AS bid, value + 0.01e0 * (event_id % 9 + 1) AS ask, value AS mid FROM ev_v WHERE event_id % 2 = 0""",
     "signals_v": """SELECT event_id AS signal_id, event_type AS coin, CASE WHEN event_id % 2 = 0 THEN 'long' ELSE 'short' END AS direction, value AS reference_price,
         us AS window_end, CAST((event_id * 11) % 100 AS DOUBLE) AS confidence, CASE event_id % 4 WHEN 0 THEN 'trend_expansion' WHEN 1 THEN 'crowded' WHEN 2 THEN 'volatile' ELSE 'balanced' END AS regime FROM ev_v WHERE event_id % 25 = 0""",
+    "edge_v": """SELECT trader_id, COUNT(*) AS n, AVG(CASE WHEN price > 50e0 THEN 1e0 ELSE 0e0 END) AS wr, COALESCE(AVG(CASE WHEN price > 50e0 THEN (price - 50e0) / 1000e0 END), 0e0) AS gain,
+        COALESCE(AVG(CASE WHEN price <= 50e0 THEN (50e0 - price) / 1000e0 END), 0e0) AS loss, (trader_id % 10) / 10e0 AS copy, (SUM(price) - 50e0 * COUNT(*)) / 100e0 AS dynamic_pct,
+        CASE WHEN trader_id % 11 = 0 THEN 0e0 ELSE COALESCE(SUM(closed_pnl_usd), 0e0) / 400e0 END AS exchange_pct FROM fills_v GROUP BY trader_id""",
+    "intents_v": """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'marginCanceled' WHEN o_orderkey % 11 = 0 THEN 'perpMarginRejected' ELSE status END AS status, CASE o_orderkey % 13 WHEN 0 THEN 'X' ELSE CASE o_orderkey % 2 WHEN 0 THEN 'B' ELSE 'A' END END AS side,
+        o_orderkey % 3 = 0 AS reduce_only, CASE o_orderkey % 5 WHEN 0 THEN '@107' WHEN 1 THEN ' @1 ' WHEN 2 THEN 'kPEPE' ELSE 'BTC' END AS coin FROM orders_snap_v""",
+    "alerts_v": """SELECT DISTINCT trader_id, CAST(ts AS DATE) AS day, 'leverage' AS alert FROM positions_v WHERE leverage > 8e0 AND event_id % 3 = 0""",
+    "whales_v": """SELECT wallet_id, wallet, n_orders, vlm * 100e0 AS vlm, CASE WHEN wallet_id % 4 = 0 THEN NULL ELSE CAST(wallet_id % 100 AS DOUBLE) END AS hit, account_value / 50000e0 AS roi FROM leaderboard_v""",
     "orders_snap_v": """SELECT o_orderkey % 500 AS oid, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' ELSE 'triggered' END AS status, $us(o_orderdate) AS status_us, o_totalprice AS limit_px, o_orderpriority AS order_type FROM @orders""",
     "leaderboard_v": """SELECT c.c_custkey AS wallet_id, c.c_name AS wallet, c.c_acctbal AS account_value, c.c_nationkey AS nation, COALESCE(SUM(o.o_totalprice), 0e0) AS vlm, COUNT(o.o_orderkey) AS n_orders FROM @customer c LEFT JOIN @orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey, c.c_name, c.c_acctbal, c.c_nationkey""",
 }

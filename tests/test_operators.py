@@ -71,7 +71,7 @@ def test_fifo_matches_a_deque(spark):
         want += [(trader, *t) for t in trips]
         rest += [(trader, *t) for t in left]
     fills = spark.createDataFrame(rows, "trader_id long, coin string, fill_dir string, size double, price double, us long, event_key string, fee_usd double, closed_pnl_usd double")
-    got = round_trips(fills, width=7.0).collect()
+    got = round_trips(fills).collect()
     assert sorted((r.trader_id, r.open_key, r.close_key, r.qty) for r in got) == sorted(want)
     assert sorted((r.trader_id, r.open_key, r.left) for r in residual_lots(fills).collect()) == sorted(rest)
 
@@ -127,3 +127,50 @@ def test_copy_folds():
     fills = pd.DataFrame({"us": [1, 2], "event_key": ["a", "b"], "coin": "C", "price": [10.0, 12.0], "delta": [5.0, -5.0]})
     done = fold_fills(fills, CopyConfig(scale=1.0, fee_rate=0.0))
     assert done == {"fills": 2, "realized": 10.0, "fees": 0.0, "open_coins": 0}
+
+
+def test_copy_gates_and_verdicts(spark):
+    """Answers worked out by hand."""
+    rows = [(0.4, 0.09, 0.01, 0.9, 40, 3.0, 1.0), (0.5, 0.002, 0.002, 0.9, 40, 3.0, 1.0), (0.5, 0.0059, 0.002, 0.9, 40, 3.0, 1.0), (0.7, 0.04, 0.03, 0.29, 40, 3.0, 1.0), (0.7, 0.04, 0.03, 0.3, 20, 3.0, 0.2), (0.7, 0.04, 0.03, 0.3, 19, 3.0, 1.0), (0.7, 0.04, 0.03, 0.8, 40, 4.2, 0.2), (0.7, 0.04, 0.03, 0.8, 40, -2.0, 0.5), (0.7, 0.04, 0.03, 0.8, 40, -2.1, 0.5), (0.7, 0.04, 0.03, 0.8, 40, 1.0, 0.0), (0.4, 0.0, 0.0, 0.0, 0, 0.0, 0.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, wr double, gain double, loss double, copy double, n long, dyn double, exch double")
+    edge, gate = k.edge_filter(F.col("wr"), F.col("gain"), F.col("loss")), k.copyability_gate(F.col("copy"), F.col("n"))
+    got = df.select("i", edge, gate, k.verdict(edge, gate, F.col("dyn"), F.col("exch"), F.col("n"))).orderBy("i").collect()
+    low, thin, few, sparse = "WIN_RATE_TOO_LOW", "INSUFFICIENT_EDGE", "INSUFFICIENT_TRIPS", "LOW_COPYABILITY"
+    assert [r[1] for r in got] == [low, thin, thin, *["OK"] * 7, low]
+    assert [r[2] for r in got] == ["OK", "OK", "OK", sparse, "OK", few, "OK", "OK", "OK", "OK", few]
+    assert [r[3] for r in got] == ["FILTERED_EDGE"] * 3 + ["FILTERED_COPYABILITY", "LIVE_CANDIDATE", "FILTERED_COPYABILITY", "MONITOR", "MONITOR", "REVIEW", "MONITOR", "NO_DATA"]
+    drain = spark.range(1).select(k.variance_drain_pct(F.lit(20.0), F.lit(50)), k.variance_drain_pct(F.lit(20.0), F.lit(0))).first()
+    assert [round(x, 9) for x in drain] == [100.0, 0.0]
+
+
+def test_position_size(spark):
+    """Kelly of 0.6 at 2 to 1 is 0.4, a quarter 0.1; of 0.4 it is 0.1."""
+    rows = [(0.6, 2.0, 0.5, 0.0, None), (0.4, 2.0, 1.0, 0.0, None), (0.6, 2.0, 0.5, 0.5, None), (0.9, 9.0, 1.0, 0.01, None), (0.6, 2.0, 0.5, 0.0, 100.0), (0.3, 1.0, 1.0, 0.0, None), (0.6, 0.0, 1.0, 0.0, None), (0.6, 2.0, 0.5, 0.0, 0.5), (0.6, 2.0, 0.0, 0.0, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, win double, payoff double, copy double, stop double, last double")
+    size = k.kelly_size(F.col("win"), F.col("payoff"), F.lit(10_000.0), F.col("copy"), F.col("stop"), F.col("last"))
+    got = [(round(r.usd, 6), r.bound, r.skip) for r in df.select("i", size.alias("s")).orderBy("i").select("s.*").collect()]
+    none = (0.0, "dust", "NEGATIVE_EXPECTANCY")
+    assert got == [(500.0, "stop", None), (150.0, "stop", None), (200.0, "stop", None), (1500.0, "max_cap", None), (105.0, "ratchet", None), none, none, (0.525, "dust", "DUST"), (200.0, "stop", None)]
+
+
+def test_order_classes_tiers_and_promotion(spark):
+    orders = [("open", "B", False, "BTC"), ("open", "A", False, "BTC"), ("filled", "A", True, "BTC"), ("filled", "B", True, "BTC"), ("Canceled", "A", False, "BTC"), ("canceled", "B", True, "BTC"), ("canceled", "B", False, "BTC"), ("rejected", "B", False, "BTC"), ("rejected", "B", False, "@7"), ("open", "A", True, " @7 "), ("open", "B", False, "@7"), ("open", "A", False, "@7"), (None, "?", False, "@7x")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(orders)], "i int, status string, side string, ro boolean, coin string")
+    kind = k.order_kind(F.col("status"), F.col("side"), F.col("ro"), F.col("coin"))
+    got = df.select("i", kind.alias("k"), k.order_ambiguous(F.col("coin"), F.col("ro")).alias("a")).orderBy("i").collect()
+    assert [r.k for r in got] == ["long_open", "short_open", "long_close", "short_close", "canceled_short", "canceled_short", "canceled", "long_open", "spot_limit_canceled", "spot_limit_close", "spot_limit_buy", "spot_limit_sell", "other"]
+    assert [r.a for r in got] == [True, True, False, False, True, False, True, True, False, False, False, False, True]
+    whales = [(2e9, 10.0, 0.01), (2e8, None, 0.2), (6e7, None, 0.08), (6e7, None, 0.07), (3e7, 60.0, 0.01), (3e7, 60.0, 0.0), (5e6, 90.0, 1.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(whales)], "i int, vlm double, hit double, roi double")
+    promote = lambda elite: k.should_promote(F.col("vlm"), F.col("hit"), F.col("roi"), least_volume=1e7, least_hit=55.0, elite=elite)
+    got = df.select("i", k.whale_tier(F.col("vlm")), promote(False), promote(True)).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [("mega", True, False), ("whale", True, True), ("large", True, False), ("large", False, False), ("large", True, True), ("large", False, False), ("active", False, False)]
+
+
+def test_fifo_of_huge_and_tiny_sizes(spark):
+    """Two fills of 10^9 units, and very many of a hundredth."""
+    schema = "trader_id long, coin string, fill_dir string, size double, price double, us long, event_key string, fee_usd double, closed_pnl_usd double"
+    huge = [(1, "C", "Open Long", 1e9, 1.0, 1, "a", 0.0, 0.0), (1, "C", "Close Long", 1e9, 2.0, 2, "b", 0.0, 0.0)]
+    tiny = [(2, "C", "Open Long" if i % 2 == 0 else "Close Long", 0.01, 1.0, i, f"{i:06d}", 0.0, 0.0) for i in range(8000)]
+    got = round_trips(spark.createDataFrame(huge + tiny, schema)).groupBy("trader_id").agg(F.count("*").alias("n"), F.min("qty").alias("lo"), F.max("qty").alias("hi")).collect()
+    assert {r.trader_id: (r.n, r.lo, r.hi) for r in got} == {1: (1, 1e9, 1e9), 2: (4000, 0.01, 0.01)}
