@@ -17,7 +17,7 @@ _FRESH = " UNION ALL ".join(f"SELECT '{n}' AS channel, COUNT(*) AS row_count, MA
 SQL["p_freshness"] = f"SELECT channel, row_count, max_us, ROUND(lag_sec, 3) AS lag_sec FROM ({_FRESH}) f"
 _HEALTH = f"SELECT channel, max_us, ROUND(lag_sec, 3) AS lag_sec, CASE WHEN max_us IS NULL THEN 'missing' WHEN lag_sec > CASE channel WHEN 'trader_scores' THEN 7200 ELSE 900 END THEN 'critical' WHEN lag_sec > CASE channel WHEN 'trader_scores' THEN 3900 ELSE 300 END THEN 'warn' ELSE 'ok' END AS status FROM ({_FRESH}) f"
 SQL["p_channel_health"] = _HEALTH
-_SESS = "SELECT us AS connected, nu AS ended, outcome_next AS outcome, (nu - us) / 1e6 AS duration_sec FROM (SELECT us, kind, LEAD(us) OVER (ORDER BY us, event_id) AS nu, LEAD(kind) OVER (ORDER BY us, event_id) AS nk, LEAD(outcome) OVER (ORDER BY us, event_id) AS outcome_next FROM conn_v) q WHERE kind = 'ws_connected' AND nk = 'ws_session_cycle_complete'"
+_SESS = "SELECT us AS connected, nu AS ended, outcome_next AS outcome, (nu - us) / 1e6 AS duration_sec FROM (SELECT us, kind, next_us AS nu, next_kind AS nk, next_outcome AS outcome_next FROM conn_next_v) q WHERE kind = 'ws_connected' AND nk = 'ws_session_cycle_complete'"
 SQL["p_sessions"] = _SESS
 _GAPS = f"SELECT ended AS gap_start, nc AS gap_end, (nc - ended) / 1e6 AS gap_sec, outcome AS prior_outcome FROM (SELECT ended, outcome, LEAD(connected) OVER (ORDER BY connected) AS nc FROM ({_SESS}) s) g WHERE nc IS NOT NULL AND nc - ended > 60000000"
 SQL["p_gaps"] = _GAPS
@@ -38,7 +38,7 @@ AUDIT = {
     "rank_percentiles": f"SELECT ROUND(percentile_cont(0.5) WITHIN GROUP (ORDER BY discovery), 4) AS p50, ROUND(percentile_cont(0.9) WITHIN GROUP (ORDER BY discovery), 4) AS p90 FROM ({_RANK}) r",
     "alerts": "SELECT coin, COUNT(*) AS n, COUNT(DISTINCT trader_id) AS traders FROM positions_v WHERE leverage > 5 GROUP BY coin",
     "never_scored": f"SELECT t.trader_id FROM traders_v t LEFT JOIN ({_LATEST}) s ON s.trader_id = t.trader_id AND s.us > {NOW - 8 * DAY} WHERE s.trader_id IS NULL",
-    "score_gap": f"SELECT ROUND(MAX(us - prev) / 1e6, 3) AS longest_gap_sec FROM (SELECT us, LAG(us) OVER (ORDER BY us, event_id) AS prev FROM scores_v) g",
+    "score_gap": f"SELECT ROUND(MAX(gap) / 1e6, 3) AS longest_gap_sec FROM (SELECT us - LAG(us) OVER (PARTITION BY FLOOR(us / {DAY}) ORDER BY us, event_id) AS gap FROM scores_v UNION ALL SELECT lo - LAG(hi) OVER (ORDER BY lo) FROM (SELECT MIN(us) AS lo, MAX(us) AS hi FROM scores_v GROUP BY FLOOR(us / {DAY})) d) g",
     "runs_per_trader": "SELECT runs, COUNT(*) AS traders FROM (SELECT trader_id, COUNT(*) AS runs FROM scores_v GROUP BY trader_id) r GROUP BY runs",
     "daily_activity": "SELECT CAST(ts AS DATE) AS day, COUNT(*) AS fills, COUNT(DISTINCT trader_id) AS traders FROM fills_v GROUP BY CAST(ts AS DATE)",
 }
@@ -51,7 +51,7 @@ FROM (SELECT * FROM whales_v WHERE n_orders >= 2 ORDER BY vlm DESC, wallet LIMIT
 SQL["p_daily_universe"] = f"SELECT DATE '2024-01-30' AS snapshot_date, t.trader_id, t.wallet_status, r.discovery FROM traders_v t JOIN ({_RANK}) r ON r.trader_id = t.trader_id WHERE r.promoted"
 SQL["p_example_latest_metrics"] = "SELECT trader_id, ROUND(MAX_BY(equity, us), 4) AS equity, MAX(us) AS us FROM pnl_v GROUP BY trader_id"
 SQL["p_example_sync"] = "SELECT kind, COUNT(*) AS n, MAX(us) AS last_us FROM conn_v GROUP BY kind"
-SQL["p_example_queries"] = "SELECT trader_id, discovery_score, us FROM (SELECT trader_id, discovery_score, us, ROW_NUMBER() OVER (ORDER BY us DESC, event_id DESC) AS r FROM ranks_v) x WHERE r <= 50"
+SQL["p_example_queries"] = "SELECT trader_id, discovery_score, us FROM ranks_v ORDER BY us DESC, event_id DESC LIMIT 50"
 SQL["k_spec_pillars"] = "SELECT trader_id, ROUND(LEAST(100e0, CASE WHEN hit >= 60 THEN 80e0 + (hit - 60e0) / 2e0 WHEN hit >= 40 THEN 40e0 + (hit - 40e0) * 2e0 ELSE hit END), 4) AS pillar FROM (SELECT trader_id, AVG(CASE WHEN price > 50e0 THEN 100e0 ELSE 0e0 END) AS hit FROM fills_v GROUP BY trader_id) x"
 SQL["k_spec_gates"] = "SELECT trader_id, CASE WHEN n < 5 THEN 'stage1' WHEN volume < 100 THEN 'stage2' WHEN pnl <= 0.001e0 * volume THEN 'stage3' ELSE 'pass' END AS gate FROM (SELECT trader_id, COUNT(*) AS n, SUM(price * size) AS volume, COALESCE(SUM(closed_pnl_usd), 0e0) AS pnl FROM fills_v GROUP BY trader_id) x"
 SQL["k_spec_score_history"] = "SELECT trader_id, ROUND(COALESCE(STDDEV_SAMP(d), 0e0), 6) AS volatility, MIN(d) AS worst, COALESCE(MIN(d) < -15e0, FALSE) AS drop_alert FROM (SELECT trader_id, total_score - LAG(total_score) OVER (PARTITION BY trader_id ORDER BY us, event_id) AS d FROM scores_v) x GROUP BY trader_id"

@@ -12,7 +12,7 @@ SQL["src_parquet_lake_pruned"] = """SELECT event_id, trader_id, coin, price FROM
 SQL["src_parquet_bundle"] = "SELECT trader_id, event_key, coin, us, price, size FROM fills_v WHERE trader_id IN (3, 5, 8)"
 SQL["src_sub_expand"] = """WITH known AS (SELECT DISTINCT coin FROM market_v WHERE coin IN ('click', 'view')),
 fresh AS (SELECT DISTINCT coin FROM market_v WHERE coin NOT LIKE '@%' AND coin NOT LIKE '#%')
-SELECT coin FROM (SELECT f.coin, ROW_NUMBER() OVER (ORDER BY f.coin) AS r FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.coin = f.coin)) n WHERE r <= 1000"""
+SELECT coin FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.coin = f.coin) ORDER BY coin LIMIT 1000"""
 SQL["src_leaderboard"] = "SELECT wallet, account_value, vlm FROM leaderboard_v WHERE vlm >= 100000e0 AND account_value >= 1000e0"
 SQL["src_spot_meta"] = """WITH pairs AS (SELECT p_partkey AS pair_id, p_partkey % 150 AS base, p_partkey % 25 AS quote FROM @part),
 token AS (SELECT DISTINCT p_size AS token_id, 'T' || CAST(p_size AS STRING) AS name FROM @part)
@@ -129,8 +129,8 @@ SQL["win_running_position"] = f"SELECT event_key, SUM(CASE WHEN side = 'buy' THE
 SQL["win_lag_ts"] = f"SELECT event_key, LAG(us, 1) OVER {_W}) AS prev_us FROM fills_v"
 SQL["win_rownum_desc"] = "SELECT event_key, trader_id, coin FROM (SELECT event_key, trader_id, coin, ROW_NUMBER() OVER (PARTITION BY trader_id, coin ORDER BY us DESC, event_key DESC) AS r FROM fills_v) x WHERE r = 1"
 SQL["win_lag_return"] = "SELECT event_id, coin, ROUND(CASE WHEN prev > 0e0 THEN (price / prev - 1e0) * 1e4 END, 6) AS ret_bps FROM (SELECT event_id, coin, price, LAG(price) OVER (PARTITION BY coin ORDER BY us, event_id) AS prev FROM market_v) x"
-SQL["win_lead_pair"] = "SELECT event_id, us AS connected, next_us AS ended, next_outcome AS outcome FROM (SELECT event_id, us, kind, LEAD(us) OVER (ORDER BY us, event_id) AS next_us, LEAD(kind) OVER (ORDER BY us, event_id) AS next_kind, LEAD(outcome) OVER (ORDER BY us, event_id) AS next_outcome FROM conn_v) x WHERE kind = 'ws_connected' AND next_kind = 'ws_session_cycle_complete'"
-SQL["win_lead_gap"] = f"SELECT us AS gap_start, next_us AS gap_end, (next_us - us) / 1e6 AS gap_sec FROM (SELECT us, kind, LEAD(us) OVER (ORDER BY us, event_id) AS next_us FROM conn_v) x WHERE next_us - us > {MINUTE}"
+SQL["win_lead_pair"] = "SELECT event_id, us AS connected, next_us AS ended, next_outcome AS outcome FROM conn_next_v WHERE kind = 'ws_connected' AND next_kind = 'ws_session_cycle_complete'"
+SQL["win_lead_gap"] = f"SELECT us AS gap_start, next_us AS gap_end, (next_us - us) / 1e6 AS gap_sec FROM conn_next_v WHERE next_us - us > {MINUTE}"
 SQL["win_distinct_on_latest"] = "SELECT trader_id, total_score, us FROM (SELECT trader_id, total_score, us, ROW_NUMBER() OVER (PARTITION BY trader_id ORDER BY us DESC, event_id DESC) AS r FROM scores_v) x WHERE r = 1"
 SQL["win_distinct_on_first"] = f"SELECT trader_id, coin, direction, w, us, entry_price FROM (SELECT trader_id, coin, direction, us, entry_price, CAST(FLOOR(us / {6 * HOUR}) AS BIGINT) AS w, ROW_NUMBER() OVER (PARTITION BY trader_id, coin, direction, CAST(FLOOR(us / {6 * HOUR}) AS BIGINT) ORDER BY us, event_id) AS r FROM positions_v) x WHERE r = 1"
 SQL["win_distinct_on_day"] = "SELECT trader_id, CAST(ts AS DATE) AS day, ROUND(MAX_BY(equity, us), 6) AS equity FROM pnl_v GROUP BY trader_id, CAST(ts AS DATE)"
@@ -145,7 +145,9 @@ SQL["win_rolling_days_hit"] = """SELECT trader_id, day_no, CASE WHEN n >= 4 THEN
 (SELECT trader_id, CAST($days(day) AS BIGINT) AS day_no, COUNT(*) AS n, SUM(CASE WHEN price > 50e0 THEN 1 ELSE 0 END) AS w FROM (SELECT trader_id, price, CAST(ts AS DATE) AS day FROM fills_v) z GROUP BY trader_id, CAST($days(day) AS BIGINT)) d) x"""
 SQL["win_percentile_midrank"] = "SELECT trader_id, ROUND(CASE WHEN n = 1 THEN 50e0 ELSE (lo + (ties - 1) / 2e0 - 1e0) * 100e0 / (n - 1) END, 6) AS pct FROM (SELECT trader_id, RANK() OVER (ORDER BY v) AS lo, COUNT(*) OVER (PARTITION BY v) AS ties, COUNT(*) OVER () AS n FROM (SELECT trader_id, ROUND(AVG(price), 2) AS v FROM fills_v GROUP BY trader_id) a) b"
 SQL["win_peer_percentile"] = "SELECT trader_id, ROUND(CASE WHEN COUNT(*) OVER () < 2 THEN 55e0 ELSE 100e0 * CUME_DIST() OVER (ORDER BY v) END, 6) AS pct FROM (SELECT trader_id, ROUND(AVG(price), 2) AS v FROM fills_v GROUP BY trader_id) a"
-SQL["win_minmax_norm"] = "SELECT trader_id, ROUND(CASE WHEN hi - lo <= 1e-12 THEN 0.5e0 ELSE (v - lo) / (hi - lo) END, 6) AS norm, ROUND(CASE WHEN sd IS NULL OR sd <= 1e-12 THEN 0e0 ELSE (v - mu) / sd END, 6) AS z FROM (SELECT trader_id, v, MIN(v) OVER () AS lo, MAX(v) OVER () AS hi, AVG(v) OVER () AS mu, STDDEV_SAMP(v) OVER () AS sd FROM (SELECT trader_id, AVG(price) AS v FROM fills_v GROUP BY trader_id) a) b"
+SQL["win_minmax_norm"] = """WITH a AS (SELECT trader_id, AVG(price) AS v FROM fills_v GROUP BY trader_id), s AS (SELECT MIN(v) AS lo, MAX(v) AS hi, AVG(v) AS mu, STDDEV_SAMP(v) AS sd FROM a), z AS (SELECT trader_id, CASE WHEN hi - lo <= 1e-12 THEN 0.5e0 ELSE (v - lo) / (hi - lo) END AS norm, CASE WHEN sd IS NULL OR sd <= 1e-12 THEN 0e0 ELSE (v - mu) / sd END AS z FROM a CROSS JOIN s),
+zs AS (SELECT MIN(z) AS zlo, MAX(z) AS zhi FROM z)
+SELECT trader_id, ROUND(norm, 6) AS norm, ROUND(z, 6) AS z, ROUND(CASE WHEN zhi - zlo <= 1e-12 THEN 0.5e0 ELSE (z - zlo) / (zhi - zlo) END, 6) AS z_norm FROM z CROSS JOIN zs"""
 SQL["win_rank_order"] = "SELECT trader_id, CAST(ROW_NUMBER() OVER (ORDER BY v DESC, trader_id) AS BIGINT) AS position FROM (SELECT trader_id, ROUND(AVG(price), 4) AS v FROM fills_v GROUP BY trader_id) a"
 SQL["win_last_n"] = "SELECT trader_id, event_key FROM (SELECT trader_id, event_key, ROW_NUMBER() OVER (PARTITION BY trader_id ORDER BY us DESC, event_key DESC) AS r FROM fills_v) x WHERE r <= 10"
 SQL["win_first_passage"] = f"""SELECT signal_id, COALESCE(MIN_BY(price, CASE WHEN price >= ref * 1.2e0 OR price <= ref * 0.8e0 THEN us END), MAX_BY(price, us)) AS exit_price, MIN(CASE WHEN price >= ref * 1.2e0 OR price <= ref * 0.8e0 THEN us END) IS NOT NULL AS crossed FROM
@@ -159,7 +161,8 @@ SQL["srt_case_rank"] = "SELECT trader_id, CAST(ROW_NUMBER() OVER (ORDER BY CASE
 SQL["lim_page"] = "SELECT trader_id, wallet FROM (SELECT trader_id, wallet FROM traders_v ORDER BY trader_id LIMIT 25 OFFSET 50) p"
 SQL["lim_topk"] = "SELECT wallet, vlm FROM (SELECT wallet, ROUND(vlm, 2) AS vlm FROM leaderboard_v ORDER BY vlm DESC, wallet LIMIT 25) p"
 SQL["lim_latest_reverse"] = "SELECT event_id, us, CAST(ROW_NUMBER() OVER (ORDER BY us, event_id) AS BIGINT) AS place FROM (SELECT event_id, us FROM pnl_v WHERE trader_id = 7 ORDER BY us DESC, event_id DESC LIMIT 30) p"
-SQL["lim_cap_promotions"] = "SELECT wallet, r <= 40 AS kept FROM (SELECT wallet, ROW_NUMBER() OVER (ORDER BY (50e0 + wallet_id % 50) * LOG10(GREATEST(vlm, 1e0)) DESC, wallet) AS r FROM leaderboard_v) x"
+SQL["lim_cap_promotions"] = """WITH s AS (SELECT wallet_id, wallet, (50e0 + wallet_id % 50) * LOG10(GREATEST(vlm, 1e0)) AS score FROM leaderboard_v), top AS (SELECT wallet_id FROM s ORDER BY score DESC, wallet LIMIT 40)
+SELECT s.wallet, top.wallet_id IS NOT NULL AS kept FROM s LEFT JOIN top ON top.wallet_id = s.wallet_id"""
 SQL["lim_distinct_on_limit"] = "SELECT trader_id, total_score FROM (SELECT trader_id, MAX_BY(total_score, us) AS total_score FROM scores_v GROUP BY trader_id ORDER BY trader_id LIMIT 20) x"
 SQL["set_union_all"] = "SELECT buyer AS trader_id, coin, price * size AS notional, TRUE AS is_buy FROM ticks_v UNION ALL SELECT seller, coin, price * size, FALSE FROM ticks_v"
 SQL["set_concat_relaxed"] = "SELECT event_id, coin, price, CAST(NULL AS DOUBLE) AS size FROM market_v UNION ALL SELECT event_id, coin, price, size FROM ticks_v"

@@ -31,6 +31,9 @@ VIEWS = {
     "scores_v": """SELECT event_id, user_id AS trader_id, CAST((event_id * 7) % 100 AS DOUBLE) AS total_score, CASE event_id % 4 WHEN 0 THEN 'scalp' WHEN 1 THEN 'swing' WHEN 2 THEN 'momentum' ELSE 'unknown' END AS style, us FROM ev_v WHERE event_id % 3 = 0""",
     "ranks_v": """SELECT event_id, user_id AS trader_id, (user_id % 3) <> 0 AS promoted, CAST((event_id * 13) % 100 AS DOUBLE) AS discovery_score, CAST((event_id * 17) % 100 AS DOUBLE) AS activity_score, us FROM ev_v WHERE event_id % 4 = 0""",
     "conn_v": """SELECT event_id, us, CASE event_type WHEN 'signup' THEN 'ws_connected' ELSE 'ws_session_cycle_complete' END AS kind, $json(props, k) AS outcome FROM ev_v WHERE event_type IN ('signup', 'error')""",
+    "conn_next_v": f"""SELECT c.event_id, c.us, c.kind, c.outcome, COALESCE(c.nu, d.nu) AS next_us, CASE WHEN c.nu IS NULL THEN d.nk ELSE c.nk END AS next_kind, CASE WHEN c.nu IS NULL THEN d.nx ELSE c.nx END AS next_outcome FROM
+        (SELECT q.*, LEAD(us) OVER (PARTITION BY day ORDER BY us, event_id) AS nu, LEAD(kind) OVER (PARTITION BY day ORDER BY us, event_id) AS nk, LEAD(outcome) OVER (PARTITION BY day ORDER BY us, event_id) AS nx FROM (SELECT conn_v.*, CAST(FLOOR(us / {DAY}) AS BIGINT) AS day FROM conn_v) q) c
+        JOIN (SELECT day, LEAD(u) OVER (ORDER BY day) AS nu, LEAD(k) OVER (ORDER BY day) AS nk, LEAD(NULLIF(x, '')) OVER (ORDER BY day) AS nx FROM (SELECT CAST(FLOOR(us / {DAY}) AS BIGINT) AS day, MIN(us) AS u, MIN_BY(kind, us) AS k, MIN_BY(COALESCE(outcome, ''), us) AS x FROM conn_v GROUP BY CAST(FLOOR(us / {DAY}) AS BIGINT)) f) d ON d.day = c.day""",
     "tape_v": """SELECT l_suppkey AS trader_id, 'C' || CAST(l_partkey % 5 AS STRING) AS coin, l_quantity AS size, l_extendedprice / l_quantity AS price,
         $us(l_shipdate) AS us, CAST(l_shipdate AS DATE) AS day,
         CASE WHEN l_returnflag = 'A' THEN 'Open Long' WHEN l_returnflag = 'R' THEN 'Close Long' WHEN l_linestatus = 'O' THEN 'Open Short' ELSE 'Close Short' END AS fill_dir,

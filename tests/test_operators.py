@@ -28,6 +28,23 @@ def test_asof_includes_equal_times_and_keeps_unmatched(spark):
         asof_join(left, right, "k", "t", ["v"], direction="sideways")
 
 
+@pytest.mark.parametrize(("direction", "shift"), [("backward", 0), ("backward", -7), ("forward", 0), ("forward", 4)])
+def test_asof_over_buckets_by_brute_force(spark, direction, shift):
+    """Ties, negative times, empty buckets, null keys and times."""
+    rng = random.Random(shift)
+    left = [(rng.choice(["a", "b", "c", None]), rng.choice([None, *range(-60, 90)]), i) for i in range(120)]
+    right = [(rng.choice(["a", "b", None]), rng.choice([None, *range(-30, 60, 4)]), rng.randrange(1000)) for _ in range(40)]
+    want = {}
+    for key, t, i in left:
+        ok = [(x, v) for k2, x, v in right if key is not None and None not in (k2, x, t) and k2 == key and (x <= t + shift if direction == "backward" else x >= t + shift)]
+        best = None if not ok else max(x for x, _ in ok) if direction == "backward" else min(x for x, _ in ok)
+        want[i] = (best, max((v for x, v in ok if x == best), default=None))
+    frames = spark.createDataFrame(left, "k string, t long, i int"), spark.createDataFrame(right, "k string, t long, v int")
+    for width in (5, 50, 10**9):
+        out = asof_join(*frames, "k", "t", ["v"], direction=direction, shift=shift, width=width)
+        assert {r.i: (r.asof_t, r.asof_v) for r in out.collect()} == want, width
+
+
 def test_nearest_prefers_the_earlier_of_two(spark):
     left = spark.createDataFrame([("a", 10), ("a", 12)], "k string, t int")
     right = spark.createDataFrame([("a", 8, 1), ("a", 13, 2), ("a", 12, 3)], "k string, t int, v int")
