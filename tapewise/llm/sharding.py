@@ -31,8 +31,13 @@ def jump_shard(key: Column, n: int) -> Column:
         return F.when(b.jump >= n, b).otherwise(F.struct(b.jump.alias("at"), at.alias("jump")))
 
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("jump"))
-    steps = F.sequence(F.lit(1), F.lit(n + 1))
-    return F.aggregate(steps, begin, step, lambda b: b["at"].cast("int"))
+    # a key jumps about ln(n) times: the steps beyond ``few`` are gone through only for keys that need them
+    few = min(n + 1, 40 + 4 * n.bit_length())
+    first = F.aggregate(F.sequence(F.lit(1), F.lit(few)), begin, step)
+    if few == n + 1:
+        return first["at"].cast("int")
+    more = lambda b: F.aggregate(F.sequence(F.lit(few + 1), F.lit(n + 1)), b, step, lambda x: x["at"])
+    return F.element_at(F.transform(F.array(first), lambda b: F.when(b["jump"] >= n, b["at"]).otherwise(more(b)).cast("int")), 1)
 
 
 def shard_rows(df: DataFrame, key: str, n_shards: int, *, tie: list[Column] | None = None, buckets: int = 1024) -> DataFrame:

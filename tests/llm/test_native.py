@@ -198,6 +198,11 @@ def test_sharding(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 16
 
 
+def test_jumps_among_many_shards(spark):
+    got = spark.range(300).select("id", jump_shard(F.col("id"), 5000).alias("a"), jump_shard(F.col("id"), 5001).alias("b")).collect()
+    assert all(r.a == brute_shard(r.id, 5000) and r.b in (r.a, 5000) for r in got)
+
+
 def test_sharding_edges(spark):
     rows = [(None, 1), (None, 1), (5, 2), (5, 2), (5, 3)]
     out = shard_rows(frame(spark, rows, "doc_id long, slot long"), "doc_id", 3).collect()
