@@ -86,13 +86,49 @@ def liquidations(env: DataFrame) -> DataFrame:
 RECORDS = {"ticks": ticks, "fills": fills, "positions": positions, "pnl": pnl, "market": market, "liquidations": liquidations}
 
 
+def _keyed(head: str, parts: list[Column], *numbers: Column) -> Column:
+    """struct(key, malformed) of one record, its key as the typed rows have it."""
+    bad = F.lit(False)
+    for n in numbers:
+        bad = bad | n.isNull()
+    return F.struct(F.concat_ws("|", F.lit(head), *(p.cast("string") for p in parts)).alias("key"), bad.alias("malformed"))
+
+
+def _position_key(wallet: Column, p: Column) -> Column:
+    size = _num(p["szi"])
+    side = F.when(size >= 0, "long").otherwise("short")
+    return _keyed("position", [wallet, p["coin"], side, F.abs(size), _num(p["entryPx"])], size)
+
+
+def _price_key(coin: Column, price: Column, interest: Column) -> Column:
+    return _keyed("market", [coin, price, interest], price)
+
+
+def record_keys(env: DataFrame) -> DataFrame:
+    """(key, malformed) of every record of every channel, in one pass: a line is
+    parsed once, by its own channel. An unreadable line is a row of nulls."""
+    channel, data = F.col("channel"), F.col("data")
+    d = {"userFills": F.from_json(data, _FILLS), "clearinghouseState": F.from_json(data, _STATE), "activeAssetCtx": F.from_json(data, _CTX), "user": F.from_json(data, _LIQ)}
+    fill, state, ctx, liq = d["userFills"], d["clearinghouseState"], d["activeAssetCtx"], d["user"]["liquidation"]
+    wallet, inner, none = F.lower(state["user"]), state["clearinghouseState"], F.lit(None).cast("double")
+    mids = F.from_json(F.coalesce(F.get_json_object(data, "$.mids"), data), "map<string,string>")
+    unreadable = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("boolean").alias("malformed")))
+    held = F.array(_keyed("pnl", [wallet, F.timestamp_millis(inner["time"])], _num(inner["marginSummary"]["accountValue"])))
+    places = F.transform(inner["assetPositions"], lambda x: _position_key(wallet, x["position"]))
+    rows = (
+        F.when(channel == "trades", F.transform(F.from_json(data, _TRADE), lambda t: _keyed("trade", [t["coin"], t["time"], t["hash"], t["tid"]], _num(t["px"]), _num(t["sz"]))))
+        .when(channel == "userFills", F.transform(fill["fills"], lambda f: _keyed("fill", [F.lower(fill["user"]), f["coin"], f["hash"], f["tid"], f["oid"]], _num(f["px"]), _num(f["sz"]))))
+        .when(channel == "clearinghouseState", F.concat(held, F.coalesce(places, F.slice(held, 1, 0))))
+        .when(channel == "activeAssetCtx", F.array(_price_key(ctx["coin"], _num(F.coalesce(ctx["ctx"]["midPx"], ctx["ctx"]["markPx"])), _num(ctx["ctx"]["openInterest"]))))
+        .when(channel == "allMids", F.transform(F.map_entries(mids), lambda m: _price_key(m["key"], _num(m["value"]), none)))
+        .when(channel == "user", F.when(liq.isNotNull(), F.array(_keyed("liquidation", [liq["lid"]], _num(liq["liquidated_ntl_pos"])))))
+        .otherwise(unreadable)
+    )
+    return env.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def replay_counters(lines: DataFrame) -> DataFrame:
     """received, malformed, duplicates and ingested over all lines (one row)."""
-    env = envelopes(lines)
-    parts = [f(env).select("malformed", F.coalesce("key", F.lit(n)).alias("key") if n != "pnl" else F.concat_ws("|", F.lit("pnl"), "wallet", F.col("ts").cast("string")).alias("key")) for n, f in RECORDS.items()]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    unknown = env.where(F.col("channel").isNull() | ~F.col("channel").isin(*CHANNELS)).agg(F.count("*").alias("unreadable"))
-    good = rows.agg(F.count("*").alias("received"), F.count_if("malformed").alias("bad"), F.count_if(~F.col("malformed")).alias("ok"), F.count_distinct(F.when(~F.col("malformed"), F.col("key"))).alias("ingested"))
-    return good.crossJoin(unknown).select("received", (F.col("bad") + F.col("unreadable")).alias("malformed"), (F.col("ok") - F.col("ingested")).alias("duplicates"), "ingested")
+    rows, bad = record_keys(envelopes(lines)), F.col("malformed")
+    got = rows.agg(F.count("malformed").alias("received"), F.count_if(bad).alias("bad"), F.count_if(bad.isNull()).alias("unreadable"), F.count_if(~bad).alias("ok"), F.count_distinct(F.when(~bad, F.col("key"))).alias("ingested"))
+    return got.select("received", (F.col("bad") + F.col("unreadable")).alias("malformed"), (F.col("ok") - F.col("ingested")).alias("duplicates"), "ingested")

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tapewise.sources import envelopes, lake, orderbook
 from tapewise.streaming import ingest
@@ -142,3 +143,19 @@ def test_reports_and_batches(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/runs").count() == 2 and spark.read.parquet(f"{tmp_path}/_complete").count() == 1
     sinks.csv(df, f"{tmp_path}/csv")
     assert spark.read.option("header", "true").csv(f"{tmp_path}/csv").count() == 2
+
+
+def test_keys_of_one_pass_are_those_of_the_typed_rows(spark):
+    position = lambda size: {"type": "oneWay", "position": {"coin": "ETH", "szi": size, "entryPx": "3.5", "unrealizedPnl": "1", "leverage": {"type": "cross", "value": 2.0}}}
+    state = {"channel": "clearinghouseState", "data": {"user": "0xQ", "clearinghouseState": {"time": 7, "marginSummary": {"accountValue": "x"}, "assetPositions": [position("-2"), position("bad")]}}}
+    lines = [TRADES, FILLS, state, {"channel": "clearinghouseState", "data": {"user": "0xR"}}, {"channel": "activeAssetCtx", "data": {"coin": "BTC", "ctx": {"markPx": "9", "openInterest": "4"}}}, {"channel": "allMids", "data": {"mids": {"A": "1", "B": "?"}}}, {"channel": "allMids", "data": {"C": "3"}}]
+    lines += [{"channel": "user", "data": {"liquidation": {"lid": 5, "liquidated_ntl_pos": "1"}}}, {"channel": "user", "data": {"fills": []}}, {"channel": "elsewhere", "data": 1}, "not json"]
+    env = envelopes.envelopes(text(spark, lines))
+    got = sorted((r.key, r.malformed) for r in envelopes.record_keys(env).where("malformed IS NOT NULL").collect())
+    want = []
+    for name, of in envelopes.RECORDS.items():
+        rows = of(env)
+        key = rows.key if name != "pnl" else F.concat_ws("|", F.lit("pnl"), "wallet", rows.ts.cast("string"))
+        want += [(r.key, r.malformed) for r in rows.select(key.alias("key"), "malformed").collect()]
+    assert got == sorted(want) and len(got) > 10
+    assert envelopes.record_keys(env).where("malformed IS NULL").count() == 2
