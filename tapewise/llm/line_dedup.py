@@ -87,7 +87,8 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_ch
     docs = docs.drop("kept_text", "n_lines", "n_dropped", "_t", "_doc", "_dt", "_dropped", "_lines")
     lost = drop_bitmaps(docs, doc, text, min_chars, min_docs).toDF("_doc", "_dt", "_dropped")
     same = F.col(doc).eqNullSafe(F.col("_doc")) & (F.col("_t") == F.col("_dt"))
-    joined = docs.withColumn("_t", F.xxhash64(text)).join(lost, same, "left").withColumn("_lines", _lines(F.col(text)))
+    # one plan at every size: documents move once, whether or not the bitmaps are few enough to broadcast
+    joined = docs.withColumn("_t", F.xxhash64(text)).join(lost.hint("merge"), same, "left").withColumn("_lines", _lines(F.col(text)))
     runs = F.col("_dropped")
     kept = F.when(runs.isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(_kept(F.col("_lines"), runs), "\n"))
     new = {"kept_text": kept, "n_lines": F.size("_lines").cast("long"), "n_dropped": F.coalesce(_n_dropped(runs), F.lit(0)).cast("long")}
