@@ -4,8 +4,9 @@ A page is a stream of tokens, one for each text block, named by the path of
 elements around it. The streams of one host are aligned one after the other:
 tokens that repeat side by side become repeated groups, tokens that one side
 lacks become optional, texts that differ become slots. The result is a wrapper,
-a regular expression without unions. It tells template text from content and,
-where a page has no article element, which container holds the content.
+a regular expression without unions. It tells template text from content and
+which container holds the content; article and main elements widen or narrow
+that container, names only take parts out of it.
 """
 
 from __future__ import annotations
@@ -165,14 +166,30 @@ def _named(name: str, attributes: str) -> tuple[str, int]:
     return (f"{name}.{mark}" if mark else name), outside
 
 
-def _main(found: list[tuple[str, bool, str]]) -> list[tuple[int, str, str]]:
-    """(number, path, text) of the blocks of article, else main elements; else of all, but the outside ones."""
+def _under(path: str, container: str) -> bool:
+    return path == container or path.startswith(container + "/")
+
+
+def _main(found: list[tuple[str, bool, str]], container: str | None = None) -> list[tuple[int, str, str]]:
+    """(number, path, text) of the main blocks but the outside ones: those of
+    article, else main elements that meet ``container``, else those in it.
+    Without a container they are those of all such elements, else all."""
     inside = [(i, path, text) for i, (path, outside, text) in enumerate(found) if not outside]
     for tag in ("article", "main"):
         own = [x for x in inside if _within(tag, x[1])]
-        if own:
+        if own and (container is None or _within(tag, container) or any(_under(x[1], container) for x in own)):
             return own
-    return inside
+    return inside if container is None else [x for x in inside if _under(x[1], container)]
+
+
+def wrapper_container(found: list[tuple[str, bool, str]], wrapper: list[dict] | None) -> str | None:
+    """The container that the host's wrapper names, where it holds over half of
+    this page's content too; None where the page is of another layout."""
+    if not wrapper:
+        return None
+    container = _container(wrapper)
+    sizes = [(len(text), _under(path, container)) for path, outside, text in found if not outside]
+    return container if 2 * sum(n for n, held in sizes if held) > sum(n for n, _ in sizes) else None
 
 
 _DATES = re.compile(r"\d+|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|mon|tue|wed|thu|fri|sat|sun)[a-z]*\b", re.I)
@@ -195,7 +212,7 @@ def stream(found: list[tuple[str, bool, str]]) -> list[dict]:
     """A page's tokens, with side-by-side repeats of up to four paths as one
     repeated group: ``p`` paths, ``rep``, ``opt``, ``text`` (None: a slot),
     ``rest`` marks of the main text of pages without this one, ``mass``
-    characters that may be content."""
+    characters of each path that may be content."""
     items: list[dict] = []
     marks = {i: _mark(text) for i, _, text in _main(found)}
     total = sum(marks.values())
@@ -211,7 +228,7 @@ def stream(found: list[tuple[str, bool, str]]) -> list[dict]:
                 best = (period, times)
         period, times = best
         part = found[i : i + period * times]
-        mass = sum(len(t) for _, outside, t in part if not outside)
+        mass = [sum(len(t) for _, outside, t in part[k::period] if not outside) for k in range(period)]
         items.append({"p": [b[0] for b in part[:period]], "rep": times > 1, "opt": False, "text": part[0][2] if period * times == 1 else None, "rest": [total - marks.get(i, 0)] if period * times == 1 else [], "mass": mass})
         i += period * times
     return items
@@ -254,7 +271,7 @@ def merge(a: list[dict], b: list[dict]) -> list[dict]:
         if x < len(a):
             p, q = a[x], b[y]
             same = p["text"] is not None and p["text"] == q["text"]
-            out.append({"p": p["p"], "rep": p["rep"] or q["rep"], "opt": p["opt"] or q["opt"], "text": p["text"] if same else None, "rest": _rests(p, q) if same else [], "mass": p["mass"] + q["mass"]})
+            out.append({"p": p["p"], "rep": p["rep"] or q["rep"], "opt": p["opt"] or q["opt"], "text": p["text"] if same else None, "rest": _rests(p, q) if same else [], "mass": [m + n for m, n in zip(p["mass"], q["mass"], strict=True)]})
         i, j = x + 1, y + 1
     return out
 
@@ -269,9 +286,10 @@ def expression(wrapper: list[dict]) -> str:
 
 
 def main_text(page: str | None, wrapper: list[dict] | None) -> str:
-    """Main text of a page: blocks of its article (or main) elements, else of
-    the container with the most content in the wrapper, without the outside
-    ones and without the host's template texts."""
+    """Main text of a page: blocks of the container that holds the content in
+    the wrapper (of the article or main elements that meet it), without the
+    outside ones and without the host's template texts. A page of another
+    layout than the wrapper's goes by its own elements, else its own container."""
     found = blocks(page)
     items = stream(found)
     fixed: set[int] = set()
@@ -282,12 +300,13 @@ def main_text(page: str | None, wrapper: list[dict] | None) -> str:
             at += _length(x, found, at)
         for i, j in _pairs(items, wrapper):
             w = wrapper[j]
-            if w["text"] is not None and len(w["rest"]) >= FIXED_PAGES and items[i]["text"] == w["text"]:
+            if _is_template(w) and items[i]["text"] == w["text"]:
                 fixed.add(starts[i])
-    own = _main(found)
-    if not any(_within(tag, path) for tag in ("article", "main") for _, path, _ in own[:1]):
-        container = _container(wrapper or items)
-        own = [x for x in own if x[1] == container or x[1].startswith(container + "/")] or own
+    container = wrapper_container(found, wrapper)
+    own = _main(found, container)
+    if container is None and not any(_within(tag, path) for tag in ("article", "main") for _, path, _ in own[:1]):
+        container = _container(items)
+        own = [x for x in own if _under(x[1], container)] or own
     return "\n".join(text for i, _, text in own if i not in fixed)
 
 
@@ -299,16 +318,23 @@ def _length(item: dict, found: list[tuple[str, bool, str]], at: int) -> int:
     return period * times
 
 
+def _is_template(item: dict) -> bool:
+    return item["text"] is not None and len(item["rest"]) >= FIXED_PAGES
+
+
 def _container(items: list[dict]) -> str:
-    """Deepest path that holds over half of the content."""
+    """Deepest path that holds over half of the content, template texts not counted."""
     mass: dict[str, int] = {}
+    total = 0
     for x in items:
-        for path in set(x["p"]):
+        for path, n in zip(x["p"], x["mass"], strict=True):
+            if not n or _is_template(x):
+                continue
+            total += n
             parts = path.split("/")
             for i in range(1, len(parts)):
                 up = "/".join(parts[:i])
-                mass[up] = mass.get(up, 0) + x["mass"]
-    total = sum(x["mass"] for x in items)
+                mass[up] = mass.get(up, 0) + n
     good = [p for p, m in mass.items() if 2 * m > total]
     return max(good, key=lambda p: (p.count("/"), p), default="")
 

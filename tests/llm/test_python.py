@@ -318,6 +318,38 @@ def test_wrapper_finds_template_text(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_wrapper_decides_where_names_say_nothing(spark):
+    """Names tell nothing and the only article elements are teasers: the host's
+    wrapper finds the container, alike however the pages are dealt."""
+    rng, pages, want = random.Random(4), [], {}
+    words = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(2, 7) for _ in range(n))
+    for i in range(40):
+        body = [words(30) for _ in range(rng.randint(2, 5))]
+        teasers = "".join(f"<article><p>{words(4)}</p></article>" for _ in range(2))
+        pages.append((i, "http://h/" + str(i), f"<body><div class=k1><p>Same words {'again ' * 30}</p>{teasers}</div><div class=k2>{''.join(f'<p>{b}</p>' for b in body)}</div></body>"))
+        want[i] = "\n".join(body)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for parts in (1, 8):
+        assert {r.page_id: r.text for r in html.extract(df.repartition(parts)).collect()} == want
+    short = html.main_text(pages[0][2], None)
+    assert short != want[0], "without the wrapper the teasers would be taken"
+
+
+def test_wrapper_names_the_container_of_the_given_pages():
+    import duckdb
+
+    hosts = defaultdict(list)
+    for url, page in duckdb.sql("SELECT url, html FROM '/root/testdata/sf0.01/pages.parquet' WHERE html IS NOT NULL ORDER BY page_id").fetchall():
+        hosts[url.split("/")[2]].append(html.blocks(page))
+    decided = 0
+    for found in hosts.values():
+        wrapper = html.stream(found[0])
+        for f in found[1:]:
+            wrapper = html.merge(wrapper, html.stream(f))
+        decided += sum(html.wrapper_container(f, wrapper) is not None for f in found)
+    assert decided >= 0.95 * sum(map(len, hosts.values()))
+
+
 def test_copies_of_an_article_are_no_template(spark):
     page = lambda i, text: f"<body><nav><a>m{i}</a></nav><article><h1>Title</h1><h4>By me, {1 + i} May 2020</h4><div>{text}</div><h5>Read on</h5></article></body>"
     rows = [(i, "http://copies.example/x", page(i, "one lone paragraph")) for i in range(24)]
