@@ -139,13 +139,13 @@ def _carried(chunks: DataFrame, fan: int = FAN) -> DataFrame:
     """``chunks`` (key, chunk, n, c, top_n, top_c, first) with what came before:
     ``base_n``, ``base_c``, ``base_high`` (null for none), and the moment ``then``
     that follows. ``fan`` chunks are carried in one group, groups by the level above."""
-    lo, hi = chunks.agg(F.min(F.floor(F.col("chunk") / fan)), F.max(F.floor(F.col("chunk") / fan))).first()
+    lo, hi = chunks.agg(F.coalesce(F.min("chunk"), F.lit(0)), F.coalesce(F.max("chunk"), F.lit(0))).first()
     order = Window.partitionBy("key", "up").orderBy("chunk")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     sums = {f"base_{x}": F.coalesce(F.sum(x).over(before), F.lit(0)) for x in ("n", "c")}
-    own = chunks.withColumn("up", F.floor(F.col("chunk") / fan)).withColumns({**sums, "then": F.lead("first").over(order)})
+    own = chunks.withColumn("up", F.floor((F.col("chunk") - lo) / fan)).withColumns({**sums, "then": F.lead("first").over(order)})
     own = own.withColumn("base_high", F.max(F.col("base_n") + F.col("top_n")).over(before))
-    if lo == hi:
+    if hi - lo < fan:
         return own.drop("up")
     above = own.groupBy("key", "up").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.max(F.col("base_n") + F.col("top_n")).alias("top_n"), F.max(F.col("base_c") + F.col("top_c")).alias("top_c"), F.min("first").alias("first"))
     above = _carried(above.withColumnRenamed("up", "chunk"), fan).select("key", F.col("chunk").alias("up"), *(F.col(c).alias(f"up_{c}") for c in ("base_n", "base_c", "base_high", "then")))
