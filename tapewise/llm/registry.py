@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tapewise.llm.bpe import op12_merge_replay_bpe
 from tapewise.llm.concurrency import OP13_SQL, op13_peak_concurrency
 from tapewise.llm.decontaminate import OP5_SQL, op5_winnow_decontamination
 from tapewise.llm.fingerprint import op3_scaled_fingerprints
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_parity_jaccard_join": op8_parity_jaccard_join,
     "op9_compression_toxicity": op9_compression_toxicity,
     "op10_min_slack_packing": op10_min_slack_packing,
+    "op12_merge_replay_bpe": op12_merge_replay_bpe,
     "op13_peak_concurrency": op13_peak_concurrency,
 }
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_winnow_decontamination": OP5_SQL, "op13_peak_concurrency": OP13_SQL}
