@@ -17,6 +17,7 @@ from tapewise.llm.materialise import op1_training_order
 from tapewise.llm.ngram_join import op8_parity_jaccard_join
 from tapewise.llm.packing import op10_min_slack_packing
 from tapewise.llm.sharding import op6_jump_sharding
+from tapewise.llm.spelling import op11_spelling_variants
 from tapewise.llm.toxicity import op9_compression_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_parity_jaccard_join": op8_parity_jaccard_join,
     "op9_compression_toxicity": op9_compression_toxicity,
     "op10_min_slack_packing": op10_min_slack_packing,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_merge_replay_bpe": op12_merge_replay_bpe,
     "op13_peak_concurrency": op13_peak_concurrency,
 }
