@@ -9,9 +9,10 @@ the touched neighbours are indexed anew. Decoding looks the ids' bytes up.
 from __future__ import annotations
 
 import base64
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
-from heapq import heappop, heappush
+from functools import cache, cached_property
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -25,10 +26,9 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from tapewise.llm._common import documents
 
 DEFAULT = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Texts are replayed together up to so many code points; a longer one goes alone.
-SLAB_CHARS = 4 << 20
-#: Words whose ids a worker keeps from slab to slab, and the longest it keeps. This saves work alone.
-KEPT_WORDS, KEPT_BYTES = 200_000, 64
+#: Texts are replayed together up to so many bytes; a longer one goes alone.
+SLAB_CHARS = 8 << 20
+NO_MERGE = 1 << 62
 #: ``\s`` of the pattern means Unicode white space, which for ``regex`` has a few controls more.
 _PATTERN = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"(?!\S)", r"(?!\P{White_Space})")
 
@@ -45,96 +45,126 @@ class Merges:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.shift = max(self.ranks.values()).bit_length()
-        self.single = [self.ranks.get(bytes([b]), -1) for b in range(256)]
+        find = self.ranks.get
+        self.single = np.array([find(bytes([b]), -1) for b in range(256)])
         if -1 in self.single:
             raise ValueError(f"{path}: not every byte has an id")
-        find = self.ranks.get
-        self.pairs: dict[int, int] = {}
-        for token, rank in self.ranks.items():
-            for i in range(1, len(token)):
-                a, b = find(token[:i]), find(token[i:])
-                if a is not None and b is not None:
-                    self.pairs[a << self.shift | b] = rank
-        size = max(self.ranks.values()) + 1
-        held: list[bytes | None] = [None] * size
+        self.shift = max(self.ranks.values()).bit_length()
+        halves = ((find(t[:i]), find(t[i:]), rank) for t, rank in self.ranks.items() for i in range(1, len(t)))
+        pairs = np.array([(a << self.shift | b, rank) for a, b, rank in halves if a is not None and b is not None] or [(-1, -1)])
+        self.keys, self.merged = pairs[np.argsort(pairs[:, 0])].T.copy()
+        held: list[bytes | None] = [None] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             held[rank] = token
         #: Bytes of each id; null for an id that isn't given out.
         self.bytes = pa.array(held, pa.large_binary())
 
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word. The places of all words are merged together, rank
-        by rank: the same merges that each word alone would have in turn."""
-        single, pairs, shift = self.single, self.pairs, self.shift
-        token: list[int] = []
-        before: list[int] = []
-        after: list[int] = []
-        starts = []
-        places: dict[int, list[int]] = {}
-        for word in words:
-            at = len(token)
-            starts.append(at)
-            if word in self.ranks:  # a whole word that is a token is that token
-                token.append(self.ranks[word])
-                before.append(-1)
-                after.append(-1)
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.merged.tolist(), strict=True))
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks that pairs of tokens merge to, ``NO_MERGE`` for none."""
+        key = (a << self.shift) | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.merged[at], NO_MERGE)
+
+    def alone(self, word: bytes) -> list[int]:
+        """Ids of one word, merge by merge: the least rank, leftmost first."""
+        if word in self.ranks:
+            return [self.ranks[word]]
+        token, last = self.single[list(word)].tolist(), len(word) - 1
+        before, after = [-1, *range(last)], [*range(1, last + 1), -1]
+        ready = [(r, i) for i in range(last) if (r := self.pairs.get(token[i] << self.shift | token[i + 1])) is not None]
+        heapify(ready)
+        while ready:
+            rank, i = heappop(ready)
+            j = after[i]
+            if token[i] < 0 or j < 0 or self.pairs.get(token[i] << self.shift | token[j]) != rank:
                 continue
-            last = at + len(word) - 1
-            token += [single[b] for b in word]
-            before += [-1, *range(at, last)]
-            after += [*range(at + 1, last + 1), -1]
-            for i in range(at, last):
-                rank = pairs.get(token[i] << shift | token[i + 1])
-                if rank is not None:
-                    if rank in places:
-                        places[rank].append(i)
+            left, right = before[i], after[j]
+            token[i], token[j], after[i] = rank, -1, right
+            if right >= 0:
+                before[right] = i
+            for x, y in ((left, i), (i, right)):
+                if x >= 0 and y >= 0 and (r := self.pairs.get(token[x] << self.shift | token[y])) is not None:
+                    heappush(ready, (r, x))
+        return [t for t in token if t >= 0]
+
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids): how many ids each word has, and all of them.
+
+        The index holds the places of each rank's pairs in all words; the least
+        rank is merged at all its places at once, and the pairs with the touched
+        neighbours go into the index. Of places that overlap the left one goes
+        first. A word where a merge opens one of lower rank, which has to go
+        before its other places, is merged alone."""
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        ends = np.cumsum(lengths)
+        starts, total = ends - lengths, int(lengths.sum())
+        token = self.single[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        before, after = np.arange(-1, total - 1), np.arange(1, total + 1)
+        before[starts], after[ends - 1] = -1, -1
+
+        def settle(at: int, ids: list[int]) -> None:
+            a, b = starts[at], ends[at]
+            token[a : a + len(ids)], token[a + len(ids) : b], after[a:b] = ids, -1, -1
+
+        for at, word in enumerate(words):  # a whole word that is a token is that token
+            if (own := self.ranks.get(word)) is not None:
+                settle(at, [own])
+        places: dict[int, list[np.ndarray]] = {}
+        ready: list[int] = []
+
+        def index(rank: np.ndarray, at: np.ndarray) -> None:
+            good = rank < NO_MERGE
+            rank, at = rank[good], at[good]
+            order = np.argsort(rank, kind="stable")
+            rank, at = rank[order], at[order]
+            cuts = np.flatnonzero(np.diff(rank)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rank)], strict=True):
+                if a < b:
+                    r = int(rank[a])
+                    if r in places:
+                        places[r].append(at[a:b])
                     else:
-                        places[rank] = [i]
-        ready = sorted(places)  # a sorted list is a heap
+                        places[r] = [at[a:b]]
+                        heappush(ready, r)
+
+        left = np.flatnonzero(after >= 0)
+        index(self.rank(token[left], token[left + 1]), left)
         while ready:
             rank = heappop(ready)
-            here = places.pop(rank)
-            here.sort()
-            for n, i in enumerate(here):
-                j = after[i]
-                # the index may hold places that another merge has taken
-                if j < 0 or token[i] < 0 or pairs.get(token[i] << shift | token[j]) != rank:
-                    continue
-                left, right = before[i], after[j]
-                token[i], token[j], after[i] = rank, -1, right
-                least = rank
-                if right >= 0:
-                    before[right] = i
-                    new = pairs.get(rank << shift | token[right])
-                    if new is not None:
-                        if new in places:
-                            places[new].append(i)
-                        else:
-                            places[new] = [i]
-                            heappush(ready, new)
-                        least = min(least, new)
-                if left >= 0:
-                    new = pairs.get(token[left] << shift | rank)
-                    if new is not None:
-                        if new in places:
-                            places[new].append(left)
-                        else:
-                            places[new] = [left]
-                            heappush(ready, new)
-                        least = min(least, new)
-                if least < rank and n + 1 < len(here):  # a lower rank goes before the other places
-                    places[rank] = here[n + 1 :]
-                    heappush(ready, rank)
-                    break
-        out = []
-        for at in starts:
-            ids = []
-            while at >= 0:
-                ids.append(token[at])
-                at = after[at]
-            out.append(ids)
-        return out
+            here = np.sort(np.concatenate(places.pop(rank)))
+            here = here[np.concatenate(([True], here[1:] != here[:-1]))]
+            # the index may hold places that another merge has taken
+            here = here[(token[here] >= 0) & (after[here] >= 0)]
+            here = here[self.rank(token[here], token[after[here]]) == rank]
+            if not len(here):
+                continue
+            tied = np.concatenate(([False], after[here[:-1]] == here[1:]))
+            if tied.any():
+                n = np.arange(len(here))
+                here = here[(n - np.maximum.accumulate(np.where(tied, 0, n))) % 2 == 0]
+            j = after[here]
+            l, r = before[here], after[j]
+            lower = (l >= 0) & (self.rank(token[l], rank) < rank) | (r >= 0) & (self.rank(np.int64(rank), token[r]) < rank)
+            if lower.any():
+                odd = np.unique(np.searchsorted(ends, here[lower], side="right"))
+                for at in odd.tolist():
+                    settle(at, self.alone(words[at]))
+                here = here[after[here] >= 0]
+                j = after[here]
+                r = after[j]
+            token[here], token[j], after[here] = rank, -1, r
+            before[r[r >= 0]] = here[r >= 0]
+            l = before[here]
+            l, right = l[l >= 0], here[r >= 0]
+            at = np.concatenate((l, right))
+            index(self.rank(token[at], token[after[at]]), at)
+        kept = token >= 0
+        sizes = np.add.reduceat(kept, starts) if len(words) else np.empty(0, dtype=np.int64)
+        return sizes.astype(np.int64), token[kept]
 
 
 @cache
@@ -142,43 +172,21 @@ def merges(path: str) -> Merges:
     return Merges(path)
 
 
-@cache
-def _kept(path: str) -> dict[str, list[int]]:
-    """Ids of words that this worker met before."""
-    return {}
-
-
 def encode_texts(texts: list[str | None], path: str = DEFAULT) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, ids): all ids of the texts one after the other. Null and empty
     texts have none."""
-    split, known = splitter().findall, _kept(path)
-    number: dict[str, int] = {}
-    words: list[str] = []
-    used, ends = [], [0]
-    for text in texts:
-        row = []
-        for word in split(text) if text else ():
-            n = number.get(word)
-            if n is None:
-                n = number[word] = len(words)
-                words.append(word)
-            row.append(n)
-        used.append(np.array(row, dtype=np.int64))
-        ends.append(ends[-1] + len(row))
-    new = [w for w in words if w not in known]
-    ids = dict(zip(new, merges(path).replay([w.encode("utf-8", "replace") for w in new]), strict=True))
-    each = [ids[w] if w in ids else known[w] for w in words]
-    if len(known) + len(ids) > KEPT_WORDS:
-        known.clear()
-    known.update((w, x) for w, x in list(ids.items())[:KEPT_WORDS] if len(w) <= KEPT_BYTES)
-    sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
-    flat = np.fromiter((i for x in each for i in x), dtype=np.int32, count=int(sizes.sum()))
+    split = splitter().findall
+    number: defaultdict[str, int] = defaultdict()
+    number.default_factory = number.__len__
+    used = [np.fromiter(map(number.__getitem__, split(t)), dtype=np.int64) if t else np.empty(0, dtype=np.int64) for t in texts]
+    sizes, flat = merges(path).replay([w.encode("utf-8", "replace") for w in number])
     first = np.cumsum(sizes) - sizes
     places = np.concatenate(used) if used else np.empty(0, dtype=np.int64)
     took = sizes[places]
     done = np.concatenate(([0], np.cumsum(took)))
     out = flat[np.repeat(first[places] - done[:-1], took) + np.arange(int(done[-1]))]
-    return done[np.array(ends)], out
+    ends = np.cumsum([0, *map(len, used)])
+    return done[ends], out
 
 
 def _slabs(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
