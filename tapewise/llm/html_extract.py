@@ -6,7 +6,8 @@ tokens that repeat side by side become repeated groups, tokens that one side
 lacks become optional, texts that differ become slots. The result is a wrapper,
 a regular expression without unions. It tells template text from content and
 which container holds the content; article and main elements widen or narrow
-that container, names only take parts out of it.
+that container, names only take parts out of it. Nothing in the container goes
+because other pages have it too.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tapewise.llm._common import materialize
 
-#: A text is the host's template where pages of so many different other texts have it at the same place and none has another.
-FIXED_PAGES = 8
+#: A text is the host's template where pages of different other texts have it at the same place and none has another.
+FIXED_PAGES = 2
+#: Tokens that a wrapper keeps: those of most pages. The mass of the others goes to tokens of their path or its parent.
+MOST_TOKENS = 1000
 #: Wrappers of all hosts go with the code up to so many bytes; beyond, pages are joined to their host's.
 BROADCAST_BYTES = 16 << 20
 LONGEST_PERIOD = 4
@@ -37,10 +40,12 @@ SHORT = 80
 _BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style template noscript iframe textarea title svg annotation annotation-xml".split())
+#: Those of them that may hold their own kind and may close themselves.
+_NESTED = frozenset("svg template".split())
 _OUT = frozenset("aside button dialog fieldset footer form head header iframe legend menu nav noscript option script search select style svg template textarea title".split())
 #: An open element on the left ends where one on the right begins.
-_ENDS = {"p": _BLOCK - {"br", "body", "html", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}}
-_SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"article", "aside", "body", "div", "footer", "header", "main", "nav", "section", "td", "th", "li", "blockquote", "form"}}
+_ENDS = {"p": _BLOCK - {"br", "body", "html", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup", "select", "datalist"}}
+_SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select", "datalist", "optgroup"}, "p": {"article", "aside", "body", "div", "footer", "header", "main", "nav", "section", "td", "th", "li", "blockquote", "form"}}
 #: Words that name a part outside the main text.
 _PART = re.compile(r"(?:ads?|advert(?:s|ising|isements?|orials?)?|banners?|promos?|promotions?|sponsor(?:s|ed|ship)?|nav(?:bar|igation|menu|links?|list)?|navs|menu(?:bar|list|item)?s?|breadcrumbs?|header|masthead|footer|foot|sidebars?|widgets?|comments?|respond|replies|disqus\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|pagination|pager|login|skip|toolbar|toc|hidden)\d*", re.I)
 #: Words that may follow a part's name in a class that still names the part.
@@ -69,7 +74,7 @@ def _names_part(value: str) -> bool:
 
 
 _OUT_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
 _ATTR = re.compile(r"([a-zA-Z][-\w:]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 
@@ -77,7 +82,8 @@ def blocks(page: str | None) -> list[tuple[str, bool, str]]:
     """(path, outside, text) of every text block in page order; ``outside``
     blocks lie in menus, headers, notices and the like. References are decoded
     and white space is one space. Unclosed and stray tags are repaired as far
-    as browsers do for these elements."""
+    as browsers do for these elements; a quote that never closes ends with its
+    tag. What hidden elements hold is no text."""
     out: list[tuple[str, int, str]] = []
     stack: list[tuple[str, str, int]] = []  # name, path so far, how outside
     parts: list[str] = []
@@ -87,11 +93,13 @@ def blocks(page: str | None) -> list[tuple[str, bool, str]]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((stack[-1][1], stack[-1][2], text) if stack else ("", 0, text))
+                # hidden text inside the block is gone, whether its element is closed or not
+                held = next((x for x in reversed(stack) if x[2] != _HIDDEN or x[0] in _BLOCK), ("", "", 0))
+                out.append((held[1], held[2], text))
 
     source, at = page or "", 0
     while (m := _TAG.search(source, at)) is not None:
-        if m.start() > at:
+        if m.start() > at and not (stack and stack[-1][2] == _HIDDEN):
             parts.append(source[at : m.start()])
         at = m.end()
         if m[1]:
@@ -107,8 +115,8 @@ def blocks(page: str | None) -> list[tuple[str, bool, str]]:
                     elif not any(x[0] in _BLOCK for x in stack[i + 1 :]):
                         del stack[i:]
                     break
-        elif m[2]:
-            name = m[2].lower()
+        elif m[2] or m[4]:
+            name, attributes = (m[2] or m[4]).lower(), m[3] if m[2] else m[5]
             if name in _BLOCK:
                 flush()
             for opened, by in _ENDS.items():
@@ -117,17 +125,17 @@ def blocks(page: str | None) -> list[tuple[str, bool, str]]:
                         if stack[i][0] == opened:
                             del stack[i:]
                             break
-                        if stack[i][0] in _SCOPE[opened]:
+                        if stack[i][0] in _SCOPE.get(opened, ()):
                             break
             if name in _VOID:
                 continue
-            named, outside = _named(name, m[3])
+            named, outside = _named(name, attributes)
             path, was = (stack[-1][1], stack[-1][2]) if stack else ("", 0)
+            closed = attributes.rstrip().endswith("/")
             if name in _RAW:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                at = at if closed and name in _NESTED else _raw_end(source, at, name)
                 continue
-            if m[3].rstrip().endswith("/") and name not in _BLOCK:
+            if closed and name not in _BLOCK:
                 continue
             in_article = name in ("article", "main", "header") and any(x[0] == "article" for x in stack)
             if name in ("article", "main") and was == _SOFT and not in_article:
@@ -135,7 +143,7 @@ def blocks(page: str | None) -> list[tuple[str, bool, str]]:
             elif name == "header" and in_article and outside == _HARD:
                 outside = 0  # an article's own header holds its headline
             stack.append((name, f"{path}/{named}" if name in _BLOCK else path, max(was, outside)))
-    if at < len(source):
+    if at < len(source) and not (stack and stack[-1][2] == _HIDDEN):
         parts.append(source[at:])
     flush()
     if any(how == _FREED for _, how, _ in out):
@@ -145,6 +153,19 @@ def blocks(page: str | None) -> list[tuple[str, bool, str]]:
     return [(path, how > 0, t) for path, how, t in out]
 
 
+def _raw_end(source: str, at: int, name: str) -> int:
+    """Where an element whose content is no text ends."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I).finditer(source, at):
+        if m[1]:
+            depth -= 1
+        elif name in _NESTED and not m[0].endswith("/>"):
+            depth += 1
+        if not depth:
+            return m.end()
+    return len(source)
+
+
 def _within(tag: str, path: str) -> bool:
     return re.search(rf"/{tag}(?:[./]|$)", path) is not None
 
@@ -184,11 +205,12 @@ def _main(found: list[tuple[str, bool, str]], container: str | None = None) -> l
 
 def wrapper_container(found: list[tuple[str, bool, str]], wrapper: list[dict] | None) -> str | None:
     """The container that the host's wrapper names, where it holds over half of
-    this page's content too; None where the page is of another layout."""
+    this page's content too, the host's template texts not counted; None where the page is of another layout."""
     if not wrapper:
         return None
     container = _container(wrapper)
-    sizes = [(len(text), _under(path, container)) for path, outside, text in found if not outside]
+    fixed = {(x["p"][0], x["text"]) for x in wrapper if _is_template(x)}
+    sizes = [(len(text), _under(path, container)) for path, outside, text in found if not outside and (path, text) not in fixed]
     return container if 2 * sum(n for n, held in sizes if held) > sum(n for n, _ in sizes) else None
 
 
@@ -212,7 +234,7 @@ def stream(found: list[tuple[str, bool, str]]) -> list[dict]:
     """A page's tokens, with side-by-side repeats of up to four paths as one
     repeated group: ``p`` paths, ``rep``, ``opt``, ``text`` (None: a slot),
     ``rest`` marks of the main text of pages without this one, ``mass``
-    characters of each path that may be content."""
+    characters of each path that may be content, ``n`` pages."""
     items: list[dict] = []
     marks = {i: _mark(text) for i, _, text in _main(found)}
     total = sum(marks.values())
@@ -229,7 +251,7 @@ def stream(found: list[tuple[str, bool, str]]) -> list[dict]:
         period, times = best
         part = found[i : i + period * times]
         mass = [sum(len(t) for _, outside, t in part[k::period] if not outside) for k in range(period)]
-        items.append({"p": [b[0] for b in part[:period]], "rep": times > 1, "opt": False, "text": part[0][2] if period * times == 1 else None, "rest": [total - marks.get(i, 0)] if period * times == 1 else [], "mass": mass})
+        items.append({"p": [b[0] for b in part[:period]], "rep": times > 1, "opt": False, "text": part[0][2] if period * times == 1 else None, "rest": [total - marks.get(i, 0)] if period * times == 1 else [], "mass": mass, "n": 1})
         i += period * times
     return items
 
@@ -264,15 +286,36 @@ def _pairs(a: list[dict], b: list[dict]) -> list[tuple[int, int]]:
 
 
 def merge(a: list[dict], b: list[dict]) -> list[dict]:
-    """The wrapper that accepts what either accepts."""
+    """The wrapper that accepts what either accepts, without the tokens of the
+    fewest pages where there are over ``MOST_TOKENS``."""
     out, i, j = [], 0, 0
     for x, y in [*_pairs(a, b), (len(a), len(b))]:
         out += [{**q, "opt": True} for q in (*a[i:x], *b[j:y])]
         if x < len(a):
             p, q = a[x], b[y]
             same = p["text"] is not None and p["text"] == q["text"]
-            out.append({"p": p["p"], "rep": p["rep"] or q["rep"], "opt": p["opt"] or q["opt"], "text": p["text"] if same else None, "rest": _rests(p, q) if same else [], "mass": [m + n for m, n in zip(p["mass"], q["mass"], strict=True)]})
+            out.append({"p": p["p"], "rep": p["rep"] or q["rep"], "opt": p["opt"] or q["opt"], "text": p["text"] if same else None, "rest": _rests(p, q) if same else [], "mass": [m + n for m, n in zip(p["mass"], q["mass"], strict=True)], "n": p["n"] + q["n"]})
         i, j = x + 1, y + 1
+    return _bounded(out)
+
+
+def _bounded(items: list[dict]) -> list[dict]:
+    if len(items) <= MOST_TOKENS:
+        return items
+    kept = set(sorted(range(len(items)), key=lambda i: -items[i]["n"])[:MOST_TOKENS])
+    out = [dict(x) for i, x in enumerate(items) if i in kept]
+    near: dict[str, tuple[dict, int]] = {}
+    for x in out:
+        x["mass"] = list(x["mass"])
+        for k, path in enumerate(x["p"]):
+            near.setdefault(path, (x, k))
+            near.setdefault(path.rpartition("/")[0], (x, k))
+    for i, x in enumerate(items):
+        if i not in kept:
+            for path, n in zip(x["p"], x["mass"], strict=True):
+                to = near.get(path) or near.get(path.rpartition("/")[0])
+                if to:
+                    to[0]["mass"][to[1]] += n
     return out
 
 
@@ -288,34 +331,15 @@ def expression(wrapper: list[dict]) -> str:
 def main_text(page: str | None, wrapper: list[dict] | None) -> str:
     """Main text of a page: blocks of the container that holds the content in
     the wrapper (of the article or main elements that meet it), without the
-    outside ones and without the host's template texts. A page of another
-    layout than the wrapper's goes by its own elements, else its own container."""
+    outside ones. A page of another layout than the wrapper's goes by its own
+    elements, else its own container."""
     found = blocks(page)
-    items = stream(found)
-    fixed: set[int] = set()
-    if wrapper:
-        starts, at = [], 0
-        for x in items:
-            starts.append(at)
-            at += _length(x, found, at)
-        for i, j in _pairs(items, wrapper):
-            w = wrapper[j]
-            if _is_template(w) and items[i]["text"] == w["text"]:
-                fixed.add(starts[i])
     container = wrapper_container(found, wrapper)
     own = _main(found, container)
     if container is None and not any(_within(tag, path) for tag in ("article", "main") for _, path, _ in own[:1]):
-        container = _container(items)
+        container = _container(stream(found))
         own = [x for x in own if _under(x[1], container)] or own
-    return "\n".join(text for i, _, text in own if i not in fixed)
-
-
-def _length(item: dict, found: list[tuple[str, bool, str]], at: int) -> int:
-    period, times = len(item["p"]), 1
-    if item["rep"]:
-        while [b[0] for b in found[at + times * period : at + (times + 1) * period]] == item["p"]:
-            times += 1
-    return period * times
+    return "\n".join(text for _, _, text in own)
 
 
 def _is_template(item: dict) -> bool:

@@ -350,7 +350,7 @@ def test_wrapper_names_the_container_of_the_given_pages():
     assert decided >= 0.95 * sum(map(len, hosts.values()))
 
 
-def test_copies_of_an_article_are_no_template(spark):
+def test_article_text_stays_however_many_pages_have_it(spark):
     page = lambda i, text: f"<body><nav><a>m{i}</a></nav><article><h1>Title</h1><h4>By me, {1 + i} May 2020</h4><div>{text}</div><h5>Read on</h5></article></body>"
     rows = [(i, "http://copies.example/x", page(i, "one lone paragraph")) for i in range(24)]
     rows += [(100 + i, "http://news.example/x", page(i, f"paragraph of {chr(97 + i) * 9}")) for i in range(12)]
@@ -358,7 +358,56 @@ def test_copies_of_an_article_are_no_template(spark):
     for parts in (1, 12):
         got = {r.page_id: r.text for r in html.extract(df.repartition(parts)).collect()}
         assert all(got[i] == f"Title\nBy me, {1 + i} May 2020\none lone paragraph\nRead on" for i in range(24))
-        assert all(got[100 + i] == f"By me, {1 + i} May 2020\nparagraph of {chr(97 + i) * 9}" for i in range(12))
+        assert all(got[100 + i] == f"Title\nBy me, {1 + i} May 2020\nparagraph of {chr(97 + i) * 9}\nRead on" for i in range(12))
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 7, 8, 9, 12, 50])
+def test_text_does_not_depend_on_the_number_of_pages(n):
+    """Headings that all articles of a host share stay; a side part of one text
+    for all pages, which no name tells of, isn't taken for the container."""
+    pages = [f"<body><article><h1>Dish {i}</h1><h2>Ingredients</h2><p>flour {'and salt ' * (i % 5)}</p></article></body>" for i in range(n)]
+    side = [f"<body><div class=k1><p>{'Same words again ' * 40}</p></div><div class=k2><h2>Steps</h2><p>{f'stir {i} ' * 30}</p><p>rest</p></div></body>" for i in range(n)]
+    for group, want in ((pages, lambda i: f"Dish {i}\nIngredients\nflour {'and salt ' * (i % 5)}".rstrip()), (side, lambda i: f"Steps\n{f'stir {i} ' * 30}".rstrip() + "\nrest")):
+        wrapper = html.stream(html.blocks(group[0]))
+        for p in group[1:]:
+            wrapper = html.merge(wrapper, html.stream(html.blocks(p)))
+        if n > 1 or group is pages:  # one page alone has no other to tell its side part by
+            assert [html.main_text(p, wrapper) for p in group] == [want(i) for i in range(n)]
+
+
+def test_no_element_in_another_is_an_error():
+    names = sorted({*html._BLOCK, *html._RAW, *html._VOID, *html._ENDS, *(x for by in html._ENDS.values() for x in by), "span", "a", "b", "optgroup", "datalist", "math"})
+    for a in names:
+        for b in names:
+            for tail in ("", f"</{b}>", f"</{b}></{a}>", f"</{a}></{b}>"):
+                html.main_text(f"<div><{a}>x<{b}>y{tail}z</div><article><p>t</p></article>", None)
+    form = "<form><select><option>x<option>y</select><input list=d><datalist id=d><option value=1>u</datalist></form>"
+    assert html.main_text(f"<body>{form}<article><p>t</p></article></body>", None) == "t"
+    assert html.main_text("<article><p>a</p><select><optgroup label=l><option>x</option></optgroup></select><p>b</p></article>", None) == "a\nb"
+
+
+def test_markup_that_is_not_closed():
+    assert html.main_text("<article><p>a <svg class='icon' /> b</p><p>c</p></article><footer>f</footer>", None) == "a b\nc"
+    assert html.main_text("<article><p>a<svg><svg></svg><text>x</text></svg>b</p></article>", None) == "ab"
+    assert html.main_text("<article><p>a <span hidden>no <b>no</b></span>b <i style='display: none'>no</i>c</p><div hidden><p>no</p></div><p>d</p></article>", None) == "a b c\nd"
+    assert html.main_text("<article><p>a <span hidden>no</p><p>b</p></article>", None) == "a\nb"
+    assert html.main_text("<article><p>see <a title=\"unclosed>this</a> now</p><p>b</p></article>", None) == "see this now\nb"
+    assert html.main_text("<article><p>a < b and c<d</p></article>", None) == "a < b and c"
+    assert html.main_text("<article><p>text</p><p>more <a href=\"x", None) == "text\nmore"
+    assert html.main_text("<article><p title='a > b'>x</p><script>if (a < b) '</p>'</script>y</article>", None) == "x\ny"
+
+
+def test_wrappers_are_bounded():
+    """Pages whose blocks share no places: many tokens of one page each."""
+    import time
+
+    page = lambda i: "<body>" + "".join(f"<div class=c{(i * 37 + j) % 4001}><p>w{i}</p></div>" for j in range(40)) + f"<div id=main><p>{f'text {i} ' * 60}</p></div></body>"
+    began = time.perf_counter()
+    wrapper = html.stream(html.blocks(page(0)))
+    for i in range(1, 400):
+        wrapper = html.merge(wrapper, html.stream(html.blocks(page(i))))
+    assert len(wrapper) <= html.MOST_TOKENS and time.perf_counter() - began < 6
+    assert html.main_text(page(7), wrapper) == f"{'text 7 ' * 60}".strip()
 
 
 def test_wrapper_is_union_free():
