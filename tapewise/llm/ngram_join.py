@@ -272,15 +272,17 @@ def _bits(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, bits binary")
 
 
-def candidates(n: np.ndarray, comp: np.ndarray, sketch: np.ndarray, num: int, den: int, forest: bool) -> Iterator[tuple[int, np.ndarray]]:
+def candidates(n: np.ndarray, comp: np.ndarray, sketch: np.ndarray, num: int, den: int, forest: bool, home: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(i, js): sets of one block, ascending by size ``n``, that lie in different
-    components and that sizes and parity sketches allow to link. For a
-    ``forest``, components with a candidate between them count as one from
+    components, not both away from ``home``, and that sizes and parity sketches
+    allow to link. For a ``forest``, components with a candidate between them count as one from
     there on, so there are fewer pairs than sets."""
     ends, comp = np.searchsorted(n, n * den // num, side="right"), comp.copy()
     for i in range(len(n)):
         near = np.arange(i + 1, ends[i])
         near = near[comp[near] != comp[i]]
+        if home is not None and not home[i]:
+            near = near[home[near]]
         if not len(near):
             continue
         found = []
@@ -302,37 +304,58 @@ def _cross(rows: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, n, node, comp, bits in _runs(batches, 5):
+        for _, n, node, comp, home, bits in _runs(batches, 6):
             new = np.concatenate(([True], node[1:] != node[:-1]))
-            n, node, comp = n[new], node[new], comp[new]
-            for i, js in candidates(n, comp, _folded(list(bits[new])), num, den, forest):
+            n, node, comp, home = n[new], node[new], comp[new], home[new].astype(bool)
+            for i, js in candidates(n, comp, _folded(list(bits[new])), num, den, forest, home):
                 a, other = np.full(len(js), node[i]), node[js]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, other)), pa.array(np.maximum(a, other))], names=["a", "b"])
 
-    dealt = rows.repartition(parts, "block").sortWithinPartitions("block", "n", "id").select("block", "n", "id", "comp", "bits")
+    dealt = rows.repartition(parts, "block").sortWithinPartitions("block", "n", "id").select("block", "n", "id", "comp", "home", "bits")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs that link, on their whole shingle sets."""
+def _hub_first(pairs: DataFrame) -> DataFrame:
+    """(hub, leaf, block) of the pairs: the hub is the set of more pairs. A block
+    holds about PART pairs of one hub at most."""
+    many = materialize(pairs.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("many")), "many")
+    of = lambda x: many.select(F.col("x").alias(x), F.col("many").alias(f"m{x}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    first = F.col("ma") >= F.col("mb")
+    hub, leaf, parts = (F.when(first, F.col(x)).otherwise(F.col(y)) for x, y in (("a", "b"), ("b", "a"), ("ma", "mb")))
+    dealt = both.select(hub.alias("hub"), leaf.alias("leaf"), F.ceil(parts / PART).alias("parts"))
+    out = materialize(dealt.select("hub", "leaf", F.xxhash64("hub", F.pmod(F.xxhash64("leaf"), "parts")).alias("block")), "hubs")
+    release(many)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
 
-        def held(node: int, text) -> np.ndarray:
-            if node not in known:
-                if len(known) >= 64:
-                    known.pop(next(iter(known)))
-                known[node] = shingle_set(text.as_py(), k)
-            return known[node]
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs that link, on their whole shingle sets. A hub's text goes once
+    to each of its blocks, a leaf's with each pair."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, None
         for batch in batches:
-            keep = [i for i in range(batch.num_rows) if linked(held(batch.column(0)[i].as_py(), batch.column(2)[i]), held(batch.column(1)[i].as_py(), batch.column(3)[i]), num, den)]
-            yield pa.RecordBatch.from_arrays([batch.column(j).take(pa.array(keep, pa.int64())) for j in (0, 1)], names=["a", "b"])
-
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+            block, hub, leaf = (batch.column(i).to_pylist() for i in range(3))
+            keep = []
+            for i, text in enumerate(batch.column(3)):
+                s = shingle_set(text.as_py(), k)
+                if leaf[i] is None:
+                    at, own = (block[i], hub[i]), s
+                elif (block[i], hub[i]) != at:
+                    raise RuntimeError("a hub's text is missing")
+                elif linked(own, s, num, den):
+                    keep.append((min(hub[i], leaf[i]), max(hub[i], leaf[i])))
+            yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in keep], pa.int64()) for j in (0, 1)], names=["a", "b"])
+
+    dealt = _hub_first(pairs)
+    hubs = dealt.select("block", "hub").distinct().join(texts.withColumnRenamed("id", "hub"), "hub").select("block", "hub", F.lit(None).cast("long").alias("leaf"), "text")
+    leaves = dealt.join(texts.withColumnRenamed("id", "leaf"), "leaf").select("block", "hub", "leaf", "text")
+    rows = hubs.unionByName(leaves).repartition(parts, "block").sortWithinPartitions("block", "hub", F.col("leaf").asc_nulls_first())
+    out = materialize(rows.mapInArrow(run, "a long, b long"), "links")
+    release(dealt)
+    return out
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -343,18 +366,23 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _open(shared: DataFrame, ids: DataFrame, comp: DataFrame) -> DataFrame:
-    """(block, n, id, comp) of the keys whose sets lie in several components. A
-    key of very many sets is cut into parts, a block for each two of them, so
-    that any two sets meet in a block and no task holds the whole key."""
+    """(block, n, id, comp, home) of the keys whose sets lie in several components.
+
+    A key of very many sets is cut into parts, a block each. A set is at home in
+    its own part; sets outside the key's largest component go to every part as
+    well, so that any two sets of different components meet where one is at home.
+    Beside each set once, only those few are written again."""
     place = ids.join(comp, ids.id == comp.node, "left").select(ids.node, "id", F.coalesce("comp", "id").alias("comp"))
-    placed = shared.select("key", "node", "n").join(place, "node").select("key", "n", "id", "comp")
-    several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo <> hi AND rows > 1")
-    rows = placed.join(several.select("key", F.ceil(F.col("rows") / PART).alias("parts")), "key")
+    placed = materialize(shared.select("key", "node", "n").join(place, "node").select("key", "n", "id", "comp"), "placed")
+    each = placed.groupBy("key", "comp").agg(F.count("*").alias("rows"))
+    several = each.groupBy("key").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.sum("rows").alias("rows"), F.count("*").alias("comps")).where("comps > 1")
+    rows = placed.join(several.select("key", "main", F.ceil(F.col("rows") / PART).alias("parts")), "key")
     own = F.pmod(F.xxhash64("id"), F.col("parts"))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: x != F.col("part"))
-    meets = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(others)
-    rows = rows.withColumn("part", own).withColumn("other", F.explode(meets))
-    return rows.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "n", "id", "comp")
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    rows = rows.withColumn("own", own).withColumn("part", F.explode(F.when(F.col("comp") == F.col("main"), F.array("own")).otherwise(every)))
+    out = materialize(rows.select(F.xxhash64("key", "part").alias("block"), "n", "id", "comp", (F.col("part") == F.col("own")).alias("home")), "open")
+    release(placed)
+    return out
 
 
 def _texts(sets: DataFrame, ids: DataFrame, shared: DataFrame) -> DataFrame:
@@ -376,7 +404,7 @@ def _links(sets: DataFrame, ids: DataFrame, k: int, num: int, den: int) -> DataF
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # one leader for each set first; of its other leaders only those of another component
     tested = [materialize(ordered(edges.groupBy("b").agg(F.min("a").alias("a"))).distinct(), "leaders")]
-    links = [materialize(_verified(tested[0], texts, k, num, den), "links")]
+    links = [_verified(tested[0], texts, k, num, den)]
     every = lambda tables: reduce(DataFrame.unionByName, tables)
     comp = components(links[0])
     # then forests of candidates between components, at last all that are left
@@ -385,12 +413,12 @@ def _links(sets: DataFrame, ids: DataFrame, k: int, num: int, den: int) -> DataF
             pairs = _apart(ordered(edges).distinct(), comp)
             used = []
         else:
-            rows = materialize(_open(shared, ids, comp), "open")
+            rows = _open(shared, ids, comp)
             bits = materialize(_bits(texts.join(rows.select("id").distinct(), "id", "left_semi"), k), "bits")
             used = [rows, bits]
             pairs = _cross(rows.join(bits, "id"), num, den, step == "forest").distinct()
         pairs = materialize(pairs.join(every(tested), ["a", "b"], "left_anti"), "pairs")
-        new = materialize(_verified(pairs, texts, k, num, den), "links")
+        new = _verified(pairs, texts, k, num, den)
         release(*used)
         tested.append(pairs)
         if not new.isEmpty():

@@ -209,6 +209,28 @@ def test_forest_of_candidates():
     assert folded.shape[1] * 64 == 2048 and np.bitwise_count(folded[0] ^ folded[1]).sum() <= len(big) + len(sets[0])
 
 
+def test_open_keys_are_written_once(spark):
+    """One set outside a key's large component: each row once, and that set in every part."""
+    n = 20_000
+    shared = spark.range(n).selectExpr("5L AS key", "id AS node", "10L AS n")
+    ids = spark.range(n).selectExpr("id AS node", "id")
+    comp = spark.range(n).where("id <> 77").selectExpr("id AS node", "0L AS comp")
+    rows = ngram_join._open(shared, ids, comp).collect()
+    parts = -(-n // ngram_join.PART)
+    assert len(rows) == n - 1 + parts and sum(r.home for r in rows) == n
+    assert len({r.block for r in rows if r.id == 77}) == parts and {r.comp for r in rows} == {0, 77}
+
+
+def test_pairs_of_a_hub_are_verified_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PART", 4)
+    words = [f"w{i}" for i in range(40)]
+    texts = {i: " ".join([*words[:-1], f"x{i}"] if i % 3 else [f"y{j}{i}" for j in range(40)]) for i in range(30)} | {100: " ".join(words)}
+    pairs = spark.createDataFrame([(i, 100) for i in range(30)] + [(1, 2), (1, 3)], "a long, b long")
+    got = ngram_join._verified(pairs, spark.createDataFrame(list(texts.items()), "id long, text string"), 3, 9, 10)
+    assert sorted(map(tuple, got.collect())) == sorted([(i, 100) for i in range(30) if i % 3] + [(1, 2)])
+    assert ngram_join._verified(pairs.limit(0), spark.createDataFrame([], "id long, text string"), 3, 9, 10).collect() == []
+
+
 def test_sketch_guarantee():
     """Sets that link share a key."""
     rng = np.random.default_rng(5)
