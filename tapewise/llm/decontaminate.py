@@ -32,10 +32,10 @@ def winnow(ws: Column, k: int, t: int) -> Column:
     return F.when(F.size(ws) >= t, F.array_distinct(F.element_at(F.transform(F.array(hashes), pick), 1))).otherwise(F.array().cast("array<long>"))
 
 
-def _sized(df: DataFrame, words_of: str | None = None) -> DataFrame:
-    """``df``, to be broadcast if its summed bytes allow it: 32 for a row's
-    numbers, and its words."""
-    each = F.lit(32) if words_of is None else 32 + 16 * F.size(words_of) + F.octet_length(F.array_join(words_of, ""))
+def _sized(df: DataFrame, text: str | None = None) -> DataFrame:
+    """``df``, to be broadcast if its summed bytes allow it: 48 for a row's
+    numbers, and its text."""
+    each = F.lit(48) if text is None else 64 + F.octet_length(text)
     return F.broadcast(df) if (df.agg(F.sum(each)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
@@ -48,8 +48,14 @@ def _shared_marks(lengths: list[int], window: int, k: int) -> list[tuple[int, in
 
 
 def _placed(ws: Column, n: int) -> Column:
-    """(at, len, h) of every run of ``n`` words."""
-    return F.transform(gram_hashes(ws, n), lambda h, i: F.struct(i.alias("at"), F.lit(n).alias("len"), h.alias("h")))
+    """(at, len, h, g) of every run of ``n`` words: 128 bits of hash tell runs apart."""
+    each = lambda i: F.struct((i - 1).alias("at"), F.lit(n).alias("len"), *_marks(F.slice(ws, i, n)))
+    none = F.array().cast("array<struct<at:int,len:int,h:bigint,g:bigint>>")
+    return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), each)).otherwise(none)
+
+
+def _marks(run: Column) -> tuple[Column, Column]:
+    return F.xxhash64(run).alias("h"), F.xxhash64(F.lit(1), run).alias("g")
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
@@ -60,8 +66,9 @@ def contamination(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text:
     words is one window). Winnowed fingerprints of documents and items are
     joined; by the winnowing guarantee every document with an occurrence of a
     window shares a fingerprint. The hits are extended in the documents found:
-    each run of words that hashes like a window is compared with it word by
-    word, and the union of the runs is counted. Items of fewer than ``k`` words have
+    each run of words whose 128 bits of hash are a window's is one, and the union
+    of the runs is counted. Words never leave their document; joins carry places
+    and hashes. Items of fewer than ``k`` words have
     k-grams of their own length, so that the guarantee holds for them too.
 
     Null texts have no words and no hits. Repeated rows get equal results; rows
@@ -70,30 +77,29 @@ def contamination(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text:
     """
     new = ("n_words", "n_hit", "n_items", "item_list", "contaminated")
     docs = docs.drop(*new, "_t", "_d", "_dt")
-    ident = docs.select(F.col(doc).alias("d"), F.xxhash64(text).alias("t"), words(F.col(text)).alias("ws"))
+    ident = docs.select(F.col(doc).alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
     bench = materialize(items.select(F.col(item).cast("string").alias("item"), words(F.col(item_text)).alias("ws")).where(F.size("ws") > 0), "items")
     size = F.least(F.size("ws"), F.lit(window))
     runs = bench.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - size + 1), lambda i: F.slice(F.col("ws"), i, size))).alias("run"))
-    runs = materialize(runs.distinct().select("item", "run", F.size("run").alias("len"), F.xxhash64("run").alias("h")), "windows")
+    runs = materialize(runs.select("item", F.size("run").alias("len"), *_marks(F.col("run"))).distinct(), "windows")
     lengths = sorted(r[0] for r in runs.select("len").distinct().collect())  # window values at most
     shapes = _shared_marks(lengths, window, k)
     # fingerprints of all shapes in one pass over each side
     fingerprints = lambda held: F.explode(F.array_distinct(F.flatten(F.array(*held))) if held else F.array().cast("array<long>")).alias("f")
     own = [F.when((F.size("ws") >= least) if kk == k else (F.size("ws") == least), winnow(F.col("ws"), kk, t)).otherwise(F.array().cast("array<long>")) for least, kk, t in shapes]
     marks = materialize(bench.select(fingerprints(own)).distinct(), "marks")
-    seeds = ident.select("d", "t", fingerprints([winnow(F.col("ws"), kk, t) for _, kk, t in shapes]))
+    seeds = ident.select("d", "t", words(F.col("text")).alias("ws")).select("d", "t", fingerprints([winnow(F.col("ws"), kk, t) for _, kk, t in shapes]))
     found = materialize(seeds.join(_sized(marks), "f", "left_semi").select("d", "t").distinct(), "seeds")
     match = F.col("d").eqNullSafe(F.col("fd")) & (F.col("t") == F.col("ft"))
-    held = materialize(ident.join(found.toDF("fd", "ft"), match, "left_semi").dropDuplicates(["d", "t"]), "found")
+    held = ident.join(_sized(found.toDF("fd", "ft")), match, "left_semi").dropDuplicates(["d", "t"])
+    held = materialize(held.select("d", "t", words(F.col("text")).alias("ws")), "found")
     each = [_placed(F.col("ws"), n) for n in lengths]
-    grams = held.select("d", "t", "ws", F.explode(F.flatten(F.array(*each)) if each else F.array().cast("array<struct<at:int,len:int,h:bigint>>")).alias("g")).select("d", "t", "ws", "g.*")
-    distinct_runs = materialize(runs.select("h", "len", F.col("run").alias("wrun")).distinct(), "runs")
-    exact = grams.join(_sized(distinct_runs, "wrun"), ["h", "len"]).where(F.slice("ws", F.col("at") + 1, F.col("len")) == F.col("wrun"))
-    every = materialize(exact.select("d", "t", "at", "len", "h"), "spans")
-    release(bench, marks, found, held, distinct_runs)
+    grams = held.select("d", "t", F.explode(F.flatten(F.array(*each)) if each else F.array().cast("array<struct<at:int,len:int,h:bigint,g:bigint>>")).alias("g")).select("d", "t", "g.*")
+    every = materialize(grams.join(_sized(runs.select("h", "g", "len").distinct()), ["h", "g", "len"]).select("d", "t", "at", "len", "h", "g"), "spans")
+    release(bench, marks, found, held)
     covered = every.groupBy("d", "t").agg(F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("len")).alias("end")))).alias("s"))
     covered = covered.select("d", "t", _union_length(F.col("s")).alias("n_hit"))
-    per_item = every.select("d", "t", "h", "len").distinct().join(_sized(runs.select("h", "len", "item")), ["h", "len"])
+    per_item = every.select("d", "t", "h", "g", "len").distinct().join(_sized(runs, "item"), ["h", "g", "len"])
     per_item = per_item.groupBy("d", "t").agg(F.sort_array(F.collect_set("item")).alias("item_list"))
     result = materialize(_both(covered, per_item), "hits")
     release(runs, every)
