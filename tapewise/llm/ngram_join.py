@@ -373,15 +373,17 @@ def _open(shared: DataFrame, ids: DataFrame, comp: DataFrame) -> DataFrame:
     well, so that any two sets of different components meet where one is at home.
     Beside each set once, only those few are written again."""
     place = ids.join(comp, ids.id == comp.node, "left").select(ids.node, "id", F.coalesce("comp", "id").alias("comp"))
-    placed = materialize(shared.select("key", "node", "n").join(place, "node").select("key", "n", "id", "comp"), "placed")
-    each = placed.groupBy("key", "comp").agg(F.count("*").alias("rows"))
-    several = each.groupBy("key").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.sum("rows").alias("rows"), F.count("*").alias("comps")).where("comps > 1")
-    rows = placed.join(several.select("key", "main", F.ceil(F.col("rows") / PART).alias("parts")), "key")
+    placed = shared.select("key", "node", "n").join(place, "node").select("key", "n", "id", "comp")
+    several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
+    rows = materialize(placed.join(several.select("key", F.ceil(F.col("rows") / PART).alias("parts")), "key"), "several")
+    each = rows.where("parts > 1").groupBy("key", "comp").agg(F.count("*").alias("rows"))
+    main = each.groupBy("key").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"))
     own = F.pmod(F.xxhash64("id"), F.col("parts"))
     every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    rows = rows.withColumn("own", own).withColumn("part", F.explode(F.when(F.col("comp") == F.col("main"), F.array("own")).otherwise(every)))
-    out = materialize(rows.select(F.xxhash64("key", "part").alias("block"), "n", "id", "comp", (F.col("part") == F.col("own")).alias("home")), "open")
-    release(placed)
+    dealt = rows.join(main, "key", "left").withColumn("own", own)
+    dealt = dealt.withColumn("part", F.explode(F.when((F.col("parts") == 1) | (F.col("comp") == F.col("main")), F.array("own")).otherwise(every)))
+    out = materialize(dealt.select(F.xxhash64("key", "part").alias("block"), "n", "id", "comp", (F.col("part") == F.col("own")).alias("home")), "open")
+    release(rows)
     return out
 
 
