@@ -246,7 +246,10 @@ cu AS (SELECT *, SUM(CASE WHEN is_open THEN size ELSE 0e0 END) OVER w AS opened,
 lo AS (SELECT *, GREATEST(0e0, MAX(closed - opened) OVER (PARTITION BY trader_id, coin, side ORDER BY us, event_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS lost FROM cu),
 op AS (SELECT *, opened - size AS o_lo, opened AS o_hi FROM lo WHERE is_open),
 cl AS (SELECT *, closed - lost AS m_hi, COALESCE(LAG(closed - lost) OVER (PARTITION BY trader_id, coin, side ORDER BY us, event_key), 0e0) AS m_lo, COALESCE(LAG(lost) OVER (PARTITION BY trader_id, coin, side ORDER BY us, event_key), 0e0) AS before FROM lo WHERE NOT is_open),
-trip AS (SELECT o.trader_id, o.coin, o.side, o.event_key AS open_key, c.event_key AS close_key, o.us AS entry_us, c.us AS exit_us, o.price AS entry_px, c.price AS exit_px, LEAST(o_hi, m_hi) - GREATEST(o_lo, m_lo) AS qty, o.size AS o_size, c.size AS c_size, o.fee_usd AS o_fee, c.fee_usd AS c_fee, c.closed_pnl_usd AS c_pnl FROM op o JOIN cl c ON (c.trader_id, c.coin, c.side) = (o.trader_id, o.coin, o.side) WHERE lost_ok(c.lost, c.before) AND LEAST(o_hi, m_hi) - GREATEST(o_lo, m_lo) > 1e-9)""".replace("lost_ok(c.lost, c.before)", "c.lost <= c.before + 1e-9")
+ends AS (SELECT trader_id, coin, side, o_hi AS hi, {'key': event_key, 'us': us, 'px': price, 'size': size, 'fee': fee_usd, 'pnl': closed_pnl_usd, 'whole': TRUE} AS o, NULL AS c FROM op WHERE o_hi - o_lo > 1e-9
+    UNION ALL SELECT trader_id, coin, side, m_hi, NULL, {'key': event_key, 'us': us, 'px': price, 'size': size, 'fee': fee_usd, 'pnl': closed_pnl_usd, 'whole': lost <= before + 1e-9} FROM cl WHERE m_hi - m_lo > 1e-9),
+cut AS (SELECT trader_id, coin, side, hi, COALESCE(LEAD(hi) OVER w, 0e0) AS lo, LAST_VALUE(o IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o, LAST_VALUE(c IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM ends WINDOW w AS (PARTITION BY trader_id, coin, side ORDER BY hi DESC)),
+trip AS (SELECT trader_id, coin, side, o.key AS open_key, c.key AS close_key, o.us AS entry_us, c.us AS exit_us, o.px AS entry_px, c.px AS exit_px, hi - lo AS qty, o.size AS o_size, c.size AS c_size, o.fee AS o_fee, c.fee AS c_fee, c.pnl AS c_pnl FROM cut WHERE hi - lo > 1e-9 AND o IS NOT NULL AND c IS NOT NULL AND c.whole)"""
 _FIFO_NET = _FIFO + """, net AS (SELECT trip.*, o_fee * qty / o_size AS fee_open, c_fee * qty / c_size AS fee_close, c_pnl * qty / c_size AS closed_pnl, (exit_us - entry_us) / 3.6e9 AS hold_hours, qty * entry_px AS notional, (CASE side WHEN 'long' THEN exit_px * 0.9995e0 - entry_px * 1.0005e0 ELSE entry_px * 0.9995e0 - exit_px * 1.0005e0 END) * qty - o_fee * qty / o_size - c_fee * qty / c_size AS net FROM trip)"""
 
 
