@@ -17,10 +17,6 @@ SQL["src_leaderboard"] = "SELECT wallet, account_value, vlm FROM leaderboard_v W
 SQL["src_spot_meta"] = """WITH pairs AS (SELECT p_partkey AS pair_id, p_partkey % 150 AS base, p_partkey % 25 AS quote FROM @part),
 token AS (SELECT DISTINCT p_size AS token_id, 'T' || CAST(p_size AS STRING) AS name FROM @part)
 SELECT p.pair_id, COALESCE(b.name || '/' || q.name, '@' || CAST(p.pair_id AS STRING)) AS display FROM pairs p LEFT JOIN token b ON b.token_id = p.base LEFT JOIN token q ON q.token_id = p.quote"""
-SQL["norm_envelope"] = """SELECT event_id, CASE event_type WHEN 'purchase' THEN 'trades' WHEN 'view' THEN 'allMids' WHEN 'click' THEN 'activeAssetCtx' WHEN 'error' THEN 'unknown' ELSE 'userFills' END AS channel,
-$json(props, k) AS payload FROM ev_v WHERE event_type <> 'error'"""
-SQL["norm_records"] = """SELECT event_id, trader_id, coin, CASE WHEN signed >= 0e0 THEN 'long' ELSE 'short' END AS direction, ABS(signed) AS size, num FROM
-(SELECT event_id, trader_id, coin, ROUND(price - 50e0, 6) AS signed, $try(k) AS num FROM (SELECT event_id, user_id AS trader_id, event_type AS coin, value AS price, $json(props, k) AS k FROM ev_v) a) b WHERE num IS NOT NULL"""
 SQL["norm_fill_rest"] = """SELECT event_id, LOWER('W' || CAST(trader_id AS STRING)) AS wallet, CASE UPPER(SUBSTRING(side, 1, 1)) WHEN 'B' THEN 'buy' ELSE 'sell' END AS side, COALESCE(closed_pnl_usd, 0e0) AS pnl, event_key FROM fills_v"""
 SQL["norm_fills_frame"] = """SELECT event_key, us, CASE WHEN fill_dir LIKE '%Long%' OR LOWER(fill_dir) = 'buy' THEN 'LONG' ELSE 'SHORT' END AS side, size, price FROM tape_v"""
 SQL["norm_orders"] = "SELECT o_orderkey, LOWER(order_type) AS order_type, status, limit_px, status_us FROM orders_snap_v"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewise.plans.dialect import duck, view
-from tapewise.sources import envelopes, orderbook, rest, sinks, social
+from tapewise.sources import envelopes, orderbook, rest, sinks, social, variants
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -80,3 +80,62 @@ def set_union_limit1(s, d):
 
 QUERIES["set_union_limit1"] = set_union_limit1
 ORACLE_SQL["set_union_limit1"] = duck("SELECT wallet, trader_id FROM traders_v WHERE trader_id < 100 UNION ALL SELECT wallet, (SELECT MAX(trader_id) FROM traders_v WHERE trader_id < 100) + ROW_NUMBER() OVER (ORDER BY wallet) FROM traders_v WHERE trader_id >= 100")
+
+
+def _wire_lines(s: SparkSession, d: str) -> DataFrame:
+    """(event_id, value): an event as one of 14 kinds of message, by its id; some unreadable."""
+    text = lambda x: F.col(x).cast("string") if isinstance(x, str) else x.cast("string")
+    wallet, px, n = F.concat(F.lit("0xW"), text("user_id")), F.col("value").cast("string"), F.col("event_id") % 3
+    bad_px = F.when(F.col("event_id") % 5 == 0, "oops").otherwise(px)
+    fill = lambda i: F.struct(F.col("event_type").alias("coin"), F.when(i % 2 == 0, "B").otherwise("A").alias("side"), F.when(i == 0, bad_px).otherwise(px).alias("px"), (i + 1).cast("string").alias("sz"), i.alias("tid"), F.array(wallet).alias("users"))
+    fills = F.transform(F.sequence(F.lit(0).cast("long"), n), fill)
+    position = lambda i: F.struct(F.lit("oneWay").alias("type"), F.struct(F.col("event_type").alias("coin"), (F.lit(1.5) - i).cast("string").alias("szi"), px.alias("entryPx")).alias("position"))
+    state = F.struct(F.struct(px.alias("accountValue")).alias("marginSummary"), F.transform(F.sequence(F.lit(0).cast("long"), n), position).alias("assetPositions"))
+    line = lambda channel, data: F.to_json(F.struct(F.lit(channel).alias("channel"), data.alias("data")))
+    one = lambda name, x: F.struct(x.alias(name))
+    mids = F.struct(px.alias("btc"), F.lit("7.5").alias("eth"))
+    made = [
+        line("subscriptionResponse", F.struct(F.lit("subscribe").alias("method"))),
+        line("allMids", one("mids", mids)),
+        line("allMids", mids),
+        line("activeAssetCtx", F.struct(F.col("event_type").alias("coin"), F.struct(px.alias("markPx")).alias("ctx"))),
+        line("trades", fills),
+        line("userFills", F.struct(wallet.alias("user"), fills.alias("fills"))),
+        line("clearinghouseState", F.struct(wallet.alias("user"), state.alias("clearinghouseState"))),
+        line("user", one("liquidation", F.struct(wallet.alias("liquidated_user"), px.alias("liquidated_ntl_pos")))),
+        line("user", one("funding", F.struct(F.col("event_type").alias("coin"), px.alias("usdc")))),
+        line("user", one("fills", fills)),
+        line("user", one("nonUserCancel", F.transform(F.sequence(F.lit(0).cast("long"), n), lambda i: F.struct(F.col("event_type").alias("coin"), i.alias("oid"))))),
+        F.lit('{"channel":"pong"}'),
+        line("error", F.lit("rate limited")),
+        line("user", one("other", F.lit(1))),
+    ]
+    value = F.lit("{broken")
+    for i, m in enumerate(made):
+        value = F.when((F.col("event_id") % 14 == i) & (F.col("event_id") % 101 != 0), m).otherwise(value)
+    return view(s, d, "ev_v").select("event_id", value.alias("value"))
+
+
+def norm_envelope(s, d):
+    """What kind of message each line is, by one parse."""
+    return variants.parsed(_wire_lines(s, d)).groupBy("variant").agg(F.count("*").alias("messages"), F.sum("event_id").alias("ids"))
+
+
+def norm_records(s, d):
+    """Every typed record of every line."""
+    return variants.records(variants.parsed(_wire_lines(s, d))).select("event_id", "kind", "wallet", "coin", "side", "size", "price", "malformed")
+
+
+QUERIES["norm_envelope"], QUERIES["norm_records"] = norm_envelope, norm_records
+_VARIANT = "CASE WHEN event_id % 101 = 0 THEN 'invalid' ELSE ['subscriptionResponse','allMids','allMids','activeAssetCtx','trades','userFills','clearinghouseState','user.liquidation','user.funding','user.fills','user.nonUserCancel','pong','error','unknown'][event_id % 14 + 1] END"
+ORACLE_SQL["norm_envelope"] = duck(f"SELECT {_VARIANT} AS variant, COUNT(*) AS messages, CAST(SUM(event_id) AS BIGINT) AS ids FROM ev_v GROUP BY ALL")
+ORACLE_SQL["norm_records"] = duck("""WITH e AS (SELECT *, event_id % 14 AS k, '0xw' || CAST(user_id AS VARCHAR) AS w FROM ev_v WHERE event_id % 101 <> 0),
+x AS (SELECT e.*, i FROM e, generate_series(0, 2) g(i) WHERE i <= event_id % 3)
+SELECT event_id, CASE k WHEN 4 THEN 'trade' ELSE 'fill' END AS kind, CASE WHEN k <> 9 THEN w END AS wallet, event_type AS coin, CASE WHEN i % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, CAST(i + 1 AS DOUBLE) AS size, CASE WHEN i = 0 AND event_id % 5 = 0 THEN NULL ELSE value END AS price, i = 0 AND event_id % 5 = 0 AS malformed FROM x WHERE k IN (4, 5, 9)
+UNION ALL SELECT event_id, 'position', w, event_type, CASE WHEN i < 2 THEN 'long' ELSE 'short' END, ABS(1.5e0 - i), value, FALSE FROM x WHERE k = 6
+UNION ALL SELECT event_id, 'pnl', w, NULL, NULL, NULL, value, FALSE FROM e WHERE k = 6
+UNION ALL SELECT event_id, 'market', NULL, c, NULL, NULL, CASE c WHEN 'btc' THEN value ELSE 7.5e0 END, FALSE FROM e, (VALUES ('btc'), ('eth')) t(c) WHERE k IN (1, 2)
+UNION ALL SELECT event_id, 'market', NULL, event_type, NULL, NULL, value, FALSE FROM e WHERE k = 3
+UNION ALL SELECT event_id, 'liquidation', w, NULL, NULL, NULL, value, FALSE FROM e WHERE k = 7
+UNION ALL SELECT event_id, 'funding', NULL, event_type, NULL, value, NULL, FALSE FROM e WHERE k = 8
+UNION ALL SELECT event_id, 'cancel', NULL, event_type, NULL, NULL, NULL, FALSE FROM x WHERE k = 10""".replace("i < 2", "1.5e0 - i >= 0"))
