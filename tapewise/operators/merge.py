@@ -33,17 +33,3 @@ def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(*(F.desc(c) for c in order))
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
-
-def merge_into_folder(spark, path: str, batch: DataFrame, key: list[str], order: list[str]) -> None:
-    """Fold a batch into a Parquet folder, keeping the latest row of a key; for
-    ``foreachBatch``. The merged table is written beside the old one and swapped
-    by rename, so a reader never meets half of it."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    target, fresh, gone = hadoop(path), hadoop(path + ".new"), hadoop(path + ".old")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    whole = spark.read.parquet(path).unionByName(batch) if fs.exists(target) else batch
-    latest(whole, key, order).write.mode("overwrite").parquet(path + ".new")
-    if fs.exists(target):
-        fs.rename(target, gone)
-    fs.rename(fresh, target)
-    fs.delete(gone, True)

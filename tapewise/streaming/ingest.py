@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tapewise.operators.merge import merge_into_folder
+from tapewise.operators import snapshots
 from tapewise.sources import envelopes as wire
 
 
@@ -28,8 +28,9 @@ def consensus_windows(rows: DataFrame, window: str = "300 seconds", delay: str =
 
 
 def start_merge(rows: DataFrame, path: str, checkpoint: str, key: list[str], order: list[str]) -> StreamingQuery:
-    """Fold each micro-batch into a Parquet folder by key; late rows are merged too."""
-    merge = lambda batch, _: merge_into_folder(batch.sparkSession, path, batch, key, order)
+    """Fold each micro-batch into a versioned table by key, once whatever is
+    repeated; late rows are merged too. Read it by ``snapshots.read``."""
+    merge = lambda batch, number: snapshots.merge(batch.sparkSession, path, batch, key, order, number)
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

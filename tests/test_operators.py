@@ -8,7 +8,8 @@ from tapewise.functions import kernels as k
 from tapewise.functions.factors import FactorRegistry, RankingConfig, rank
 from tapewise.operators.asof import asof_join, asof_nearest, range_join
 from tapewise.operators.fifo import residual_lots, round_trips
-from tapewise.operators.merge import changed, insert_ignore, latest, merge_into_folder, upsert_coalesce
+from tapewise.operators import snapshots
+from tapewise.operators.merge import changed, insert_ignore, latest, upsert_coalesce
 from tapewise.plans.copy_sim import CopyConfig, fold_dynamic, fold_fills, fold_static
 
 
@@ -108,9 +109,9 @@ def test_merges(spark, tmp_path):
     same = spark.createDataFrame([(2, 6, None), (1, 5, "q")], "id int, v int, w string")
     assert [r.id for r in changed(old, same, ["id"]).collect()] == [1]
     path = str(tmp_path / "t")
-    merge_into_folder(spark, path, old, ["id"], ["v"])
-    merge_into_folder(spark, path, spark.createDataFrame([(1, 9, "n")], "id int, v int, w string"), ["id"], ["v"])
-    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {(1, 9, "n"), (2, 6, None)}
+    snapshots.merge(spark, path, old, ["id"], ["v"])
+    snapshots.merge(spark, path, spark.createDataFrame([(1, 9, "n")], "id int, v int, w string"), ["id"], ["v"])
+    assert {tuple(r) for r in snapshots.read(spark, path).collect()} == {(1, 9, "n"), (2, 6, None)}
     assert latest(old.unionAll(old), ["id"], ["v"]).count() == 2
 
 
