@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapewise.operators.ranks import By, row_numbers
+
 
 class FactorRegistry:
     """``name`` to a builder of its Column; a column of the frame by that name wins."""
@@ -53,5 +55,4 @@ def rank(df: DataFrame, key: str, registry: FactorRegistry, config: RankingConfi
         span = F.col(f"_hi_{n}") - F.col(f"_lo_{n}")
         unit = F.when(span > 1e-12, (F.col(n) - F.col(f"_lo_{n}")) / span).otherwise(0.5)
         score = score + F.least(unit, F.lit(config.caps.get(n, 1.0))) * w
-    place = F.row_number().over(Window.orderBy(F.desc("score"), key))
-    return wide.select(key, score.alias("score")).withColumn("place", place)
+    return row_numbers(wide.select(key, score.alias("score")), [By("score", True, False), By(key)])
