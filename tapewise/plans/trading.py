@@ -101,13 +101,29 @@ W6 = 6 * HOUR
 _GROUPED = f"""e AS (SELECT trader_id, coin, direction, w, us FROM (SELECT trader_id, coin, direction, us, CAST(FLOOR(us / {W6}) AS BIGINT) AS w, ROW_NUMBER() OVER (PARTITION BY trader_id, coin, direction, CAST(FLOOR(us / {W6}) AS BIGINT) ORDER BY us, event_id) AS r FROM positions_v) q WHERE r = 1),
 s AS (SELECT trader_id, MAX_BY(total_score, us) AS score FROM scores_v WHERE trader_id % 3 <> 0 GROUP BY trader_id),
 g AS (SELECT e.coin, e.direction, e.w, COUNT(DISTINCT e.trader_id) AS traders, AVG(s.score) AS avg_score, SUM(s.score / 100e0) AS quality, MAX(e.us) AS us FROM e JOIN s ON s.trader_id = e.trader_id WHERE s.score >= 20e0 GROUP BY e.coin, e.direction, e.w HAVING COUNT(DISTINCT e.trader_id) >= 3)"""
-_CONTEXT = _GROUPED + f""", n1 AS (SELECT g.*, m.price AS p0, m.funding_rate AS fr, m.open_interest AS oi FROM g ASOF LEFT JOIN market_v m ON m.coin = g.coin AND m.us <= g.us), n2 AS (SELECT n1.*, m.price AS p5 FROM n1 ASOF LEFT JOIN market_v m ON m.coin = n1.coin AND m.us <= n1.us - {5 * MINUTE}),
+_CONTEXT = _GROUPED + f""", nb AS (SELECT g.*, m.us AS bu, m.price AS bp, m.funding_rate AS bf, m.open_interest AS bo FROM g ASOF LEFT JOIN market_v m ON m.coin = g.coin AND m.us <= g.us), nf AS (SELECT nb.*, m.us AS fu, m.price AS fp, m.funding_rate AS ff, m.open_interest AS fo FROM nb ASOF LEFT JOIN market_v m ON m.coin = nb.coin AND m.us >= nb.us),
+n1 AS (SELECT nf.* EXCLUDE (bu, bp, bf, bo, fu, fp, ff, fo), CASE WHEN near THEN bp ELSE fp END AS p0, CASE WHEN near THEN bf ELSE ff END AS fr, CASE WHEN near THEN bo ELSE fo END AS oi FROM (SELECT *, bu IS NOT NULL AND (fu IS NULL OR us - bu <= fu - us) AS near FROM nf) nf), n2 AS (SELECT n1.*, m.price AS p5 FROM n1 ASOF LEFT JOIN market_v m ON m.coin = n1.coin AND m.us <= n1.us - {5 * MINUTE}),
 n3 AS (SELECT n2.*, m.price AS p15 FROM n2 ASOF LEFT JOIN market_v m ON m.coin = n2.coin AND m.us <= n2.us - {15 * MINUTE}),
 path AS (SELECT n3.coin AS coin, n3.direction AS direction, n3.w AS w, CASE WHEN LAG(m.price) OVER (PARTITION BY n3.coin, n3.direction, n3.w ORDER BY m.us) > 0 THEN (m.price / LAG(m.price) OVER (PARTITION BY n3.coin, n3.direction, n3.w ORDER BY m.us) - 1e0) * 1e4 END AS r FROM n3 JOIN market_v m ON m.coin = n3.coin AND m.us BETWEEN n3.us - {HOUR} AND n3.us),
 v AS (SELECT coin, direction, w, STDDEV_SAMP(r) AS vol FROM path GROUP BY coin, direction, w),
 cand AS (SELECT n3.coin, n3.direction, n3.w, traders, avg_score, quality, n3.us, COALESCE(fr, 0e0) AS funding, COALESCE(oi, 0e0) AS interest, COALESCE(p0, 0e0) AS reference, COALESCE((p0 / NULLIF(p5, 0e0) - 1e0) * 1e4, 0e0) AS mom5, COALESCE((p0 / NULLIF(p15, 0e0) - 1e0) * 1e4, 0e0) AS mom15, COALESCE(vol, 0e0) AS vol FROM n3 LEFT JOIN v ON v.coin = n3.coin AND v.direction = n3.direction AND v.w = n3.w)"""
 
 
+def _around(g: DataFrame, m: DataFrame) -> DataFrame:
+    """``g`` (coin, direction, w, us and others) with the market nearest to its
+    time (n_) and the prices last before 5 and 15 minutes earlier: one pass back
+    for all three times of a group, one forward."""
+    keys, held = ["coin", "direction", "w"], ["price", "funding_rate", "open_interest"]
+    probes = g.select(*keys, F.explode(F.array(F.lit(0), F.lit(5), F.lit(15))).alias("ago"), "us").withColumn("us", c("us") - c("ago") * MINUTE)
+    back = asof_join(probes, m, "coin", "us", held, prefix="b_")
+    at = lambda ago, x: F.max(F.when(c("ago") == ago, x))
+    back = back.groupBy(*keys).agg(at(0, F.struct("b_us", *(f"b_{v}" for v in held))).alias("b"), at(5, c("b_price")).alias("p5_price"), at(15, c("b_price")).alias("p15_price"))
+    both = asof_join(g, m, "coin", "us", held, direction="forward", prefix="f_").join(back, keys)
+    earlier = c("b.b_us").isNotNull() & (c("f_us").isNull() | (c("us") - c("b.b_us") <= c("f_us") - c("us")))
+    near = [F.when(earlier, c(f"b.b_{v}")).otherwise(c(f"f_{v}")).alias(f"n_{v}") for v in held]
+    return both.select(*g.columns, *near, "p5_price", "p15_price")
+
+
 def consensus(s: SparkSession, d: str) -> DataFrame:
     """Groups of traders that enter one coin in one direction in a window, with
     the market around their latest entry."""
@@ -116,9 +132,7 @@ def consensus(s: SparkSession, d: str) -> DataFrame:
     score = view(s, d, "scores_v").where("trader_id % 3 <> 0").groupBy("trader_id").agg(F.max_by("total_score", "us").alias("score")).where("score >= 20")
     g = first.join(score, "trader_id").groupBy("coin", "direction", "w").agg(F.count_distinct("trader_id").alias("traders"), F.avg("score").alias("avg_score"), F.sum(c("score") / 100.0).alias("quality"), F.max("us").alias("us")).where("traders >= 3")
     m = view(s, d, "market_v").select("coin", "us", "price", "funding_rate", "open_interest")
-    g = asof_nearest(g, m, "coin", "us", ["price", "funding_rate", "open_interest"], prefix="n_").drop("n_us")
-    g = asof_join(g, m, "coin", "us", ["price"], shift=-5 * MINUTE, prefix="p5_").drop("p5_us")
-    g = asof_join(g, m, "coin", "us", ["price"], shift=-15 * MINUTE, prefix="p15_").drop("p15_us")
+    g = _around(g, m)
     spans = g.select("coin", "direction", "w", (c("us") - HOUR).alias("a"), c("us").alias("b"))
     path = range_join(spans, m.select("coin", "us", "price"), "coin", "us", "a", "b", 4 * HOUR)
     prev = F.lag("price").over(Window.partitionBy("coin", "direction", "w").orderBy("us"))
