@@ -27,6 +27,20 @@ def consensus_windows(rows: DataFrame, window: str = "300 seconds", delay: str =
     return out.select(F.col("window.start").alias("start"), "coin", "direction", "wallets", "entries")
 
 
+def session_segments(rows: DataFrame, gap_us: int = 45 * 60 * 1_000_000, delay: str = "10 minutes") -> DataFrame:
+    """Segments of a trader's positions in a coin and direction, cut where more
+    than ``gap_us`` lie between two: start, rows and hours of each.
+
+    A late row within the watermark joins segments that it bridges; a segment is
+    told once, when the watermark passes its gap. Rows without a time are skipped."""
+    # a row at the very moment where a window ends still belongs to it
+    w = F.session_window("ts", f"{gap_us} microseconds")
+    seen = rows.where("ts IS NOT NULL").withWatermark("ts", delay)
+    out = seen.groupBy(w, "trader_id", "coin", "direction").agg(F.count("*").alias("n"), F.min("ts").alias("start"), F.max("ts").alias("last"))
+    hours = F.floor((F.unix_micros("last") - F.unix_micros("start")) / 1e6) / 3600.0
+    return out.select("trader_id", "coin", "direction", "start", "n", hours.alias("hours"))
+
+
 def start_merge(rows: DataFrame, path: str, checkpoint: str, key: list[str], order: list[str]) -> StreamingQuery:
     """Fold each micro-batch into a versioned table by key, once whatever is
     repeated; late rows are merged too. Read it by ``snapshots.read``."""
