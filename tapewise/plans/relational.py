@@ -8,8 +8,6 @@ SQL: dict[str, str] = {}
 SQL["src_pg_query"] = "SELECT trader_id, wallet, first_seen, last_seen, wallet_status FROM traders_v"
 SQL["src_pg_stream_fills"] = f"""SELECT event_key, wallet, coin, side, size, price, us FROM fills_v JOIN (SELECT trader_id AS t, wallet FROM traders_v) w ON t = trader_id
 WHERE LOWER(wallet) = 'w7' AND us >= COALESCE(CAST(NULL AS BIGINT), 0) AND us <= {NOW}"""
-SQL["src_parquet_lake_pruned"] = """SELECT event_id, trader_id, coin, price FROM fills_v WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-11 00:00:00'"""
-SQL["src_parquet_bundle"] = "SELECT trader_id, event_key, coin, us, price, size FROM fills_v WHERE trader_id IN (3, 5, 8)"
 SQL["src_sub_expand"] = """WITH known AS (SELECT DISTINCT coin FROM market_v WHERE coin IN ('click', 'view')),
 fresh AS (SELECT DISTINCT coin FROM market_v WHERE coin NOT LIKE '@%' AND coin NOT LIKE '#%')
 SELECT coin FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.coin = f.coin) ORDER BY coin LIMIT 1000"""

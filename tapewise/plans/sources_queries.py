@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewise.plans.dialect import duck, view
-from tapewise.sources import envelopes, orderbook, rest, sinks, social, variants
+from tapewise.session import shared_path
+from tapewise.sources import envelopes, lake, orderbook, rest, sinks, social, variants
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -139,3 +142,36 @@ UNION ALL SELECT event_id, 'market', NULL, event_type, NULL, NULL, value, FALSE
 UNION ALL SELECT event_id, 'liquidation', w, NULL, NULL, NULL, value, FALSE FROM e WHERE k = 7
 UNION ALL SELECT event_id, 'funding', NULL, event_type, NULL, value, NULL, FALSE FROM e WHERE k = 8
 UNION ALL SELECT event_id, 'cancel', NULL, event_type, NULL, NULL, NULL, FALSE FROM x WHERE k = 10""".replace("i < 2", "1.5e0 - i >= 0"))
+
+
+def _lake(s: SparkSession, d: str) -> DataFrame:
+    """All fills as a lake by day."""
+    path = shared_path(s, "lake")
+    lake.write_days(view(s, d, "fills_v"), path)
+    return s.read.parquet(path)
+
+
+def src_parquet_lake_pruned(s, d):
+    """Fills of three days of the lake; other folders aren't listed."""
+    return lake.between_days(_lake(s, d), date(2024, 1, 10), date(2024, 1, 12)).select("event_id", "trader_id", "coin", "price", "day")
+
+
+def src_parquet_lake_dynamic(s, d):
+    """Fills of the days on which an error reached a value of 99: the days are
+    found at run time and prune the lake's folders."""
+    days = view(s, d, "ev_v").where("event_type = 'error' AND value >= 99").select(F.year("ts").alias("year"), F.month("ts").alias("month"), F.dayofmonth("ts").alias("day"))
+    return lake.on_days(_lake(s, d), days).select("event_id", "trader_id", "coin", "price", "day")
+
+
+def src_parquet_bundle(s, d):
+    """Three wallets from a bundle of all of them."""
+    path = shared_path(s, "bundle")
+    fills = view(s, d, "fills_v").join(view(s, d, "traders_v").select("trader_id", "wallet"), "trader_id").withColumn("timestamp", F.col("ts"))
+    lake.write_bundle(fills, path)
+    return lake.read_bundle(s, path, "w3", "w5", "w8").select("trader_id", "event_key", "coin", "us", "price", "size")
+
+
+QUERIES |= {f.__name__: f for f in (src_parquet_lake_pruned, src_parquet_lake_dynamic, src_parquet_bundle)}
+ORACLE_SQL["src_parquet_lake_pruned"] = duck("SELECT event_id, trader_id, coin, price, CAST(DAY(ts) AS INTEGER) AS day FROM fills_v WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-13 00:00:00'")
+ORACLE_SQL["src_parquet_lake_dynamic"] = duck("SELECT event_id, trader_id, coin, price, CAST(DAY(ts) AS INTEGER) AS day FROM fills_v WHERE CAST(ts AS DATE) IN (SELECT CAST(ts AS DATE) FROM ev_v WHERE event_type = 'error' AND value >= 99)")
+ORACLE_SQL["src_parquet_bundle"] = duck("SELECT trader_id, event_key, coin, us, price, size FROM fills_v WHERE trader_id IN (3, 5, 8)")
