@@ -52,8 +52,6 @@ SQL["p_daily_universe"] = f"SELECT DATE '2024-01-30' AS snapshot_date, t.trader_
 SQL["p_example_latest_metrics"] = "SELECT trader_id, ROUND(MAX_BY(equity, us), 4) AS equity, MAX(us) AS us FROM pnl_v GROUP BY trader_id"
 SQL["p_example_sync"] = "SELECT kind, COUNT(*) AS n, MAX(us) AS last_us FROM conn_v GROUP BY kind"
 SQL["p_example_queries"] = "SELECT trader_id, discovery_score, us FROM ranks_v ORDER BY us DESC, event_id DESC LIMIT 50"
-SQL["k_spec_pillars"] = "SELECT trader_id, ROUND(LEAST(100e0, CASE WHEN hit >= 60 THEN 80e0 + (hit - 60e0) / 2e0 WHEN hit >= 40 THEN 40e0 + (hit - 40e0) * 2e0 ELSE hit END), 4) AS pillar FROM (SELECT trader_id, AVG(CASE WHEN price > 50e0 THEN 100e0 ELSE 0e0 END) AS hit FROM fills_v GROUP BY trader_id) x"
-SQL["k_spec_gates"] = "SELECT trader_id, CASE WHEN n < 5 THEN 'stage1' WHEN volume < 100 THEN 'stage2' WHEN pnl <= 0.001e0 * volume THEN 'stage3' ELSE 'pass' END AS gate FROM (SELECT trader_id, COUNT(*) AS n, SUM(price * size) AS volume, COALESCE(SUM(closed_pnl_usd), 0e0) AS pnl FROM fills_v GROUP BY trader_id) x"
 SQL["k_spec_score_history"] = "SELECT trader_id, ROUND(COALESCE(STDDEV_SAMP(d), 0e0), 6) AS volatility, MIN(d) AS worst, COALESCE(MIN(d) < -15e0, FALSE) AS drop_alert FROM (SELECT trader_id, total_score - LAG(total_score) OVER (PARTITION BY trader_id ORDER BY us, event_id) AS d FROM scores_v) x GROUP BY trader_id"
 SQL["k_fill_dir_quality"] = "SELECT trader_id, CASE WHEN missing >= 1e0 THEN 'exclude' WHEN missing > 0.1e0 THEN 'backfill' ELSE 'ok' END AS quality FROM (SELECT trader_id, AVG(CASE WHEN event_id % 9 = 0 OR trader_id % 13 = 0 OR (trader_id % 5 = 0 AND event_id % 3 = 0) THEN 1e0 ELSE 0e0 END) AS missing FROM fills_v GROUP BY trader_id) x"
 SQL["k_dir_return_pct"] = "SELECT signal_id, ROUND(CASE WHEN reference_price <= 0 THEN 0e0 WHEN direction = 'long' THEN ((confidence + 1e0) / NULLIF(reference_price, 0e0) - 1e0) * 100e0 ELSE (reference_price / NULLIF(confidence + 1e0, 0e0) - 1e0) * 100e0 END, 6) AS pct FROM signals_v"
