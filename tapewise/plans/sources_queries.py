@@ -35,11 +35,15 @@ ORACLE_SQL["agg_ingest_counters"] = duck("SELECT COUNT(*) AS received, COUNT(*)
 
 def src_l2_parse(s, d):
     """Snapshots from JSON lines, some of them unreadable."""
+    book = orderbook.metrics(orderbook.snapshots(_book_lines(s, d)))
+    return book.select(F.col("ms").alias("event_id"), "coin", F.round("spread", 6).alias("spread"), "bid_depth")
+
+
+def _book_lines(s: SparkSession, d: str) -> DataFrame:
     level = lambda px: F.array(F.struct(px.cast("string").alias("px"), F.lit("2").alias("sz"), F.lit(1).alias("n")))
     data = F.struct("coin", F.col("event_id").alias("time"), F.array(level(F.col("bid")), level(F.col("ask"))).alias("levels"))
     line = F.when(F.col("event_id") % 20 == 0, "{broken").otherwise(F.to_json(F.struct(data.alias("data"))))
-    book = orderbook.metrics(orderbook.snapshots(view(s, d, "book_v").select(line.alias("value"))))
-    return book.select(F.col("ms").alias("event_id"), "coin", F.round("spread", 6).alias("spread"), "bid_depth")
+    return view(s, d, "book_v").select("coin", "us", line.alias("value"))
 
 
 QUERIES["src_l2_parse"] = src_l2_parse
@@ -175,3 +179,23 @@ QUERIES |= {f.__name__: f for f in (src_parquet_lake_pruned, src_parquet_lake_dy
 ORACLE_SQL["src_parquet_lake_pruned"] = duck("SELECT event_id, trader_id, coin, price, CAST(DAY(ts) AS INTEGER) AS day FROM fills_v WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-13 00:00:00'")
 ORACLE_SQL["src_parquet_lake_dynamic"] = duck("SELECT event_id, trader_id, coin, price, CAST(DAY(ts) AS INTEGER) AS day FROM fills_v WHERE CAST(ts AS DATE) IN (SELECT CAST(ts AS DATE) FROM ev_v WHERE event_type = 'error' AND value >= 99)")
 ORACLE_SQL["src_parquet_bundle"] = duck("SELECT trader_id, event_key, coin, us, price, size FROM fills_v WHERE trader_id IN (3, 5, 8)")
+
+
+def src_s3_orderbook(s, d):
+    """Two pulls of hourly files: what the second plans, and what both hold.
+
+    Hours 3 and 15 of a day have no file; the first pull wants the hours before noon."""
+    files, cache = shared_path(s, "book-files"), shared_path(s, "book-cache")
+    lines = _book_lines(s, d).withColumn("hour", orderbook.hour_of("us")).withColumn("at", F.col("us"))
+    of_day = F.substring("hour", 10, 2).cast("int")
+    orderbook.write_hours(lines.where(~of_day.isin(3, 15)), files)
+    wanted = lines.select("coin", "hour")
+    orderbook.pull(wanted.where(of_day < 12), files, cache, "1", cap_hours=None)
+    planned = orderbook.pull(wanted, files, cache, "2", cap_hours=None)
+    held = sinks.read_batches(s, cache, "metrics", orderbook.METRICS).groupBy("coin", "hour").agg(F.count("*").alias("snapshots"), F.round(F.avg("spread"), 6).alias("spread"))
+    return planned.select("coin", "hour", "state").join(held, ["coin", "hour"], "left")
+
+
+QUERIES["src_s3_orderbook"] = src_s3_orderbook
+ORACLE_SQL["src_s3_orderbook"] = duck("""SELECT coin, strftime(ts, '%Y%m%d-%H') AS hour, CASE WHEN HOUR(ANY_VALUE(ts)) IN (3, 15) THEN 'missing' WHEN HOUR(ANY_VALUE(ts)) < 12 THEN 'cached' ELSE 'fetch' END AS state,
+CASE WHEN HOUR(ANY_VALUE(ts)) NOT IN (3, 15) THEN NULLIF(COUNT(*) FILTER (WHERE event_id % 20 <> 0), 0) END AS snapshots, CASE WHEN HOUR(ANY_VALUE(ts)) NOT IN (3, 15) THEN ROUND(AVG(ask - bid) FILTER (WHERE event_id % 20 <> 0), 6) END AS spread FROM book_v GROUP BY ALL""")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewise.operators.snapshots import _fs
+
 
 def replace_children(held: DataFrame, parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     """Child rows after each of ``parents`` had its children replaced."""
@@ -25,11 +27,32 @@ def upsert_ids(held: DataFrame, wanted: DataFrame, name: str, ident: str) -> Dat
 
 def save_batch(tables: dict[str, DataFrame], path: str, batch_id: str) -> None:
     """Each table of a batch under ``batch_id``; a marker is written last, and
-    readers take only batches that have it."""
+    ``read_batches`` takes only batches that have it. A batch that is saved again
+    loses its marker first, so readers miss it until it is whole again."""
+    spark = next(iter(tables.values())).sparkSession
+    fs, make = _fs(spark, path)
+    marker = make(f"{path}/_complete/batch={batch_id}")
+    fs.delete(marker, True)
     for name, df in tables.items():
         df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
-    first = next(iter(tables.values()))
-    first.sparkSession.range(1).select(F.lit(batch_id).alias("batch_id")).write.mode("overwrite").parquet(f"{path}/_complete/batch={batch_id}")
+    spark.range(1).select(F.lit(batch_id).alias("batch_id")).write.parquet(marker.toString())
+
+
+def complete_batches(spark: SparkSession, path: str) -> list[str]:
+    """Ids of the batches whose marker is written, in order; one small entry a batch."""
+    fs, make = _fs(spark, path)
+    folder = make(f"{path}/_complete")
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("batch=")]
+    return sorted(n.getName().removeprefix("batch=") for n in names if fs.exists(make(n, "_SUCCESS")))
+
+
+def read_batches(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """A table over all complete batches; folders of others aren't even listed."""
+    ids = complete_batches(spark, path)
+    schema = f"{schema}, batch_id string"
+    return spark.read.schema(schema).parquet(*(f"{path}/{name}/batch={i}" for i in ids)) if ids else spark.createDataFrame([], schema)
 
 
 def markdown(df: DataFrame, rows: int = 50) -> str:
