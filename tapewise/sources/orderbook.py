@@ -82,7 +82,7 @@ def hour_of(us: str | Column) -> Column:
 
 
 def _name(root: str, coin: str, hour: str) -> str:
-    return f"{root}/coin={quote(coin, safe='')}/hour={hour}/book.lz4"
+    return f"{root}/coin={quote(coin, safe='')}/{hour}.lz4"
 
 
 def write_hours(lines: DataFrame, path: str) -> None:
@@ -121,9 +121,9 @@ def write_hours(lines: DataFrame, path: str) -> None:
 
 def list_hours(spark: SparkSession, path: str) -> DataFrame:
     """(coin, hour, bytes, path) of the files there; their content isn't read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "book.lz4").option("recursiveFileLookup", "true").load(path)
-    part = lambda x: F.url_decode(F.regexp_replace(F.regexp_extract("path", f"/{x}=([^/]*)/", 1), r"\+", "%2B"))
-    return files.select(part("coin").alias("coin"), part("hour").alias("hour"), F.col("length").alias("bytes"), "path")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.lz4").option("recursiveFileLookup", "true").load(path)
+    coin = F.url_decode(F.regexp_replace(F.regexp_extract("path", "/coin=([^/]*)/[^/]*$", 1), r"\+", "%2B"))
+    return files.select(coin.alias("coin"), F.regexp_extract("path", r"/([^/]*)\.lz4$", 1).alias("hour"), F.col("length").alias("bytes"), "path")
 
 
 FETCHED = "coin string, hour string, value string, error string"

@@ -26,10 +26,8 @@ def files(spark, tmp_path):
     path = f"file://{tmp_path}/files"
     orderbook.write_hours(lines(spark, rows), path)
     for hour, content in (("20240101-03", b"not lz4"), ("20240101-04", None)):
-        folder = tmp_path / "files" / "coin=B" / f"hour={hour}"
-        folder.mkdir()
-        whole = (tmp_path / "files" / "coin=B" / "hour=20240101-02" / "book.lz4").read_bytes()
-        (folder / "book.lz4").write_bytes(content or whole[:-20])
+        folder = tmp_path / "files" / "coin=B"
+        (folder / f"{hour}.lz4").write_bytes(content or (folder / "20240101-02.lz4").read_bytes()[:-20])
     return path
 
 
