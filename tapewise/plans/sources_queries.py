@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapewise.plans.dialect import duck, view
 from tapewise.session import shared_path
-from tapewise.sources import envelopes, lake, orderbook, rest, sinks, social, variants
+from tapewise.sources import book_udtf, envelopes, lake, orderbook, rest, sinks, social, variants
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -34,20 +34,33 @@ ORACLE_SQL["agg_ingest_counters"] = duck("SELECT COUNT(*) AS received, COUNT(*)
 
 
 def src_l2_parse(s, d):
-    """Snapshots from JSON lines, some of them unreadable."""
+    """Snapshots from JSON lines, some of them unreadable or without asks."""
     book = orderbook.metrics(orderbook.snapshots(_book_lines(s, d)))
     return book.select(F.col("ms").alias("event_id"), "coin", F.round("spread", 6).alias("spread"), "bid_depth")
 
 
+def src_l2_levels(s, d):
+    """Levels of the same lines by a table function in SQL, unreadable lines told."""
+    book_udtf.register(s)
+    lines = _book_lines(s, d)
+    return s.sql("SELECT l.coin AS of_coin, b.* FROM {lines} l, LATERAL book_levels(l.value) b", lines=lines).groupBy("of_coin", "side", "level", "error").agg(F.count("*").alias("n_rows"), F.round(F.avg("px"), 6).alias("px"), F.sum("ms").alias("ids"))
+
+
 def _book_lines(s: SparkSession, d: str) -> DataFrame:
     level = lambda px: F.array(F.struct(px.cast("string").alias("px"), F.lit("2").alias("sz"), F.lit(1).alias("n")))
-    data = F.struct("coin", F.col("event_id").alias("time"), F.array(level(F.col("bid")), level(F.col("ask"))).alias("levels"))
+    data = F.struct("coin", F.col("event_id").alias("time"), F.array(level(F.col("bid")), F.when(F.col("event_id") % 14 == 0, F.slice(level(F.col("ask")), 1, 0)).otherwise(level(F.col("ask")))).alias("levels"))
     line = F.when(F.col("event_id") % 20 == 0, "{broken").otherwise(F.to_json(F.struct(data.alias("data"))))
     return view(s, d, "book_v").select("coin", "us", line.alias("value"))
 
 
 QUERIES["src_l2_parse"] = src_l2_parse
-ORACLE_SQL["src_l2_parse"] = duck("SELECT event_id, coin, ROUND(ask - bid, 6) AS spread, 2e0 AS bid_depth FROM book_v WHERE event_id % 20 <> 0")
+ORACLE_SQL["src_l2_parse"] = duck("SELECT event_id, coin, CASE WHEN event_id % 14 <> 0 THEN ROUND(ask - bid, 6) END AS spread, 2e0 AS bid_depth FROM book_v WHERE event_id % 20 <> 0")
+
+
+QUERIES["src_l2_levels"] = src_l2_levels
+ORACLE_SQL["src_l2_levels"] = duck("""SELECT coin AS of_coin, CASE WHEN event_id % 20 <> 0 THEN side END AS side, CASE WHEN event_id % 20 <> 0 THEN CAST(1 AS INTEGER) END AS level, CASE WHEN event_id % 20 = 0 THEN 'JSONDecodeError' END AS error, COUNT(*) AS n_rows,
+ROUND(AVG(CASE WHEN event_id % 20 <> 0 THEN CASE side WHEN 'bid' THEN bid ELSE ask END END), 6) AS px, CAST(SUM(CASE WHEN event_id % 20 <> 0 THEN event_id END) AS BIGINT) AS ids
+FROM book_v, (VALUES ('bid'), ('ask')) t(side) WHERE (event_id % 20 <> 0 AND (side = 'bid' OR event_id % 14 <> 0)) OR (event_id % 20 = 0 AND side = 'bid') GROUP BY ALL""")
 
 
 def src_rest_paginated(s, d):
@@ -198,4 +211,4 @@ def src_s3_orderbook(s, d):
 
 QUERIES["src_s3_orderbook"] = src_s3_orderbook
 ORACLE_SQL["src_s3_orderbook"] = duck("""SELECT coin, strftime(ts, '%Y%m%d-%H') AS hour, CASE WHEN HOUR(ANY_VALUE(ts)) IN (3, 15) THEN 'missing' WHEN HOUR(ANY_VALUE(ts)) < 12 THEN 'cached' ELSE 'fetch' END AS state,
-CASE WHEN HOUR(ANY_VALUE(ts)) NOT IN (3, 15) THEN NULLIF(COUNT(*) FILTER (WHERE event_id % 20 <> 0), 0) END AS snapshots, CASE WHEN HOUR(ANY_VALUE(ts)) NOT IN (3, 15) THEN ROUND(AVG(ask - bid) FILTER (WHERE event_id % 20 <> 0), 6) END AS spread FROM book_v GROUP BY ALL""")
+CASE WHEN HOUR(ANY_VALUE(ts)) NOT IN (3, 15) THEN NULLIF(COUNT(*) FILTER (WHERE event_id % 20 <> 0), 0) END AS snapshots, CASE WHEN HOUR(ANY_VALUE(ts)) NOT IN (3, 15) THEN ROUND(AVG(ask - bid) FILTER (WHERE event_id % 20 <> 0 AND event_id % 14 <> 0), 6) END AS spread FROM book_v GROUP BY ALL""")
