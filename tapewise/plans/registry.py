@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewise.plans import audits, copy_sim, kernel_queries, rank_queries, relational, scoring, sources_queries, spec_queries, trading
+from tapewise.plans import audits, copy_sim, kernel_queries, rank_queries, relational, reports, scoring, sources_queries, spec_queries, trading
 from tapewise.plans.dialect import duck, spark
 
 _TEXTS = {**relational.SQL, **scoring.SQL, **audits.SQL}
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{k: spark(v) for k, v in _TEXTS.items()}, **kernel_queries.QUERIES, **trading.QUERIES, **copy_sim.QUERIES, **sources_queries.QUERIES, **rank_queries.QUERIES, **spec_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**{k: duck(v) for k, v in _TEXTS.items()}, **kernel_queries.ORACLE_SQL, **trading.ORACLE_SQL, **sources_queries.ORACLE_SQL, **spec_queries.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{k: spark(v) for k, v in _TEXTS.items()}, **kernel_queries.QUERIES, **trading.QUERIES, **copy_sim.QUERIES, **sources_queries.QUERIES, **rank_queries.QUERIES, **reports.QUERIES, **spec_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**{k: duck(v) for k, v in _TEXTS.items()}, **kernel_queries.ORACLE_SQL, **trading.ORACLE_SQL, **reports.ORACLE_SQL, **sources_queries.ORACLE_SQL, **spec_queries.ORACLE_SQL}

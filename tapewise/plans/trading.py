@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapewise.functions import kernels as k
 from tapewise.operators.asof import asof_join, asof_nearest, range_join
 from tapewise.operators.fifo import residual_lots, round_trips, slipped
+from tapewise.operators.running import running
 from tapewise.plans.dialect import duck, view
 from tapewise.plans.views import DAY, HOUR, MINUTE, NOW
 
@@ -199,6 +200,8 @@ def _(s, d):
     return rounded(out, 4)
 
 
+#: What a replay starts with.
+BEGIN = 10_000.0
 # The three replay strategies.
 STRATEGIES = [
     ("consensus_momentum", False, 60.0, 55.0, 100.0, "trend_expansion,balanced", 140.0, 85.0, 240, 0.015, 0.03, 0.015),
@@ -207,21 +210,21 @@ STRATEGIES = [
 ]
 _ST_COLS = "strategy, fade, min_conf, min_mom, max_mom, regimes, tp, sl, hold_min, base, most, scale"
 _ST_SQL = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x).upper() if isinstance(x, bool) else f"{x}e0" if isinstance(x, float) else str(x) for x in row) + ")" for row in STRATEGIES)
-_MATCH = f"""st AS (SELECT * FROM (VALUES {_ST_SQL}) v({_ST_COLS})),
+MATCH = f"""st AS (SELECT * FROM (VALUES {_ST_SQL}) v({_ST_COLS})),
 t0 AS (SELECT st.strategy, s.signal_id, s.coin, s.window_end, s.confidence, s.regime, tp, sl, hold_min, CASE WHEN fade = (s.direction = 'short') THEN 'long' ELSE 'short' END AS dir, LEAST(GREATEST(base + confidence / 100e0 * scale, base), most) AS risk FROM signals_v s JOIN st ON s.confidence >= min_conf AND (s.signal_id % 100) * 1e0 BETWEEN min_mom AND max_mom AND CONTAINS(',' || regimes || ',', ',' || s.regime || ',')),
 t1 AS (SELECT t0.*, m.us AS in_us, m.price AS raw_in FROM t0 ASOF JOIN market_v m ON m.coin = t0.coin AND m.us >= t0.window_end),
 t2 AS (SELECT t1.*, 5e0 * (1e0 + LEAST(risk / 0.02e0, 2e0) * 0.25e0) * (1e0 + confidence / 100e0 * 0.2e0) AS slip FROM t1),
 t3 AS (SELECT t2.*, CASE dir WHEN 'long' THEN raw_in * (1e0 + slip / 1e4) ELSE raw_in * (1e0 - slip / 1e4) END AS px_in FROM t2),
 px AS (SELECT t3.strategy, t3.signal_id, m.us, m.price, CASE WHEN px_in <= 0 OR m.price <= 0 THEN 0e0 WHEN dir = 'long' THEN (m.price / NULLIF(px_in, 0e0) - 1e0) * 1e4 ELSE (px_in / NULLIF(m.price, 0e0) - 1e0) * 1e4 END AS mv, tp, sl FROM t3 JOIN market_v m ON m.coin = t3.coin AND m.us BETWEEN in_us AND in_us + CAST(hold_min AS BIGINT) * {MINUTE}),
-xt AS (SELECT strategy, signal_id, MIN(CASE WHEN mv >= tp OR mv <= -sl THEN us END) AS hit_us, COALESCE(MIN_BY(price, CASE WHEN mv >= tp OR mv <= -sl THEN us END), MAX_BY(price, us)) AS raw_out, COALESCE(MIN_BY(CASE WHEN mv >= tp THEN 'take_profit' ELSE 'stop_loss' END, CASE WHEN mv >= tp OR mv <= -sl THEN us END), 'time_exit') AS reason, GREATEST(MAX(mv), 0e0) AS mfe, LEAST(MIN(mv), 0e0) AS mae FROM px GROUP BY strategy, signal_id),
-tr AS (SELECT t3.*, xt.raw_out, xt.reason, mfe, mae, CASE dir WHEN 'long' THEN raw_out * (1e0 - slip / 1e4) ELSE raw_out * (1e0 + slip / 1e4) END AS px_out FROM t3 JOIN xt ON xt.strategy = t3.strategy AND xt.signal_id = t3.signal_id),
+xt AS (SELECT strategy, signal_id, MIN(CASE WHEN mv >= tp OR mv <= -sl THEN us END) AS hit_us, COALESCE(MIN_BY(price, CASE WHEN mv >= tp OR mv <= -sl THEN us END), MAX_BY(price, us)) AS raw_out, COALESCE(MIN_BY(CASE WHEN mv >= tp THEN 'take_profit' ELSE 'stop_loss' END, CASE WHEN mv >= tp OR mv <= -sl THEN us END), 'time_exit') AS reason, MAX(us) AS last_us, GREATEST(MAX(mv), 0e0) AS mfe, LEAST(MIN(mv), 0e0) AS mae FROM px GROUP BY strategy, signal_id),
+tr AS (SELECT t3.*, xt.raw_out, xt.reason, mfe, mae, COALESCE(hit_us, last_us) AS out_us, CASE dir WHEN 'long' THEN raw_out * (1e0 - slip / 1e4) ELSE raw_out * (1e0 + slip / 1e4) END AS px_out FROM t3 JOIN xt ON xt.strategy = t3.strategy AND xt.signal_id = t3.signal_id),
 gr AS (SELECT tr.*, risk / GREATEST(px_in, 1e0) * ((CASE dir WHEN 'long' THEN px_out - px_in ELSE px_in - px_out END) - (px_in + px_out) * 4e0 / 1e4) AS g FROM tr),
 eq AS (SELECT gr.*, 10000e0 * PRODUCT(1e0 + g) OVER (PARTITION BY strategy ORDER BY window_end, signal_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity FROM gr)"""
 
 
 def replay(s: SparkSession, d: str) -> DataFrame:
     """Trades of each strategy. Size and costs are in proportion to equity, so
-    the curve is a running product and needs no sequential loop."""
+    the curve is a running product, by days, and needs no sequential loop."""
     st = F.broadcast(s.createDataFrame(STRATEGIES, "strategy string, fade boolean, min_conf double, min_mom double, max_mom double, regimes string, tp double, sl double, hold_min int, base double, most double, scale double"))
     g = view(s, d, "signals_v").withColumn("mom", (c("signal_id") % 100).cast("double"))
     fits = (c("confidence") >= c("min_conf")) & c("mom").between(c("min_mom"), c("max_mom")) & F.array_contains(F.split("regimes", ","), c("regime"))
@@ -234,21 +237,22 @@ def replay(s: SparkSession, d: str) -> DataFrame:
     path = range_join(t.select("strategy", "signal_id", "coin", "dir", "px_in", "tp", "sl", "in_us", "until"), m.select("coin", "us", "price"), "coin", "us", "in_us", "until", 4 * HOUR)
     path = path.withColumn("mv", F.when(c("price") <= 0, 0.0).otherwise(k.directional_return_bps(c("dir"), c("px_in"), c("price"))))
     hit = F.when((c("mv") >= c("tp")) | (c("mv") <= -c("sl")), c("us"))
-    x = path.withColumn("hit", hit).groupBy("strategy", "signal_id").agg(F.coalesce(F.min_by("price", "hit"), F.max_by("price", "us")).alias("raw_out"), F.coalesce(F.min_by(F.when(c("mv") >= c("tp"), "take_profit").otherwise("stop_loss"), "hit"), F.lit("time_exit")).alias("reason"), F.greatest(F.max("mv"), zero).alias("mfe"), F.least(F.min("mv"), zero).alias("mae"))
+    x = path.withColumn("hit", hit).groupBy("strategy", "signal_id").agg(F.coalesce(F.min_by("price", "hit"), F.max_by("price", "us")).alias("raw_out"), F.coalesce(F.min_by(F.when(c("mv") >= c("tp"), "take_profit").otherwise("stop_loss"), "hit"), F.lit("time_exit")).alias("reason"), F.coalesce(F.min("hit"), F.max("us")).alias("out_us"), F.greatest(F.max("mv"), zero).alias("mfe"), F.least(F.min("mv"), zero).alias("mae"))
     t = t.join(x, ["strategy", "signal_id"]).withColumn("px_out", k.apply_slippage(c("dir"), c("raw_out"), c("slip"), False))
     per_unit = F.when(c("dir") == "long", c("px_out") - c("px_in")).otherwise(c("px_in") - c("px_out")) - (c("px_in") + c("px_out")) * 4.0 / 1e4
     t = t.withColumn("g", c("risk") / F.greatest(c("px_in"), F.lit(1.0)) * per_unit)
-    w = Window.partitionBy("strategy").orderBy("window_end", "signal_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.withColumn("equity", 10_000.0 * F.product(1.0 + c("g")).over(w))
+    t = t.withColumn("day", F.floor(c("window_end") / DAY))
+    run = running(t, ["strategy"], "day", ["window_end", "signal_id"], {"growth": ("product", 1.0 + c("g"))})
+    return run.withColumn("equity", BEGIN * c("growth"))
 
 
-@query("p_strategy_replay", f"WITH {_MATCH} SELECT strategy, signal_id, dir, ROUND(px_in, 6) AS px_in, ROUND(px_out, 6) AS px_out, reason, ROUND(g * 100e0, 6) AS return_pct, ROUND(mfe, 4) AS mfe, ROUND(mae, 4) AS mae, ROUND(equity, 4) AS equity FROM eq")
+@query("p_strategy_replay", f"WITH {MATCH} SELECT strategy, signal_id, dir, ROUND(px_in, 6) AS px_in, ROUND(px_out, 6) AS px_out, reason, ROUND(g * 100e0, 6) AS return_pct, ROUND(mfe, 4) AS mfe, ROUND(mae, 4) AS mae, ROUND(equity, 4) AS equity FROM eq")
 def _(s, d):
     t = replay(s, d)
     return t.select("strategy", "signal_id", "dir", F.round("px_in", 6).alias("px_in"), F.round("px_out", 6).alias("px_out"), "reason", F.round(c("g") * 100, 6).alias("return_pct"), F.round("mfe", 4).alias("mfe"), F.round("mae", 4).alias("mae"), F.round("equity", 4).alias("equity"))
 
 
-@query("p_simulation_compare", f"WITH {_MATCH} SELECT strategy, COUNT(*) AS trades, ROUND(AVG(CASE WHEN g > 0 THEN 100e0 ELSE 0e0 END), 4) AS win_rate, ROUND(MAX_BY(equity, window_end * 1000 + signal_id % 1000), 4) AS ending_equity, ROUND(AVG(g) * 100e0, 6) AS avg_return_pct FROM eq GROUP BY strategy")
+@query("p_simulation_compare", f"WITH {MATCH} SELECT strategy, COUNT(*) AS trades, ROUND(AVG(CASE WHEN g > 0 THEN 100e0 ELSE 0e0 END), 4) AS win_rate, ROUND(MAX_BY(equity, window_end * 1000 + signal_id % 1000), 4) AS ending_equity, ROUND(AVG(g) * 100e0, 6) AS avg_return_pct FROM eq GROUP BY strategy")
 def _(s, d):
     t = replay(s, d).groupBy("strategy").agg(F.count("*").alias("trades"), F.avg(F.when(c("g") > 0, 100.0).otherwise(0.0)).alias("win_rate"), F.max_by("equity", F.struct("window_end", "signal_id")).alias("ending_equity"), (F.avg("g") * 100).alias("avg_return_pct"))
     return t.select("strategy", "trades", F.round("win_rate", 4).alias("win_rate"), F.round("ending_equity", 4).alias("ending_equity"), F.round("avg_return_pct", 6).alias("avg_return_pct"))
