@@ -48,8 +48,9 @@ def cascade(*rules: tuple[Column, object], other: object) -> Column:
 
 
 def entry_edge_bps(side: Column, price: Column, later: Column) -> Column:
+    """Null without a later price: ``greatest`` alone would take 1 for it."""
     p = F.greatest(F.abs(price), F.lit(1.0))
-    return F.when(side == "buy", (later / p - 1.0) * 1e4).when(side == "sell", (p / F.greatest(F.abs(later), F.lit(1.0)) - 1.0) * 1e4)
+    return F.when(later.isNull(), None).when(side == "buy", (later / p - 1.0) * 1e4).when(side == "sell", (p / F.greatest(F.abs(later), F.lit(1.0)) - 1.0) * 1e4)
 
 
 STYLES = ("scalp", "momentum", "mean_reversion", "swing")
@@ -69,9 +70,14 @@ def style_fits(m: dict[str, Column]) -> dict[str, Column]:
     return {k: clamp(v, 0, 1) for k, v in fits.items()}
 
 
+def best_styles(fits: dict[str, Column]) -> Column:
+    """Styles by fit, the best first, ties in the order given."""
+    return F.sort_array(F.array(*(F.struct(f.alias("fit"), F.lit(-i).alias("o"), F.lit(k).alias("name")) for i, (k, f) in enumerate(fits.items()))), asc=False)
+
+
 def classify_style(m: dict[str, Column]) -> Column:
     """Best style, or unknown if weak or, other than swing, hardly ahead."""
-    ranked = F.sort_array(F.array(*(F.struct(f.alias("fit"), F.lit(-i).alias("o"), F.lit(k).alias("name")) for i, (k, f) in enumerate(style_fits(m).items()))), asc=False)
+    ranked = best_styles(style_fits(m))
     best, second = F.element_at(ranked, 1), F.element_at(ranked, 2)
     weak = (best["fit"] < 0.35) | ((best["name"] != "swing") & (best["fit"] - second["fit"] < 0.05))
     return F.when(weak, "unknown").otherwise(best["name"])

@@ -15,6 +15,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewise.functions.slippage import LinearBps, SlippageModel
+
 TAPE = ["trader_id", "coin", "side"]
 #: Quantities to 10 places; what is no larger than TOLERANCE is nothing.
 QUANTITY = "decimal(26,10)"
@@ -66,11 +68,12 @@ def residual_lots(fills: DataFrame) -> DataFrame:
     return left.where(F.col("left") > TOLERANCE).select(*TAPE, F.col("event_key").alias("open_key"), "us", "price", F.col("left").cast("double").alias("left"))
 
 
-def slipped(trips: DataFrame, bps: float) -> DataFrame:
-    """``trips`` with ``net``: both legs ``bps`` worse, less fees; ``ret``
-    against the entry notional before slippage; ``hold_hours``."""
-    m = bps / 10_000.0
-    gross = F.when(F.col("side") == "long", F.col("exit_px") * (1 - m) - F.col("entry_px") * (1 + m)).otherwise(F.col("entry_px") * (1 - m) - F.col("exit_px") * (1 + m))
-    net = gross * F.col("qty") - F.col("fee_open") - F.col("fee_close")
+def slipped(trips: DataFrame, model: SlippageModel | float) -> DataFrame:
+    """``trips`` with ``net``: both legs at the prices of ``model`` (a number:
+    that many basis points), less fees; ``ret`` against the entry notional
+    before slippage; ``hold_hours``."""
+    how = model if isinstance(model, SlippageModel) else LinearBps(model)
+    entry, leave = how.round_trip(F.col("side"), F.col("entry_px"), F.col("exit_px"))
+    net = F.when(F.col("side") == "long", leave - entry).otherwise(entry - leave) * F.col("qty") - F.col("fee_open") - F.col("fee_close")
     notional = F.col("qty") * F.col("entry_px")
     return trips.withColumn("net", net).withColumns({"ret": F.when(F.abs(notional) > 1e-12, F.col("net") / notional), "notional": F.abs(notional), "hold_hours": (F.col("exit_us") - F.col("entry_us")) / 3.6e9})

@@ -129,8 +129,6 @@ y AS (SELECT x.*, CASE WHEN n >= 10000 AND span < 30 THEN 'ULTRA_HF_BOT' WHEN n
 z AS (SELECT y.*, CASE WHEN old_status = 'BANNED' AND NOT whale THEN 'BANNED' WHEN old_status = 'PROMOTED' THEN 'PROMOTED' WHEN label IN ('ULTRA_HF_BOT', 'HIGH_FREQUENCY') THEN 'BANNED' WHEN whale THEN 'PROMOTED' WHEN ({NOW} - last_us) / {DAY}e0 > 90 OR n < 5 OR volume < 500 OR (pnl_3m <= 0 AND pnl_1m <= 0 AND pnl_7d <= 0) OR sample_pnl <= 0.0005e0 * volume THEN 'PENDING' ELSE 'PROMOTED' END AS status FROM y)"""
 SQL["p_wallet_filter"] = f"""WITH {_MW} SELECT trader_id, wallet, label, status, CASE WHEN status <> 'PROMOTED' THEN NULL WHEN score IS NULL THEN 'watchlist' WHEN score >= 75 AND cf >= 0.7e0 AND comp >= 85 THEN 'high_quality' WHEN score >= 40 AND cf >= 0.5e0 THEN 'active_tracked' ELSE 'watchlist' END AS tier, status = 'PROMOTED' AND f30 >= 12 AND comp >= 60 AND cf >= 0.35e0 AS deep_dive,
 CASE WHEN status = 'PROMOTED' THEN ROUND(LEAST(100e0, 0.65e0 * (0.4e0 * {clamp('(comp - 40e0) * 2e0')} + 0.3e0 * {clamp('(f30 - 5e0) * 4e0')} + 15e0 * CASE WHEN f30 > 0 THEN 1 ELSE 0 END + 15e0 * CASE WHEN score IS NOT NULL THEN 1 ELSE 0 END) + 0.35e0 * (0.4e0 * {clamp(f'(168e0 - ({NOW} - last_us) / 3.6e9) * 100e0 / 162e0')} + 0.35e0 * {clamp('f24 * 5e0')} + 0.25e0 * {clamp('d7 * 20e0')})), 4) END AS discovery FROM z"""
-SQL["p_filter_context"] = "SELECT t.trader_id, t.trader_id % 20 = 0 AS whale, COALESCE(p.n, 0) AS snapshots, s.score, COALESCE(s.runs, 0) AS runs FROM traders_v t LEFT JOIN (SELECT trader_id, COUNT(*) AS n FROM pnl_v GROUP BY trader_id) p ON p.trader_id = t.trader_id LEFT JOIN (SELECT trader_id, MAX_BY(total_score, us) AS score, COUNT(*) AS runs FROM scores_v GROUP BY trader_id) s ON s.trader_id = t.trader_id"
-SQL["p_factor_ranking"] = """SELECT trader_id, ROUND(score, 6) AS score, CAST(ROW_NUMBER() OVER (ORDER BY ROUND(score, 6) DESC, trader_id) AS BIGINT) AS place FROM (SELECT trader_id, 0.6e0 * LEAST((v - lo) / NULLIF(hi - lo, 0e0), 0.9e0) + 0.4e0 * COALESCE((q - qlo) / NULLIF(qhi - qlo, 0e0), 0.5e0) AS score FROM
-(SELECT a.*, s.* FROM (SELECT trader_id, AVG(price) AS v, SUM(size) AS q FROM fills_v GROUP BY trader_id) a CROSS JOIN (SELECT MIN(v) AS lo, MAX(v) AS hi, MIN(q) AS qlo, MAX(q) AS qhi FROM (SELECT AVG(price) AS v, SUM(size) AS q FROM fills_v GROUP BY trader_id) t) s) b) c"""
-SQL["p_bundle_score"] = f"""SELECT trader_id, ROUND(0.5e0 * {sig('wr', 50, 0.1)} * 100e0 + 0.3e0 * {sig('pf', 1.2, 2)} * 100e0 + 0.2e0 * (1e0 - {sig('cv', 0.8, 3)}) * 100e0, 4) AS score FROM (SELECT trader_id, AVG(CASE WHEN closed_pnl_usd > 0e0 THEN 100e0 ELSE 0e0 END) AS wr, COALESCE(SUM(CASE WHEN closed_pnl_usd > 0e0 THEN closed_pnl_usd END) / NULLIF(-SUM(CASE WHEN closed_pnl_usd < 0e0 THEN closed_pnl_usd END), 0e0), 1e0) AS pf, COALESCE(STDDEV_SAMP(price * size) / NULLIF(AVG(price * size), 0e0), 0e0) AS cv FROM fills_v WHERE closed_pnl_usd IS NOT NULL GROUP BY trader_id) x"""
-SQL["k_metric_score_abs"] = f"SELECT trader_id, ROUND({sig('avg_price', 50, 0.12)} * 100e0, 4) AS up, ROUND((1e0 - {sig('sd', 20, 0.1)}) * 100e0, 4) AS down FROM (SELECT trader_id, AVG(price) AS avg_price, COALESCE(STDDEV_SAMP(price), 0e0) AS sd FROM fills_v GROUP BY trader_id) x"
+SQL["p_filter_context"] = f"""SELECT t.trader_id, t.wallet_status, w.wallet IS NOT NULL AS whale, COALESCE(p.n, 0) AS snapshots_30d, s.score, COALESCE(s.runs, 0) AS runs FROM traders_v t LEFT JOIN (SELECT DISTINCT LOWER(wallet) AS wallet FROM registry_v) w ON w.wallet = LOWER(t.wallet)
+LEFT JOIN (SELECT trader_id, COUNT(*) AS n FROM pnl_v WHERE us >= {NOW - 30 * DAY} GROUP BY trader_id) p ON p.trader_id = t.trader_id
+LEFT JOIN (SELECT trader_id, MAX_BY(total_score, us) AS score, COUNT(*) AS runs FROM scores_v GROUP BY trader_id) s ON s.trader_id = t.trader_id"""

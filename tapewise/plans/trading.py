@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapewise.functions import kernels as k
 from tapewise.operators.asof import asof_join, asof_nearest, range_join
 from tapewise.operators.fifo import residual_lots, round_trips, slipped
+from tapewise.operators.ranks import value_ranks
 from tapewise.operators.running import running
 from tapewise.plans.dialect import duck, view
 from tapewise.plans.views import DAY, HOUR, MINUTE, NOW
@@ -259,7 +260,7 @@ def _(s, d):
 
 
 # --- FIFO and paper replay ------------------------------------------------------------
-_FIFO = """fx AS (SELECT trader_id, coin, CASE WHEN fill_dir LIKE '%Short' THEN 'short' ELSE 'long' END AS side, fill_dir LIKE 'Open%' AS is_open, size, price, us, event_key, fee_usd, closed_pnl_usd FROM tape_v),
+FIFO = """fx AS (SELECT trader_id, coin, CASE WHEN fill_dir LIKE '%Short' THEN 'short' ELSE 'long' END AS side, fill_dir LIKE 'Open%' AS is_open, size, price, us, event_key, fee_usd, closed_pnl_usd FROM tape_v),
 cu AS (SELECT *, SUM(CASE WHEN is_open THEN size ELSE 0e0 END) OVER w AS opened, SUM(CASE WHEN is_open THEN 0e0 ELSE size END) OVER w AS closed FROM fx WINDOW w AS (PARTITION BY trader_id, coin, side ORDER BY us, event_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 lo AS (SELECT *, GREATEST(0e0, MAX(closed - opened) OVER (PARTITION BY trader_id, coin, side ORDER BY us, event_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS lost FROM cu),
 op AS (SELECT *, opened - size AS o_lo, opened AS o_hi FROM lo WHERE is_open),
@@ -268,23 +269,23 @@ ends AS (SELECT trader_id, coin, side, o_hi AS hi, {'key': event_key, 'us': us,
     UNION ALL SELECT trader_id, coin, side, m_hi, NULL, {'key': event_key, 'us': us, 'px': price, 'size': size, 'fee': fee_usd, 'pnl': closed_pnl_usd, 'whole': lost <= before + 1e-9} FROM cl WHERE m_hi - m_lo > 1e-9),
 cut AS (SELECT trader_id, coin, side, hi, COALESCE(LEAD(hi) OVER w, 0e0) AS lo, LAST_VALUE(o IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o, LAST_VALUE(c IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM ends WINDOW w AS (PARTITION BY trader_id, coin, side ORDER BY hi DESC)),
 trip AS (SELECT trader_id, coin, side, o.key AS open_key, c.key AS close_key, o.us AS entry_us, c.us AS exit_us, o.px AS entry_px, c.px AS exit_px, hi - lo AS qty, o.size AS o_size, c.size AS c_size, o.fee AS o_fee, c.fee AS c_fee, c.pnl AS c_pnl FROM cut WHERE hi - lo > 1e-9 AND o IS NOT NULL AND c IS NOT NULL AND c.whole)"""
-_FIFO_NET = _FIFO + """, net AS (SELECT trip.*, o_fee * qty / o_size AS fee_open, c_fee * qty / c_size AS fee_close, c_pnl * qty / c_size AS closed_pnl, (exit_us - entry_us) / 3.6e9 AS hold_hours, qty * entry_px AS notional, (CASE side WHEN 'long' THEN exit_px * 0.9995e0 - entry_px * 1.0005e0 ELSE entry_px * 0.9995e0 - exit_px * 1.0005e0 END) * qty - o_fee * qty / o_size - c_fee * qty / c_size AS net FROM trip)"""
+FIFO_NET = FIFO + """, net AS (SELECT trip.*, o_fee * qty / o_size AS fee_open, c_fee * qty / c_size AS fee_close, c_pnl * qty / c_size AS closed_pnl, (exit_us - entry_us) / 3.6e9 AS hold_hours, qty * entry_px AS notional, (CASE side WHEN 'long' THEN exit_px * 0.9995e0 - entry_px * 1.0005e0 ELSE entry_px * 0.9995e0 - exit_px * 1.0005e0 END) * qty - o_fee * qty / o_size - c_fee * qty / c_size AS net FROM trip)"""
 
 
 def _tape(s, d):
     return view(s, d, "tape_v")
 
 
-@query("p_fifo_trips", f"WITH {_FIFO} SELECT trader_id, coin, side, open_key, close_key, qty, ROUND(o_fee * qty / o_size, 8) AS fee_open, ROUND(c_pnl * qty / c_size, 8) AS closed_pnl FROM trip")
+@query("p_fifo_trips", f"WITH {FIFO} SELECT trader_id, coin, side, open_key, close_key, qty, ROUND(o_fee * qty / o_size, 8) AS fee_open, ROUND(c_pnl * qty / c_size, 8) AS closed_pnl FROM trip")
 def _(s, d):
     return rounded(round_trips(_tape(s, d)).select("trader_id", "coin", "side", "open_key", "close_key", "qty", "fee_open", "closed_pnl"), 8)
 
 
 QUERIES["jn_fifo_interval"] = lambda s, d: round_trips(_tape(s, d)).groupBy("trader_id", "coin", "side").agg(F.count("*").alias("trips"), F.round(F.sum("qty"), 4).alias("qty"))
-ORACLE_SQL["jn_fifo_interval"] = duck(f"WITH {_FIFO} SELECT trader_id, coin, side, COUNT(*) AS trips, ROUND(SUM(qty), 4) AS qty FROM trip GROUP BY trader_id, coin, side")
+ORACLE_SQL["jn_fifo_interval"] = duck(f"WITH {FIFO} SELECT trader_id, coin, side, COUNT(*) AS trips, ROUND(SUM(qty), 4) AS qty FROM trip GROUP BY trader_id, coin, side")
 
 
-@query("p_unrealized_mtm", f"""WITH {_FIFO}, mt AS (SELECT trader_id, coin, side, MAX(closed - lost) AS matched FROM lo GROUP BY trader_id, coin, side), lots AS (SELECT op.trader_id, op.coin, op.side, op.price, GREATEST(0e0, o_hi - GREATEST(o_lo, matched)) AS rest FROM op JOIN mt ON mt.trader_id = op.trader_id AND mt.coin = op.coin AND mt.side = op.side), lastp AS (SELECT trader_id, coin, price AS px FROM (SELECT trader_id, coin, price, ROW_NUMBER() OVER (PARTITION BY trader_id, coin ORDER BY us DESC, event_key DESC) AS r FROM fx) q WHERE r = 1)
+@query("p_unrealized_mtm", f"""WITH {FIFO}, mt AS (SELECT trader_id, coin, side, MAX(closed - lost) AS matched FROM lo GROUP BY trader_id, coin, side), lots AS (SELECT op.trader_id, op.coin, op.side, op.price, GREATEST(0e0, o_hi - GREATEST(o_lo, matched)) AS rest FROM op JOIN mt ON mt.trader_id = op.trader_id AND mt.coin = op.coin AND mt.side = op.side), lastp AS (SELECT trader_id, coin, price AS px FROM (SELECT trader_id, coin, price, ROW_NUMBER() OVER (PARTITION BY trader_id, coin ORDER BY us DESC, event_key DESC) AS r FROM fx) q WHERE r = 1)
 SELECT lots.trader_id, ROUND(SUM(rest), 4) AS residual, ROUND(SUM(rest * CASE side WHEN 'long' THEN px - price ELSE price - px END), 2) AS unrealized FROM lots JOIN lastp ON lastp.trader_id = lots.trader_id AND lastp.coin = lots.coin WHERE rest > 1e-9 GROUP BY lots.trader_id""")
 def _(s, d):
     last = _tape(s, d).groupBy("trader_id", "coin").agg(F.max_by("price", F.struct("us", "event_key")).alias("px"))
@@ -293,13 +294,13 @@ def _(s, d):
     return lots.groupBy("trader_id").agg(F.round(F.sum("left"), 4).alias("residual"), F.round(F.sum(gain), 2).alias("unrealized"))
 
 
-@query("k_slip_leg_pnl", f"WITH {_FIFO_NET} SELECT open_key, close_key, trader_id, coin, ROUND(net, 4) AS net, ROUND(net / notional, 6) AS ret FROM net")
+@query("k_slip_leg_pnl", f"WITH {FIFO_NET} SELECT open_key, close_key, trader_id, coin, ROUND(net, 4) AS net, ROUND(net / notional, 6) AS ret FROM net")
 def _(s, d):
     t = slipped(round_trips(_tape(s, d)), 5.0)
     return t.select("open_key", "close_key", "trader_id", "coin", F.round("net", 4).alias("net"), F.round("ret", 6).alias("ret"))
 
 
-@query("p_paper_replay_wallet", f"WITH {_FIFO_NET} SELECT trader_id, COUNT(*) AS trips, ROUND(AVG(CASE WHEN net > 0 THEN 1e0 ELSE 0e0 END), 6) AS win_rate, ROUND(AVG(CASE WHEN net > 0 THEN net END) / NULLIF(ABS(AVG(CASE WHEN net < 0 THEN net END)), 0e0), 6) AS payoff, ROUND(MIN(net / notional) * 100e0, 4) AS max_loss_pct, ROUND(SUM(net), 2) AS realized, COALESCE(AVG(CASE WHEN net > 0 THEN net END) / NULLIF(ABS(AVG(CASE WHEN net < 0 THEN net END)), 0e0) > 1.2e0, FALSE) AND SUM(net) > 1000e0 AS pass_gate FROM net GROUP BY trader_id")
+@query("p_paper_replay_wallet", f"WITH {FIFO_NET} SELECT trader_id, COUNT(*) AS trips, ROUND(AVG(CASE WHEN net > 0 THEN 1e0 ELSE 0e0 END), 6) AS win_rate, ROUND(AVG(CASE WHEN net > 0 THEN net END) / NULLIF(ABS(AVG(CASE WHEN net < 0 THEN net END)), 0e0), 6) AS payoff, ROUND(MIN(net / notional) * 100e0, 4) AS max_loss_pct, ROUND(SUM(net), 2) AS realized, COALESCE(AVG(CASE WHEN net > 0 THEN net END) / NULLIF(ABS(AVG(CASE WHEN net < 0 THEN net END)), 0e0) > 1.2e0, FALSE) AND SUM(net) > 1000e0 AS pass_gate FROM net GROUP BY trader_id")
 def _(s, d):
     t = slipped(round_trips(_tape(s, d)), 5.0)
     win, loss = F.avg(F.when(c("net") > 0, c("net"))), F.abs(F.avg(F.when(c("net") < 0, c("net"))))
@@ -308,7 +309,7 @@ def _(s, d):
     return g.select("trader_id", "trips", F.round("win_rate", 6).alias("win_rate"), F.round(payoff, 6).alias("payoff"), F.round("max_loss_pct", 4).alias("max_loss_pct"), F.round("realized", 2).alias("realized"), (F.coalesce(payoff > 1.2, F.lit(False)) & (c("realized") > 1000)).alias("pass_gate"))
 
 
-@query("p_fifo_scaled", f"WITH {_FIFO_NET} SELECT trader_id, COUNT(*) AS trips, ROUND(SUM(net) * 0.1e0, 4) AS scaled FROM net GROUP BY trader_id")
+@query("p_fifo_scaled", f"WITH {FIFO_NET} SELECT trader_id, COUNT(*) AS trips, ROUND(SUM(net) * 0.1e0, 4) AS scaled FROM net GROUP BY trader_id")
 def _(s, d):
     return slipped(round_trips(_tape(s, d)), 5.0).groupBy("trader_id").agg(F.count("*").alias("trips"), F.round(F.sum("net") * 0.1, 4).alias("scaled"))
 
@@ -318,21 +319,22 @@ def _(s, d):
     return _tape(s, d).where(c("fill_dir").startswith("Close")).groupBy("trader_id").agg(F.round(F.sum("closed_pnl_usd") * 0.1, 4).alias("scaled"))
 
 
-@query("p_wallet_profile", f"WITH {_FIFO_NET} SELECT trader_id, ROUND(AVG(CASE WHEN net > 0 THEN 1e0 ELSE 0e0 END), 6) AS win_rate, ROUND(AVG(CASE WHEN net > 0 THEN net / notional END), 6) AS avg_win, ROUND(AVG(CASE WHEN net <= 0 THEN net / notional END), 6) AS avg_loss FROM net GROUP BY trader_id")
+@query("p_wallet_profile", f"WITH {FIFO_NET} SELECT trader_id, ROUND(AVG(CASE WHEN net > 0 THEN 1e0 ELSE 0e0 END), 6) AS win_rate, ROUND(AVG(CASE WHEN net > 0 THEN net / notional END), 6) AS avg_win, ROUND(AVG(CASE WHEN net <= 0 THEN net / notional END), 6) AS avg_loss FROM net GROUP BY trader_id")
 def _(s, d):
     t = slipped(round_trips(_tape(s, d)), 5.0)
     return rounded(t.groupBy("trader_id").agg(F.avg(F.when(c("net") > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.avg(F.when(c("net") > 0, c("ret"))).alias("avg_win"), F.avg(F.when(c("net") <= 0, c("ret"))).alias("avg_loss")))
 
 
-@query("p_copyability_advisory", f"""WITH {_FIFO_NET}, base AS (SELECT t.trader_id, t.n, COALESCE(h.hold, 12e0) AS hold, COALESCE(h.rv, 0e0) AS rv FROM (SELECT trader_id, COUNT(*) AS n FROM tape_v GROUP BY trader_id) t LEFT JOIN (SELECT trader_id, AVG(hold_hours) AS hold, ROUND(SUM(net), 2) AS rv FROM net GROUP BY trader_id) h ON h.trader_id = t.trader_id)
+@query("p_copyability_advisory", f"""WITH {FIFO_NET}, base AS (SELECT t.trader_id, t.n, COALESCE(h.hold, 12e0) AS hold, COALESCE(h.rv, 0e0) AS rv FROM (SELECT trader_id, COUNT(*) AS n FROM tape_v GROUP BY trader_id) t LEFT JOIN (SELECT trader_id, AVG(hold_hours) AS hold, ROUND(SUM(net), 2) AS rv FROM net GROUP BY trader_id) h ON h.trader_id = t.trader_id)
 SELECT trader_id, ROUND(CASE WHEN COUNT(*) OVER () < 2 THEN 55e0 ELSE 100e0 * CUME_DIST() OVER (ORDER BY n) END, 4) AS frequency, ROUND(CASE WHEN hold < 1 THEN 25e0 * GREATEST(hold, 0e0) WHEN hold < 4 THEN 25e0 + 20e0 * (hold - 1e0) / 3e0 WHEN hold <= 48 THEN 92e0 WHEN hold <= 168 THEN GREATEST(25e0, 92e0 * (1e0 - (hold - 48e0) / 120e0)) ELSE GREATEST(8e0, 25e0 * EXP(-(hold - 168e0) / 240e0)) END, 4) AS timing, ROUND(CASE WHEN COUNT(*) OVER () < 2 THEN 55e0 ELSE 100e0 * CUME_DIST() OVER (ORDER BY rv) END, 4) AS realized FROM base""")
 def _(s, d):
     """Frequency, timing and realised components of each wallet among its peers."""
     t = slipped(round_trips(_tape(s, d)), 5.0).groupBy("trader_id").agg(F.avg("hold_hours").alias("hold"), F.round(F.sum("net"), 2).alias("rv"))
     b = _tape(s, d).groupBy("trader_id").agg(F.count("*").alias("n")).join(t, "trader_id", "left").fillna({"hold": 12.0, "rv": 0.0})
-    n = F.count("*").over(Window.partitionBy())
-    peer = lambda x: F.when(n < 2, 55.0).otherwise(100.0 * F.cume_dist().over(Window.orderBy(x)))
-    return rounded(b.select("trader_id", peer("n").alias("frequency"), k.timing_from_hold(c("hold")).alias("timing"), peer("rv").alias("realized")), 4)
+    for name, x in (("frequency", "n"), ("realized", "rv")):
+        share = F.when(c("total") < 2, 55.0).otherwise(100.0 * (c("below") + c("ties")) / c("total"))
+        b = value_ranks(b, x).withColumn(name, share).drop("below", "ties", "total")
+    return rounded(b.select("trader_id", "frequency", k.timing_from_hold(c("hold")).alias("timing"), "realized"), 4)
 
 
 _DAYS = """dd AS (SELECT *, DENSE_RANK() OVER (PARTITION BY trader_id ORDER BY CAST(FLOOR(us / 86400000000) AS BIGINT)) AS dn FROM tape_v), nn AS (SELECT trader_id, MAX(dn) AS n FROM dd GROUP BY trader_id), sp AS (SELECT dd.trader_id, dd.dn <= LEAST(GREATEST(FLOOR(0.67e0 * n), 1), n - 1) AS train, closed_pnl_usd FROM dd JOIN nn ON nn.trader_id = dd.trader_id WHERE n >= 4)"""

@@ -51,6 +51,7 @@ VIEWS = {
         o_orderkey % 3 = 0 AS reduce_only, CASE o_orderkey % 5 WHEN 0 THEN '@107' WHEN 1 THEN ' @1 ' WHEN 2 THEN 'kPEPE' ELSE 'BTC' END AS coin FROM orders_snap_v""",
     "alerts_v": """SELECT DISTINCT trader_id, CAST(ts AS DATE) AS day, 'leverage' AS alert FROM positions_v WHERE leverage > 8e0 AND event_id % 3 = 0""",
     "whales_v": """SELECT wallet_id, wallet, n_orders, vlm * 100e0 AS vlm, CASE WHEN wallet_id % 4 = 0 THEN NULL ELSE CAST(wallet_id % 100 AS DOUBLE) END AS hit, account_value / 50000e0 AS roi FROM leaderboard_v""",
+    "registry_v": """SELECT 'W' || CAST(c_custkey AS STRING) AS wallet FROM @customer WHERE c_acctbal > 5000e0""",
     "orders_snap_v": """SELECT o_orderkey % 500 AS oid, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' ELSE 'triggered' END AS status, $us(o_orderdate) AS status_us, o_totalprice AS limit_px, o_orderpriority AS order_type FROM @orders""",
     "leaderboard_v": """SELECT c.c_custkey AS wallet_id, c.c_name AS wallet, c.c_acctbal AS account_value, c.c_nationkey AS nation, COALESCE(SUM(o.o_totalprice), 0e0) AS vlm, COUNT(o.o_orderkey) AS n_orders FROM @customer c LEFT JOIN @orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey, c.c_name, c.c_acctbal, c.c_nationkey""",
 }
