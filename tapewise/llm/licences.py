@@ -37,6 +37,8 @@ TEMPLATES = [
     ("mit-opening", "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files [[(the Software)]] to deal in the software without restriction"),
     ("apache-2.0", "licensed under the Apache License [[,]] Version 2.0 [[(the License)]]"),
     ("apache-2.0", "released under the Apache License [[,]] Version 2.0"),
+    ("apache-2.0-notice", "licensed under the Apache License Version 2.0 the License you may not use this file except in compliance with the License [[you may obtain a copy of the License at <<1-8>>]] unless required by applicable law or agreed to in writing software distributed under the License is distributed on an as is basis without warranties or conditions of any kind either express or implied see the License for the specific language governing permissions and limitations under the License"),
+    ("gpl-notice", "<<1-2>> is free software you can redistribute it and or modify it under the terms of the GNU general public license as published by the free software foundation either version <<1-2>> of the license or at your option any later version <<1-2>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the GNU general public license for more details"),
     ("gpl-3.0", "[[this work is]] [[this program is]] licensed under the GNU general public license [[,]] [[as published by the free software foundation, either]] version 3 [[of the license]]"),
     ("gpl-2.0", "[[this work is]] [[this program is]] licensed under the GNU general public license [[,]] [[as published by the free software foundation, either]] version 2 [[of the license]]"),
     ("gpl-any", "free software you can redistribute it and or modify it under the terms of the GNU general public license as published by the free software foundation either version <<1-2>> of the license or at your option any later version"),
@@ -103,8 +105,14 @@ class Automaton:
             i += 1
         return best
 
-    def first_words(self) -> set[bytes]:
-        return {w for s in self._closed({0}) for w in self.step[s]}
+    def first_words(self) -> set[tuple[bytes, int]]:
+        """Words that may come first of the wording, each with how many words of
+        replaceable regions may stand before it."""
+        out, states, before = set(), self._closed({0}), 0
+        while states:
+            out |= {(w, before) for s in states for w in self.step[s]}
+            states, before = self._closed({t for s in states for t in self.any[s]}), before + 1
+        return out
 
 
 def compile_template(label: str, template: str) -> Automaton:
@@ -153,6 +161,8 @@ class Scanner:
         self.autos = [compile_template(*t) for t in templates]
         self.base = {tuple(w.encode() for w in k): v for k, v in base.items()}
         anchors = {a.anchor for a in self.autos} | {max(k, key=len) for k in self.base}
+        self.first = [sorted(a.first_words()) for a in self.autos]
+        self.wanted = {k[0] for k in self.base} | {w for first in self.first for w, _ in first}
         self.hint = re.compile(b"|".join(sorted(map(re.escape, anchors))))
 
     def scan(self, text: str | None) -> tuple:
@@ -163,9 +173,8 @@ class Scanner:
             return n, 0, None, None, "", "", 0.0
         words = _TOKEN.findall(raw)
         places: dict[bytes, list[int]] = {}
-        wanted = {k[0] for k in self.base} | {w for a in self.autos for w in a.first_words()}
         for i, w in enumerate(words):
-            if w in wanted:
+            if w in self.wanted:
                 places.setdefault(w, []).append(i)
         starts, base = [], set()
         for phrase, label in self.base.items():
@@ -173,10 +182,10 @@ class Scanner:
             starts += hits
             base |= {label} if hits else set()
         own, covered = set(), 0
-        for auto in self.autos:
+        for auto, first in zip(self.autos, self.first, strict=True):
             if auto.anchor not in raw:
                 continue
-            for i in sorted({i for w in auto.first_words() for i in places.get(w, ())}):
+            for i in sorted({i - n for w, n in first for i in places.get(w, ()) if i >= n}):
                 if (end := auto.match(words, i)) is not None:
                     own.add(auto.label)
                     covered = max(covered, end - i)

@@ -1,5 +1,6 @@
 """The operators that run Python: brute force, round trips and held-out accuracy."""
 
+import itertools
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import corpus_pipeline
 from tapewise.llm import html_extract as html
 from tapewise.llm import materialise, ngram_join, packing, tokens, toxicity
 from tapewise.llm.graph import components
-from tapewise.llm.licences import Scanner, compile_template, scan
+from tapewise.llm.licences import TEMPLATES, Scanner, compile_template, scan
 from tapewise.llm.ngram_join import bands, jaccard_groups, shingle_set, sketch_keys
 
 SCHEMA = "doc_id long, text string"
@@ -607,3 +608,35 @@ def test_stages_of_odd_rows(spark, tmp_path):
         else:
             assert sorted(got, key=str) == sorted(want[name], key=str), name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_template_may_begin_with_a_replaceable_region():
+    scanner = Scanner([("x", "<<1-2>> grants permission freely")])
+    assert scanner.scan("Acme grants permission freely")[5] == scanner.scan("so Acme Corp grants permission freely.")[5] == "x"
+    for text in ("grants permission freely", "Acme grants no permission freely", "Acme grants permission"):
+        assert scanner.scan(text)[5] == ""
+
+
+def test_whole_notices_take_their_replaceable_parts_and_no_other_wording():
+    notice = dict(TEMPLATES)["gpl-notice"]
+    text = "/* " + notice.replace("<<1-2>>", "Foo Bar") + " */"
+    assert "gpl-notice" in Scanner().scan(text)[5].split(",")
+    assert "gpl-notice" not in Scanner().scan(text.replace("implied warranty", "implied guarantee"))[5]
+    notice = dict(TEMPLATES)["apache-2.0-notice"]
+    for middle in ("", "you may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"):
+        text = re.sub(r"\[\[.*\]\]", middle, notice)
+        assert "apache-2.0-notice" in Scanner().scan(text)[5].split(",")
+        assert "apache-2.0-notice" not in Scanner().scan(text.replace("basis", "footing"))[5]
+
+
+@pytest.mark.parametrize("template", ["<<0-2>> a b", "a [[b <<1-2>>]] c", "[[a]] <<1-1>> b [[[[c]] d]] a", "a <<0-1>> [[a]] b", "[[<<1-2>> b]] c <<2-3>>"])
+def test_templates_by_regular_expression(template):
+    """An automaton accepts at a text's places what the template's regular
+    expression accepts there, for all short texts of four words."""
+    pattern = template.replace("[[", "(?:").replace("]]", ")?").replace(" ", "")
+    pattern = re.sub(r"<<(\d)-(\d)>>", r"[a-d]{\1,\2}", pattern)
+    scanner = Scanner([("x", template)], {})
+    for n in range(7):
+        for words in itertools.product("abcd", repeat=n) if n < 5 else (random.Random(i).choices("abcd", k=n) for i in range(300)):
+            text = "".join(words)
+            assert (scanner.scan(" ".join(words))[5] == "x") == bool(re.search(pattern, text)), text
