@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewise.operators.tables import held
+
 _FUNCTIONS = {
     "sum": (F.sum, lambda a, b: a + b),
     "product": (F.product, lambda a, b: a * b),
@@ -27,15 +29,17 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list[str], colum
     ``bucket`` must grow with ``order`` (equal or greater from row to row) and
     ``order`` be without ties in a bucket. Null values count for nothing; where all
     so far are null the result is null. Null keys are a key like others. An empty
-    table stays empty. Rows are shuffled once, by keys and bucket."""
+    table stays empty. Rows are shuffled once, by keys and bucket, and written as a
+    table that the last values and the result are read from, so that ``df`` is
+    computed once however often it runs on."""
     inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumns({n: _FUNCTIONS[f][0](c).over(inside) for n, (f, c) in columns.items()})
+    rows = held(df.withColumns({n: _FUNCTIONS[f][0](c).over(inside) for n, (f, c) in columns.items()}), "running")
     last = rows.groupBy(*keys, bucket).agg(*(F.max_by(n, F.struct(*order)).alias(n) for n in columns))
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    held = last.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, bucket])), *(_FUNCTIONS[f][0](n).over(before).alias(f"_b_{n}") for n, (f, _) in columns.items()))
+    carry = last.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, bucket])), *(_FUNCTIONS[f][0](n).over(before).alias(f"_b_{n}") for n, (f, _) in columns.items()))
     same = F.lit(True)
     for i, k in enumerate([*keys, bucket]):
         same = same & rows[k].eqNullSafe(F.col(f"_k{i}"))
-    out = rows.join(held, same, "left")
+    out = rows.join(carry, same, "left")
     carried = {n: F.coalesce(_FUNCTIONS[f][1](F.col(f"_b_{n}"), F.col(n)), F.col(n), F.col(f"_b_{n}")) for n, (f, _) in columns.items()}
     return out.withColumns(carried).select(*df.columns, *columns)
