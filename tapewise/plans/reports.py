@@ -102,7 +102,7 @@ def p_simulation_report(s, d):
     )
     runs = t.withColumn("isle", F.when(won, c("misses")).otherwise(c("hits"))).groupBy("strategy", won.alias("won"), "isle").agg(F.count("*").alias("n"))
     runs = runs.groupBy("strategy").agg(F.coalesce(F.max(F.when(c("won"), c("n"))), F.lit(0)).alias("longest_wins"), F.coalesce(F.max(F.when(~c("won"), c("n"))), F.lit(0)).alias("longest_losses"))
-    regime = t.groupBy("strategy", "regime").agg(F.count("*").alias("trades"), _money(F.avg(won.cast("double")) * 100).alias("win_rate_pct"), _money(F.avg("return_pct")).alias("avg_return_pct"), _money(F.sum("pnl")).alias("total_pnl"))
+    regime = t.groupBy("strategy", "regime").agg(F.count("*").alias("trades"), _money(F.avg(won.cast("double")) * 100).alias("win_rate_pct"), _money(F.avg("return_pct")).alias("avg_return_pct"), F.format_string("%.6e", F.sum("pnl")).alias("total_pnl"))
     regime = _nested(regime, "strategy", "regime", ["trades", "win_rate_pct", "avg_return_pct", "total_pnl"], "regimes")
     sharpe = F.when(c("volatility_pct") > 0, c("avg_return_pct") / c("volatility_pct") * F.sqrt("trades")).otherwise(0.0)
     factor = F.when(c("loss") > 0, c("gain") / F.nullif("loss", F.lit(0.0))).otherwise(c("gain"))
@@ -115,7 +115,7 @@ ORACLE_SQL["p_simulation_report"] = f"""WITH {_JOURNAL}, {_CURVE},
 su AS (SELECT strategy, COUNT(*) AS trades, LAST(equity ORDER BY window_end, signal_id) AS ending_equity, MAX((peak - equity) / peak * 100e0) AS max_drawdown_pct, MAX(peak) AS peak_equity, MIN(trough) AS trough_equity, SUM(entry_fee + exit_fee) AS fees_paid, SUM(slippage_paid) AS slippage_paid, AVG(CASE WHEN g > 0 THEN 1e0 ELSE 0e0 END) AS wr,
  COALESCE(AVG(CASE WHEN g > 0 THEN g * 100e0 END), 0e0) AS avg_win_pct, COALESCE(AVG(CASE WHEN g <= 0 THEN g * 100e0 END), 0e0) AS avg_loss_pct, AVG(g) * 100e0 AS avg_return_pct, COALESCE(STDDEV_SAMP(g * 100e0), 0e0) AS volatility_pct, COALESCE(SUM(CASE WHEN g > 0 THEN pnl END), 0e0) AS gain, COALESCE(-SUM(CASE WHEN g < 0 THEN pnl END), 0e0) AS loss FROM cv GROUP BY strategy),
 ru AS (SELECT strategy, COALESCE(MAX(CASE WHEN won THEN n END), 0) AS longest_wins, COALESCE(MAX(CASE WHEN NOT won THEN n END), 0) AS longest_losses FROM (SELECT strategy, g > 0 AS won, isle, COUNT(*) AS n FROM cv GROUP BY strategy, g > 0, isle) i GROUP BY strategy),
-rg AS (SELECT strategy, '[' || STRING_AGG('{{"regime":"' || regime || '","trades":' || n || ',"win_rate_pct":' || w || ',"avg_return_pct":' || r || ',"total_pnl":' || p || '}}', ',' ORDER BY regime) || ']' AS regimes FROM (SELECT strategy, regime, COUNT(*) AS n, ROUND(AVG(CASE WHEN g > 0 THEN 1e0 ELSE 0e0 END) * 100e0, 4)::DECIMAL(24,4) AS w, ROUND(AVG(g) * 100e0, 4)::DECIMAL(24,4) AS r, ROUND(SUM(pnl), 4)::DECIMAL(24,4) AS p FROM cv GROUP BY strategy, regime) q GROUP BY strategy)
+rg AS (SELECT strategy, '[' || STRING_AGG('{{"regime":"' || regime || '","trades":' || n || ',"win_rate_pct":' || w || ',"avg_return_pct":' || r || ',"total_pnl":"' || p || '"}}', ',' ORDER BY regime) || ']' AS regimes FROM (SELECT strategy, regime, COUNT(*) AS n, ROUND(AVG(CASE WHEN g > 0 THEN 1e0 ELSE 0e0 END) * 100e0, 4)::DECIMAL(24,4) AS w, ROUND(AVG(g) * 100e0, 4)::DECIMAL(24,4) AS r, PRINTF('%.6e', SUM(pnl)) AS p FROM cv GROUP BY strategy, regime) q GROUP BY strategy)
 SELECT su.strategy, trades, longest_wins, longest_losses, regimes, {', '.join(f'ROUND({x}, 4) AS {x}' for x in ('ending_equity', 'max_drawdown_pct', 'peak_equity', 'trough_equity', 'fees_paid', 'slippage_paid', 'avg_win_pct', 'avg_loss_pct', 'avg_return_pct', 'volatility_pct'))}, ROUND(wr * 100e0, 4) AS win_rate_pct, ROUND((ending_equity / {BEGIN} - 1e0) * 100e0, 4) AS total_return_pct,
  ROUND(CASE WHEN volatility_pct > 0 THEN avg_return_pct / volatility_pct * SQRT(trades) ELSE 0e0 END, 4) AS sharpe_like, ROUND(avg_win_pct * wr + avg_loss_pct * (1e0 - wr), 4) AS expectancy, ROUND(CASE WHEN loss > 0 THEN gain / loss ELSE gain END, 4) AS profit_factor, ROUND(CASE WHEN avg_loss_pct >= 0 THEN avg_win_pct ELSE avg_win_pct / GREATEST(ABS(avg_loss_pct), 1e-4) END, 4) AS payoff_ratio
 FROM su JOIN ru ON ru.strategy = su.strategy JOIN rg ON rg.strategy = su.strategy"""
