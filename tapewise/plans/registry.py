@@ -10,5 +10,5 @@ from tapewise.plans import audits, copy_sim, kernel_queries, rank_queries, relat
 from tapewise.plans.dialect import duck, spark
 
 _TEXTS = {**relational.SQL, **scoring.SQL, **audits.SQL}
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{k: spark(v) for k, v in _TEXTS.items()}, **kernel_queries.QUERIES, **trading.QUERIES, **copy_sim.QUERIES, **sources_queries.QUERIES, **rank_queries.QUERIES, **reports.QUERIES, **spec_queries.QUERIES, **wallet_score_queries.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{k: spark(relational.SPARK.get(k, v)) for k, v in _TEXTS.items()}, **kernel_queries.QUERIES, **trading.QUERIES, **copy_sim.QUERIES, **sources_queries.QUERIES, **rank_queries.QUERIES, **reports.QUERIES, **spec_queries.QUERIES, **wallet_score_queries.QUERIES}
 ORACLE_SQL: dict[str, str] = {**{k: duck(v) for k, v in _TEXTS.items()}, **kernel_queries.ORACLE_SQL, **trading.ORACLE_SQL, **reports.ORACLE_SQL, **sources_queries.ORACLE_SQL, **spec_queries.ORACLE_SQL, **wallet_score_queries.ORACLE_SQL}

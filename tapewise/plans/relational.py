@@ -169,3 +169,8 @@ UNION ALL SELECT 'tick|' || coin || '|' || CAST(event_id AS STRING), us FROM tic
 UNION ALL SELECT 'position|' || CAST(trader_id AS STRING) || '|' || coin || '|' || CAST(us AS STRING), us FROM positions_v UNION ALL SELECT 'market|' || coin || '|' || CAST(us AS STRING), us FROM market_v) u GROUP BY event_key"""
 SQL["ded_alert_daily"] = "SELECT trader_id, day, alert FROM (SELECT DISTINCT trader_id, CAST(ts AS DATE) AS day, 'leverage' AS alert FROM positions_v WHERE leverage > 8e0) a WHERE NOT EXISTS (SELECT 1 FROM alerts_v h WHERE h.trader_id = a.trader_id AND h.day = a.day AND h.alert = a.alert)"
 SQL["ded_group_wallets"] = "SELECT DISTINCT LOWER(wallet) AS wallet FROM traders_v"
+
+# --- what Spark reads where one text won't do for both ---------------------------------
+#: Spark's division by 0 is an error; DuckDB's is NaN or an infinity, as IEEE has it.
+_IEEE = "CASE WHEN SUM(notional) <> 0 THEN SUM(pnl) / SUM(notional) WHEN SUM(pnl) > 0 THEN DOUBLE('Infinity') WHEN SUM(pnl) < 0 THEN DOUBLE('-Infinity') WHEN SUM(pnl) = 0 THEN DOUBLE('NaN') END"
+SPARK = {"agg_sharpe_daily_deploy": SQL["agg_sharpe_daily_deploy"].replace("SUM(pnl) / SUM(notional)", _IEEE)}
