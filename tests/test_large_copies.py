@@ -36,3 +36,10 @@ def test_a_day_of_no_notional(spark, tmp_path):
     mine, other = both(spark, folder(spark, tmp_path, rows), "agg_sharpe_daily_deploy")
     assert mine == other
     assert [r[1] is None for r in mine].count(True) == 2
+
+
+def test_a_sale_without_a_later_price(spark, tmp_path):
+    rows = [(0, 0, 1, "view", 10.0), (1, 5, 1, "view", 20.0), (2, 90, 1, "view", 30.0), (3, 100, 1, "view", 40.0)]
+    mine, other = both(spark, folder(spark, tmp_path, rows), "jn_asof_forward_frame")
+    assert mine == other
+    assert dict(mine)[3] == 390_000.0
