@@ -30,7 +30,7 @@ def add(name: str, source: str, key: str, columns: dict[str, tuple[Callable[[],
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = view(spark, sf_dir, source).select(key, *(e().alias(n) for n, (e, _) in columns.items()))
-        return out.select(*(F.round(n, 6).alias(n) if t == "double" and n != key else c(n) for n, t in out.dtypes))
+        return out.select(*(k.rounded(n, 6).alias(n) if t == "double" and n != key else c(n) for n, t in out.dtypes))
 
     QUERIES[name] = run
     fields = ", ".join(f"{s if s.startswith('CASE /*s*/') or s.startswith('(/*s*/') else f'ROUND({s}, 6)'} AS {n}" for n, (_, s) in columns.items())

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import duckdb
+import pytest
 
 from tapewise.plans.registry import ORACLE_SQL, QUERIES
 
@@ -43,3 +44,16 @@ def test_a_sale_without_a_later_price(spark, tmp_path):
     mine, other = both(spark, folder(spark, tmp_path, rows), "jn_asof_forward_frame")
     assert mine == other
     assert dict(mine)[3] == 390_000.0
+
+
+#: Eight prices each; as doubles, their sums make means just below halves of the last place.
+HALF = {2: [31.22, 79.46, 23.31, 69.19, 32.83, 20.51, 30.45, 6.19], 4: [58.27, 54.21, 14.99, 39.0, 18.36, 14.14, 4.24, 16.48]}
+
+
+@pytest.mark.parametrize(("name", "digits"), [("win_peer_percentile", 2), ("win_percentile_midrank", 2), ("win_rank_order", 4)])
+def test_means_are_exact(spark, tmp_path, name, digits):
+    mean = sum(round(v * 100) for v in HALF[digits]) / 800
+    even = math.floor(mean * 10**digits + 0.5) / 10**digits
+    rows = [(i, i, 1, "view", v) for i, v in enumerate(HALF[digits])] + [(20, 20, 0, "view", even), (21, 21, 2, "view", 1.0)]
+    got = {r[0]: r[1] for r in QUERIES[name](spark, folder(spark, tmp_path, rows)).select("trader_id", "pct" if digits == 2 else "position").collect()}
+    assert got == {"win_peer_percentile": {0: 100.0, 1: 100.0, 2: 33.333333}, "win_percentile_midrank": {0: 75.0, 1: 75.0, 2: 0.0}, "win_rank_order": {0: 1, 1: 2, 2: 3}}[name]
