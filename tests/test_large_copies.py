@@ -2,10 +2,14 @@
 
 import datetime as dt
 import math
+import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from tapewise.functions import kernels as k
+from tapewise.operators.spans import first_passage, span_stats
 from tapewise.plans.registry import ORACLE_SQL, QUERIES
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -57,3 +61,45 @@ def test_means_are_exact(spark, tmp_path, name, digits):
     rows = [(i, i, 1, "view", v) for i, v in enumerate(HALF[digits])] + [(20, 20, 0, "view", even), (21, 21, 2, "view", 1.0)]
     got = {r[0]: r[1] for r in QUERIES[name](spark, folder(spark, tmp_path, rows)).select("trader_id", "pct" if digits == 2 else "position").collect()}
     assert got == {"win_peer_percentile": {0: 100.0, 1: 100.0, 2: 33.333333}, "win_percentile_midrank": {0: 75.0, 1: 75.0, 2: 0.0}, "win_rank_order": {0: 1, 1: 2, 2: 3}}[name]
+
+
+def test_rounding_is_that_of_duckdb(spark):
+    rng = random.Random(3)
+    xs = [1.005, 2.675, -1.005, 0.285, 1e305, -0.00005, float("inf")] + [rng.randrange(10**7) / 1e5 + 5e-5 for _ in range(500)] + [rng.randrange(10**9) * 1.953125 / 2 for _ in range(200)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    con = duckdb.connect()
+    for n in (2, 4):
+        mine = [r[0] for r in df.select(k.rounded("x", n)).collect()]
+        assert mine == [con.execute(f"SELECT ROUND(?::DOUBLE, {n})", [x]).fetchone()[0] for x in xs]
+
+
+def _walk(n, hours):
+    rng = random.Random(5)
+    return [(["a", "b"][i % 2], rng.randrange(hours * 3_600_000_000), float(rng.randrange(-3, 100))) for i in range(n)]
+
+
+def test_spans_match_nested_loops(spark):
+    """Spans that start and end on bounds, hold nothing, or hit at once, late or never."""
+    rows = _walk(1500, 30)
+    hour = 3_600_000_000
+    spans = [(i, ["a", "b", "c"][i % 3], a, a + w * hour, up) for i, (a, w, up) in enumerate((random.Random(i).choice([0, i * hour // 4, 7 * hour, 29 * hour + 1]), 1 + i % 5, [50.0, 95.0, 98.5, 200.0][i % 4]) for i in range(60))]
+    left = spark.createDataFrame(spans, "i int, k string, a long, b long, up double")
+    right = spark.createDataFrame(rows, "k string, t long, v double")
+    hit = lambda v: (v >= F.col("up")) | (v <= F.lit(-3.0))
+    stats = {r["i"]: tuple(r)[1:] for r in span_stats(left, right, "k", "t", "a", "b", "v", ["i"]).collect()}
+    found = {r["i"]: tuple(r)[1:] for r in first_passage(left, right, "k", "t", "a", "b", "v", hit, ["i"]).collect()}
+    for i, key, a, b, up in spans:
+        own = sorted((t, v) for x, t, v in rows if x == key and a <= t <= b)
+        assert stats[i] == ((len(own), min(v for _, v in own), max(v for _, v in own), *own[-1]) if own else (0, None, None, None, None))
+        first = [(t, v) for t, v in own if v >= up or v <= -3.0]
+        assert found.get(i) == (first[0] if first else None)
+
+
+@pytest.mark.parametrize("name", ["jn_range_window", "win_first_passage", "jn_client_hash_attach", "p_signal_outcomes", "p_strategy_replay"])
+def test_spans_of_queries(spark, tmp_path, name):
+    """One busy coin: the market's rows meet no signal one by one, but by buckets."""
+    rng = random.Random(9)
+    rows = [(i, i * 0.9 + rng.random() / 2, i % 7, "view" if i % 50 else "error", round(rng.expovariate(0.02), 2)) for i in range(1500)]
+    mine, other = both(spark, folder(spark, tmp_path, rows), name)
+    assert mine == other
+    assert mine
