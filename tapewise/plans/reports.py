@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tapewise.functions import kernels as k
 from tapewise.operators.running import running
 from tapewise.plans.dialect import duck
 from tapewise.plans.dialect import spark as spark_sql
@@ -34,7 +35,7 @@ def journal(s: SparkSession, d: str) -> DataFrame:
     t = t.withColumn("size", c("equity_before") * c("risk") / F.greatest(c("px_in"), F.lit(1.0)))
     gross, raw = c("size") * per_unit(c("px_in"), c("px_out")), c("size") * per_unit(c("in_price"), c("raw_out"))
     t = t.withColumns({"entry_fee": c("size") * c("px_in") * FEE_BPS / 1e4, "exit_fee": c("size") * c("px_out") * FEE_BPS / 1e4, "slippage_paid": F.abs(gross - raw)})
-    t = t.withColumns({"pnl": gross - c("entry_fee") - c("exit_fee"), "return_pct": c("g") * 100.0, "holding_minutes": F.greatest(F.floor((c("out_us") - c("in_us")) / MINUTE), F.lit(0))})
+    t = t.withColumns({"pnl": c("equity") - c("equity_before"), "return_pct": c("g") * 100.0, "holding_minutes": F.greatest(F.floor((c("out_us") - c("in_us")) / MINUTE), F.lit(0))})
     t = t.withColumn("in_day", F.floor(c("in_us") / DAY))
     return running(t, ["strategy"], "in_day", ["in_us", "signal_id"], {"place": ("sum", F.lit(1).cast("long"))})
 
@@ -72,7 +73,7 @@ def _curve(trades: DataFrame) -> DataFrame:
 
 def p_drawdown_curve(s, d):
     """Equity after each trade and how far it is below its peak."""
-    return _curve(replay(s, d)).select("strategy", "signal_id", "out_us", F.round("equity", 4).alias("equity"), F.round("drawdown_pct", 4).alias("drawdown_pct"))
+    return _curve(replay(s, d)).select("strategy", "signal_id", "out_us", k.rounded("equity", 4).alias("equity"), k.rounded("drawdown_pct", 4).alias("drawdown_pct"))
 
 
 _CURVE = f"""cv AS (SELECT jr.*, GREATEST({BEGIN}, MAX(equity) OVER w) AS peak, LEAST({BEGIN}, MIN(equity) OVER w) AS trough, ROW_NUMBER() OVER (PARTITION BY strategy ORDER BY window_end, signal_id) - ROW_NUMBER() OVER (PARTITION BY strategy, g > 0 ORDER BY window_end, signal_id) AS isle FROM jr WINDOW w AS (PARTITION BY strategy ORDER BY window_end, signal_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
@@ -80,7 +81,13 @@ ORACLE_SQL["p_drawdown_curve"] = f"WITH {_JOURNAL}, {_CURVE} SELECT strategy, si
 
 
 def _money(x: Column) -> Column:
-    return F.round(x, 4).cast("decimal(24,4)")
+    return k.rounded(x, 4).cast("decimal(24,4)")
+
+
+def _scientific(x: Column) -> Column:
+    """As C prints it: infinities in small letters, and no number as what x86 makes of inf - inf."""
+    beyond = F.when(F.isnan(x), "-nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    return F.coalesce(beyond, F.format_string("%.6e", x))
 
 
 def _nested(rows: DataFrame, key: str, by: str, fields: list[str], name: str) -> DataFrame:
@@ -94,15 +101,16 @@ def p_simulation_report(s, d):
     Streaks are islands: wins between two losses share the number of losses so
     far, and the other way about. No strategy without trades has a row."""
     t = _curve(journal(s, d))
-    won, lost = c("pnl") > 0, c("pnl") <= 0
+    # by the return: a profit is no number once equity is beyond doubles
+    won, lost = c("g") > 0, c("g") <= 0
     sums = t.groupBy("strategy").agg(
         F.count("*").alias("trades"), F.max_by("equity", F.struct(*_ORDER)).alias("ending_equity"), F.max("drawdown_pct").alias("max_drawdown_pct"), F.max("peak").alias("peak_equity"), F.min("trough").alias("trough_equity"),
         F.sum(c("entry_fee") + c("exit_fee")).alias("fees_paid"), F.sum("slippage_paid").alias("slippage_paid"), F.avg(won.cast("double")).alias("wr"), F.coalesce(F.avg(F.when(won, c("return_pct"))), F.lit(0.0)).alias("avg_win_pct"), F.coalesce(F.avg(F.when(lost, c("return_pct"))), F.lit(0.0)).alias("avg_loss_pct"),
-        F.avg("return_pct").alias("avg_return_pct"), F.coalesce(F.stddev_samp("return_pct"), F.lit(0.0)).alias("volatility_pct"), F.coalesce(F.sum(F.when(won, c("pnl"))), F.lit(0.0)).alias("gain"), F.coalesce(-F.sum(F.when(c("pnl") < 0, c("pnl"))), F.lit(0.0)).alias("loss"),
+        F.avg("return_pct").alias("avg_return_pct"), F.coalesce(F.stddev_samp("return_pct"), F.lit(0.0)).alias("volatility_pct"), F.coalesce(F.sum(F.when(won, c("pnl"))), F.lit(0.0)).alias("gain"), F.coalesce(-F.sum(F.when(c("g") < 0, c("pnl"))), F.lit(0.0)).alias("loss"),
     )
     runs = t.withColumn("isle", F.when(won, c("misses")).otherwise(c("hits"))).groupBy("strategy", won.alias("won"), "isle").agg(F.count("*").alias("n"))
     runs = runs.groupBy("strategy").agg(F.coalesce(F.max(F.when(c("won"), c("n"))), F.lit(0)).alias("longest_wins"), F.coalesce(F.max(F.when(~c("won"), c("n"))), F.lit(0)).alias("longest_losses"))
-    regime = t.groupBy("strategy", "regime").agg(F.count("*").alias("trades"), _money(F.avg(won.cast("double")) * 100).alias("win_rate_pct"), _money(F.avg("return_pct")).alias("avg_return_pct"), F.format_string("%.6e", F.sum("pnl")).alias("total_pnl"))
+    regime = t.groupBy("strategy", "regime").agg(F.count("*").alias("trades"), _money(F.avg(won.cast("double")) * 100).alias("win_rate_pct"), _money(F.avg("return_pct")).alias("avg_return_pct"), _scientific(F.sum("pnl")).alias("total_pnl"))
     regime = _nested(regime, "strategy", "regime", ["trades", "win_rate_pct", "avg_return_pct", "total_pnl"], "regimes")
     sharpe = F.when(c("volatility_pct") > 0, c("avg_return_pct") / c("volatility_pct") * F.sqrt("trades")).otherwise(0.0)
     factor = F.when(c("loss") > 0, c("gain") / F.nullif("loss", F.lit(0.0))).otherwise(c("gain"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tapewise.functions import kernels as k
 from tapewise.operators.spans import first_passage, span_stats
+from tapewise.plans import copy_sim, reports
 from tapewise.plans.registry import ORACLE_SQL, QUERIES
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -103,3 +104,32 @@ def test_spans_of_queries(spark, tmp_path, name):
     mine, other = both(spark, folder(spark, tmp_path, rows), name)
     assert mine == other
     assert mine
+
+
+def test_sums_beyond_doubles_as_text(spark):
+    rows = [(1.5,), (float("inf"),), (float("-inf"),), (float("nan"),)]
+    df = spark.createDataFrame(rows, "x double").select("x", reports._scientific(F.col("x")))
+    assert [r[1] for r in df.collect()] == ["1.500000e+00", "inf", "-inf", "-nan"]
+
+
+@pytest.mark.parametrize(("name", "scans"), [("p_slippage_models", 1), ("p_benchmarks", 3), ("p_copyability_advisory", 0)])
+def test_the_tape_is_matched_once(spark, name, scans):
+    """Trips for three models, for two simulations, or before ranks: one pass over the fills each."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("+- == Initial Plan ==")[0].count("lineitem.parquet") == scans
+
+
+def test_folds_stream_over_batches(spark):
+    """A wallet whose trips span several Arrow batches is folded in one go, in order."""
+    rng = random.Random(2)
+    rows = [(i % 3, rng.randrange(50), f"o{i}", f"c{i}", rng.random() * 1e4, rng.random() - 0.5 if i % 11 else None) for i in range(300)]
+    schema = "trader_id long, exit_us long, open_key string, close_key string, notional double, ret double"
+    df = spark.createDataFrame(rows, schema)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["trader_id"]: r.asDict() for r in copy_sim.simulate(df.fillna(0.0), copy_sim._dynamic, copy_sim.DYNAMIC, copy_sim._TRIP, copy_sim._TRIP_ORDER).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pdf = df.fillna(0.0).toPandas()
+    for who, own in pdf.groupby("trader_id"):
+        assert got[who] == {"trader_id": who, **copy_sim.fold_dynamic(own, copy_sim.CopyConfig())}
