@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewise.functions import bundle
+from tapewise.functions import kernels as k
 from tapewise.functions.factors import FactorRegistry, RankingConfig, rank
 from tapewise.functions.slippage import LinearBps
 from tapewise.operators.fifo import round_trips, slipped
@@ -31,13 +30,13 @@ def _measures(s, d) -> DataFrame:
 def p_bundle_score(s, d):
     """Pillars, total and style of every wallet from its own fills and daily candles."""
     out = bundle.score(_measures(s, d))
-    return out.select("trader_id", "style", *(F.round(x, 4).alias(x) for x in out.columns if x not in ("trader_id", "style")))
+    return out.select("trader_id", "style", *(k.rounded(x, 4).alias(x) for x in out.columns if x not in ("trader_id", "style")))
 
 
 def k_metric_score_abs(s, d):
     """0 to 100 for each measure of a wallet."""
     rows = _measures(s, d)
-    return rows.select("trader_id", *(F.round(bundle.metric_score(n), 4).alias(n) for n in (*bundle.CURVES, "hit_rate_pct", "favorable_entry_rate_pct")))
+    return rows.select("trader_id", *(k.rounded(bundle.metric_score(n), 4).alias(n) for n in (*bundle.CURVES, "hit_rate_pct", "favorable_entry_rate_pct")))
 
 
 def _sig(x: str, mid: float, steep: float) -> str:
@@ -86,8 +85,12 @@ MODELS = (LinearBps(0.0), LinearBps(5.0), LinearBps(20.0))
 def p_slippage_models(s, d):
     """What each model leaves of a wallet's trips, matched once."""
     trips = round_trips(view(s, d, "tape_v"))
-    each = reduce(DataFrame.unionByName, (slipped(trips, m).select("trader_id", F.lit(m.identifier).alias("model"), "net", "notional") for m in MODELS))
-    return each.groupBy("trader_id", "model").agg(F.count("*").alias("trips"), F.round(F.sum("net"), 2).alias("net"), F.round(F.sum("net") / F.sum("notional") * 1e4, 4).alias("net_bps"))
+    for i, m in enumerate(MODELS):
+        trips = slipped(trips, m).withColumnRenamed("net", f"net_{i}")
+    # summed side by side, so that trips are matched and shuffled once for all models
+    sums = trips.groupBy("trader_id").agg(F.count("*").alias("trips"), F.sum("notional").alias("notional"), *(F.sum(f"net_{i}").alias(f"net_{i}") for i in range(len(MODELS))))
+    each = sums.select("trader_id", "trips", "notional", F.explode(F.array(*(F.struct(F.lit(m.identifier).alias("model"), F.col(f"net_{i}").alias("net")) for i, m in enumerate(MODELS)))).alias("_m")).select("*", "_m.*")
+    return each.select("trader_id", "model", "trips", k.rounded("net", 2).alias("net"), k.rounded(F.col("net") / F.col("notional") * 1e4, 4).alias("net_bps"))
 
 
 _NET = "(CASE side WHEN 'long' THEN exit_px * (1e0 - w) - entry_px * (1e0 + w) ELSE entry_px * (1e0 - w) - exit_px * (1e0 + w) END) * qty - o_fee * qty / o_size - c_fee * qty / c_size"
