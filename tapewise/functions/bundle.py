@@ -72,7 +72,9 @@ def measures(fills: DataFrame, candles: DataFrame) -> DataFrame:
     held = round_trips(fills, realized_only=False).groupBy("trader_id").agg(F.avg((F.col("exit_us") - F.col("entry_us")) / 3.6e9).alias("avg_holding_hours"))
     label = F.col("fill_dir")
     side = F.when(label.isin("Open Long", "Close Short"), "buy").when(label.isin("Open Short", "Close Long"), "sell")
-    later = asof_join(fills.select("trader_id", "coin", "us", "price", side.alias("side")), candles, "coin", "us", ["close"], direction="forward")
+    # a candle is looked up once for each time of a coin, not for each fill
+    times = asof_join(fills.select("coin", "us").distinct(), candles, "coin", "us", ["close"], direction="forward")
+    later = fills.select("trader_id", "coin", "us", "price", side.alias("side")).join(times, ["coin", "us"], "left")
     edge = k.entry_edge_bps(F.col("side"), F.col("price"), F.col("asof_close"))
     edges = later.withColumn("edge", edge).groupBy("trader_id").agg(F.count("edge").alias("edges"), _or0(F.avg("edge")).alias("entry_timing_edge_bps"), _or0(F.avg((F.col("edge") > 0).cast("double"))).alias("fav"))
     out = curve.join(own, "trader_id").join(edges, "trader_id").join(held, "trader_id", "left")
