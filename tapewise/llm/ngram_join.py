@@ -219,7 +219,10 @@ def _dealt(sets: DataFrame) -> DataFrame:
 
 def _stars(blocks: DataFrame, num: int, den: int) -> DataFrame:
     """(key, node, n, lead) of all keys that several sets share: each set with
-    the least one before it in its block that is not too small. Linear in the rows."""
+    the least one before it in its block that is not too small. Linear in the rows.
+
+    A key that isn't cut into parts is named by a hash of its sets: keys of the
+    same sets bring the same pairs together, and their rows are equal."""
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,16 +230,20 @@ def _stars(blocks: DataFrame, num: int, den: int) -> DataFrame:
         rows = 0
 
         def flush():
-            cols = [pa.array(np.concatenate([o[i] for o in out]), pa.int64()) for i in range(4)]
-            return pa.RecordBatch.from_arrays(cols, names=["key", "node", "n", "lead"])
-
-        for _, key, n, node in _runs(batches, 4, parted=True):
+            block, key, node, n, lead = (np.concatenate([o[i] for o in out]) for i in range(5))
+            sizes = np.array([len(o[0]) for o in out])
+            with np.errstate(over="ignore"):
+                name = _mix(np.add.reduceat(_mix(node.view(np.uint64) + _M1), np.cumsum(sizes) - sizes) + _M2).view(np.int64)
+            key = np.where(block == key, np.repeat(name, sizes), key)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (key, node, n, lead)], names=["key", "node", "n", "lead"])
+
+        for block, key, n, node in _runs(batches, 4, parted=True):
             lead, a = np.empty_like(node), 0
             while a < len(node):
                 b = int(np.searchsorted(n, n[a] * den // num, side="right"))
                 lead[a:b] = node[a]
                 a = b
-            out.append([key, node, n, lead])
+            out.append([block, key, node, n, lead])
             rows += len(node)
             if rows > 50_000:
                 yield flush()
@@ -247,6 +254,17 @@ def _stars(blocks: DataFrame, num: int, den: int) -> DataFrame:
     return blocks.repartition(parts, "block").sortWithinPartitions("block", "n", "node").mapInArrow(run, "key long, node long, n long, lead long")
 
 
+def _shared(blocks: DataFrame, ids: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``_stars`` by the ids of sets, of keys with the same sets
+    once. Sets of much likeness share very many keys, and all but one go here."""
+    stars = materialize(_stars(blocks, num, den), "stars")
+    of = lambda x: ids.select(F.col("node").alias(x), F.col("id").alias(f"{x}_id"))
+    named = stars.distinct().join(of("node"), "node").join(of("lead"), "lead")
+    out = materialize(named.select("key", F.col("node_id").alias("node"), "n", F.col("lead_id").alias("lead")).distinct(), "shared")
+    release(stars)
+    return out
+
+
 def parity_bits(s: np.ndarray) -> bytes:
     """A set's parity sketch: each shingle flips one bit. Two sketches of one
     size differ in no more bits than their sets differ in shingles; the halves
@@ -300,19 +318,19 @@ def candidates(n: np.ndarray, comp: np.ndarray, sketch: np.ndarray, num: int, de
 
 
 def _cross(rows: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """(a, b): ``candidates`` of all blocks; a pair that isn't one is never written."""
+    """(a, b, key): ``candidates`` of all blocks; a pair that isn't one is never written."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, n, node, comp, home, bits in _runs(batches, 6):
+        for _, key, n, node, comp, home, bits in _runs(batches, 7):
             new = np.concatenate(([True], node[1:] != node[:-1]))
-            n, node, comp, home = n[new], node[new], comp[new], home[new].astype(bool)
+            key, n, node, comp, home = key[new], n[new], node[new], comp[new], home[new].astype(bool)
             for i, js in candidates(n, comp, _folded(list(bits[new])), num, den, forest, home):
                 a, other = np.full(len(js), node[i]), node[js]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, other)), pa.array(np.maximum(a, other))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.minimum(a, other), np.maximum(a, other), key[js])], names=["a", "b", "key"])
 
-    dealt = rows.repartition(parts, "block").sortWithinPartitions("block", "n", "id").select("block", "n", "id", "comp", "home", "bits")
-    return dealt.mapInArrow(run, "a long, b long")
+    dealt = rows.repartition(parts, "block").sortWithinPartitions("block", "n", "id").select("block", "key", "n", "id", "comp", "home", "bits")
+    return dealt.mapInArrow(run, "a long, b long, key long")
 
 
 def _hub_first(pairs: DataFrame) -> DataFrame:
@@ -329,6 +347,11 @@ def _hub_first(pairs: DataFrame) -> DataFrame:
     return out
 
 
+def _if_few(ids: DataFrame) -> DataFrame:
+    """``ids``, to be broadcast where texts are joined, unless there are very many."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs that link, on their whole shingle sets. A hub's text goes once
     to each of its blocks, a leaf's with each pair."""
@@ -350,9 +373,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
             yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in keep], pa.int64()) for j in (0, 1)], names=["a", "b"])
 
     dealt = _hub_first(pairs)
-    hubs = dealt.select("block", "hub").distinct().join(texts.withColumnRenamed("id", "hub"), "hub").select("block", "hub", F.lit(None).cast("long").alias("leaf"), "text")
-    leaves = dealt.join(texts.withColumnRenamed("id", "leaf"), "leaf").select("block", "hub", "leaf", "text")
-    rows = hubs.unionByName(leaves).repartition(parts, "block").sortWithinPartitions("block", "hub", F.col("leaf").asc_nulls_first())
+    hubs = dealt.select(F.col("hub").alias("id"), "block", "hub", F.lit(None).cast("long").alias("leaf")).distinct()
+    wanted = hubs.unionByName(dealt.select(F.col("leaf").alias("id"), "block", "hub", "leaf"))
+    rows = texts.join(_if_few(wanted), "id").select("block", "hub", "leaf", "text").repartition(parts, "block").sortWithinPartitions("block", "hub", F.col("leaf").asc_nulls_first())
     out = materialize(rows.mapInArrow(run, "a long, b long"), "links")
     release(dealt)
     return out
@@ -366,7 +389,7 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _open(shared: DataFrame, ids: DataFrame, comp: DataFrame) -> DataFrame:
-    """(block, n, id, comp, home) of the keys whose sets lie in several components.
+    """(block, key, n, id, comp, home) of the keys whose sets lie in several components.
 
     A key of very many sets is cut into parts, a block each. A set is at home in
     its own part; sets outside the key's largest component go to every part as
@@ -380,54 +403,55 @@ def _open(shared: DataFrame, ids: DataFrame, comp: DataFrame) -> DataFrame:
     main = each.groupBy("key").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"))
     own = F.pmod(F.xxhash64("id"), F.col("parts"))
     every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    dealt = rows.join(main, "key", "left").withColumn("own", own)
+    # main: a row for PART rows at most
+    dealt = rows.join(F.broadcast(main), "key", "left").withColumn("own", own)
     dealt = dealt.withColumn("part", F.explode(F.when((F.col("parts") == 1) | (F.col("comp") == F.col("main")), F.array("own")).otherwise(every)))
-    out = materialize(dealt.select(F.xxhash64("key", "part").alias("block"), "n", "id", "comp", (F.col("part") == F.col("own")).alias("home")), "open")
+    out = materialize(dealt.select(F.xxhash64("key", "part").alias("block"), "key", "n", "id", "comp", (F.col("part") == F.col("own")).alias("home")), "open")
     release(rows)
     return out
 
 
-def _texts(sets: DataFrame, ids: DataFrame, shared: DataFrame) -> DataFrame:
+def _texts(sets: DataFrame, shared: DataFrame) -> DataFrame:
     """(id, text) of the sets that share a key."""
-    held = materialize(ids.join(shared.select("node").distinct(), "node").select("id").distinct(), "held")
-    known = F.broadcast(held) if held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else held
-    texts = materialize(sets.where(F.col("text").isNotNull()).select(F.col("node").alias("id"), "text").join(known, "id", "left_semi"), "texts")
+    held = materialize(shared.select(F.col("node").alias("id")).distinct(), "held")
+    texts = materialize(sets.where(F.col("text").isNotNull()).select(F.col("node").alias("id"), "text").join(_if_few(held), "id", "left_semi"), "texts")
     release(held)
     return texts
 
 
 def _links(sets: DataFrame, ids: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(node, comp): components of all sets that link. See ``jaccard_groups``."""
-    shared = materialize(_stars(_dealt(sets.where(F.col("keys").isNotNull())), num, den), "stars")
-    texts = _texts(sets, ids, shared)
-    of = lambda x, name: ids.select(F.col("node").alias(x), F.col("id").alias(name))
-    edges = shared.where("node <> lead").select("lead", "node").distinct().join(of("lead", "a"), "lead").join(of("node", "b"), "node")
-    edges = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    shared = _shared(_dealt(sets.where(F.col("keys").isNotNull())), ids, num, den)
+    texts = _texts(sets, shared)
+    edges = materialize(shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "edges")
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # one leader for each set first; of its other leaders only those of another component
     tested = [materialize(ordered(edges.groupBy("b").agg(F.min("a").alias("a"))).distinct(), "leaders")]
     links = [_verified(tested[0], texts, k, num, den)]
     every = lambda tables: reduce(DataFrame.unionByName, tables)
     comp = components(links[0])
+    keys, bits, used = shared.select("key", "node", "n").distinct(), None, []
     # then forests of candidates between components, at last all that are left
     for step in ("leaders", "forest", "forest", "all"):
         if step == "leaders":
             pairs = _apart(ordered(edges).distinct(), comp)
-            used = []
         else:
-            rows = _open(shared, ids, comp)
-            bits = materialize(_bits(texts.join(rows.select("id").distinct(), "id", "left_semi"), k), "bits")
-            used = [rows, bits]
-            pairs = _cross(rows.join(bits, "id"), num, den, step == "forest").distinct()
+            rows = _open(keys, ids, comp)
+            # components only grow: what is open later was open before, and where sketches
+            # allow no pair there will be none, so sketches are made once and such keys go
+            bits = bits or materialize(_bits(texts.join(_if_few(rows.select("id").distinct()), "id", "left_semi"), k), "bits")
+            met = materialize(_cross(rows.join(bits, "id"), num, den, step == "forest").distinct(), "met")
+            used += [rows, met]
+            keys = keys.join(met.select("key").distinct(), "key", "left_semi")
+            pairs = met.select("a", "b").distinct()
         pairs = materialize(pairs.join(every(tested), ["a", "b"], "left_anti"), "pairs")
         new = _verified(pairs, texts, k, num, den)
-        release(*used)
         tested.append(pairs)
         if not new.isEmpty():
             links.append(new)
             release(comp)
             comp = components(every(links))
-    release(shared, texts, edges, *tested, *links)
+    release(shared, texts, edges, bits, *used, *tested, *links)
     return comp
 
 

@@ -222,6 +222,35 @@ def test_open_keys_are_written_once(spark):
     assert len({r.block for r in rows if r.id == 77}) == parts and {r.comp for r in rows} == {0, 77}
 
 
+def test_keys_of_the_same_sets_are_kept_once(spark):
+    """Very like sets share many keys: one is kept for each group of sets, copies
+    count as one set, and keys that are cut into parts keep their names."""
+    ids = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (9, 1)], "node long, id long")
+    rows = [(k, k, 10, x) for k in range(50) for x in (1, 2, 9)] + [(k, k, 10, x) for k in range(50, 60) for x in (1, 2, 3, 9)]
+    rows += [(p, k, 10, x) for k in (70, 71) for p, x in ((700 + k, 1), (700 + k, 9), (800 + k, 2), (800 + k, 3))]
+    got = ngram_join._shared(spark.createDataFrame(rows, "block long, key long, n long, node long"), ids, 9, 10).collect()
+    by = defaultdict(set)
+    for r in got:
+        by[r.key].add((r.node, r.lead))
+    assert sorted(map(sorted, by.values())) == [[(1, 1), (2, 1)], [(1, 1), (2, 1), (3, 1)], [(1, 1), (2, 2), (3, 2)], [(1, 1), (2, 2), (3, 2)]]
+    assert {70, 71} <= set(by) and len(got) == 11
+
+
+def test_keys_without_candidates_are_compared_once(spark, monkeypatch):
+    """Sets that sketches tell apart: their keys don't come back in later rounds."""
+    rng, opened = random.Random(8), []
+    base = [f"w{rng.randrange(4000)}" for _ in range(200)]
+    far = [" ".join([*base[:180], *(f"x{i}{j}" for j in range(20))]) for i in range(6)]
+    rows = list(enumerate([*chained(rng, 8, 200, 2), *far]))
+    real = ngram_join._open
+    monkeypatch.setattr(ngram_join, "_open", lambda *a: opened.append(real(*a)) or opened[-1])
+    monkeypatch.setattr(ngram_join, "release", lambda *a: None)
+    got = jaccard_groups(spark.createDataFrame(rows, SCHEMA), k=3, num=9, den=10).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows, 3, 9, 10)
+    first, *later = (o.count() for o in opened)
+    assert first > 0 and later == [0, 0]
+
+
 def test_pairs_of_a_hub_are_verified_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "PART", 4)
     words = [f"w{i}" for i in range(40)]
