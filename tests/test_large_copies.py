@@ -153,3 +153,16 @@ def test_equity_without_a_decimal(spark, tmp_path):
     rows = [(i, 1440 * i, u, "view", v) for u, own in ((1, [60.0, math.nan, 70.0]), (2, [60.0, 1e19, 70.0])) for i, v in enumerate(own)]
     got = {r["trader_id"]: r["active_days"] for r in QUERIES["k_spec_pillars"](spark, folder(spark, tmp_path, rows)).collect()}
     assert got == {1: 3, 2: 3}
+
+
+def test_market_rows_of_one_time(spark, tmp_path):
+    """Forward the first event of a time counts, backward the last, as in DuckDB where it
+    joins by sorting (but for few left rows and, now and then, between sorted blocks)."""
+    rows = [(0, 0, 1, "view", 100.0), (1, 61, 1, "view", 110.0), (2, 61, 1, "view", 120.0), (3, 75, 1, "view", 130.0), (4, 75, 1, "view", 125.0), (5, 95, 1, "view", 90.0)]
+    path = folder(spark, tmp_path, rows)
+    got = lambda name, key, x: {r[key]: r[x] for r in QUERIES[name](spark, path).collect()}
+    outcomes = {(r.signal_id, r.horizon): r.bps for r in QUERIES["p_signal_outcomes"](spark, path).collect()}
+    assert outcomes[0, 60] == 1000.0
+    assert got("jn_asof_forward", "event_id", "m_price")[0] == 110.0
+    assert got("jn_asof_backward_lag", "event_id", "m_price")[5] == 125.0
+    assert got("jn_asof_forward_frame", "event_id", "edge")[0] == 1000.0
